@@ -5,17 +5,45 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vintara.llm.common import table
+from vintara.llm.line_dedup import remove_spread_lines
 from vintara.llm.near_dup import near_duplicates
+from vintara.llm.sharding import shard_documents
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), width=2, threshold=80)
 
 
+def op3_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents", "doc_id", "text"), shards=24)
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = remove_spread_lines(table(spark, sf_dir, "documents", "doc_id", "text", "source"), min_sites=8, min_bytes=40)
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("kept_text", F.lit("")).cast("binary")).alias("kept_md5"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_virtual_slot_sharding": op3_virtual_slot_sharding,
+    "op9_line_dedup": op9_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_line_dedup": """
+        WITH lines AS (
+            SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL
+        ), spread AS (
+            SELECT line, min(doc_id) AS first_doc FROM lines WHERE strlen(line) >= 40 AND source IS NOT NULL GROUP BY line HAVING count(DISTINCT source) >= 8
+        ), judged AS (
+            SELECT l.doc_id, l.line, l.pos, s.line IS NOT NULL AND l.doc_id <> s.first_doc AS gone FROM lines l LEFT JOIN spread s ON l.line = s.line
+        )
+        SELECT d.doc_id, coalesce(j.n_lines, 0)::BIGINT AS n_lines, coalesce(j.n_removed, 0)::BIGINT AS n_removed, md5(coalesce(j.kept, '')) AS kept_md5
+        FROM documents d LEFT JOIN (
+            SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone) AS kept FROM judged GROUP BY doc_id
+        ) j USING (doc_id)
+    """,
+}
