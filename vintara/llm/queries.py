@@ -11,6 +11,11 @@ from vintara.llm.common import table
 from vintara.llm.line_dedup import remove_spread_lines
 from vintara.llm.near_dup import near_duplicates
 from vintara.llm.sharding import shard_documents
+from vintara.llm.suffix_dedup import remove_repeats
+
+
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), length=400).drop("kept")
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +32,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_virtual_slot_sharding": op3_virtual_slot_sharding,
     "op9_line_dedup": op9_line_dedup,
