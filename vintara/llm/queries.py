@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vintara.llm.common import table
+from vintara.llm.decontaminate import find_leaks
 from vintara.llm.line_dedup import remove_spread_lines
 from vintara.llm.near_dup import near_duplicates
+from vintara.llm.packing import pack_documents
 from vintara.llm.sharding import shard_documents
 from vintara.llm.suffix_dedup import remove_repeats
 
@@ -26,6 +28,16 @@ def op3_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents", "doc_id", "text"), shards=24)
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = find_leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    items = F.transform("matches", lambda m: m["item_id"])
+    return leaks.select("doc_id", (F.size("matches") > 0).alias("contaminated"), items.alias("item_ids"), F.array_min(F.transform("matches", lambda m: m["distance"])).alias("least_distance"))
+
+
+def op8_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), size=2048, end_id=1)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = remove_spread_lines(table(spark, sf_dir, "documents", "doc_id", "text", "source"), min_sites=8, min_bytes=40)
     return cleaned.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("kept_text", F.lit("")).cast("binary")).alias("kept_md5"))
@@ -35,6 +47,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_virtual_slot_sharding": op3_virtual_slot_sharding,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_vector_packing": op8_vector_packing,
     "op9_line_dedup": op9_line_dedup,
 }
 
