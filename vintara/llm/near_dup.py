@@ -16,8 +16,8 @@ from vintara.llm.graph import components
 BANDS, ROWS = 36, 5
 #: A pair at the threshold of 0.8 misses all bands with probability (1 - 0.8 ** 5) ** 36, about 6e-7.
 BINS = BANDS * ROWS
-#: Residual buckets are compared in blocks of about so many members.
-BLOCK = 1000
+#: Residual groups are compared in blocks of about so many members.
+BLOCK = 500
 
 
 def probe_order(bins: int = BINS) -> np.ndarray:
@@ -103,41 +103,99 @@ def _sets(width: int):
     return run
 
 
-def _residual_pairs(least: float):
-    """Within a block (or between two) of one bucket: pairs of different components whose signatures agree in at least ``least``."""
+def _by_cell(judge):
+    """Run ``judge`` on the rows of each cell; the input is in order of its first column, the cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, name = [], None
-
-        def emit(rows):
-            ids = [r["id"] for r in rows]
-            comp = np.unique([r["component"] for r in rows], return_inverse=True)[1]
-            side = np.array([r["side"] for r in rows])
-            sig = np.stack([np.frombuffer(r["low"], np.uint8) for r in rows])
-            same_block = bool(rows[0]["same"])
-            a, b = [], []
-            for i in range(len(rows)):
-                ok = (comp[i + 1 :] != comp[i]) & (same_block | (side[i + 1 :] != side[i]))
-                js = np.flatnonzero(ok) + i + 1
-                if len(js):
-                    js = js[(sig[js] == sig[i]).mean(axis=1) >= least]
-                    a += [ids[i]] * len(js)
-                    b += [ids[j] for j in js]
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["cell"] != name and held:
-                    yield emit(held)
-                    held = []
-                name = row["cell"]
-                held.append(row)
+            cells = batch.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1), len(cells)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if b > a:
+                    if held and held[-1].column(0)[0].as_py() != cells[a]:
+                        yield judge(pa.Table.from_batches(held).combine_chunks())
+                        held = []
+                    held.append(batch.slice(a, b - a))
         if held:
-            yield emit(held)
+            yield judge(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
 
+def _forest(near, labels: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of rows that join different labels, one for each join; ``near(i)`` gives the rows after i that i is near."""
+    labels, found = labels.copy(), []
+    for i in range(len(labels)):
+        js = near(i)
+        for label, j in zip(*np.unique(labels[js], return_index=True), strict=True) if len(js) else ():
+            if label != labels[i]:
+                found.append((i, js[j]))
+                labels[labels == label] = labels[i]
+    return found
+
+
+def _edges(ids: np.ndarray, found: list[tuple[int, int]]) -> pa.RecordBatch:
+    at = np.array(found, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(ids[at[:, 0]]), pa.array(ids[at[:, 1]])], names=["a", "b"])
+
+
+def _residual_forest(least: float, threshold: int):
+    """In a cell of one bucket: a forest over the members of different components whose sizes and signatures allow a link."""
+
+    def judge(rows: pa.Table) -> pa.RecordBatch:
+        ids, comp, side, size = (rows.column(c).to_numpy() for c in ("id", "component", "side", "n"))
+        sig = np.frombuffer(b"".join(rows.column("low").to_pylist()), np.uint8).reshape(len(ids), -1)
+        same = rows.column("same")[0].as_py()
+
+        def near(i):
+            js = np.flatnonzero((comp[i + 1 :] != comp[i]) & (same | (side[i + 1 :] != side[i])) & (100 * np.minimum(size[i + 1 :], size[i]) >= threshold * np.maximum(size[i + 1 :], size[i]))) + i + 1
+            return js[(sig[js] == sig[i]).mean(axis=1) >= least] if len(js) else js
+
+        return _edges(ids, _forest(near, np.arange(len(ids))))
+
+    return _by_cell(judge)
+
+
+def _residual_links(threshold: int):
+    """In a cell of one group: links by the full sets that join different components, enough of them to join all they can."""
+
+    def judge(rows: pa.Table) -> pa.RecordBatch:
+        ids, side = rows.column("id").to_numpy(), rows.column("side").to_numpy()
+        comp = np.unique(rows.column("component").to_numpy(), return_inverse=True)[1]
+        same = rows.column("same")[0].as_py()
+        sets = rows.column("shingles").combine_chunks()
+        size = np.diff(sets.offsets.to_numpy())
+        owner = np.repeat(np.arange(len(ids)), size)
+        _, word, count = np.unique(sets.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        column = np.cumsum(count > 1) - 1
+        shared = count[word] > 1
+        owner, word = owner[shared], column[word[shared]]
+        order = np.argsort(word, kind="stable")
+        owner, word = owner[order], word[order]
+        inner = np.zeros((len(ids), len(ids)), np.float32)
+        for low in range(0, int(word[-1]) + 1 if len(word) else 0, 4096):
+            a, b = np.searchsorted(word, (low, low + 4096))
+            has = np.zeros((len(ids), 4096), np.float32)
+            has[owner[a:b], word[a:b] - low] = 1
+            inner += has @ has.T
+
+        def near(i):
+            union = size[i] + size[i + 1 :] - inner[i, i + 1 :]
+            return np.flatnonzero((100 * inner[i, i + 1 :] >= threshold * union) & (same | (side[i + 1 :] != side[i]))) + i + 1
+
+        return _edges(ids, _forest(near, comp))
+
+    return _by_cell(judge)
+
+
+def _in_blocks(members: DataFrame, group: str) -> DataFrame:
+    """Deal the members of each group into blocks and give every pair of blocks a cell, so that each two meet in one."""
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    dealt = members.withColumn("side", F.pmod(F.xxhash64("id", group), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return dealt.withColumn("cell", F.xxhash64(group, F.least("side", "other"), F.greatest("side", "other"))).withColumn("same", F.col("side") == F.col("other"))
+
+
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, threshold: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of ``docs``: key, n_shingles, component_id, kept.
 
@@ -151,9 +209,10 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
       minimum and joined back.
     * Every candidate is confirmed on the full sets, and links become components.
     * Stars alone could lose a link between two outer members. So buckets whose members ended in
-      different components are visited again: pairs between components, in blocks of bounded size,
-      go to the same confirmation unless their 8-bit signatures rule the threshold out by six
-      standard deviations. No member is capped or dropped.
+      different components are visited again, in blocks of bounded size: members of different
+      components whose 8-bit signatures do not rule the threshold out by six standard deviations
+      form groups, and each group is compared on the full sets, block by block. A cell returns only
+      a forest, so rows stay in proportion to members. No member is capped or dropped.
 
     Null or empty texts and texts without words have no shingles and link with nothing; their
     component_id is their key. Null keys are allowed (a group with only null keys has a null
@@ -170,14 +229,17 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     in_bucket = cut(member.join(buckets, "bucket"))
     size = classes.select("id", "n")
 
+    def full_sets(needed: DataFrame) -> DataFrame:
+        """(id, shingles) of the classes in ``needed``, computed anew from one text of each."""
+        wanted = classes.join(needed, "id", "left_semi").select("id", "class", F.col("owner").alias("_key"))
+        texts = base.join(wanted, null_safe(base, wanted, "_key")).select("id", "class", "_text")
+        return cut(texts.mapInArrow(_sets(width), "id long, shingles array<long>").dropDuplicates(["id"]))
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of the candidate pairs (a, b), those linked by their full sets; sizes are compared first."""
         pairs = pairs.join(size.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
         pairs = cut(pairs.where(f"100 * least(na, nb) >= {threshold} * greatest(na, nb)").select("a", "b"))
-        needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        wanted = classes.join(needed, "id", "left_semi").select("id", "class", F.col("owner").alias("_key"))
-        texts = base.join(wanted, null_safe(base, wanted, "_key")).select("id", "class", "_text")
-        sets = cut(texts.mapInArrow(_sets(width), "id long, shingles array<long>"))
+        sets = full_sets(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
         shared = F.size(F.array_intersect("sa", "sb"))
         return cut(both.where(100 * shared >= threshold * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct())
@@ -187,19 +249,17 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     placed = in_bucket.where("members > 2").join(final.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
     open_buckets = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("members")).where("x <> y").select("bucket", "members")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    spread = (
-        placed.join(open_buckets, "bucket")
-        .join(classes.select("id", "low"), "id")
-        .withColumn("block", F.pmod(F.xxhash64("id", "bucket"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select(F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), F.col("block").alias("side"), (F.col("block") == F.col("other")).alias("same"), "id", "component", "low")
-    )
     spare = 6 * (threshold / 100 * (1 - threshold / 100) / (bands * rows)) ** 0.5
-    rest = spread.repartition("cell").sortWithinPartitions("cell").mapInArrow(_residual_pairs(max(threshold / 100 - spare, 0.0)), "a long, b long")
-    rest = cut(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    if not rest.isEmpty():
-        final = components(links.union(confirmed(rest)))
+    inside = _in_blocks(placed.join(open_buckets, "bucket"), "bucket").join(classes.select("id", "low", "n"), "id").select("cell", "side", "same", "id", "component", "low", "n")
+    near = inside.repartition("cell").sortWithinPartitions("cell").mapInArrow(_residual_forest(max(threshold / 100 - spare, 0.0), threshold), "a long, b long")
+    near = cut(near.distinct())
+    if not near.isEmpty():
+        groups = cut(components(near).select(F.col("node").alias("id"), F.col("component").alias("bucket")))
+        groups = groups.join(groups.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")), "bucket")
+        groups = groups.join(final.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        inside = _in_blocks(groups, "bucket").join(full_sets(groups.select("id")), "id").select("cell", "side", "same", "id", "component", "shingles")
+        more = cut(inside.repartition("cell").sortWithinPartitions("cell").mapInArrow(_residual_links(threshold), "a long, b long"))
+        final = components(links.union(more))
 
     named = classes.select("class", "id").join(final.withColumnRenamed("node", "id"), "id", "left").select("class", F.coalesce("component", "id").alias("component"))
     lowest = classes.select("class", "owner").join(named, "class").groupBy("component").agg(F.min("owner").alias("lowest"))
