@@ -12,6 +12,7 @@ from vintara.llm.decontaminate import find_leaks
 from vintara.llm.line_dedup import remove_spread_lines
 from vintara.llm.near_dup import near_duplicates
 from vintara.llm.packing import pack_documents
+from vintara.llm.quality import classify, held_out
 from vintara.llm.sharding import shard_documents
 from vintara.llm.suffix_dedup import remove_repeats
 
@@ -28,6 +29,11 @@ def op3_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents", "doc_id", "text"), shards=24)
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = classify(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"), threshold=0.7)
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = find_leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
     items = F.transform("matches", lambda m: m["item_id"])
@@ -47,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_virtual_slot_sharding": op3_virtual_slot_sharding,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_vector_packing": op8_vector_packing,
     "op9_line_dedup": op9_line_dedup,
