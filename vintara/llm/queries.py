@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vintara.llm.common import table
 from vintara.llm.decontaminate import find_leaks
+from vintara.llm.embedding_dup import embedding_duplicates
 from vintara.llm.line_dedup import remove_spread_lines
 from vintara.llm.near_dup import near_duplicates
 from vintara.llm.packing import pack_documents
@@ -29,6 +30,10 @@ def op3_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents", "doc_id", "text"), shards=24)
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), threshold=0.9)
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = classify(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"), threshold=0.7)
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_virtual_slot_sharding": op3_virtual_slot_sharding,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_vector_packing": op8_vector_packing,
