@@ -16,6 +16,7 @@ from vintara.llm.packing import pack_documents
 from vintara.llm.quality import classify, held_out
 from vintara.llm.sharding import shard_documents
 from vintara.llm.suffix_dedup import remove_repeats
+from vintara.llm.transcripts import as_transcripts, fit, parse
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +55,13 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("kept_text", F.lit("")).cast("binary")).alias("kept_md5"))
 
 
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = as_transcripts(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    model = fit(blocks.where(~held_out("conv_id")))
+    turns = parse(blocks.drop("role"), model)
+    return turns.select("conv_id", "turn_no", "role", "n_lines", F.md5(F.col("rendered").cast("binary")).alias("rendered_md5"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -63,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_vector_packing": op8_vector_packing,
     "op9_line_dedup": op9_line_dedup,
+    "op10_chat_formatting": op10_chat_formatting,
 }
 
 ORACLE_SQL: dict[str, str] = {
