@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vintara.llm.common import table
 from vintara.llm.decontaminate import find_leaks
 from vintara.llm.embedding_dup import embedding_duplicates
+from vintara.llm.lattice_lm import score_texts
 from vintara.llm.line_dedup import remove_spread_lines
 from vintara.llm.near_dup import near_duplicates
 from vintara.llm.packing import pack_documents
@@ -31,6 +32,12 @@ def op3_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents", "doc_id", "text"), shards=24)
 
 
+def op4_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = held_out("doc_id", folds=7, fold=2)
+    scored = score_texts(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), ~out, group="lang")
+    return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), threshold=0.9)
 
@@ -66,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_virtual_slot_sharding": op3_virtual_slot_sharding,
+    "op4_lattice_lm": op4_lattice_lm,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
