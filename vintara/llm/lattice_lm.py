@@ -51,7 +51,8 @@ def read_vocabulary(path: str | None = None) -> tuple[list[bytes], np.ndarray]:
 class Lattice:
     """Piece lookups by hash, and the forward and backward recursions over many words at once."""
 
-    def __init__(self, pieces: list[bytes], logp: np.ndarray, log_go: float, log_stop: float):
+    def __init__(self, pieces: list[bytes], logp: np.ndarray, log_go: np.ndarray, log_stop: np.ndarray):
+        """``logp`` has a row for each piece and a column for each class, ``log_go`` and ``log_stop`` a value for each class."""
         self.powers = textvec.Powers()
         data = np.frombuffer(b"".join(pieces), np.uint8)
         size = np.array([len(x) for x in pieces])
@@ -92,27 +93,29 @@ class Lattice:
 
     @staticmethod
     def _reduce(target: np.ndarray, keys: np.ndarray, values: np.ndarray) -> None:
-        """target[k] = log of the sum of exp of the values with key k."""
+        """target[k] = log of the sum of exp of the values (rows) with key k."""
         order = np.argsort(keys, kind="stable")
         keys, values = keys[order], values[order]
         first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        top = np.maximum.reduceat(values, first)
+        top = np.maximum.reduceat(values, first, axis=0)
         count = np.diff(np.concatenate((first, [len(keys)])))
-        target[keys[first]] = top + np.log(np.add.reduceat(np.exp(values - np.repeat(top, count)), first))
+        target[keys[first]] = top + np.log(np.add.reduceat(np.exp(values - np.repeat(top, count, axis=0)), first, axis=0))
 
-    def forward(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, expect: np.ndarray | None = None) -> np.ndarray:
-        """Natural log of each word's probability, over all segmentations; with ``expect`` also the expected piece counts, weighted alike for each word.
+    def forward(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, expect: np.ndarray | None = None, counts_in: np.ndarray | None = None) -> np.ndarray:
+        """Natural log of each word's probability in each class, over all segmentations.
 
-        ``start`` and ``size`` place the words in ``data``; words lie in order and do not overlap.
-        A word of m pieces has the pieces' probabilities, m - 1 times "go on" and once "stop".
+        ``start`` and ``size`` place the words in ``data``. A word of m pieces has the pieces'
+        probabilities, m - 1 times "go on" and once "stop". ``expect`` gets the expected counts of
+        pieces added, for the words and classes that ``counts_in`` marks.
         """
+        classes = self.logp.shape[1]
         if not len(size):
-            return np.zeros(0)
+            return np.zeros((0, classes))
         packed = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
         data, start = data[packed], np.cumsum(size) - size
         f, t, p, depth, node = self.arcs(data, start, size)
         w = self.logp[p] + self.log_go
-        alpha = np.full(len(depth), -np.inf)
+        alpha = np.full((len(depth), classes), -np.inf)
         alpha[node] = 0.0
         by = np.argsort(depth[t], kind="stable")
         bounds = np.searchsorted(depth[t][by], np.arange(1, int(size.max()) + 2))
@@ -123,7 +126,7 @@ class Lattice:
         last = node + size
         total = alpha[last]
         if expect is not None:
-            beta = np.full(len(depth), -np.inf)
+            beta = np.full(alpha.shape, -np.inf)
             beta[last] = 0.0
             by = np.argsort(depth[f], kind="stable")
             bounds = np.searchsorted(depth[f][by], np.arange(0, int(size.max()) + 1))
@@ -131,8 +134,10 @@ class Lattice:
                 arc = by[a:b]
                 if len(arc):
                     self._reduce(beta, f[arc], beta[t[arc]] + w[arc])
-            word = np.repeat(np.arange(len(size)), size + 1)
-            np.add.at(expect, p, np.exp(alpha[f] + w + beta[t] - total[word[f]]))
+            word = np.repeat(np.arange(len(size)), size + 1)[f]
+            share = np.exp(alpha[f] + w + beta[t] - total[word]) * counts_in[word]
+            for k in range(classes):
+                expect[:, k] += np.bincount(p, weights=share[:, k], minlength=len(expect))
         return total - self.log_go + self.log_stop
 
 
@@ -175,59 +180,90 @@ def _count(classes: int):
     return run
 
 
-def _expect(pieces: list[bytes], logp: np.ndarray, log_go: float, log_stop: float):
+def _words(batch: pa.RecordBatch, classes: int):
+    """Slices of a lexicon batch with columns h, n, word, n0, n1, ...: (slice, bytes, start, size, counts by class)."""
+    for low in range(0, batch.num_rows, _WORD_CHUNK):
+        part = batch.slice(low, _WORD_CHUNK)
+        data, offsets = textvec.text_buffer(part.column(2))
+        yield part, data, offsets[:-1], np.diff(offsets), np.stack([part.column(3 + k).to_numpy() for k in range(classes)], axis=1)
+
+
+def _expect(pieces: list[bytes], logp: np.ndarray, log_go: np.ndarray, log_stop: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, expect, types = Lattice(pieces, logp, log_go, log_stop), np.zeros(len(pieces)), 0
+        classes = logp.shape[1]
+        lattice, expect, types = Lattice(pieces, logp, log_go, log_stop), np.zeros(logp.shape), np.zeros(classes)
         for batch in batches:
-            for low in range(0, batch.num_rows, _WORD_CHUNK):
-                data, offsets = textvec.text_buffer(batch.column(0).slice(low, _WORD_CHUNK))
-                size = np.diff(offsets)
-                keep = size > 0
-                lattice.forward(data, offsets[:-1][keep], size[keep], expect)
-                types += int(keep.sum())
-        some = np.flatnonzero(expect)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((some, [-1]))), pa.array(np.concatenate((expect[some], [float(types)])))], names=["piece", "n"])
+            for _, data, start, size, counts in _words(batch, classes):
+                solid = size > 0
+                marks = (counts[solid] > 0).astype(np.float64)
+                lattice.forward(data, start[solid], size[solid], expect, marks)
+                types += marks.sum(axis=0)
+        some, kind = np.nonzero(expect)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((some, np.full(classes, -1)))), pa.array(np.concatenate((kind, np.arange(classes)))), pa.array(np.concatenate((expect[some, kind], types)))], names=["piece", "class", "n"])
 
     return run
 
 
-def train_pieces(words: DataFrame, pieces: list[bytes], p: np.ndarray, rounds: int = EM_ROUNDS) -> tuple[np.ndarray, float, float]:
-    """Fit piece probabilities to all distinct words (column word) by expectation and maximisation: (log p, log go, log stop).
+def train_pieces(lexicon: DataFrame, classes: int, pieces: list[bytes], p: np.ndarray, rounds: int = EM_ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fit each class's piece probabilities to its distinct words by expectation and maximisation: (log p, log go, log stop).
 
-    Each task sums its expected counts over the fixed vocabulary, so at most one row for each piece
-    and task is shuffled and one row for each piece comes back.
+    Each task sums its expected counts over the fixed vocabulary and classes, so at most one row for
+    each of these and task is shuffled and one row for each comes back. A class without words keeps
+    the first probabilities.
     """
-    logp, log_go, log_stop = np.log(p), np.log(0.6), np.log(0.4)
+    logp = np.repeat(np.log(p)[:, None], classes, axis=1)
+    log_go, log_stop = np.full(classes, np.log(0.6)), np.full(classes, np.log(0.4))
     byte = np.array([len(x) == 1 for x in pieces])
     for _ in range(rounds):
-        got = words.select("word").mapInArrow(_expect(pieces, logp, log_go, log_stop), "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
-        count = np.zeros(len(pieces))
-        types = 0.0
-        for row in got:
-            if row["piece"] < 0:
-                types = row["n"]
-            else:
-                count[row["piece"]] = row["n"]
-        if not types:
-            break
-        stop = min(max(types / max(count.sum(), types), 1e-6), 1 - 1e-6)
-        new = count / count.sum()
-        new[byte] = np.maximum(new[byte], BYTE_FLOOR)
-        new = np.maximum(new, 1e-12)
-        logp, log_go, log_stop = np.log(new / new.sum()), np.log(1 - stop), np.log(stop)
+        got = lexicon.mapInArrow(_expect(pieces, logp, log_go, log_stop), "piece long, class long, n double").groupBy("piece", "class").agg(F.sum("n").alias("n")).toPandas()
+        count, types = np.zeros(logp.shape), np.zeros(classes)
+        real = got["piece"] >= 0
+        count[got["piece"][real], got["class"][real]] = got["n"][real]
+        types[got["class"][~real]] = got["n"][~real]
+        for k in np.flatnonzero(types):
+            stop = min(max(types[k] / max(count[:, k].sum(), types[k]), 1e-6), 1 - 1e-6)
+            new = count[:, k] / count[:, k].sum()
+            new[byte] = np.maximum(new[byte], BYTE_FLOOR)
+            new = np.maximum(new, 1e-12)
+            logp[:, k], log_go[k], log_stop[k] = np.log(new / new.sum()), np.log(1 - stop), np.log(stop)
     return logp, log_go, log_stop
 
 
-def _lookup(model, classes: int):
-    """Rows (rid, text) to counts, the sums over frequent words, and the list of other words with their lattice scores."""
+def _word_scores(sent, n_all: int, spare_all: float, n_class: list[int], spare: list[float]):
+    """Lexicon rows to (h, n, logs): log10 of the word's probability in each class: discounted class counts, then all counts, then the lattice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, logp, log_go, log_stop, hashes, table, base = model.value
-        lattice, powers = Lattice(pieces, logp, log_go, log_stop), textvec.Powers()
+        lattice, classes = Lattice(*sent.value), len(n_class)
         for batch in batches:
-            _, offsets = textvec.text_buffer(batch.column(1))
+            for part, data, start, size, counts in _words(batch, classes):
+                n = part.column(1).to_numpy()
+                sub = np.zeros(counts.shape)  # the end has no bytes and no subword part
+                solid = size > 0
+                sub[solid] = np.exp(lattice.forward(data, start[solid], size[solid]))
+                wide = (np.maximum(n - DISCOUNT, 0) / n_all)[:, None] + spare_all * sub
+                own = np.maximum(counts - DISCOUNT, 0) / np.maximum(n_class, 1)
+                logs = np.log10(own + np.array(spare) * wide).astype(np.float32)
+                ends = pa.array(np.arange(len(n) + 1, dtype=np.int32) * classes)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(ends, pa.array(logs.ravel()))], names=["h", "n", "logs"])
+
+    return run
+
+
+def _lookup(sent, frequent, floor: np.ndarray):
+    """Rows (rid, train, text) to counts, the sums over frequent words, and the other words in a list.
+
+    Training rows hold no unknown word, so only the words of other rows get lattice scores here.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice, powers = Lattice(*sent.value), textvec.Powers()
+        hashes, table, base = frequent.value
+        classes = len(floor)
+        for batch in batches:
+            _, offsets = textvec.text_buffer(batch.column(2))
+            trained = batch.column(1).to_numpy(zero_copy_only=False)
             for a, b in textvec.chunks(offsets, 4 << 20):
-                data, at = _lower(batch.column(1), a, b)
+                data, at = _lower(batch.column(2), a, b)
                 row, start, end, h = textvec.words(data, at, powers)
                 signed = h.view(np.int64)
                 where = np.minimum(np.searchsorted(hashes, signed), max(len(hashes) - 1, 0))
@@ -238,23 +274,25 @@ def _lookup(model, classes: int):
                 base_sum = np.bincount(row[often], weights=base[where[often]], minlength=rows)
                 sums = [np.bincount(row[often], weights=table[where[often], k], minlength=rows) for k in range(classes)]
                 rare = np.flatnonzero(~often)
-                _, first, inverse = np.unique(signed[rare], return_index=True, return_inverse=True)
-                score = np.empty(len(first))
-                order = np.argsort(start[rare[first]])
+                new = ~trained[a:b][row[rare]]
+                _, first, inverse = np.unique(signed[rare[new]], return_index=True, return_inverse=True)
+                source = rare[new][first]
+                score = np.empty((len(first), classes), np.float32)
                 for low in range(0, len(first), _WORD_CHUNK):
-                    pick = order[low : low + _WORD_CHUNK]
-                    score[pick] = lattice.forward(data, start[rare[first[pick]]], (end - start)[rare[first[pick]]])
-                bounds = np.searchsorted(row[rare], np.arange(rows + 1)).astype(np.int32)
-                at_rare = pa.array(bounds)
+                    pick = source[low : low + _WORD_CHUNK]
+                    score[low : low + _WORD_CHUNK] = lattice.forward(data, start[pick], (end - start)[pick]) / np.log(10) + floor
+                each = np.where(new, classes, 0)
+                items = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(each))).astype(np.int32)), pa.array(score[inverse].ravel()))
+                bounds = pa.array(np.searchsorted(row[rare], np.arange(rows + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, rows),
                         pa.array(tokens.astype(np.int64)),
                         pa.array(known.astype(np.int64)),
                         pa.array(base_sum),
-                        pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * classes), pa.array(np.stack(sums, axis=1).ravel() if rows else np.zeros(0))),
-                        pa.ListArray.from_arrays(at_rare, pa.array(signed[rare])),
-                        pa.ListArray.from_arrays(at_rare, pa.array(score[inverse].astype(np.float32)) if len(rare) else pa.array([], pa.float32())),
+                        pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * classes), pa.array(np.stack(sums, axis=1).ravel())),
+                        pa.ListArray.from_arrays(bounds, pa.array(signed[rare])),
+                        pa.ListArray.from_arrays(bounds, items),
                     ],
                     names=["rid", "n_tokens", "n_known", "base", "sums", "words", "lattice"],
                 )
@@ -300,37 +338,24 @@ def score_texts(docs: DataFrame, train, *, key: str = "doc_id", text: str = "tex
     n_all, v_all, n_class, v_class = totals[0], totals[1], list(totals[2 : 2 + classes]), list(totals[2 + classes :])
 
     pieces, p = read_vocabulary(vocabulary)
-    logp, log_go, log_stop = train_pieces(lexicon.where(F.octet_length("word") > 0), pieces, p)
+    counts = lexicon.select("h", "n", "word", *[f"n{k}" for k in range(classes)])
+    model = (pieces, *train_pieces(counts, classes, pieces, p))
     spare_all = DISCOUNT * v_all / n_all if n_all else 1.0
     spare = [DISCOUNT * v / n if n else 1.0 for n, v in zip(n_class, v_class, strict=True)]
-
-    def log_word(k: int, n, nk, sub):
-        """log10 of a word's probability in class k: discounted class counts, then all counts, then the lattice."""
-        wide = (F.greatest(n - DISCOUNT, F.lit(0.0)) / n_all if n_all else F.lit(0.0)) + spare_all * sub
-        return F.log10((F.greatest(nk - DISCOUNT, F.lit(0.0)) / n_class[k] if n_class[k] else F.lit(0.0)) + spare[k] * wide)
-
-    top = lexicon.where(F.octet_length("word") > 0).orderBy(F.desc("n"), "h").limit(FREQUENT).select("h", "n", "word", *[f"n{k}" for k in range(classes)]).toPandas().sort_values("h")
-    n_top = top["n"].to_numpy(np.float64)
-    sizes = np.array([len(w) for w in top["word"]], np.int64)
-    data = np.frombuffer(b"".join(bytes(w) for w in top["word"]), np.uint8)
-    sub = np.exp(Lattice(pieces, logp, log_go, log_stop).forward(data, np.cumsum(sizes) - sizes, sizes))
-    wide = np.maximum(n_top - DISCOUNT, 0) / max(n_all, 1) + spare_all * sub
-    table = np.stack([np.log10(np.maximum(top[f"n{k}"].to_numpy(np.float64) - DISCOUNT, 0) / max(n_class[k], 1) + spare[k] * wide) for k in range(classes)], axis=1) if len(top) else np.zeros((0, classes))
+    sent = spark.sparkContext.broadcast(model)
+    scores = cut(counts.mapInArrow(_word_scores(sent, max(n_all, 1), spare_all, n_class, spare), "h long, n long, logs array<float>"))
+    top = scores.where(F.col("h") != END).orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas().sort_values("h")
     whole = n_all + v_all + 1
-    sent = spark.sparkContext.broadcast((pieces, logp, log_go, log_stop, top["h"].to_numpy(np.int64), table, np.log10((n_top + 1) / whole)))
-
-    scored = cut(base.select("rid", "_text", "_key").select("rid", "_text").mapInArrow(_lookup(sent, classes), "rid long, n_tokens long, n_known long, base double, sums array<double>, words array<long>, lattice array<float>"))
-    rare = scored.select("rid", F.inline(F.arrays_zip(F.col("words").alias("h"), F.col("lattice").alias("sub"))))
-    rare = rare.groupBy("rid", "h").agg(F.count(F.lit(1)).alias("times"), F.first("sub").alias("sub"))
-    rare = rare.join(lexicon.drop("word"), "h", "left")
+    table = np.stack(top["logs"].to_list()).astype(np.float64) if len(top) else np.zeros((0, classes))
+    frequent = spark.sparkContext.broadcast((top["h"].to_numpy(np.int64), table, np.log10((top["n"].to_numpy(np.float64) + 1) / whole)))
+
+    floor = np.log10(np.array(spare) * spare_all)
+    scored = cut(base.select("rid", "_train", "_text").mapInArrow(_lookup(sent, frequent, floor), "rid long, n_tokens long, n_known long, base double, sums array<double>, words array<long>, lattice array<array<float>>"))
+    rare = scored.select("rid", F.inline(F.arrays_zip(F.col("words").alias("h"), F.col("lattice").alias("unseen")))).join(scores, "h", "left")
+    n = F.coalesce(F.col("n"), F.lit(0))
+    logs = F.coalesce("logs", "unseen")
     zero = F.lit(0.0)
-    n = F.coalesce(F.col("n").cast("double"), zero)
-    # probabilities below the smallest double are kept as logs: the lattice alone then decides
-    logs = []
-    for k in range(classes):
-        alone = F.col("sub") / np.log(10) + float(np.log10(spare[k] * spare_all))
-        logs.append(F.sum(F.col("times") * F.when(n > 0, log_word(k, n, F.coalesce(F.col(f"n{k}").cast("double"), zero), F.exp("sub"))).otherwise(alone)).alias(f"l{k}"))
-    rare = rare.groupBy("rid").agg(F.sum("times").alias("times"), F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("known"), F.sum(F.col("times") * F.log10((n + 1) / float(whole))).alias("base_rare"), *logs)
+    rare = rare.groupBy("rid").agg(F.sum((n > 0).cast("long")).alias("known"), F.sum(F.log10((n + 1) / float(whole))).alias("base_rare"), *[F.sum(logs[k].cast("double")).alias(f"l{k}") for k in range(classes)])
     ends = lexicon.where(F.col("h") == END).first()
     end_n = ends["n"] if ends else 0
     end_base = float(np.log10((end_n + 1) / whole))
