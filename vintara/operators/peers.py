@@ -20,7 +20,7 @@ def distribution(rows: DataFrame, group: tuple[str, ...], value: str, buckets: i
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("ties"))
     cuts = counts.groupBy(*group).agg(F.percentile_approx(value, [k / buckets for k in range(1, buckets)], 1000).alias("_cuts"), F.sum("ties").alias("peers"))
-    placed = counts.join(F.broadcast(cuts), list(group)) if not group else counts.join(cuts, list(group))
+    placed = counts.join(cuts, list(group)) if group else counts.crossJoin(F.broadcast(cuts))
     placed = placed.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     shift = placed.groupBy(*group, "_range").agg(F.sum("ties").alias("_n"))
     shift = shift.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
@@ -74,8 +74,8 @@ def spearman(pairs: DataFrame, group: tuple[str, ...], left: str, right: str) ->
     for name, column in (("_a", left), ("_b", right)):
         ranked = distribution(rows, group, column).select(*group, column, (F.col("before") + (F.col("ties") + 1) / 2.0).alias(name))
         rows = rows.join(ranked, [*group, column])
-    rho = F.corr("_a", "_b")
-    return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), rho.alias("_r")).select(*group, "n", F.when((F.col("n") > 1) & ~F.isnan("_r"), F.col("_r")).alias("rho"))
+    parts = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.covar_pop("_a", "_b").alias("_c"), F.stddev_pop("_a").alias("_x"), F.stddev_pop("_b").alias("_y"))
+    return parts.select(*group, "n", F.try_divide(F.col("_c"), F.col("_x") * F.col("_y")).alias("rho"))
 
 
 def narrowest_peer_group(rows: DataFrame, value: str, levels: tuple[tuple[str, str, int], ...], metric: str = "input_id") -> DataFrame:
