@@ -80,7 +80,7 @@ def _matches(items: list[tuple[int, str]], per_edit: int, key: str):
                 folded = fold(text.as_py())
                 best: dict[int, int] = {}
                 done: dict[int, int] = {}
-                for end, where in search.iter(folded):
+                for end, where in search.iter(folded) if pieces else ():
                     for n, at, size in where:
                         item = items[n][1]
                         budget = len(item) // per_edit

@@ -289,8 +289,8 @@ def _lookup(sent, frequent, floor: np.ndarray):
                         batch.column(0).slice(a, rows),
                         pa.array(tokens.astype(np.int64)),
                         pa.array(known.astype(np.int64)),
-                        pa.array(base_sum),
-                        pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * classes), pa.array(np.stack(sums, axis=1).ravel())),
+                        pa.array(base_sum.astype(np.float64)),
+                        pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * classes), pa.array(np.stack(sums, axis=1).astype(np.float64).ravel())),
                         pa.ListArray.from_arrays(bounds, pa.array(signed[rare])),
                         pa.ListArray.from_arrays(bounds, items),
                     ],
