@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from vintara.plans.policy import COMPONENTS
+
 # The panel in SQL: amounts as exact decimals, one cell in eleven left out, and runs of consecutive quarters.
 _CELLS = """
 li AS (
@@ -185,6 +187,17 @@ calendar AS (
 local AS (SELECT event_id, (ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS t FROM events)
 """
 
+_COMPONENTS = "SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{i}', CAST({w} AS DOUBLE), '{g}')" for f, i, w, g in COMPONENTS) + ") t(factor, input_id, weight, family)"
+_SCORED = f"""WITH {_CELLS}, {_FCF}, {_obs('fcf')}, {_MARGIN}, acc AS (SELECT *, {_accelerated('q_yoy')}, {_accelerated('ttm_yoy')} FROM obs {_W}),
+final AS (SELECT * REPLACE (CASE concept WHEN 'cash_from_operations' THEN 'cfo' WHEN 'capital_expenditures' THEN 'capex' WHEN 'free_cash_flow' THEN 'fcf' ELSE concept END AS concept) FROM acc WHERE q_end = DATE '2000-12-31'),
+inputs AS (
+    SELECT issuer, concept || '_q_yoy' AS input_id, q_yoy AS v FROM final UNION ALL SELECT issuer, concept || '_ttm_yoy', ttm_yoy FROM final UNION ALL SELECT issuer, concept || '_q_yoy_acceleration', q_yoy_acceleration FROM final
+    UNION ALL SELECT issuer, concept || '_ttm_yoy_acceleration', ttm_yoy_acceleration FROM final
+    UNION ALL SELECT issuer, 'operating_margin_yoy_pp', yoy_pp FROM margins WHERE q_end = DATE '2000-12-31' UNION ALL SELECT issuer, 'operating_margin_acceleration_pp', acceleration_pp FROM margins WHERE q_end = DATE '2000-12-31'
+), rounded AS (SELECT issuer, input_id, round(v, 6) AS value FROM inputs WHERE v IS NOT NULL),
+scored AS (SELECT issuer, input_id, 100.0 * (CAST(rank() OVER (PARTITION BY input_id ORDER BY value) + (count(*) OVER (PARTITION BY input_id, value) - 1) / 2.0 AS DOUBLE) - 0.5) / count(*) OVER (PARTITION BY input_id) AS score FROM rounded)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "ttm_yoy_percentile": f"""{_PANEL}, r AS (SELECT *, rank() OVER (PARTITION BY q_end ORDER BY ttm_yoy) + (count(*) OVER (PARTITION BY q_end, ttm_yoy) - 1) / 2.0 AS midrank, count(*) OVER (PARTITION BY q_end) AS peers
         FROM obs WHERE concept = 'revenue' AND ttm_yoy IS NOT NULL)
@@ -339,7 +352,15 @@ ORACLE_SQL: dict[str, str] = {
         SELECT url, arg_max(accession, (day, accession)) AS accession FROM o WHERE o_orderstatus <> 'P' AND url NOT IN (SELECT url FROM o WHERE accession % 4 = 0) GROUP BY url""",
     "stream_latest": f"""WITH {_FILINGS} SELECT issuer, report_period, accession, value FROM filings QUALIFY row_number() OVER (PARTITION BY issuer, report_period ORDER BY available DESC, accepted DESC, accession DESC) = 1""",
     "html_elements": """SELECT page_id, len(regexp_extract_all(html, '<a[ >]')) AS links, len(regexp_extract_all(html, '<p[ >]')) AS paragraphs FROM pages""",
-    "company_coverage": None,
+    "company_coverage": f"""{_PANEL}, last AS (SELECT issuer, concept, arg_max_null(q_yoy, q_end) AS q, arg_max_null(ttm_yoy, q_end) AS t FROM obs GROUP BY ALL),
+        have AS (SELECT issuer, concept || '_q_yoy' AS input_id FROM last WHERE q IS NOT NULL UNION ALL SELECT issuer, concept || '_ttm_yoy' FROM last WHERE t IS NOT NULL),
+        named AS (SELECT issuer, replace(input_id, 'cash_from_operations', 'cfo') AS input_id FROM have), ids AS (SELECT DISTINCT issuer FROM obs), c AS ({_COMPONENTS})
+        SELECT i.issuer, c.factor, {_d('CAST(sum(CASE WHEN n.input_id IS NULL THEN 0 ELSE c.weight END) AS DOUBLE)', 'coverage')} FROM ids i CROSS JOIN c LEFT JOIN named n ON n.issuer = i.issuer AND n.input_id = c.input_id GROUP BY i.issuer, c.factor""",
+    "weighted_factor_scores": f"""{_SCORED}, c AS ({_COMPONENTS}), grid AS (SELECT i.issuer, c.*, s.score FROM (SELECT DISTINCT issuer FROM scored) i CROSS JOIN c LEFT JOIN scored s ON s.issuer = i.issuer AND s.input_id = c.input_id),
+        flags AS (SELECT issuer, bool_or(input_id = 'revenue_q_yoy' AND score IS NOT NULL) AND bool_or(input_id = 'operating_income_q_yoy' AND score IS NOT NULL) AS half FROM grid WHERE factor = 'F2_QUARTER' GROUP BY issuer),
+        w AS (SELECT g.*, CASE WHEN score IS NULL THEN 0.0 WHEN half AND g.input_id IN ('revenue_q_yoy', 'operating_income_q_yoy') THEN 0.5 ELSE weight END AS applied FROM grid g JOIN flags USING (issuer))
+        SELECT issuer, factor, {_d('CAST(sum(applied * coalesce(score, 0)) AS DOUBLE) / nullif(CAST(sum(applied) AS DOUBLE), 0)', 'factor_score')}, {_d('CAST(sum(CASE WHEN score IS NOT NULL THEN weight ELSE 0 END) AS DOUBLE)', 'original_coverage')},
+            {_d('CAST(sum(applied) AS DOUBLE)', 'applied_coverage')}, coalesce(array_to_string(list_sort(list_distinct(list(family) FILTER (score IS NOT NULL))), '|'), '') AS families FROM w GROUP BY issuer, factor""",
 }
 
 # Where SQL has no entry: the normal distribution function, order-free hashes, and the multi-step composites, which rest on parts checked above.
