@@ -82,7 +82,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_formatting": op10_chat_formatting,
 }
 
+#: Links (a, b) in both directions to each node's component; nodes come from ``ids``.
+_REACH = """
+reach(a, b) AS (SELECT id, id FROM ids UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+component AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_minhash_near_dedup": f"""
+        WITH RECURSIVE worded AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+        ), listed AS (
+            SELECT doc_id, CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) WHEN len(w) = 1 THEN w ELSE [] END AS s FROM worded
+        ), shingle AS (SELECT DISTINCT doc_id, unnest(s) AS s FROM listed), size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+        shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+        linked AS (SELECT a, b FROM shared x JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b WHERE 100 * x.n >= 80 * (p.n + q.n - x.n)),
+        links AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked), ids AS (SELECT doc_id AS id FROM documents), {_REACH}
+        SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept FROM documents d JOIN component c ON c.id = d.doc_id LEFT JOIN size s ON s.doc_id = d.doc_id
+    """,
+    "op5_embedding_near_dedup": f"""
+        WITH RECURSIVE v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), ids AS (SELECT id FROM v),
+        usable AS (SELECT id, e FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+        links AS (SELECT a.id AS a, b.id AS b FROM usable a JOIN usable b ON a.id <> b.id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9), {_REACH}
+        SELECT c.id AS vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, c.id = c.component_id AS kept FROM component c LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n.a = c.id
+    """,
     "op9_line_dedup": """
         WITH lines AS (
             SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL
