@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vintara.functions.scalars import clamp
+from vintara.plans.settle import settle
 
 #: Value ranges that a peer group is cut into; each is ranked on its own.
 BUCKETS = 16
@@ -18,7 +19,7 @@ def distribution(rows: DataFrame, group: tuple[str, ...], value: str, buckets: i
     group into ranges; running counts are taken inside ranges and shifted by the counts of the
     ranges before, so a group of any size is ranked by many tasks. Cut points only balance the work.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("ties"))
+    counts = settle(rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("ties")))
     cuts = counts.groupBy(*group).agg(F.percentile_approx(value, [k / buckets for k in range(1, buckets)], 1000).alias("_cuts"), F.sum("ties").alias("peers"))
     placed = counts.join(cuts, list(group)) if group else counts.crossJoin(F.broadcast(cuts))
     placed = placed.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
@@ -56,7 +57,7 @@ def quantiles(ranked: DataFrame, group: tuple[str, ...], value: str, named: dict
 def robust_z(rows: DataFrame, group: tuple[str, ...], value: str) -> DataFrame:
     """Add center, mad and z: 0.6745 (v - median) / MAD within -3 and 3; null where the MAD is 0."""
     center = quantiles(distribution(rows, group, value), group, value, {"center": 0.5}).drop("peers")
-    near = rows.join(center, list(group), "left").withColumn("_off", F.abs(F.col(value) - F.col("center")))
+    near = settle(rows.join(center, list(group), "left").withColumn("_off", F.abs(F.col(value) - F.col("center"))))
     mad = quantiles(distribution(near, group, "_off"), group, "_off", {"mad": 0.5}).drop("peers")
     z = clamp(F.try_divide(0.6745 * (F.col(value) - F.col("center")), F.col("mad")), -3.0, 3.0)
     return near.join(mad, list(group), "left").withColumn("z", F.when(F.col("mad") > 0, z)).drop("_off")
@@ -70,7 +71,7 @@ def winsorize(rows: DataFrame, group: tuple[str, ...], value: str, limits: DataF
 
 def spearman(pairs: DataFrame, group: tuple[str, ...], left: str, right: str) -> DataFrame:
     """(group, n, rho): Pearson's correlation of midranks; null for fewer than two pairs or a constant side."""
-    rows = pairs.where(F.col(left).isNotNull() & F.col(right).isNotNull())
+    rows = settle(pairs.where(F.col(left).isNotNull() & F.col(right).isNotNull()))
     for name, column in (("_a", left), ("_b", right)):
         ranked = distribution(rows, group, column).select(*group, column, (F.col("before") + (F.col("ties") + 1) / 2.0).alias(name))
         rows = rows.join(ranked, [*group, column])

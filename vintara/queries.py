@@ -15,6 +15,7 @@ from vintara.operators import classify, contexts, gates, lineage, peers, periods
 from vintara.oracle import ORACLE_SQL  # noqa: F401  (part of this module's interface)
 from vintara.plans import bridge, policy
 from vintara.plans.bridge import MODEL_DATE, table
+from vintara.plans.settle import settle
 from vintara.sources import landing, tables
 from vintara.streaming import arrivals
 
@@ -45,13 +46,13 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(q_end, issuer, input_id, value) of trailing growth rates: the peer groups are (q_end, input_id)."""
     rows = changes(spark, sf_dir).where("ttm_yoy is not null")
-    return rows.select("q_end", "issuer", F.concat("concept", F.lit("_ttm_yoy")).alias("input_id"), F.round("ttm_yoy", 3).alias("value"))
+    return settle(rows.select("q_end", "issuer", F.concat("concept", F.lit("_ttm_yoy")).alias("input_id"), F.round("ttm_yoy", 3).alias("value")))
 
 
 @query
 def ttm_yoy_percentile(spark, sf_dir):
     """Trailing-year revenue growth of each supplier and quarter, ranked among peers."""
-    rows = changes(spark, sf_dir).where("concept = 'revenue' and ttm_yoy is not null").select("issuer", "q_end", "ttm", "ttm_yoy")
+    rows = settle(changes(spark, sf_dir).where("concept = 'revenue' and ttm_yoy is not null").select("issuer", "q_end", "ttm", "ttm_yoy"))
     ranked = peers.midrank_percentiles(rows, ("q_end",), "ttm_yoy")
     return ranked.select("issuer", "q_end", "ttm", dec("ttm_yoy"), dec("midrank"), dec("percentile"), big("peers"))
 
@@ -391,7 +392,7 @@ def winsor_scenarios(spark, sf_dir):
 @query
 def spearman_sensitivity(spark, sf_dir):
     """Rank correlation of quarterly and trailing growth, and how far percentiles move between them, by period."""
-    rows = changes(spark, sf_dir).where("concept = 'revenue' and q_yoy is not null and ttm_yoy is not null").select("q_end", "issuer", F.round("q_yoy", 2).alias("a"), F.round("ttm_yoy", 2).alias("b"))
+    rows = settle(changes(spark, sf_dir).where("concept = 'revenue' and q_yoy is not null and ttm_yoy is not null").select("q_end", "issuer", F.round("q_yoy", 2).alias("a"), F.round("ttm_yoy", 2).alias("b")))
     rho = peers.spearman(rows, ("q_end",), "a", "b")
     both = peers.midrank_percentiles(rows, ("q_end",), "a").select("q_end", "issuer", "b", F.col("percentile").alias("pa"))
     both = peers.midrank_percentiles(both, ("q_end",), "b").select("q_end", "pa", F.col("percentile").alias("pb"))
@@ -426,7 +427,7 @@ def scored(spark, sf_dir) -> DataFrame:
     long = long.select("issuer", F.concat_ws("_", "a", "m").alias("input_id"), F.round("value", 6).alias("value"))
     m = timeseries.margins(bridge.quarter_cells(spark, sf_dir), "operating_income").where("q_end = date'2000-12-31'")
     margin = m.select("issuer", F.expr("stack(2, 'operating_margin_yoy_pp', yoy_pp, 'operating_margin_acceleration_pp', acceleration_pp) as (input_id, value)")).where("value is not null").select("issuer", "input_id", F.round("value", 6).alias("value"))
-    return peers.midrank_percentiles(long.unionByName(margin), ("input_id",), "value").select("issuer", "input_id", F.col("percentile").alias("score"))
+    return settle(peers.midrank_percentiles(settle(long.unionByName(margin)), ("input_id",), "value").select("issuer", "input_id", F.col("percentile").alias("score")))
 
 
 @query
