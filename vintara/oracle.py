@@ -94,16 +94,16 @@ def _rec(a: str, b: str) -> str:
         WHEN 'ADVERSE' IN ({a}, {b}) THEN 'ADVERSE' WHEN ({a}) = 'INELIGIBLE' AND ({b}) = 'INELIGIBLE' THEN 'INELIGIBLE' ELSE 'NEUTRAL' END"""
 
 
-_FAMILIES = f"""
-{_PANEL}, {_MARGIN}, wide2 AS (
+_FAMILY_PARTS = f"""wide2 AS (
     SELECT issuer, q_end, max(q_yoy) FILTER (concept = 'revenue') AS rev_q, max(ttm_yoy) FILTER (concept = 'revenue') AS rev_t, max(ttm_yoy) FILTER (concept = 'operating_income') AS op_t,
-        max(ttm_yoy) FILTER (concept = 'cash_from_operations') AS cfo_t FROM obs GROUP BY issuer, q_end
+        max(ttm_yoy) FILTER (concept = 'cash_from_operations') AS cfo_t FROM obs WHERE concept <> 'free_cash_flow' GROUP BY issuer, q_end
 ), families AS (
     SELECT w.*, m.yoy_pp, m.acceleration_pp, {_rec(_dir('rev_t', 0.01), _dir('rev_q', 0.01))} AS growth,
         CASE WHEN op_t IS NULL THEN 'INELIGIBLE' ELSE {_rec(_dir('op_t', 0.02), _dir('m.yoy_pp', 0.0025))} END AS profit,
         {_dir('cfo_t', 0.03)} AS cash, {_dir('m.yoy_pp', 0.0025)} AS margin
     FROM wide2 w LEFT JOIN margins m USING (issuer, q_end)
 )"""
+_FAMILIES = f"{_PANEL}, {_MARGIN}, {_FAMILY_PARTS}"
 
 _HISTORY = f"""
 fresh AS (
@@ -198,6 +198,10 @@ inputs AS (
 scored AS (SELECT issuer, input_id, 100.0 * (CAST(rank() OVER (PARTITION BY input_id ORDER BY value) + (count(*) OVER (PARTITION BY input_id, value) - 1) / 2.0 AS DOUBLE) - 0.5) / count(*) OVER (PARTITION BY input_id) AS score FROM rounded)
 """
 
+_WEIGHTED = f"""{_SCORED}, c AS ({_COMPONENTS}), grid AS (SELECT i.issuer, c.*, s.score FROM (SELECT DISTINCT issuer FROM scored) i CROSS JOIN c LEFT JOIN scored s ON s.issuer = i.issuer AND s.input_id = c.input_id),
+flags AS (SELECT issuer, bool_or(input_id = 'revenue_q_yoy' AND score IS NOT NULL) AND bool_or(input_id = 'operating_income_q_yoy' AND score IS NOT NULL) AS half FROM grid WHERE factor = 'F2_QUARTER' GROUP BY issuer),
+w AS (SELECT g.*, CASE WHEN score IS NULL THEN 0.0 WHEN half AND g.input_id IN ('revenue_q_yoy', 'operating_income_q_yoy') THEN 0.5 ELSE weight END AS applied FROM grid g JOIN flags USING (issuer))"""
+
 ORACLE_SQL: dict[str, str] = {
     "ttm_yoy_percentile": f"""{_PANEL}, r AS (SELECT *, rank() OVER (PARTITION BY q_end ORDER BY ttm_yoy) + (count(*) OVER (PARTITION BY q_end, ttm_yoy) - 1) / 2.0 AS midrank, count(*) OVER (PARTITION BY q_end) AS peers
         FROM obs WHERE concept = 'revenue' AND ttm_yoy IS NOT NULL)
@@ -356,11 +360,24 @@ ORACLE_SQL: dict[str, str] = {
         have AS (SELECT issuer, concept || '_q_yoy' AS input_id FROM last WHERE q IS NOT NULL UNION ALL SELECT issuer, concept || '_ttm_yoy' FROM last WHERE t IS NOT NULL),
         named AS (SELECT issuer, replace(input_id, 'cash_from_operations', 'cfo') AS input_id FROM have), ids AS (SELECT DISTINCT issuer FROM obs), c AS ({_COMPONENTS})
         SELECT i.issuer, c.factor, {_d('CAST(sum(CASE WHEN n.input_id IS NULL THEN 0 ELSE c.weight END) AS DOUBLE)', 'coverage')} FROM ids i CROSS JOIN c LEFT JOIN named n ON n.issuer = i.issuer AND n.input_id = c.input_id GROUP BY i.issuer, c.factor""",
-    "weighted_factor_scores": f"""{_SCORED}, c AS ({_COMPONENTS}), grid AS (SELECT i.issuer, c.*, s.score FROM (SELECT DISTINCT issuer FROM scored) i CROSS JOIN c LEFT JOIN scored s ON s.issuer = i.issuer AND s.input_id = c.input_id),
-        flags AS (SELECT issuer, bool_or(input_id = 'revenue_q_yoy' AND score IS NOT NULL) AND bool_or(input_id = 'operating_income_q_yoy' AND score IS NOT NULL) AS half FROM grid WHERE factor = 'F2_QUARTER' GROUP BY issuer),
-        w AS (SELECT g.*, CASE WHEN score IS NULL THEN 0.0 WHEN half AND g.input_id IN ('revenue_q_yoy', 'operating_income_q_yoy') THEN 0.5 ELSE weight END AS applied FROM grid g JOIN flags USING (issuer))
+    "weighted_factor_scores": f"""{_WEIGHTED}
         SELECT issuer, factor, {_d('CAST(sum(applied * coalesce(score, 0)) AS DOUBLE) / nullif(CAST(sum(applied) AS DOUBLE), 0)', 'factor_score')}, {_d('CAST(sum(CASE WHEN score IS NOT NULL THEN weight ELSE 0 END) AS DOUBLE)', 'original_coverage')},
             {_d('CAST(sum(applied) AS DOUBLE)', 'applied_coverage')}, coalesce(array_to_string(list_sort(list_distinct(list(family) FILTER (score IS NOT NULL))), '|'), '') AS families FROM w GROUP BY issuer, factor""",
+    "composite_status": f"""{_WEIGHTED}, {_FAMILY_PARTS},
+        f AS (SELECT issuer, factor, CAST(sum(applied * coalesce(score, 0)) AS DOUBLE) / nullif(CAST(sum(applied) AS DOUBLE), 0) AS s FROM w GROUP BY issuer, factor),
+        p AS (SELECT issuer, max(s) FILTER (factor = 'F1_TTM') AS f1, max(s) FILTER (factor = 'F2_QUARTER') AS f2, max(s) FILTER (factor = 'F3_QUALITY') AS f3, max(s) FILTER (factor = 'F4_ACCELERATION') AS momentum FROM f GROUP BY issuer),
+        sc AS (SELECT unnest([{{'scenario': 'BASELINE', 't': 0.25, 'strict': true}}, {{'scenario': 'STRICT_CONFLICT_COUNTS', 't': 0.25, 'strict': false}}, {{'scenario': 'ABSOLUTE_DIRECTION_0_50', 't': 0.5, 'strict': true}}], recursive := true)),
+        j AS (SELECT sc.*, p.issuer, (0.35 * f1 + 0.25 * f2 + 0.2 * f3) / 0.8 AS level, momentum, [growth, profit, cash, margin] AS k, growth, profit, cash, {_dir('acceleration_pp', 0.01)} AS acc,
+            coalesce(yoy_pp - acceleration_pp < -0.0025 AND acceleration_pp > 0.01, false) AS recovered, {_dir('rev_q', 0.01)} AS dq, {_dir('rev_t', 0.01)} AS dt FROM p JOIN families USING (issuer) CROSS JOIN sc WHERE q_end = DATE '2000-12-31'),
+        n AS (SELECT *, len(list_filter(k, lambda x: x = 'SUPPORTIVE')) AS up, len(list_filter(k, lambda x: x = 'ADVERSE')) AS down, len(list_filter(k, lambda x: x = 'NEUTRAL')) AS flat, len(list_filter(k, lambda x: x = 'CONFLICTED')) AS torn, len(list_filter(k, lambda x: x <> 'INELIGIBLE')) AS e FROM j),
+        a AS (SELECT *, (up - down) / CAST(nullif(e, 0) AS DOUBLE) AS adi, CASE acc WHEN 'SUPPORTIVE' THEN 1.0 WHEN 'ADVERSE' THEN -1.0 WHEN 'NEUTRAL' THEN 0.0 END AS adx, ('SUPPORTIVE' IN (dq, dt) AND 'ADVERSE' IN (dq, dt)) AS opposing FROM n),
+        r AS (SELECT *, CASE WHEN level IS NULL OR momentum IS NULL THEN 'DATA_OR_METHODOLOGY_GATE'
+            WHEN (up >= 2 AND down + torn >= 2) OR opposing OR coalesce((adi >= t AND level < 47.5) OR (adi <= -t AND level >= 52.5), false) OR coalesce((adx >= t AND momentum < 47.5) OR (adx <= -t AND momentum >= 52.5), false) OR (torn > 0 AND strict) THEN 'MATERIAL_CONFLICT_PRECEDENCE'
+            WHEN level < 42.5 AND momentum < 47.5 AND down >= 3 AND down - up >= 2 THEN 'DETERIORATING' WHEN (level >= 47.5 OR coalesce(adi >= t, false)) AND momentum < 42.5 THEN 'DECELERATING'
+            WHEN level >= 55 AND momentum >= 60 AND up >= 3 AND up - down >= 2 AND torn = 0 AND coalesce(adi > -t, false) THEN 'ACCELERATING' WHEN level >= 52.5 AND (momentum >= 47.5 OR coalesce(adi >= t, false)) THEN 'IMPROVING_POSITIVE'
+            WHEN level BETWEEN 45 AND 55 AND momentum BETWEEN 42.5 AND 57.5 AND e > 0 AND flat >= 0.5 * e AND torn = 0 THEN 'STABLE' ELSE 'NO_DIRECTIONAL_RULE_MATCH_REVIEW' END AS status_reason FROM a)
+        SELECT scenario, issuer, CAST(level AS DECIMAL(18,6)) AS level, CAST(momentum AS DECIMAL(18,6)) AS momentum, CASE status_reason WHEN 'DATA_OR_METHODOLOGY_GATE' THEN 'UNSCORED' WHEN 'MATERIAL_CONFLICT_PRECEDENCE' THEN 'MIXED' WHEN 'NO_DIRECTIONAL_RULE_MATCH_REVIEW' THEN 'MIXED'
+            WHEN 'IMPROVING_POSITIVE' THEN 'IMPROVING' ELSE status_reason END AS status, status_reason FROM r""",
 }
 
 # Where SQL has no entry: the normal distribution function, order-free hashes, and the multi-step composites, which rest on parts checked above.
