@@ -31,9 +31,14 @@ def unresolved(rows: DataFrame, references: str, catalog: DataFrame, key: str) -
 
 
 def missing_cells(rows: DataFrame, entity: str, metric: str) -> DataFrame:
-    """Pairs of entity and metric that a complete rectangle would have and ``rows`` has not. The metrics are the small side."""
-    grid = rows.select(entity).distinct().crossJoin(F.broadcast(rows.select(metric).distinct()))
-    return grid.join(rows.select(entity, metric), [entity, metric], "left_anti")
+    """Pairs of entity and metric that a complete rectangle would have and ``rows`` has not.
+
+    The list of metrics is one aggregated row; what each entity lacks is an array difference, so the
+    rectangle itself is never built.
+    """
+    every = rows.agg(F.collect_set(metric).alias("_all"))
+    held = rows.groupBy(entity).agg(F.collect_set(metric).alias("_own"))
+    return held.crossJoin(every).select(entity, F.explode(F.array_except("_all", "_own")).alias(metric))
 
 
 def with_missing_members(rows: DataFrame, members: DataFrame, key: str, defaults: dict[str, Column]) -> DataFrame:
