@@ -138,12 +138,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, text: str = "text", item_ke
     keep = [c for c in docs.columns if c != "matches"]
     out = None
     for block in _blocks(items, item_key, item_text, min_chars):
-        now = docs.select(*keep) if out is None else out.withColumnRenamed("matches", "_before")
+        now = docs.select(*keep) if out is None else out.withColumnRenamed("matches", "__before__")
         columns = [c for c in now.columns if c != text]
-        slim = now.select(F.col(columns[0]) if columns else F.lit(1).alias("_one"), text, *columns[1:])
+        slim = now.select(F.col(columns[0]) if columns else F.lit(1).alias("__one__"), text, *columns[1:])
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema) + ", matches array<struct<item_id:bigint,distance:int>>"
-        got = slim.mapInArrow(_matches(block, per_edit, columns[0] if columns else "_one"), schema)
-        out = got if out is None else got.withColumn("matches", F.concat("_before", "matches")).drop("_before")
+        got = slim.mapInArrow(_matches(block, per_edit, columns[0] if columns else "__one__"), schema)
+        out = got if out is None else got.withColumn("matches", F.concat("__before__", "matches")).drop("__before__")
     return out.select(*keep, "matches")
 
 

@@ -42,21 +42,21 @@ def remove_spread_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "te
     through, whatever their names other than the three new ones.
     """
     flagged = cut(spread_lines(docs, key=key, text=text, site=site, min_sites=min_sites, min_bytes=min_bytes))
-    lines = docs.select(F.col(key).alias("_k"), F.explode(F.split(F.col(text), "\n", -1)).alias("line"))
-    lines = lines.where(F.octet_length("line") >= min_bytes).select("_k", F.unhex(F.md5(F.col("line").cast("binary"))).alias("line_id"))
-    hit = lines.join(flagged, "line_id").where(~F.col("_k").eqNullSafe(F.col("first_key")))
-    by_doc = hit.groupBy("_k").agg(F.collect_set("line_id").alias("_cut"))
-    both = docs.join(by_doc, docs[key].eqNullSafe(by_doc["_k"]), "left")
+    lines = docs.select(F.col(key).alias("__k__"), F.explode(F.split(F.col(text), "\n", -1)).alias("line"))
+    lines = lines.where(F.octet_length("line") >= min_bytes).select("__k__", F.unhex(F.md5(F.col("line").cast("binary"))).alias("line_id"))
+    hit = lines.join(flagged, "line_id").where(~F.col("__k__").eqNullSafe(F.col("first_key")))
+    by_doc = hit.groupBy("__k__").agg(F.collect_set("line_id").alias("__cut__"))
+    both = docs.join(by_doc, docs[key].eqNullSafe(by_doc["__k__"]), "left")
     every = F.split(F.col(text), "\n", -1)
     none = F.array().cast("array<binary>")
-    kept = F.filter(every, lambda x: ~((F.octet_length(x) >= min_bytes) & F.array_contains(F.coalesce(F.col("_cut"), none), F.unhex(F.md5(x.cast("binary"))))))
-    kept = F.when(F.col("_cut").isNull(), every).otherwise(kept)
-    both = both.withColumn("_kept", kept)
+    kept = F.filter(every, lambda x: ~((F.octet_length(x) >= min_bytes) & F.array_contains(F.coalesce(F.col("__cut__"), none), F.unhex(F.md5(x.cast("binary"))))))
+    kept = F.when(F.col("__cut__").isNull(), every).otherwise(kept)
+    both = both.withColumn("__kept__", kept)
     return both.select(
         *[docs[c] for c in docs.columns if c not in (out, "n_lines", "n_removed")],
-        F.array_join("_kept", "\n").alias(out),
+        F.array_join("__kept__", "\n").alias(out),
         F.coalesce(F.size(every), F.lit(0)).cast("long").alias("n_lines"),
-        (F.coalesce(F.size(every), F.lit(0)) - F.coalesce(F.size("_kept"), F.lit(0))).cast("long").alias("n_removed"),
+        (F.coalesce(F.size(every), F.lit(0)) - F.coalesce(F.size("__kept__"), F.lit(0))).cast("long").alias("n_removed"),
     )
 
 

@@ -132,24 +132,24 @@ def _pack(limits: tuple[int, ...], columns: int):
 
         def finish(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             whole = pa.Table.from_batches(parts).combine_chunks()
-            group = whole.column("_group")[0].as_py()
-            sizes = np.stack([whole.column(c).to_numpy() for c in ("_tokens", "_segments", "_loss")], axis=1)
+            group = whole.column("__group__")[0].as_py()
+            sizes = np.stack([whole.column(c).to_numpy() for c in ("__tokens__", "__segments__", "__loss__")], axis=1)
             bins, places = place(sizes, caps)
             order = np.lexsort((places, bins))
             length = sizes[order, 0]
             run_up = np.cumsum(length) - length
             first = np.concatenate(([True], bins[order][1:] != bins[order][:-1]))
             offset = run_up - np.repeat(run_up[first], np.diff(np.concatenate((np.flatnonzero(first), [len(order)]))))
-            kept = whole.drop_columns(["_group"]).take(pa.array(order))
+            kept = whole.drop_columns(["__group__"]).take(pa.array(order))
             kept = kept.append_column("sequence_id", pa.array(group * (1 << 20) + bins[order])).append_column("offset", pa.array(offset))
             return kept.combine_chunks().to_batches()[0]
 
         for batch in batches:
-            groups = batch.column(batch.schema.get_field_index("_group")).to_numpy()
+            groups = batch.column(batch.schema.get_field_index("__group__")).to_numpy()
             edges = np.concatenate(([0], np.flatnonzero(groups[1:] != groups[:-1]) + 1, [len(groups)])) if len(groups) else [0]
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 part = batch.slice(a, b - a)
-                if held and held[-1].column("_group")[0].as_py() != groups[a]:
+                if held and held[-1].column("__group__")[0].as_py() != groups[a]:
                     yield finish(held)
                     held = []
                 held.append(part)
@@ -164,25 +164,25 @@ def pack(items: DataFrame, *, tokens: str = "tokens", segments: str | None = Non
 
     ``tokens``, ``segments`` (default one a row) and ``loss`` (loss-bearing tokens, default all) are
     integer columns; nulls count as 0. Rows are dealt at random (by a hash of all columns and their
-    place, so copies spread) into groups of about GROUP and each group is packed on its own, so the
-    work is linear and no group grows with the data; a group leaves at most its last bins part
+    place, so copies spread) into groups of about GROUP and each group is packed on its own, a few
+    to a task, so the work is linear and no group grows with the data; a group leaves at most its last bins part
     empty. A row that exceeds a limit alone raises an error rather than being cut or dropped. Other
     columns pass through. An empty table gives no rows.
     """
     one = F.lit(1).cast("long")
     fixed = items.select(
         *items.columns,
-        F.coalesce(F.col(tokens).cast("long"), F.lit(0)).alias("_tokens"),
-        (F.coalesce(F.col(segments).cast("long"), F.lit(0)) if segments else one).alias("_segments"),
-        (F.coalesce(F.col(loss).cast("long"), F.lit(0)) if loss else F.coalesce(F.col(tokens).cast("long"), F.lit(0))).alias("_loss"),
-        F.monotonically_increasing_id().alias("_row"),
+        F.coalesce(F.col(tokens).cast("long"), F.lit(0)).alias("__tokens__"),
+        (F.coalesce(F.col(segments).cast("long"), F.lit(0)) if segments else one).alias("__segments__"),
+        (F.coalesce(F.col(loss).cast("long"), F.lit(0)) if loss else F.coalesce(F.col(tokens).cast("long"), F.lit(0))).alias("__loss__"),
+        F.monotonically_increasing_id().alias("__row__"),
     )
     fixed = cut(fixed)
     groups = max(1, -(-fixed.count() // GROUP))
-    dealt = fixed.withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(groups))).drop("_row")
-    names = [c for c in dealt.columns if c != "_group"]
+    dealt = fixed.withColumn("__group__", F.pmod(F.xxhash64("__row__"), F.lit(groups))).drop("__row__")
+    names = [c for c in dealt.columns if c != "__group__"]
     schema = ", ".join(f"`{c}` {dealt.schema[c].dataType.simpleString()}" for c in names) + ", sequence_id long, offset long"
-    packed = dealt.repartition("_group").sortWithinPartitions("_group", F.desc("_tokens")).mapInArrow(_pack((max_tokens, max_segments, max_loss), len(names)), schema)
+    packed = dealt.repartition(max(1, min(20_000, -(-groups // 4))), "__group__").sortWithinPartitions("__group__", F.desc("__tokens__")).mapInArrow(_pack((max_tokens, max_segments, max_loss), len(names)), schema)
     return packed.select(*items.columns, "sequence_id", "offset")
 
 
