@@ -22,7 +22,7 @@ EM_ROUNDS = 2
 END = -(1 << 63) + 1
 #: Least probability of a single byte, so that every word has a segmentation.
 BYTE_FLOOR = 1e-7
-_WORD_CHUNK = 200_000
+_WORD_CHUNK = 50_000
 
 
 def read_vocabulary(path: str | None = None) -> tuple[list[bytes], np.ndarray]:
@@ -93,32 +93,33 @@ class Lattice:
 
     @staticmethod
     def _reduce(target: np.ndarray, keys: np.ndarray, values: np.ndarray) -> None:
-        """target[k] = log of the sum of exp of the values (rows) with key k."""
+        """target[k] = log of the sum of exp of the values with key k."""
         order = np.argsort(keys, kind="stable")
         keys, values = keys[order], values[order]
         first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        top = np.maximum.reduceat(values, first, axis=0)
+        top = np.maximum.reduceat(values, first)
         count = np.diff(np.concatenate((first, [len(keys)])))
-        target[keys[first]] = top + np.log(np.add.reduceat(np.exp(values - np.repeat(top, count, axis=0)), first, axis=0))
+        target[keys[first]] = top + np.log(np.add.reduceat(np.exp(values - np.repeat(top, count)), first))
 
-    def forward(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, expect: np.ndarray | None = None, counts_in: np.ndarray | None = None) -> np.ndarray:
-        """Natural log of each word's probability in each class, over all segmentations.
+    def forward(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, kind: np.ndarray, expect: np.ndarray | None = None) -> np.ndarray:
+        """Natural log of each word's probability in its class, over all segmentations.
 
-        ``start`` and ``size`` place the words in ``data``. A word of m pieces has the pieces'
-        probabilities, m - 1 times "go on" and once "stop". ``expect`` gets the expected counts of
-        pieces added, for the words and classes that ``counts_in`` marks.
+        ``start`` and ``size`` place the words in ``data``, ``kind`` gives the class of each. A word
+        of m pieces has the pieces' probabilities, m - 1 times "go on" and once "stop". ``expect``
+        (pieces by classes) gets the expected counts of pieces added.
         """
-        classes = self.logp.shape[1]
         if not len(size):
-            return np.zeros((0, classes))
+            return np.zeros(0)
         packed = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
         data, start = data[packed], np.cumsum(size) - size
         f, t, p, depth, node = self.arcs(data, start, size)
-        w = self.logp[p] + self.log_go
-        alpha = np.full((len(depth), classes), -np.inf)
+        word = np.repeat(np.arange(len(size)), size + 1)[f]
+        w = self.logp[p, kind[word]] + self.log_go[kind[word]]
+        alpha = np.full(len(depth), -np.inf)
         alpha[node] = 0.0
-        by = np.argsort(depth[t], kind="stable")
-        bounds = np.searchsorted(depth[t][by], np.arange(1, int(size.max()) + 2))
+        to = depth[t]
+        by = np.argsort(to, kind="stable")
+        bounds = np.searchsorted(to[by], np.arange(1, int(size.max()) + 2))
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             arc = by[a:b]
             if len(arc):
@@ -126,19 +127,18 @@ class Lattice:
         last = node + size
         total = alpha[last]
         if expect is not None:
-            beta = np.full(alpha.shape, -np.inf)
+            beta = np.full(len(depth), -np.inf)
             beta[last] = 0.0
-            by = np.argsort(depth[f], kind="stable")
-            bounds = np.searchsorted(depth[f][by], np.arange(0, int(size.max()) + 1))
+            at = depth[f]
+            by = np.argsort(at, kind="stable")
+            bounds = np.searchsorted(at[by], np.arange(0, int(size.max()) + 1))
             for a, b in reversed(list(zip(bounds[:-1], bounds[1:], strict=True))):
                 arc = by[a:b]
                 if len(arc):
                     self._reduce(beta, f[arc], beta[t[arc]] + w[arc])
-            word = np.repeat(np.arange(len(size)), size + 1)[f]
-            share = np.exp(alpha[f] + w + beta[t] - total[word]) * counts_in[word]
-            for k in range(classes):
-                expect[:, k] += np.bincount(p, weights=share[:, k], minlength=len(expect))
-        return total - self.log_go + self.log_stop
+            share = np.exp(alpha[f] + w + beta[t] - total[word])
+            expect += np.bincount(p * expect.shape[1] + kind[word], weights=share, minlength=expect.size).reshape(expect.shape)
+        return total - self.log_go[kind] + self.log_stop[kind]
 
 
 def _lower(column: pa.Array, a: int, b: int):
@@ -158,7 +158,7 @@ def _count(classes: int):
         for batch in batches:
             mixed = batch.column(0).to_numpy().astype(np.int64)
             _, offsets = textvec.text_buffer(batch.column(1))
-            for a, b in textvec.chunks(offsets, 16 << 20):
+            for a, b in textvec.chunks(offsets, 2 << 20):
                 data, at = _lower(batch.column(1), a, b)
                 row, start, end, h = textvec.words(data, at, powers)
                 group = mixed[a:b][row]
@@ -194,10 +194,9 @@ def _expect(pieces: list[bytes], logp: np.ndarray, log_go: np.ndarray, log_stop:
         lattice, expect, types = Lattice(pieces, logp, log_go, log_stop), np.zeros(logp.shape), np.zeros(classes)
         for batch in batches:
             for _, data, start, size, counts in _words(batch, classes):
-                solid = size > 0
-                marks = (counts[solid] > 0).astype(np.float64)
-                lattice.forward(data, start[solid], size[solid], expect, marks)
-                types += marks.sum(axis=0)
+                word, kind = np.nonzero((counts > 0) & (size > 0)[:, None])
+                lattice.forward(data, start[word], size[word], kind, expect)
+                types += np.bincount(kind, minlength=classes)
         some, kind = np.nonzero(expect)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((some, np.full(classes, -1)))), pa.array(np.concatenate((kind, np.arange(classes)))), pa.array(np.concatenate((expect[some, kind], types)))], names=["piece", "class", "n"])
 
@@ -230,7 +229,7 @@ def train_pieces(lexicon: DataFrame, classes: int, pieces: list[bytes], p: np.nd
 
 
 def _word_scores(sent, n_all: int, spare_all: float, n_class: list[int], spare: list[float]):
-    """Lexicon rows to (h, n, logs): log10 of the word's probability in each class: discounted class counts, then all counts, then the lattice."""
+    """Lexicon rows to (h, n, logs): log10 of the word's probability in each class: discounted class counts, then all counts, then, in classes that have it, the lattice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, classes = Lattice(*sent.value), len(n_class)
@@ -238,8 +237,8 @@ def _word_scores(sent, n_all: int, spare_all: float, n_class: list[int], spare:
             for part, data, start, size, counts in _words(batch, classes):
                 n = part.column(1).to_numpy()
                 sub = np.zeros(counts.shape)  # the end has no bytes and no subword part
-                solid = size > 0
-                sub[solid] = np.exp(lattice.forward(data, start[solid], size[solid]))
+                word, kind = np.nonzero((counts > 0) & (size > 0)[:, None])
+                sub[word, kind] = np.exp(lattice.forward(data, start[word], size[word], kind))
                 wide = (np.maximum(n - DISCOUNT, 0) / n_all)[:, None] + spare_all * sub
                 own = np.maximum(counts - DISCOUNT, 0) / np.maximum(n_class, 1)
                 logs = np.log10(own + np.array(spare) * wide).astype(np.float32)
@@ -280,7 +279,9 @@ def _lookup(sent, frequent, floor: np.ndarray):
                 score = np.empty((len(first), classes), np.float32)
                 for low in range(0, len(first), _WORD_CHUNK):
                     pick = source[low : low + _WORD_CHUNK]
-                    score[low : low + _WORD_CHUNK] = lattice.forward(data, start[pick], (end - start)[pick]) / np.log(10) + floor
+                    every = np.tile(np.arange(classes), len(pick))
+                    got = lattice.forward(data, np.repeat(start[pick], classes), np.repeat((end - start)[pick], classes), every)
+                    score[low : low + _WORD_CHUNK] = got.reshape(-1, classes) / np.log(10) + floor
                 each = np.where(new, classes, 0)
                 items = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(each))).astype(np.int32)), pa.array(score[inverse].ravel()))
                 bounds = pa.array(np.searchsorted(row[rare], np.arange(rows + 1)).astype(np.int32))
@@ -300,6 +301,18 @@ def _lookup(sent, frequent, floor: np.ndarray):
     return run
 
 
+def _least_frequent(scores: DataFrame) -> int:
+    """A count that at most FREQUENT words reach, from a histogram of counts on a log scale (some 300 bars at most)."""
+    bar = F.floor(F.log2("n") * 8).cast("int")
+    total, least = 0, 1 << 62
+    for row in scores.where(F.col("h") != END).groupBy(bar.alias("bar")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).orderBy(F.desc("bar")).collect():
+        total += row["words"]
+        if total > FREQUENT:
+            break
+        least = row["least"]
+    return least
+
+
 def score_texts(docs: DataFrame, train, *, key: str = "doc_id", text: str = "text", group: str | None = None, vocabulary: str | None = None) -> DataFrame:
     """key, n_tokens, n_known, train_tokens, base_score and score for each row of ``docs``.
 
@@ -310,13 +323,14 @@ def score_texts(docs: DataFrame, train, *, key: str = "doc_id", text: str = "tex
       vocabulary, by a forward recursion in log space; the pieces' probabilities are fitted to the
       distinct training words.
     * Every training word is also an arc of its own, with its discounted count; the mass so set
-      free goes to the subword arcs. The lattice's marginal adds both.
+      free goes to the subword arcs. The lattice's marginal adds both (a training word has subword
+      arcs in the classes that it was seen in).
     * With ``group``, a text comes from one of up to CLASSES classes (its most frequent values in
       training, and the rest): the counts of a class are discounted against those of all training
       rows, and the text's probability sums over classes. The column itself is never used to score.
 
     base_score is the add-one unigram score. Word counts are aggregated and stay distributed; only
-    the FREQUENT most frequent words, the pieces and a few totals are sent to tasks, all of fixed
+    the FREQUENT most frequent words at most, the pieces and a few totals are sent to tasks, all of fixed
     size. A null text is empty and has the end alone. Rows repeated with one key each give a row;
     without training rows every word is scored by its pieces alone and the end costs nothing.
     Other columns are ignored.
@@ -344,7 +358,7 @@ def score_texts(docs: DataFrame, train, *, key: str = "doc_id", text: str = "tex
     spare = [DISCOUNT * v / n if n else 1.0 for n, v in zip(n_class, v_class, strict=True)]
     sent = spark.sparkContext.broadcast(model)
     scores = cut(counts.mapInArrow(_word_scores(sent, max(n_all, 1), spare_all, n_class, spare), "h long, n long, logs array<float>"))
-    top = scores.where(F.col("h") != END).orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas().sort_values("h")
+    top = scores.where((F.col("h") != END) & (F.col("n") >= _least_frequent(scores))).toPandas().sort_values("h")
     whole = n_all + v_all + 1
     table = np.stack(top["logs"].to_list()).astype(np.float64) if len(top) else np.zeros((0, classes))
     frequent = spark.sparkContext.broadcast((top["h"].to_numpy(np.int64), table, np.log10((top["n"].to_numpy(np.float64) + 1) / whole)))
