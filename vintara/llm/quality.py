@@ -105,11 +105,12 @@ def train_quality(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", te
 
     Labelled rows are joined by key; null keys and null labels are left out, repeated labels train
     as often as they are there. Without labelled rows all weights are 0. The sample is a fixed
-    function of the keys: those with the least hash.
+    function of the keys: those with the least hash. It has at most ``rows`` narrow rows, so it is the
+    broadcast side and no text is shuffled to find it.
     """
     marked = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("_k"), F.col(label).cast("int").alias("label"))
     marked = marked.orderBy(F.xxhash64("_k"), "_k", "label").limit(rows)
-    sample = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(marked, F.col("_key") == F.col("_k")).select(F.xxhash64("_key").alias("turn"), "label", "_text")
+    sample = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(marked), F.col("_key") == F.col("_k")).select(F.xxhash64("_key").alias("turn"), "label", "_text")
     found = sample.mapInArrow(_extract(bits), "turn long, label int, features array<int>")
     fitted = found.repartition(1).sortWithinPartitions("turn", "label", "features").mapInArrow(_train(bits, epochs), "weights binary").first()
     return np.frombuffer(fitted["weights"], "<f4") if fitted else np.zeros((1 << bits) + 1, np.float32)
@@ -138,7 +139,7 @@ def score_quality(docs: DataFrame, weights: np.ndarray, *, text: str = "text", b
     spark: SparkSession = docs.sparkSession
     sent = spark.sparkContext.broadcast(weights.astype("<f4").tobytes())
     kept = [c for c in docs.columns if c != "score"]
-    rows = docs.select(*kept, F.col(text).alias("_scored_text"))
+    rows = docs.select(*kept, F.col(text).alias("__scored_text__"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]) if kept else ""
     return rows.mapInArrow(_score(sent, bits), f"{schema}{', ' if schema else ''}score double")
 
