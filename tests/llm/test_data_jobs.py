@@ -97,6 +97,28 @@ def test_leaks_against_brute_force(spark):
     assert decontaminate.find_leaks(frame.where("false"), bench).count() == 0
 
 
+def test_leaks_clipped_at_the_start_or_behind_a_repeated_piece(spark):
+    r = np.random.default_rng(11)
+    word = lambda n: "".join(r.choice(list("abcdefghij"), size=n))
+    plain = word(132)  # twelve pieces of eleven characters, eleven edits
+    twice = plain[:22] + plain[:11] + plain[33:]  # the first piece again as the third
+    items = [(0, plain), (1, twice), (2, word(60)), (3, "ab" * 30)]
+    docs = [plain[k:] + " " + word(30) for k in (1, 2, 5, 11, 12)] + [twice[1:], "z" + items[2][1][2:], "ba" * 40, items[3][1][3:]]
+    docs += [lead + "z" + twice[1:12] + "z" + twice[13:] + word(20) for lead in ("", word(40) + " ")]
+    docs += [twice[:11] + word(5) + twice[3:] + plain[:11] + "z" + twice[9:14] + "z" + twice[15:]]
+    for _ in range(40):
+        raw = list(items[int(r.integers(0, 4))][1])
+        for at in r.integers(0, len(raw), size=int(r.integers(0, 9))):
+            raw[at] = r.choice(["", "z", raw[at] + "q"])
+        docs.append(plain[: r.integers(0, 24)] * int(r.integers(0, 3)) + "".join(raw)[r.integers(0, 4) :] + twice[: r.integers(0, 40)])
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {x["doc_id"]: [(m["item_id"], m["distance"]) for m in x["matches"]] for x in decontaminate.find_leaks(frame, bench).collect()}
+    for k, text in enumerate(docs):
+        text = decontaminate.fold(text)
+        assert got[k] == [(i, d) for i, item in items if (d := distance(item, text)) <= len(item) // 12], k
+
+
 def test_items_in_many_blocks(spark, monkeypatch):
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{SF}/benchmark.parquet")
     whole = sorted((r["doc_id"], str(r["matches"])) for r in decontaminate.find_leaks(docs, bench).collect())

@@ -61,6 +61,19 @@ class Pattern:
         return least
 
 
+def widen(spans: list[tuple[int, int]], lo: int, hi: int) -> None:
+    """Add a span to spans that are in order and apart, and join those it meets. Hits come in order of their ends, so only the last few can be met."""
+    after = []
+    while spans and spans[-1][1] >= lo:
+        a, b = spans.pop()
+        if a > hi:
+            after.append((a, b))
+        else:
+            lo, hi = min(a, lo), max(b, hi)
+    spans.append((lo, hi))
+    spans.extend(reversed(after))
+
+
 def _matches(items: list[tuple[int, str]], per_edit: int, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
@@ -79,25 +92,28 @@ def _matches(items: list[tuple[int, str]], per_edit: int, key: str):
             for row, text in enumerate(batch.column(1)):
                 folded = fold(text.as_py())
                 best: dict[int, int] = {}
-                done: dict[int, int] = {}
+                spans: dict[int, list[tuple[int, int]]] = {}
                 for end, where in search.iter(folded) if pieces else ():
                     for n, at, size in where:
+                        if best.get(n) == 0:
+                            continue
                         item = items[n][1]
                         budget = len(item) // per_edit
                         start = end - size + 1 - at
-                        if best.get(n) == 0 or start <= done.get(n, -1):
-                            continue
-                        window = folded[max(0, start - budget) : start + len(item) + budget]
-                        if window[min(start, budget) :].startswith(item) and start >= 0:
-                            distance = 0
-                        else:
-                            pattern = patterns.get(n)
-                            if pattern is None:
-                                pattern = patterns[n] = Pattern(item)
-                            distance = pattern.distance(window)
-                        done[n] = start
-                        if distance <= budget and distance < best.get(n, budget + 1):
-                            best[n] = distance
+                        if start >= 0 and folded.startswith(item, start):
+                            best[n] = 0
+                        elif start >= -budget:  # a match further to the left would begin before the text
+                            widen(spans.setdefault(n, []), max(0, start - budget), start + len(item) + budget)
+                for n, places in spans.items():
+                    if best.get(n) == 0:
+                        continue
+                    item = items[n][1]
+                    pattern = patterns.get(n)
+                    if pattern is None:
+                        pattern = patterns[n] = Pattern(item)
+                    distance = min(pattern.distance(folded[a:b]) for a, b in places)
+                    if distance <= len(item) // per_edit:
+                        best[n] = distance
                 index.append(row)
                 found.append([{"item_id": items[n][0], "distance": d} for n, d in sorted(best.items())])
             kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32())]))
@@ -127,8 +143,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, text: str = "text", item_ke
     Texts and items are folded (lower case, white space runs to one space). An item of n characters
     is found when some substring of the text is within n // ``per_edit`` edits of it. By the
     pigeonhole principle one of its n // ``per_edit`` + 1 pieces then occurs unchanged, so exact
-    hits of pieces are all the candidates, and each is verified with Myers' distance in a window
-    that holds any such match; the window's place differs from the piece's by at most the budget.
+    hits of pieces are all the candidates. Each hit has a window that holds any such match (its place
+    differs from the piece's by at most the budget); an item's windows that meet are joined, and each
+    of the joined windows is verified once with Myers' distance, so no hit is passed over.
     Documents are never shuffled. A benchmark of any size is worked off in blocks of bounded size.
 
     Null texts and empty texts match nothing; null items, items without a key and items shorter than
