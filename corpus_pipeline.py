@@ -23,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove boilerplate lines; every document stays, with what is left of its text and its new length."""
-    cleaned = remove_spread_lines(docs.select(*COLUMNS), min_sites=8, min_bytes=40)
+    """Remove boilerplate lines of any length; every document stays, with what is left of its text and its new length."""
+    cleaned = remove_spread_lines(docs.select(*COLUMNS), min_sites=8, min_bytes=None)
     return cleaned.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.char_length("kept_text").cast("long").alias("n_chars"))
 
 

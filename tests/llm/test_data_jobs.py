@@ -194,6 +194,15 @@ def test_pipeline_stages(spark):
     assert {r[0] for r in tables[3].select("doc_id").collect()} == want
 
 
+def test_pipeline_removes_short_boilerplate_lines(spark):
+    short = ["All rights reserved.", "Released under the MIT License.", "©"]
+    rows = [(k, "\n".join([f"own {k}", "", short[0], " ", short[1], short[2], "seven" if k < 7 else f"no {k}"]), "x", f"s{k}", 0) for k in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, SF).collect()}
+    assert got[0] == rows[0][1]
+    assert all(got[k] == f"own {k}\n\n \n" + ("seven" if k < 7 else f"no {k}") for k in range(1, 9))
+
+
 def test_stages_on_an_empty_table(spark):
     now = spark.read.parquet(f"{SF}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:

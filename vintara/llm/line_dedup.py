@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vintara.llm.common import cut
@@ -12,16 +12,20 @@ SKETCH_LOG2 = 12
 NEAR = 0.15
 
 
-def spread_lines(docs: DataFrame, *, key: str, text: str, site: str, min_sites: int, min_bytes: int) -> DataFrame:
+def judged(line: Column, min_bytes: int | None) -> Column:
+    """Whether a line can be boilerplate: at least ``min_bytes`` bytes long or, with None, anything but white space."""
+    return line.rlike(r"\S") if min_bytes is None else F.octet_length(line) >= min_bytes
+
+
+def spread_lines(docs: DataFrame, *, key: str, text: str, site: str, min_sites: int, min_bytes: int | None) -> DataFrame:
     """(line_id, first_key) of the lines found on at least ``min_sites`` distinct sites.
 
-    Lines are the pieces between line feeds with at least ``min_bytes`` bytes; a line's id is its
-    MD5. Each id's HyperLogLog sketch of sites is built per task and merged by aggregation, so a
+    Lines are the pieces between line feeds that are ``judged``; a line's id is its MD5. Each id's HyperLogLog sketch of sites is built per task and merged by aggregation, so a
     line found in a third of all rows moves one sketch per task. Only ids whose estimate is near
     the threshold get an exact count of their distinct (id, site) pairs.
     """
     lines = docs.select(F.col(key).alias("k"), F.col(site).alias("s"), F.explode(F.split(F.col(text), "\n", -1)).alias("line"))
-    lines = lines.where((F.octet_length("line") >= min_bytes) & F.col("s").isNotNull()).select("k", "s", F.unhex(F.md5(F.col("line").cast("binary"))).alias("line_id"))
+    lines = lines.where(judged(F.col("line"), min_bytes) & F.col("s").isNotNull()).select("k", "s", F.unhex(F.md5(F.col("line").cast("binary"))).alias("line_id"))
     seen = lines.groupBy("line_id").agg(F.hll_sketch_agg("s", SKETCH_LOG2).alias("sketch"), F.min("k").alias("first_key"))
     seen = cut(seen.select("line_id", "first_key", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= min_sites * (1 - NEAR)))
     sure = seen.where(F.col("sites") > min_sites * (1 + NEAR)).select("line_id", "first_key")
@@ -31,25 +35,26 @@ def spread_lines(docs: DataFrame, *, key: str, text: str, site: str, min_sites:
     return sure.union(near.join(exact, "line_id").select("line_id", "first_key"))
 
 
-def remove_spread_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = 8, min_bytes: int = 40, out: str = "kept_text") -> DataFrame:
+def remove_spread_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = 8, min_bytes: int | None = 40, out: str = "kept_text") -> DataFrame:
     """``docs`` with three more columns: ``out`` (the text left), n_lines and n_removed.
 
     A line on ``min_sites`` or more distinct sites is boilerplate: it is removed everywhere but in
     the document with the smallest key that has it, so no content leaves the corpus altogether.
-    Lines shorter than ``min_bytes`` bytes always stay. Rows without a site count for no spread but
+    Lines shorter than ``min_bytes`` bytes always stay; with None every line but the blank ones is
+    judged. Rows without a site count for no spread but
     lose boilerplate too. A null text stays null with no lines; an empty text is one empty line.
     A null key is never the first; rows repeated with one key are treated alike. Extra columns pass
     through, whatever their names other than the three new ones.
     """
     flagged = cut(spread_lines(docs, key=key, text=text, site=site, min_sites=min_sites, min_bytes=min_bytes))
     lines = docs.select(F.col(key).alias("__k__"), F.explode(F.split(F.col(text), "\n", -1)).alias("line"))
-    lines = lines.where(F.octet_length("line") >= min_bytes).select("__k__", F.unhex(F.md5(F.col("line").cast("binary"))).alias("line_id"))
+    lines = lines.where(judged(F.col("line"), min_bytes)).select("__k__", F.unhex(F.md5(F.col("line").cast("binary"))).alias("line_id"))
     hit = lines.join(flagged, "line_id").where(~F.col("__k__").eqNullSafe(F.col("first_key")))
     by_doc = hit.groupBy("__k__").agg(F.collect_set("line_id").alias("__cut__"))
     both = docs.join(by_doc, docs[key].eqNullSafe(by_doc["__k__"]), "left")
     every = F.split(F.col(text), "\n", -1)
     none = F.array().cast("array<binary>")
-    kept = F.filter(every, lambda x: ~((F.octet_length(x) >= min_bytes) & F.array_contains(F.coalesce(F.col("__cut__"), none), F.unhex(F.md5(x.cast("binary"))))))
+    kept = F.filter(every, lambda x: ~(judged(x, min_bytes) & F.array_contains(F.coalesce(F.col("__cut__"), none), F.unhex(F.md5(x.cast("binary"))))))
     kept = F.when(F.col("__cut__").isNull(), every).otherwise(kept)
     both = both.withColumn("__kept__", kept)
     return both.select(
@@ -60,4 +65,4 @@ def remove_spread_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "te
     )
 
 
-__all__ = ["remove_spread_lines", "spread_lines"]
+__all__ = ["judged", "remove_spread_lines", "spread_lines"]
