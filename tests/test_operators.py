@@ -261,6 +261,54 @@ def test_peer_minimum(spark):
     assert rows(scoring.peer_coverage(data, 50), "transformation", "peers", "coverage") == [("DELTA", 50, "PASS"), ("RATE", 49, "PEER_GROUP_INSUFFICIENT")]
 
 
+def test_scores_are_withheld_after_ranking(spark):
+    data = [("a", k, float(k)) for k in range(50)] + [("b", k, float(k)) for k in range(45)] + [("a", 99, None)]
+    ranked = peers.midrank_percentiles(spark.createDataFrame(data, "g string, issuer int, v double"), ("g",), "v")
+    approved = spark.range(1, 100).select(F.col("id").cast("int").alias("issuer"))
+    out = peers.withhold(ranked, ("g",), "v", ("midrank", "percentile"), policy.normalization_scenarios(spark), approved).collect()
+    got = {(r["scenario"], r["g"], r["issuer"]): (r["percentile"], r["normalization_status"]) for r in out}
+    assert len(out) == len(got) == len(data) * len(policy.NORMALIZATION_SCENARIOS)
+    assert got["BASELINE", "a", 0] == (None, "COMPANY_COVERAGE_HOLD") and got["BASELINE", "a", 1] == (3.0, "PASS")
+    assert got["BASELINE", "b", 1] == (None, "PEER_GROUP_INSUFFICIENT") and got["BASELINE", "a", 99] == (None, None)
+    assert got["PEER_MIN_40", "b", 1] == (pytest.approx(100 * 1.5 / 45), "PASS") and got["PEER_MIN_60", "a", 1][0] is None
+
+
+def test_robust_score_needs_enough_peers(spark, monkeypatch):
+    from vintara import queries
+
+    assert {r["score"] for r in queries.robust_cdf_score(spark, "/root/testdata/sf0.001").collect()} == {None}  # ten suppliers
+    monkeypatch.setattr(policy, "NORMALIZATION_SCENARIOS", (("BASELINE", 20, 120, 180, None),))
+    n = {}
+    for r in (out := queries.robust_cdf_score(spark, "/root/testdata/sf0.01").collect()):
+        n[r["q_end"], r["input_id"]] = n.get((r["q_end"], r["input_id"]), 0) + 1
+    assert min(n.values()) < 20 <= max(n.values())
+    assert all(r["score"] is None for r in out if n[r["q_end"], r["input_id"]] < 20) and any(r["score"] is not None for r in out)
+
+
+def test_gate_overrides(spark):
+    rows_in = [(k, D(2026, 7, 1), 50.0, "PASS_KNOWABLE_AT_MODEL_DATE", 80.0, 10) for k in range(5)]
+    gated = classify.publication_gate(spark.createDataFrame(rows_in, "issuer int, model_date date, candidate double, vintage string, confidence double, age_days int"))
+    exclusions = spark.createDataFrame([(1, "ETF"), (2, "ETF"), (2, "FUND")], "issuer int, reason string")
+    exceptions = spark.createDataFrame([(2, D(2026, 7, 1), "LATE"), (3, D(2026, 7, 1), "LATE"), (4, D(2026, 6, 1), "LATE")], "issuer int, model_date date, reason string")
+    got = {r["issuer"]: (r["published"], r["data_status"], r["gate_reason"]) for r in classify.override_gate(gated, exclusions, exceptions).collect()}
+    assert got[1] == (False, "EXCLUDED_PEER_GROUP", "ETF") and got[2] == got[3] == (False, "REVIEW_REQUIRED", "LATE")
+    assert got[0] == got[4] and got[0][:2] == (True, "PARTIAL") and len(got) == 5
+
+
+def test_coverage_keeps_zero_rows(spark):
+    facts = spark.createDataFrame([(1, "x", "A", D(2026, 1, 1), D(2026, 3, 31)), (1, "x", "B", D(2026, 1, 1), D(2026, 3, 31)), (1, "x", "B", None, D(2026, 3, 31))], "issuer int, concept string, accession string, start date, end date")
+    issuers, concepts = spark.createDataFrame([(1,), (2,)], "issuer int"), spark.createDataFrame([("x",), ("y",)], "concept string")
+    out = scoring.acquisition_coverage(facts, issuers, concepts, issuers.where("issuer = 2"))
+    missing = "MISSING_STANDARD_TAG_CANDIDATE"
+    assert rows(out, *out.columns) == [(1, "x", 3, 2, 2, "ACQUIRED_REQUIRES_INLINE_CONTEXT_REVIEW"), (1, "y", 0, 0, 0, missing), (2, "x", 0, 0, 0, "DOWNLOAD_FAILED"), (2, "y", 0, 0, 0, "DOWNLOAD_FAILED")]
+    met = spark.createDataFrame([(1, "F1", True), (2, "F1", True), (1, "F2", True), (2, "F2", False)], "issuer int, factor string, floor_met boolean")
+    factors = spark.createDataFrame([("F1",), ("F2",), ("F3",)], "factor string")
+    assert rows(scoring.factor_coverage(met, factors, 2), "factor", "companies", "coverage") == [("F1", 2, "PASS"), ("F2", 1, "PEER_GROUP_INSUFFICIENT"), ("F3", 0, "PEER_GROUP_INSUFFICIENT")]
+    sleeves = spark.createDataFrame([("F4", "cash", "cfo", 0.15), ("F4", "cash", "fcf", 0.15), ("F4", "growth", "q", 0.25), ("F5", "only", "z", 1.0)], "factor string, sleeve string, input_id string, weight double")
+    present = spark.createDataFrame([(1, "cfo", True), (1, "fcf", True), (1, "q", True), (2, "fcf", True), (2, "q", False)], "issuer int, input_id string, present boolean")
+    assert rows(scoring.sleeve_coverage(present, sleeves), "issuer", "factor", "coverage") == [(1, "F4", 0.4), (1, "F5", 0.0), (2, "F4", 0.15), (2, "F5", 0.0)]
+
+
 def test_contexts(spark):
     key = ("A1", "Revenues", D(2026, 4, 1), D(2026, 6, 30))
     cand = spark.createDataFrame([(*key, Decimal(v)) for v in (1, 2, 3, 4)], "accession string, local_concept string, start date, end date, value decimal(20,2)")

@@ -71,6 +71,20 @@ def publication_gate(rows: DataFrame, least: float = 70.0) -> DataFrame:
     return rows.withColumn("_g", gate).withColumn("published", F.col("_g.p")).withColumn("data_status", F.col("_g.s")).withColumn("gate_reason", F.col("_g.r")).drop("_g")
 
 
+def override_gate(gated: DataFrame, exclusions: DataFrame, exceptions: DataFrame, key: str = "issuer") -> DataFrame:
+    """The publication gate under its overrides: exclusions from the peers (key, reason), then dated exceptions (key, model_date, reason).
+
+    Either one withholds publication, whatever the gate says; an exception of the row's model_date
+    wins over an exclusion. Of several reasons for a key the least is given.
+    """
+    out = gated.join(exclusions.groupBy(key).agg(F.lit(True).alias("_x"), F.min("reason").alias("_xr")), key, "left")
+    out = out.join(exceptions.groupBy(key, "model_date").agg(F.lit(True).alias("_e"), F.min("reason").alias("_er")), [key, "model_date"], "left")
+    hit = F.col("_x").isNotNull() | F.col("_e").isNotNull()
+    status = F.when(F.col("_e"), "REVIEW_REQUIRED").when(F.col("_x"), "EXCLUDED_PEER_GROUP").otherwise(F.col("data_status"))
+    reason = F.when(F.col("_e"), F.col("_er")).when(F.col("_x"), F.col("_xr")).otherwise(F.col("gate_reason"))
+    return out.withColumns({"published": F.when(hit, False).otherwise(F.col("published")), "data_status": status, "gate_reason": reason}).select(*gated.columns)
+
+
 def vintage_status(buffer_day: Column, expected_buffer: Column, available: Column, accepted_day: Column, model_date: Column) -> Column:
     """What is wrong with a filing's knowledge date, if anything."""
     return F.coalesce(

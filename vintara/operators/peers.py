@@ -63,6 +63,28 @@ def robust_z(rows: DataFrame, group: tuple[str, ...], value: str) -> DataFrame:
     return near.join(mad, list(group), "left").withColumn("z", F.when(F.col("mad") > 0, z)).drop("_off")
 
 
+def withhold(rows: DataFrame, group: tuple[str, ...], value: str, scores: tuple[str, ...], scenarios: DataFrame, approved: DataFrame | None = None, issuer: str = "issuer") -> DataFrame:
+    """Scored rows under each scenario: ``scores`` are null for groups below the scenario's min_peers and for held issuers.
+
+    Adds scenario (where ``rows`` have it already, it is part of the group), peer_count, min_peers and
+    normalization_status. Scores come from all of a group, held issuers among them, and are masked
+    only here. ``approved`` lists the issuers that are not held; without it none is held. Rows with a
+    null value are no peers and have no score and no status.
+    """
+    least = F.broadcast(scenarios.select("scenario", "min_peers"))
+    out = rows.join(least, "scenario") if "scenario" in rows.columns else rows.crossJoin(least)
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*group).agg(F.count(F.lit(1)).alias("peer_count"))
+    out = out.join(counts, list(group), "left") if group else out.crossJoin(F.broadcast(counts))
+    held = F.lit(False)
+    if approved is not None:
+        out = out.join(approved.select(issuer, F.lit(True).alias("_approved")).distinct(), issuer, "left")
+        held = F.col("_approved").isNull()
+    status = F.when(F.col(value).isNull(), None).when(held, "COMPANY_COVERAGE_HOLD").when(F.col("peer_count") < F.col("min_peers"), "PEER_GROUP_INSUFFICIENT").otherwise("PASS")
+    out = out.withColumn("normalization_status", status)
+    out = out.withColumns({s: F.when(F.col("normalization_status") == "PASS", F.col(s)) for s in scores})
+    return out.select(*rows.columns, *[c for c in ("scenario",) if c not in rows.columns], "peer_count", "min_peers", "normalization_status")
+
+
 def winsorize(rows: DataFrame, group: tuple[str, ...], value: str, limits: DataFrame, low: str = "low", high: str = "high") -> DataFrame:
     """Add clipped: the value within its group's limits; a group without limits keeps it."""
     joined = rows.join(limits.select(*group, F.col(low).alias("_l"), F.col(high).alias("_h")), list(group), "left")

@@ -119,6 +119,38 @@ def company_coverage(inputs: DataFrame, components: DataFrame) -> DataFrame:
     return grid.join(have, ["issuer", "input_id"], "left").groupBy("issuer", "factor").agg(F.sum(F.when(F.col("_have") == 1, F.col("weight")).otherwise(0.0)).alias("coverage"))
 
 
+def acquisition_coverage(facts: DataFrame, issuers: DataFrame, concepts: DataFrame, errors: DataFrame) -> DataFrame:
+    """Every issuer with every concept: number of facts, distinct accessions and distinct periods (start, end), 0 where there are none, and the status.
+
+    ``errors`` lists the issuers whose download failed.
+    """
+    grid = issuers.select("issuer").distinct().crossJoin(F.broadcast(concepts.select("concept").distinct()))
+    counts = facts.groupBy("issuer", "concept").agg(F.count(F.lit(1)).alias("facts"), F.count_distinct("accession").alias("accessions"), F.count_distinct(F.struct("start", "end")).alias("periods"))
+    rows = grid.join(counts, ["issuer", "concept"], "left").join(errors.select("issuer", F.lit(True).alias("_failed")).distinct(), "issuer", "left")
+    n = {c: F.coalesce(c, F.lit(0)) for c in ("facts", "accessions", "periods")}
+    status = F.when(F.col("_failed"), "DOWNLOAD_FAILED").when(n["facts"] == 0, "MISSING_STANDARD_TAG_CANDIDATE").otherwise("ACQUIRED_REQUIRES_INLINE_CONTEXT_REVIEW")
+    return rows.select("issuer", "concept", *[v.alias(c) for c, v in n.items()], status.alias("acquisition_status"))
+
+
+def factor_coverage(companies: DataFrame, factors: DataFrame, least: int) -> DataFrame:
+    """Every factor with the number of issuers that meet its floor (issuer, factor, floor_met) and whether they suffice."""
+    met = companies.where("floor_met").groupBy("factor").agg(F.count_distinct("issuer").alias("_n"))
+    n = F.coalesce("_n", F.lit(0))
+    return factors.select("factor").distinct().join(met, "factor", "left").select("factor", n.alias("companies"), F.when(n >= least, "PASS").otherwise("PEER_GROUP_INSUFFICIENT").alias("coverage"))
+
+
+def sleeve_coverage(inputs: DataFrame, sleeves: DataFrame) -> DataFrame:
+    """Per issuer and factor: the sum of the weights of sleeves of which any input is there; every factor has a row.
+
+    ``inputs`` has issuer, input_id and present; ``sleeves`` has factor, sleeve, input_id and weight,
+    the weight being the sleeve's own and the same for each of its inputs.
+    """
+    grid = inputs.select("issuer").distinct().crossJoin(F.broadcast(sleeves))
+    have = inputs.where("present").select("issuer", "input_id", F.lit(1).alias("_have")).distinct()
+    any_of = grid.join(have, ["issuer", "input_id"], "left").groupBy("issuer", "factor", "sleeve").agg(F.max("_have").alias("_have"), F.max("weight").alias("weight"))
+    return any_of.groupBy("issuer", "factor").agg(F.sum(F.when(F.col("_have") == 1, F.col("weight")).otherwise(0.0)).alias("coverage"))
+
+
 def complete_sum(rows: DataFrame, keys: tuple[str, ...], needed: tuple[str, ...], component: str = "component", value: str = "value") -> DataFrame:
     """Sum over components, null unless every needed one is there, with the list of those that are missing."""
     out = rows.groupBy(*keys).agg(F.sum(value).alias("_s"), F.collect_set(component).alias("_c"))

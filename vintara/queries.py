@@ -372,8 +372,10 @@ def mad_robust_z(spark, sf_dir):
 
 @query
 def robust_cdf_score(spark, sf_dir):
-    """The capped z as a score of 0 to 100 through the normal distribution function (no SQL engine here has one)."""
-    rows = peers.robust_z(metrics(spark, sf_dir), ("q_end", "input_id"), "value")
+    """The capped z as a score of 0 to 100 through the normal distribution function (no SQL engine here has one), null below the baseline's minimum of peers."""
+    group = ("q_end", "input_id")
+    rows = peers.robust_z(metrics(spark, sf_dir), group, "value")
+    rows = peers.withhold(rows, group, "value", ("z",), policy.normalization_scenarios(spark).where("scenario = 'BASELINE'"))
     return rows.select("q_end", "issuer", "input_id", dec(100 * S.normal_cdf("z"), "score"))
 
 
