@@ -92,6 +92,24 @@ def test_quality_odd_rows(spark):
     assert quality.score_quality(docs.where("false"), weights).count() == 0
 
 
+def test_long_texts_train_on_all_features(spark):
+    from vintara.llm import textvec
+
+    text = " ".join(f"w{k}x" for k in range(3000))
+    weights = quality.train_quality(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(1, 1)], "doc_id long, quality int"), epochs=1)
+    raw = np.frombuffer(text.encode(), np.uint8)
+    found = quality.features(raw, np.array([0, len(raw)]), textvec.Powers())[0]
+    assert len(found) > 5000 and weights[found].all()
+
+
+def test_training_rows_are_chosen_after_the_join(spark):
+    docs = spark.createDataFrame([(1, f"text {k % 40}") for k in range(50)] + [(2, "a"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1)] + [(k, 1) for k in range(100, 200)], "doc_id long, quality int")
+    names = dict(key="doc_id", text="text", label="quality", bits=18)
+    copies = lambda n: [r["copies"] for r in quality.training_rows(docs, labels, rows=n, **names).collect()]
+    assert sum(copies(1000)) == 102 and len(copies(1000)) == 82 and sum(copies(30)) == 30 and sum(copies(2)) == 2
+
+
 def test_ftrl_learns_a_rule():
     model = quality.Ftrl(4)
     for k in range(400):

@@ -14,8 +14,6 @@ from vintara.llm import textvec
 BITS = 18
 #: At most so many labelled rows train the model: those with the least hash of their key.
 TRAIN_ROWS = 20_000
-#: Of a training text at most so many features are kept, the ones with the least hash, which bounds the training task.
-TRAIN_FEATURES = 4096
 
 _KIND = np.full(256, 3, np.uint8)  # other
 _KIND[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0
@@ -77,11 +75,12 @@ def _extract(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = textvec.Powers()
         for batch in batches:
-            data, offsets = textvec.text_buffer(batch.column(2))
+            data, offsets = textvec.text_buffer(batch.column(batch.num_columns - 1))
             for a, b in textvec.chunks(offsets):
                 at = offsets[a : b + 1]
-                found = [f if len(f) <= TRAIN_FEATURES else f[np.argsort(textvec.mix(f.view(np.uint64)))[:TRAIN_FEATURES]] for f in features(data[at[0] : at[-1]], at - at[0], powers, bits)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([f.astype(np.int32) for f in found], pa.list_(pa.int32()))], names=["turn", "label", "features"])
+                found = features(data[at[0] : at[-1]], at - at[0], powers, bits)
+                kept = [c.slice(a, b - a) for c in batch.columns[:-1]]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array([f.astype(np.int32) for f in found], pa.list_(pa.int32()))], names=[*batch.schema.names[:-1], "features"])
 
     return run
 
@@ -90,7 +89,8 @@ def _train(bits: int, epochs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, rows = Ftrl(bits), []
         for batch in batches:
-            rows += [(int(label.as_py()), np.asarray(f.values.to_numpy(), np.int32)) for label, f in zip(batch.column(1), batch.column(2), strict=True)]
+            for label, f, copies in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
+                rows += [(label.as_py(), np.asarray(f.values.to_numpy(), np.int32))] * copies.as_py()
         for epoch in range(epochs):
             for k in np.random.default_rng(epoch).permutation(len(rows)):
                 label, found = rows[k]
@@ -100,18 +100,32 @@ def _train(bits: int, epochs: int):
     return run
 
 
+def training_rows(docs: DataFrame, labels: DataFrame, *, key: str, text: str, label: str, bits: int, rows: int) -> DataFrame:
+    """(turn, label, features, copies): at most ``rows`` of the pairs of a document and a label with one key, by the least hash of the key.
+
+    The pairs are chosen after the join, from keys and hashes of texts, so labels without a document
+    take no place and repeated keys do not add to the rows. The choice is small and is broadcast to
+    the texts: no text is shuffled. A text keeps all its features; pairs that are alike are one row
+    with its number of copies.
+    """
+    texts = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
+    marked = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("_k"), F.col(label).cast("int").alias("label"))
+    pairs = texts.select("_key", "_hash").join(marked, F.col("_key") == F.col("_k")).select(F.xxhash64("_key").alias("turn"), F.col("_key").alias("_k"), "label", F.col("_hash").alias("_h"))
+    chosen = pairs.orderBy("turn", "_k", "label", "_h").limit(rows).groupBy("turn", "_k", "label", "_h").agg(F.count(F.lit(1)).alias("copies"))
+    sample = texts.join(F.broadcast(chosen), (F.col("_key") == F.col("_k")) & (F.col("_hash") == F.col("_h"))).select("turn", "label", "_hash", "copies", "_text")
+    found = sample.mapInArrow(_extract(bits), "turn long, label int, _hash long, copies long, features array<int>")
+    once = found.groupBy("turn", "label", "_hash").agg(F.first("features").alias("features"), F.first("copies").alias("copies"))
+    return once.select("turn", "label", "features", "copies")
+
+
 def train_quality(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", bits: int = BITS, rows: int = TRAIN_ROWS, epochs: int = 4) -> np.ndarray:
     """Weights of the classifier (2 ** bits and a bias) from at most ``rows`` labelled documents.
 
     Labelled rows are joined by key; null keys and null labels are left out, repeated labels train
     as often as they are there. Without labelled rows all weights are 0. The sample is a fixed
-    function of the keys: those with the least hash. It has at most ``rows`` narrow rows, so it is the
-    broadcast side and no text is shuffled to find it.
+    function of the rows (see ``training_rows``), and each of its texts trains on all its features.
     """
-    marked = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("_k"), F.col(label).cast("int").alias("label"))
-    marked = marked.orderBy(F.xxhash64("_k"), "_k", "label").limit(rows)
-    sample = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(marked), F.col("_key") == F.col("_k")).select(F.xxhash64("_key").alias("turn"), "label", "_text")
-    found = sample.mapInArrow(_extract(bits), "turn long, label int, features array<int>")
+    found = training_rows(docs, labels, key=key, text=text, label=label, bits=bits, rows=rows)
     fitted = found.repartition(1).sortWithinPartitions("turn", "label", "features").mapInArrow(_train(bits, epochs), "weights binary").first()
     return np.frombuffer(fitted["weights"], "<f4") if fitted else np.zeros((1 << bits) + 1, np.float32)
 
