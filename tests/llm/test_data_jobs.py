@@ -126,6 +126,17 @@ def test_items_in_many_blocks(spark, monkeypatch):
     assert sorted((r["doc_id"], str(r["matches"])) for r in decontaminate.find_leaks(docs, bench).collect()) == whole
 
 
+def test_blocks_are_applied_one_at_a_time(spark, monkeypatch):
+    docs, bench = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    size, seen = len(list(decontaminate._blocks(bench, "item_id", "text", 24))), []
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 3000)
+    monkeypatch.setattr(decontaminate, "cut", lambda frame, f=decontaminate.cut: seen.append(1) or f(frame), raising=False)
+    blocks = decontaminate._blocks(bench, "item_id", "text", 24)
+    assert size == 1 and next(blocks) and sum(map(len, blocks)) > 0
+    plan = decontaminate.find_leaks(docs, bench)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("MapInArrow") == 1 and len(seen) > 1
+
+
 def test_packing_round_trip(spark):
     import public_tokenizers as P
     from tokenizers import Tokenizer

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vintara.llm.common import cut
+
 #: One edit is allowed for so many characters of an item.
 CHARS_PER_EDIT = 12
 #: Items shorter than this (after folding) are left out: they would match ordinary prose.
@@ -122,19 +124,20 @@ def _matches(items: list[tuple[int, str]], per_edit: int, key: str):
     return run
 
 
-def _blocks(items: DataFrame, key: str, text: str, min_chars: int) -> list[list[tuple[int, str]]]:
-    """The usable items, folded, in blocks of bounded size."""
-    blocks, held, size = [], [], 0
+def _blocks(items: DataFrame, key: str, text: str, min_chars: int) -> Iterator[list[tuple[int, str]]]:
+    """The usable items, folded, in blocks of bounded size, fetched by and by; one empty block if there are none."""
+    held, size, none = [], 0, True
     for row in items.select(key, text).where(F.col(key).isNotNull() & F.col(text).isNotNull()).distinct().orderBy(key, text).toLocalIterator():
         item = fold(row[1])
         if len(item) < min_chars:
             continue
         if held and size + len(item) > BLOCK_CHARS:
-            blocks.append(held)
-            held, size = [], 0
+            yield held
+            held, size, none = [], 0, False
         held.append((row[0], item))
         size += len(item)
-    return [*blocks, held] if held or not blocks else blocks
+    if held or none:
+        yield held
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, *, text: str = "text", item_key: str = "item_id", item_text: str = "text", per_edit: int = CHARS_PER_EDIT, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -146,7 +149,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, text: str = "text", item_ke
     hits of pieces are all the candidates. Each hit has a window that holds any such match (its place
     differs from the piece's by at most the budget); an item's windows that meet are joined, and each
     of the joined windows is verified once with Myers' distance, so no hit is passed over.
-    Documents are never shuffled. A benchmark of any size is worked off in blocks of bounded size.
+    Documents are never shuffled. A benchmark of any size is worked off in blocks of bounded size:
+    with more than one, the rows are written after each block, before the next is applied, so the
+    driver holds two blocks at most and one partition of the items that are still to come.
 
     Null texts and empty texts match nothing; null items, items without a key and items shorter than
     ``min_chars`` are left out; repeated items count once, with each of their keys. Rows repeated in
@@ -155,7 +160,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, text: str = "text", item_ke
     keep = [c for c in docs.columns if c != "matches"]
     out = None
     for block in _blocks(items, item_key, item_text, min_chars):
-        now = docs.select(*keep) if out is None else out.withColumnRenamed("matches", "__before__")
+        now = docs.select(*keep) if out is None else cut(out).withColumnRenamed("matches", "__before__")
         columns = [c for c in now.columns if c != text]
         slim = now.select(F.col(columns[0]) if columns else F.lit(1).alias("__one__"), text, *columns[1:])
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema) + ", matches array<struct<item_id:bigint,distance:int>>"
