@@ -154,13 +154,12 @@ def _count(classes: int):
     """(class, text) to (word hash, class, count, word), summed over a batch; the end of each text counts as a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = textvec.Powers()
         for batch in batches:
             mixed = batch.column(0).to_numpy().astype(np.int64)
             _, offsets = textvec.text_buffer(batch.column(1))
             for a, b in textvec.chunks(offsets, 2 << 20):
                 data, at = _lower(batch.column(1), a, b)
-                row, start, end, h = textvec.words(data, at, powers)
+                row, start, end, h = textvec.words(data, at)
                 group = mixed[a:b][row]
                 code = textvec.combine(h, group.astype(np.uint64))
                 _, first, count = np.unique(code, return_index=True, return_counts=True)
@@ -255,7 +254,7 @@ def _lookup(sent, frequent, floor: np.ndarray):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, powers = Lattice(*sent.value), textvec.Powers()
+        lattice = Lattice(*sent.value)
         hashes, table, base = frequent.value
         classes = len(floor)
         for batch in batches:
@@ -263,7 +262,7 @@ def _lookup(sent, frequent, floor: np.ndarray):
             trained = batch.column(1).to_numpy(zero_copy_only=False)
             for a, b in textvec.chunks(offsets, 4 << 20):
                 data, at = _lower(batch.column(2), a, b)
-                row, start, end, h = textvec.words(data, at, powers)
+                row, start, end, h = textvec.words(data, at)
                 signed = h.view(np.int64)
                 where = np.minimum(np.searchsorted(hashes, signed), max(len(hashes) - 1, 0))
                 often = hashes[where] == signed if len(hashes) else np.zeros(len(h), bool)

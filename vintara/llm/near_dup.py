@@ -50,12 +50,11 @@ def _describe(width: int, bands: int, rows: int, key: str):
     lane = np.arange(bands, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = textvec.Powers()
         for batch in batches:
             data, offsets = textvec.text_buffer(batch.column(1))
             for a, b in textvec.chunks(offsets):
                 at = offsets[a : b + 1]
-                sets = textvec.shingle_sets(data[at[0] : at[-1]], at - at[0], width, powers)
+                sets = textvec.shingle_sets(data[at[0] : at[-1]], at - at[0], width)
                 size, name, band, low = [], [], [], []
                 for s in sets:
                     size.append(len(s))
@@ -86,12 +85,11 @@ def _sets(width: int):
     """(id, class, text) to (id, shingles); rows whose text is not of that class go (a key may stand for several texts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = textvec.Powers()
         for batch in batches:
             data, offsets = textvec.text_buffer(batch.column(2))
             for a, b in textvec.chunks(offsets):
                 at = offsets[a : b + 1]
-                sets = textvec.shingle_sets(data[at[0] : at[-1]], at - at[0], width, powers)
+                sets = textvec.shingle_sets(data[at[0] : at[-1]], at - at[0], width)
                 names = batch.column(1).slice(a, b - a).to_pylist()
                 good = [i for i, s in enumerate(sets) if len(s) and _class_name(s) == names[i]]
                 if not good:

@@ -22,7 +22,7 @@ _KIND[65:91] = _KIND[97:123] = 2
 _KIND[128:] = 2
 
 
-def features(data: np.ndarray, offsets: np.ndarray, powers: textvec.Powers, bits: int = BITS) -> list[np.ndarray]:
+def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> list[np.ndarray]:
     """Each text's distinct feature numbers: single tokens and pairs, hashed. Tokens are runs of letters, digits or other signs; case counts."""
     rows, n = len(offsets) - 1, len(data)
     if not n:
@@ -36,7 +36,7 @@ def features(data: np.ndarray, offsets: np.ndarray, powers: textvec.Powers, bits
     end = np.concatenate((at[1:], [n]))
     solid = kind[at] != 0
     at, end = at[solid], end[solid]
-    token = textvec.Rolling(data, powers).of(at, end)
+    token = textvec.hash_spans(data, at, end)
     pair = textvec.combine(token[:-1], token[1:]) if len(token) else token
     row = np.searchsorted(offsets, at, side="right") - 1
     bounds = np.searchsorted(row, np.arange(rows + 1))
@@ -73,12 +73,11 @@ def _inputs(found: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _extract(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = textvec.Powers()
         for batch in batches:
             data, offsets = textvec.text_buffer(batch.column(batch.num_columns - 1))
             for a, b in textvec.chunks(offsets):
                 at = offsets[a : b + 1]
-                found = features(data[at[0] : at[-1]], at - at[0], powers, bits)
+                found = features(data[at[0] : at[-1]], at - at[0], bits)
                 kept = [c.slice(a, b - a) for c in batch.columns[:-1]]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array([f.astype(np.int32) for f in found], pa.list_(pa.int32()))], names=[*batch.schema.names[:-1], "features"])
 
@@ -132,13 +131,13 @@ def train_quality(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", te
 
 def _score(weights, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, w = textvec.Powers(), np.frombuffer(weights.value, "<f4").astype(np.float64)
+        w = np.frombuffer(weights.value, "<f4").astype(np.float64)
         for batch in batches:
             data, offsets = textvec.text_buffer(batch.column(batch.num_columns - 1))
             margin = np.empty(batch.num_rows)
             for a, b in textvec.chunks(offsets):
                 at = offsets[a : b + 1]
-                for k, f in enumerate(features(data[at[0] : at[-1]], at - at[0], powers, bits), a):
+                for k, f in enumerate(features(data[at[0] : at[-1]], at - at[0], bits), a):
                     margin[k] = w[-1] + (w[f].sum() / np.sqrt(len(f)) if len(f) else 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(margin, -35, 35))))], names=[*batch.schema.names[:-1], "score"])
 

@@ -23,95 +23,101 @@ CORE_STARTS = 34
 BATCH_BYTES = 1 << 20
 
 
+def _rank(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, dense ranks from 1) of integer keys."""
+    order = np.argsort(key)
+    ordered = key[order]
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.cumsum(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    return order, rank
+
+
 def suffix_order(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes ordered by their first ``length`` bytes, ties by place; and the rank of that prefix for each place.
 
     ``ends`` gives, for each place, where its text stops: a suffix that stops early sorts before its
-    extensions and never equals a prefix of another text's end. Prefix doubling: ranks of 8 bytes,
-    then of 16 and so on; the last step overlaps to make exactly ``length``.
+    extensions and never equals a prefix of another text's end. Ranks of 8 bytes are tripled to
+    ranks of 24 bytes and so on (doubled where three ranks do not fit one key); the last step
+    overlaps to make exactly ``length``.
     """
     n = len(data)
     place = np.arange(n)
-    known = np.minimum(8, length)
+    known = min(8, length)
     key = np.zeros(n, np.uint64)
     for k in range(known):
         at = place + k
-        byte = np.where(at < ends, data[np.minimum(at, n - 1)].astype(np.uint64), np.uint64(0))
-        key = (key << np.uint64(8)) | byte
-    _, rank = np.unique(key, return_inverse=True)
-    rank = rank.astype(np.int64) + 1
+        key = (key << np.uint64(8)) | np.where(at < ends, data[np.minimum(at, n - 1)].astype(np.uint64), np.uint64(0))
+    rank = _rank(key)[1]
     while known < length:
-        step = min(known, length - known)
-        nxt = place + step
-        tail = np.where(nxt < ends, rank[np.minimum(nxt, n - 1)], 0)
-        _, rank = np.unique(rank * (n + 2) + tail, return_inverse=True)
-        rank = rank.astype(np.int64) + 1
-        known += step
-    order = np.argsort(rank, kind="stable")
-    return order, rank
-
-
-def previous_and_next(order: np.ndarray, rank: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Truncated longest-previous-factor arrays: whether the prefix at a place also starts earlier, and later.
-
-    In suffix order a place's previous and next smaller positions are its candidates for an earlier
-    match. Suffixes that share the whole prefix stand together with rising places, so the previous
-    smaller position that shares it is the direct neighbour before; the direct neighbour after is
-    the next later place. ``whole`` marks places that have a prefix of full length.
+        parts = 3 if n < 1 << 20 and length > 2 * known else 2
+        key = rank
+        for k in range(1, parts):
+            at = place + min(k * known, length - known)
+            key = key * (n + 2) + np.where(at < ends, rank[np.minimum(at, n - 1)], 0)
+        rank = _rank(key)[1]
+        known = min(length, parts * known)
+    return np.argsort(rank, kind="stable"), rank
+
+
+def longest_previous_factors(order: np.ndarray, common: np.ndarray, later: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """For each place, the length and source of its longest match that starts earlier (0, -1: none); with ``later``, that starts later.
+
+    ``order`` are the places in suffix order and ``common[r]`` the prefix that the suffixes at ranks
+    r - 1 and r share (it may be cut at a length of interest). The longest earlier match of a place
+    is with the previous or the next smaller position in suffix order; both are found for all ranks
+    at once, by jumping over positions that are not smaller and keeping the least common prefix on
+    the way.
     """
-    kept = order[whole[order]]
-    same = rank[kept][1:] == rank[kept][:-1]
-    earlier, later = np.zeros(len(rank), bool), np.zeros(len(rank), bool)
-    earlier[kept[1:][same]] = True
-    later[kept[:-1][same]] = True
-    return earlier, later
-
+    n = len(order)
+    place = -order if later else order
+    length, source = np.zeros(n, np.int64), np.full(n, -1, np.int64)
+    rank = np.arange(n)
+    for side in (-1, 1):
+        at = rank + side
+        shared = common.copy() if side < 0 else np.concatenate((common[1:], [0]))
+        shared[(at < 0) | (at >= n)] = 0
+        live = np.flatnonzero(shared > 0)
+        while len(live):
+            live = live[place[at[live]] > place[live]]
+            via = at[live]
+            shared[live], at[live] = np.minimum(shared[live], shared[via]), at[via]
+            live = live[shared[live] > 0]
+        better = np.flatnonzero(shared > length[order])
+        length[order[better]], source[order[better]] = shared[better], order[at[better]]
+    return length, source
 
-def longest_previous_factors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Full arrays of one short text: for each place, the length and source of its longest earlier match (0, -1: none).
 
-    The suffix array and its common-prefix lengths feed two scans with a stack, which find the
-    previous and next smaller positions in suffix order; the better of the two matches is taken.
-    """
+def common_prefixes(text: bytes, order: np.ndarray) -> np.ndarray:
+    """Prefixes shared by neighbours in the suffix order of one short text (0 for the first rank)."""
     n = len(text)
-    data = np.frombuffer(text, np.uint8)
-    order, _ = suffix_order(data, np.full(n, n), max(n, 1)) if n else (np.zeros(0, np.int64), None)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    lcp, h = np.zeros(n + 1, np.int64), 0
+    rank, common, h = np.empty(n, np.int64), np.zeros(n, np.int64), 0
+    rank[order] = np.arange(n)
     for i in range(n):
-        if place[i] == 0:
+        if rank[i] == 0:
             h = 0
             continue
-        j = order[place[i] - 1]
+        j = order[rank[i] - 1]
         while i + h < n and j + h < n and text[i + h] == text[j + h]:
             h += 1
-        lcp[place[i]] = h
+        common[rank[i]] = h
         h = max(h - 1, 0)
-    length, source = np.zeros(n, np.int64), np.full(n, -1, np.int64)
-    for ranks, gap in ((range(n), 0), (range(n - 1, -1, -1), 1)):
-        stack: list[list[int]] = []  # [place in text, common prefix with the entry below it]
-        for r in ranks:
-            i, common = int(order[r]), int(lcp[r + gap]) if 0 < r + gap <= n else 0
-            while stack and stack[-1][0] > i:
-                common = min(common, stack.pop()[1])
-            if stack and common > length[i]:
-                length[i], source[i] = common, stack[-1][0]
-            stack.append([i, common])
-    return length, source
+    return common
 
 
-def _anchors(data: np.ndarray, length: int, gram: int, powers: textvec.Powers):
-    """Runs of window starts that share an anchor: (anchor place, first start, last start, gram hash, Rolling).
+def _anchors(data: np.ndarray, ends: np.ndarray, length: int, gram: int, powers: textvec.Powers):
+    """Runs of window starts that share an anchor: (anchor place, first start, last start, gram hash).
 
-    Every window of ``length`` bytes is answered for by its leftmost gram with the least hash, which
-    depends on the window's bytes alone; equal windows have equal anchors at equal distances.
+    ``ends`` gives, for each place, where its text stops; windows never cross it. Every window of
+    ``length`` bytes is answered for by its leftmost gram with the least hash, which depends on the
+    window's bytes alone; equal windows have equal anchors at equal distances.
     """
-    n = len(data)
-    rolling = textvec.Rolling(data, powers)
-    g = rolling.windows(gram)
-    span = length - gram + 1
+    none = np.zeros(0, np.int64)
+    n, span = len(data), length - gram + 1
     starts = n - length + 1
+    good = np.flatnonzero(np.arange(length, n + 1) <= ends[: max(starts, 0)])
+    if not len(good):
+        return none, none, none, none.view(np.uint64)
+    g = textvec.Rolling(data, powers).windows(gram)
     # upper half: the hash; lower half: the place, so that the least is the leftmost of equal ones
     pad = -len(g) % span
     ranked = (g & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(g), dtype=np.uint64)
@@ -119,56 +125,60 @@ def _anchors(data: np.ndarray, length: int, gram: int, powers: textvec.Powers):
     left = np.minimum.accumulate(full, axis=1).ravel()
     right = np.minimum.accumulate(full[:, ::-1], axis=1)[:, ::-1].ravel()
     where = (np.minimum(right[:starts], left[span - 1 : span - 1 + starts]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    cutoff = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
-    last = np.concatenate((cutoff[1:], [starts])) - 1
-    at = where[cutoff]
-    return at, cutoff, last, g[at], rolling
+    new = np.flatnonzero(np.concatenate(([True], (where[good[1:]] != where[good[:-1]]) | (good[1:] != good[:-1] + 1))))
+    lo, hi = good[new], good[np.concatenate((new[1:], [len(good)])) - 1]
+    return where[lo], lo, hi, g[where[lo]]
+
+
+def _stretches(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, int, int]]:
+    """(first row, row after the last, first byte, byte after the last) of about a megabyte each: some rows, or a part of one long row with the bytes that its windows reach into."""
+    for a, b in textvec.chunks(offsets):
+        begin, end = int(offsets[a]), int(offsets[b])
+        if b - a > 1 or end - begin <= textvec.CHUNK_BYTES:
+            yield a, b, begin, end
+        else:
+            for at in range(begin, end, textvec.CHUNK_BYTES):
+                yield a, b, at, min(end, at + textvec.CHUNK_BYTES + length - 1)
 
 
 def _scan(length: int, gram: int, key: str):
-    """(key, text hash, text) to one row per distinct (anchor, surroundings) of a text, with the window starts it covers."""
+    """(key, text hash, text) to one row per distinct (anchor, surroundings) of a text, with the window starts it covers.
+
+    Surroundings (all bytes of the windows that share an anchor) are named by BLAKE2, so equal names
+    are equal bytes. Those that a stretch of text has twice repeat by themselves; they come as rows
+    with n = 0.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = textvec.Powers()
         for batch in batches:
-            data, offsets = textvec.text_buffer(batch.column(2))
-            rows, cols, held = [], [[] for _ in range(6)], 0
-
-            def flush():
-                index = np.repeat(np.array(rows, np.int64), [len(c) for c in cols[0]]) if rows else np.zeros(0, np.int64)
-                flat = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols]
-                take = pa.array(index)
-                return pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), *(pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in flat[:2]), *(pa.array(x.astype(np.int32)) for x in flat[2:])],
-                    names=[key, "tkey", "h", "c", "anchor", "lo", "hi", "n"],
-                )
-
-            for row in range(len(offsets) - 1):
-                a, b = offsets[row], offsets[row + 1]
-                if b - a < length:
+            texts, offsets = textvec.text_buffer(batch.column(2))
+            for a, b, first, last in _stretches(offsets, length):
+                data = texts[first:last]
+                here = np.clip(offsets[a : b + 1], first, last) - first
+                at, lo, hi, h = _anchors(data, np.repeat(here[1:], np.diff(here)), length, gram, powers)
+                if not len(at):
                     continue
-                at, lo, hi, h, rolling = _anchors(data[a:b], length, gram, powers)
-                around = textvec.combine(rolling.of(lo, hi + length), (at - lo).astype(np.uint64))
-                pair = textvec.combine(h, around)
-                _, first, count = np.unique(pair, return_index=True, return_counts=True)
-                again = np.ones(len(at), bool)
-                again[first] = False
-                if again.any():  # the same surroundings twice in one text: all their starts repeat; neighbours join into one row
-                    seen_twice = np.flatnonzero(again)
-                    breaks = np.flatnonzero(np.concatenate(([True], lo[seen_twice][1:] != hi[seen_twice][:-1] + 1)))
-                    begin, stop = lo[seen_twice][breaks], hi[seen_twice][np.concatenate((breaks[1:], [len(seen_twice)])) - 1]
-                else:
-                    begin = stop = np.zeros(0, np.int64)
-                extra = len(begin)
-                rows.append(row)
-                for column, (mine, more) in zip(cols, ((h[first], np.zeros(extra, np.uint64)), (around[first], np.zeros(extra, np.uint64)), (at[first], begin), (lo[first], begin), (hi[first], stop), (count, np.zeros(extra, np.int64))), strict=True):
-                    column.append(np.concatenate((mine, more)))
-                held += len(first) + extra
-                if held > 50_000:
-                    yield flush()
-                    rows, cols, held = [], [[] for _ in range(6)], 0
-            if rows:
-                yield flush()
+                raw = memoryview(data.tobytes())
+                names = b"".join([hashlib.blake2b(raw[x:y], digest_size=8).digest() for x, y in zip(lo.tolist(), (hi + length).tolist(), strict=True)])
+                around = textvec.combine(np.frombuffer(names, np.uint64), (at - lo).astype(np.uint64))
+                row = np.searchsorted(here, lo, side="right") - 1
+                pair = textvec.combine(textvec.combine(h, around), row.astype(np.uint64))
+                _, one, inverse, count = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
+                again = np.flatnonzero(count[inverse] > 1)  # neighbours join into one row
+                breaks = np.flatnonzero(np.concatenate(([True], (lo[again][1:] != hi[again][:-1] + 1) | (row[again][1:] != row[again][:-1])))) if len(again) else again
+                pick = np.concatenate((one, again[breaks]))
+                ends = np.concatenate((one, again[np.concatenate((breaks[1:], [len(again)])) - 1] if len(again) else again))
+                n = np.concatenate((count, np.zeros(len(breaks), np.int64)))
+                shift = first - offsets[a + row[pick]]  # from places in the stretch to places in the text
+                take = pa.array(a + row[pick])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(take), batch.column(1).take(take), *(pa.array(np.where(n > 0, x[pick].view(np.int64), 0)) for x in (h, around)),
+                        *(pa.array((x + shift).astype(np.int32)) for x in (at[pick], lo[pick], hi[ends])), pa.array(n.astype(np.int32)),
+                    ],
+                    names=[key, "tkey", "h", "c", "anchor", "lo", "hi", "n"],
+                )
 
     return run
 
@@ -218,7 +228,8 @@ def _repeats(length: int):
 
     Pieces of many cells are laid end to end. Equal strings have equal anchors at equal distances,
     so a stretch of starts whose core (the bytes that all its strings share) is unique is left out;
-    the rest go into suffix order.
+    the rest go into suffix order, and their longest-previous-factor arrays, of earlier and of later
+    matches, tell which starts repeat.
     """
     powers = textvec.Powers()
 
@@ -241,18 +252,28 @@ def _repeats(length: int):
         kept = np.flatnonzero(count[inverse] > 1)
         if not len(kept):
             return
-        span = last[kept] - first[kept] + length
-        source = begin[owner[kept]] + first[kept]
+        # stretches that meet become one span of text (their places fall as the distance grows)
+        new = np.concatenate(([True], (owner[kept][1:] != owner[kept][:-1]) | (stretch[kept][1:] != stretch[kept][:-1] + 1)))
+        top = kept[np.flatnonzero(new)]
+        low_end = kept[np.concatenate((np.flatnonzero(new)[1:], [len(kept)])) - 1]
+        piece, first, last = owner[top], first[low_end], last[top]
+        span = last - first + length
         offset = np.cumsum(span) - span
         at = np.arange(span.sum()) - np.repeat(offset, span)
-        order, rank = suffix_order(data[at + np.repeat(source, span)], np.repeat(offset + span, span), length)
-        earlier, later = previous_and_next(order, rank, at + length <= np.repeat(span, span))
-        edge = np.diff(np.concatenate(([0], (earlier | later).astype(np.int8), [0])))
+        order, rank = suffix_order(data[at + np.repeat(begin[piece] + first, span)], np.repeat(offset + span, span), length)
+        order = order[(at + length <= np.repeat(span, span))[order]]  # the window starts alone, in suffix order
+        common = np.concatenate(([0], np.where(rank[order][1:] == rank[order][:-1], length, 0)))
+        numbered = np.flatnonzero(at + length <= np.repeat(span, span))
+        dense = np.empty(len(at), np.int64)
+        dense[numbered] = np.arange(len(numbered))
+        repeated = np.zeros(len(at), bool)
+        for later in (False, True):
+            repeated[numbered] |= longest_previous_factors(dense[order], common, later)[0] >= length
+        edge = np.diff(np.concatenate(([0], repeated.astype(np.int8), [0])))
         start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         which = np.searchsorted(offset, start, side="right") - 1
-        piece = owner[kept][which]
-        away = back[piece] - first[kept][which] - (start - offset[which])
-        yield pa.RecordBatch.from_arrays([pa.array(h[piece]), pa.array(c[piece]), pa.array(away.astype(np.int32)), pa.array((stop - start).astype(np.int32))], names=["h", "c", "back", "starts"])
+        away = back[piece[which]] - first[which] - (start - offset[which])
+        yield pa.RecordBatch.from_arrays([pa.array(h[piece[which]]), pa.array(c[piece[which]]), pa.array(away.astype(np.int32)), pa.array((stop - start).astype(np.int32))], names=["h", "c", "back", "starts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = [[] for _ in range(5)], 0
@@ -302,7 +323,7 @@ def repeated_starts(base: DataFrame, length: int, gram: int = GRAM) -> DataFrame
     ``base`` has _key, _text and tkey, a hash of the text.
     """
     kind = base.schema["_key"].dataType.simpleString()
-    found = base.select("_key", "tkey", "_text").mapInArrow(_scan(length, gram, "_key"), f"_key {kind}, tkey long, h long, c long, anchor int, lo int, hi int, n int")
+    found = cut(base.select("_key", "tkey", "_text").mapInArrow(_scan(length, gram, "_key"), f"_key {kind}, tkey long, h long, c long, anchor int, lo int, hi int, n int"))
     inside = found.where("n = 0").select("_key", "tkey", "lo", "hi")
     found = found.where("n > 0")
     shared = found.groupBy("h").agg(F.sum("n").alias("total")).where("total > 1").select("h")
@@ -320,7 +341,8 @@ def repeated_starts(base: DataFrame, length: int, gram: int = GRAM) -> DataFrame
     )
     texts = base.join(texts, base["_key"].eqNullSafe(texts["k"]) & (base["tkey"] == texts["t"])).select("_text", "anchors")
     pieces = texts.mapInArrow(_excerpts(length, gram, CORE_STARTS), "cell long, h long, c long, back int, piece binary")
-    parts = cut(pieces.repartition("cell").sortWithinPartitions("cell").mapInArrow(_repeats(length), "h long, c long, back int, starts int"))
+    # a fixed count: the pieces are few bytes and much work, so small partitions must not be joined
+    parts = cut(pieces.repartition(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cell").sortWithinPartitions("cell").mapInArrow(_repeats(length), "h long, c long, back int, starts int"))
     full = rows.join(whole, ["h", "c"]).select("_key", "tkey", "lo", "hi")
     part = rows.join(parts, ["h", "c"]).select("_key", "tkey", (F.col("anchor") - F.col("back")).alias("lo"), (F.col("anchor") - F.col("back") + F.col("starts") - 1).alias("hi"))
     return full.union(part).union(inside)
@@ -336,8 +358,9 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
       so equal windows meet at equal anchors. Anchors are about 1 in 140 bytes.
     * Anchors that occur once go. Equal surroundings that occur twice settle all their windows.
     * The other surroundings are gathered by anchor, one text of each kind, and put in suffix
-      order; previous and next positions with a common prefix of ``length`` mark the repeats. An
-      anchor with very many different surroundings is first split by longer shared cores.
+      order. Their longest-previous-factor arrays, from the previous and the next smaller position
+      of each place, and the same arrays of later matches mark the repeats. An anchor with very
+      many different surroundings is first split by longer shared cores.
 
     A null text counts as empty; texts shorter than ``length`` bytes lose nothing. Null or repeated
     keys are told apart by the text's hash; identical rows are copies of each other. Other columns

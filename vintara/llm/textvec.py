@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
+#: Longer words are hashed whole, one by one.
+LONG = 256
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
@@ -45,7 +49,11 @@ class Powers:
 
 
 class Rolling:
-    """Hashes of any substring of ``data`` from one prefix sum: sum of byte times base to minus its place."""
+    """Hashes of short substrings of ``data`` from one prefix sum: sum of byte times base to minus its place.
+
+    A polynomial modulo 2**64 is only trusted below some 1,000 bytes, and where a false match is found
+    out later by the bytes themselves or costs no more than a wrong neighbour.
+    """
 
     def __init__(self, data: np.ndarray, powers: Powers):
         n = len(data)
@@ -88,13 +96,37 @@ def chunks(offsets: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int,
         first = last
 
 
-def words(data: np.ndarray, offsets: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes and the length of each span, eight bytes at a time; spans over LONG bytes by BLAKE2.
+
+    Every step mixes before the next one, so no sum or polynomial of bytes decides: texts built to
+    defeat a polynomial modulo 2**64 are told apart.
+    """
+    size = end - start
+    padded = np.zeros((len(data) + 23) // 8 * 8, np.uint8)
+    padded[: len(data)] = data
+    lanes = padded.view("<u8")
+    h = mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    live, k = np.flatnonzero(size <= LONG), 0
+    while len(live):
+        at = start[live] + k
+        low = ((at & 7) << 3).astype(np.uint64)
+        value = lanes[at >> 3] >> low
+        value |= np.where(low > 0, lanes[(at >> 3) + 1] << ((np.uint64(64) - low) & np.uint64(63)), np.uint64(0))
+        h[live] = combine(h[live], value & _MASK[np.minimum(size[live] - k, 8)])
+        k += 8
+        live = live[size[live] > k]
+    for i in np.flatnonzero(size > LONG):
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
+    return h
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased (A-Z) words between white space: (row, start, end, hash), in text order. Words never cross rows."""
     n = len(data)
     if not n:
         empty = np.zeros(0, np.int64)
         return empty, empty, empty, np.zeros(0, np.uint64)
-    lower = _LOWER[data]
     solid = np.zeros(n + 2, bool)
     solid[1:-1] = ~_SPACE[data]
     first, last = solid[1:] & ~solid[:-1], ~solid[1:] & solid[:-1]
@@ -104,12 +136,12 @@ def words(data: np.ndarray, offsets: np.ndarray, powers: Powers) -> tuple[np.nda
     first[joined] = last[joined] = True
     start, end = np.flatnonzero(first), np.flatnonzero(last)
     row = np.searchsorted(offsets, start, side="right") - 1
-    return row, start, end, Rolling(lower, powers).of(start, end)
+    return row, start, end, hash_spans(_LOWER[data], start, end)
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int, powers: Powers) -> list[np.ndarray]:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
     """Each row's sorted distinct hashes of ``width`` consecutive words; a shorter row with words has its whole sequence as one."""
-    row, _, _, h = words(data, offsets, powers)
+    row, _, _, h = words(data, offsets)
     rows = len(offsets) - 1
     bounds = np.searchsorted(row, np.arange(rows + 1))
     seq = h
