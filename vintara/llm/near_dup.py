@@ -16,8 +16,10 @@ from vintara.llm.graph import components
 BANDS, ROWS = 36, 5
 #: A pair at the threshold of 0.8 misses all bands with probability (1 - 0.8 ** 5) ** 36, about 6e-7.
 BINS = BANDS * ROWS
-#: Residual groups are compared in blocks of about so many members.
-BLOCK = 500
+#: Members of open buckets meet in blocks of about so many, by their signatures.
+BLOCK = 4096
+#: Members of groups that signatures leave open meet in blocks of about so many, by their full sets.
+SET_BLOCK = 1000
 
 
 def probe_order(bins: int = BINS) -> np.ndarray:
@@ -45,13 +47,13 @@ def signature(hashes: np.ndarray, order: np.ndarray) -> np.ndarray:
     return textvec.mix(low)
 
 
-def _describe(width: int, bands: int, rows: int, key: str):
+def _describe(width: int, bands: int, rows: int):
     order = probe_order(bands * rows)
     lane = np.arange(bands, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = textvec.text_buffer(batch.column(1))
+            data, offsets = textvec.text_buffer(batch.column(2))
             for a, b in textvec.chunks(offsets):
                 at = offsets[a : b + 1]
                 sets = textvec.shingle_sets(data[at[0] : at[-1]], at - at[0], width)
@@ -69,8 +71,8 @@ def _describe(width: int, bands: int, rows: int, key: str):
                     band.append(keys.view(np.int64))
                     low.append((sig & np.uint64(255)).astype(np.uint8).tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(size, pa.int64()), pa.array(name, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(low, pa.binary())],
-                    names=[key, "n_shingles", "class", "bands", "low"],
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(size, pa.int64()), pa.array(name, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(low, pa.binary())],
+                    names=["_key", "tkey", "n_shingles", "class", "bands", "low"],
                 )
 
     return run
@@ -187,10 +189,20 @@ def _residual_links(threshold: int):
     return _by_cell(judge)
 
 
-def _in_blocks(members: DataFrame, group: str) -> DataFrame:
-    """Deal the members of each group into blocks and give every pair of blocks a cell, so that each two meet in one."""
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    dealt = members.withColumn("side", F.pmod(F.xxhash64("id", group), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+def _in_blocks(members: DataFrame, group: str, block: int) -> DataFrame:
+    """Deal the members of each group into blocks and give pairs of blocks a cell, so that each two of different components meet in one.
+
+    Members of a group's largest component never need to meet each other. So a block of them has
+    cells only with the blocks of the other members: a member of the largest component gets a row
+    for each block of the others, and one of the others a row for each block of either kind.
+    """
+    sizes = members.groupBy(group, "component").agg(F.count(F.lit(1)).alias("n_same"))
+    largest = sizes.groupBy(group).agg(F.max(F.struct("n_same", "component")).alias("top"), F.sum("n_same").alias("n_all"))
+    rest = F.ceil((F.col("n_all") - F.col("top.n_same")) / block).cast("int")
+    dealt = members.join(largest.select(group, F.col("top.component").alias("main"), rest.alias("rest"), F.ceil(F.col("top.n_same") / block).cast("int").alias("mains")), group)
+    spread, main = F.xxhash64("id", group), F.col("component") == F.col("main")
+    dealt = dealt.withColumn("side", F.when(main, F.col("rest") + F.pmod(spread, "mains")).otherwise(F.pmod(spread, "rest")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(main, F.col("rest")).otherwise(F.col("rest") + F.col("mains")) - 1)))
     return dealt.withColumn("cell", F.xxhash64(group, F.least("side", "other"), F.greatest("side", "other"))).withColumn("same", F.col("side") == F.col("other"))
 
 
@@ -202,35 +214,40 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     shingle). component_id is the smallest key reachable by links, kept marks the row that has it.
 
     * Equal sets collapse into one class first, so copies are never paired with each other.
-    * Each class gets one key per band; in each bucket only the star around its smallest class is a
-      candidate, so a bucket of n classes gives n - 1 pairs. Buckets are found by a pre-aggregated
-      minimum and joined back.
+    * Each class gets one key per band; in each bucket only the star around its most central class
+      (the one that meets most others over all bands; ties: the smallest) is a candidate, so a
+      bucket of n classes gives n - 1 pairs. An original thus becomes the hub of its variants, even
+      where these differ too much from each other. Hubs are found by pre-aggregated counts.
     * Every candidate is confirmed on the full sets, and links become components.
     * Stars alone could lose a link between two outer members. So buckets whose members ended in
-      different components are visited again, in blocks of bounded size: members of different
+      different components are visited again: the members outside a bucket's largest component meet
+      each other and all of that component, in blocks of bounded size. Members of different
       components whose 8-bit signatures do not rule the threshold out by six standard deviations
       form groups, and each group is compared on the full sets, block by block. A cell returns only
       a forest, so rows stay in proportion to members. No member is capped or dropped.
 
     Null or empty texts and texts without words have no shingles and link with nothing; their
     component_id is their key. Null keys are allowed (a group with only null keys has a null
-    component). Rows repeated with one key are nodes by their text, and each gives a row.
+    component); texts are found again by key and text, so many null keys cost no more. Rows repeated with one key are nodes by their text, and each gives a row.
     Other columns are ignored. An empty table gives no rows.
     """
-    base = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    base = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("tkey"), F.col(text).alias("_text"))
     kind = base.schema["_key"].dataType.simpleString()
-    told = cut(base.mapInArrow(_describe(width, bands, rows, "_key"), f"_key {kind}, n_shingles long, class binary, bands array<long>, low binary"))
-    classes = told.where("class is not null").groupBy("class").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("low").alias("low"), F.min("_key").alias("owner"))
+    told = cut(base.mapInArrow(_describe(width, bands, rows), f"_key {kind}, tkey long, n_shingles long, class binary, bands array<long>, low binary"))
+    classes = told.where("class is not null").groupBy("class").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("low").alias("low"), F.min("_key").alias("owner"), F.min(F.struct("_key", "tkey")).alias("one"))
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
     member = classes.select("id", F.explode("bands").alias("bucket"))
     buckets = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("hub")).where("members > 1")
     in_bucket = cut(member.join(buckets, "bucket"))
+    wide = in_bucket.where("members > 2")
+    central = wide.join(wide.groupBy("id").agg(F.sum("members").alias("met")), "id").groupBy("bucket").agg(F.max_by("id", F.struct("met", -F.col("id"))).alias("central"))
+    in_bucket = in_bucket.join(central, "bucket", "left").select("bucket", "id", "members", F.coalesce("central", "hub").alias("hub"))
     size = classes.select("id", "n")
 
     def full_sets(needed: DataFrame) -> DataFrame:
         """(id, shingles) of the classes in ``needed``, computed anew from one text of each."""
-        wanted = classes.join(needed, "id", "left_semi").select("id", "class", F.col("owner").alias("_key"))
-        texts = base.join(wanted, null_safe(base, wanted, "_key")).select("id", "class", "_text")
+        wanted = classes.join(needed, "id", "left_semi").select("id", "class", "one._key", "one.tkey")
+        texts = base.join(wanted, null_safe(base, wanted, "_key", "tkey")).select("id", "class", "_text")
         return cut(texts.mapInArrow(_sets(width), "id long, shingles array<long>").dropDuplicates(["id"]))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -246,16 +263,15 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     final = components(links)
 
     placed = in_bucket.where("members > 2").join(final.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    open_buckets = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("members")).where("x <> y").select("bucket", "members")
+    open_buckets = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
     spare = 6 * (threshold / 100 * (1 - threshold / 100) / (bands * rows)) ** 0.5
-    inside = _in_blocks(placed.join(open_buckets, "bucket"), "bucket").join(classes.select("id", "low", "n"), "id").select("cell", "side", "same", "id", "component", "low", "n")
+    inside = _in_blocks(placed.join(open_buckets, "bucket"), "bucket", BLOCK).join(classes.select("id", "low", "n"), "id").select("cell", "side", "same", "id", "component", "low", "n")
     near = inside.repartition("cell").sortWithinPartitions("cell").mapInArrow(_residual_forest(max(threshold / 100 - spare, 0.0), threshold), "a long, b long")
     near = cut(near.distinct())
     if not near.isEmpty():
         groups = cut(components(near).select(F.col("node").alias("id"), F.col("component").alias("bucket")))
-        groups = groups.join(groups.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")), "bucket")
         groups = groups.join(final.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        inside = _in_blocks(groups, "bucket").join(full_sets(groups.select("id")), "id").select("cell", "side", "same", "id", "component", "shingles")
+        inside = _in_blocks(groups, "bucket", SET_BLOCK).join(full_sets(groups.select("id")), "id").select("cell", "side", "same", "id", "component", "shingles")
         more = cut(inside.repartition("cell").sortWithinPartitions("cell").mapInArrow(_residual_links(threshold), "a long, b long"))
         final = components(links.union(more))
 
