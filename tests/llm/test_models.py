@@ -20,32 +20,76 @@ def tokens(text):
     return [x for x in re.split(r"[\x20\x09-\x0D]+", low) if x] + [None]
 
 
-def test_lattice_sums_all_segmentations():
-    pieces = [b"a", b"ab", b"b", b"ba", b"c"]
-    p = np.array([0.3, 0.2, 0.2, 0.2, 0.1])
-    lattice = lattice_lm.Lattice(pieces, np.log(p)[:, None], np.log([0.7]), np.log([0.3]))
-
-    def brute(word):
-        if not word:
-            return {0: 1.0}
-        out = Counter()
-        for k, piece in enumerate(pieces):
-            if word.startswith(piece):
-                for n, v in brute(word[len(piece) :]).items():
-                    out[n + 1] += p[k] * v
-        return out
+def readings(word, weight):
+    """Probability of each number of pieces, over all segmentations of the bytes, by recursion."""
+    longest, memo = max(map(len, weight)), {len(word): {0: 1.0}}
+    for i in range(len(word) - 1, -1, -1):
+        memo[i] = Counter()
+        for j in range(i + 1, min(i + longest, len(word)) + 1):
+            if word[i:j] in weight:
+                for n, v in memo[j].items():
+                    memo[i][n + 1] += weight[word[i:j]] * v
+    return memo[0]
+
+
+def by_pieces(word, weight):
+    stop = lattice_lm.STOP
+    return sum(v * (1 - stop) ** (n - 1) * stop for n, v in readings(lattice_lm.SIGN + word, weight).items())
 
+
+def test_lattice_sums_all_segmentations():
+    sign = lattice_lm.SIGN
+    weight = {b"a": 0.2, b"ab": 0.1, b"b": 0.1, b"ba": 0.1, b"c": 0.1, sign: 0.2, sign + b"a": 0.1, sign + b"ab": 0.1}
+    lattice = lattice_lm.Lattice(list(weight), np.log(list(weight.values())))
     words = [b"ab", b"aba", b"abba", b"cab", b"c"]
     data = np.frombuffer(b"-".join(words), np.uint8)
     size = np.array([len(w) for w in words])
-    start = np.cumsum(size + 1) - size - 1
-    one = np.zeros(len(words), int)
-    got = lattice.forward(data, start, size, one)
-    want = [math.log(sum(v * 0.7 ** (n - 1) * 0.3 for n, v in brute(w).items())) for w in words]
-    assert got == pytest.approx(want)
-    expect = np.zeros((5, 1))
-    lattice.forward(data, start, size, one, expect)
-    assert expect[4, 0] == pytest.approx(2.0)  # each c has one reading
+    got = lattice.forward(data, np.cumsum(size + 1) - size - 1, size)
+    assert got == pytest.approx([math.log(by_pieces(w, weight)) for w in words])
+
+
+def test_vocabulary_keeps_its_own_scores():
+    import public_tokenizers
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    folded = Counter()
+    for k in range(model.get_piece_size()):
+        if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k)):
+            folded[model.id_to_piece(k).translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)).encode()] += 1 / (10 - model.get_score(k))
+    pieces, logp = lattice_lm.read_vocabulary()
+    weight = {p: math.exp(w) for p, w in zip(pieces, logp)}
+    assert math.fsum(weight.values()) == pytest.approx(1.0)
+    scale = folded["the".encode()] / weight[b"the"]
+    assert all(folded[p] / scale == pytest.approx(weight[p]) for p in folded if len(p) > 1)
+    assert all(bytes([k]) in weight for k in range(256))
+
+
+def test_language_model_score_by_brute_force(spark):
+    """The whole score of every text, held out or not, in two classes, by a plain program that enumerates segmentations."""
+    texts = ["the cat sat", "the dog sat on the mat", "ein Hund und ein Haus", "das Haus the end", "", None, "unseen wordforms here the", "das Tor " * 3]
+    group = ["en", "en", "de", "de", "en", "de", "de", None]
+    train = [1, 1, 1, 1, 1, 0, 0, 0]
+    rows = [(k, *x) for k, x in enumerate(zip(texts, group, train, strict=True))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, t int")
+    got = {r["doc_id"]: r for r in lattice_lm.score_texts(docs, F.col("t") == 1, group="lang").collect()}
+    weight = {p: math.exp(w) for p, w in zip(*lattice_lm.read_vocabulary())}
+    counts = {c: Counter(w for t, g, on in zip(texts, group, train) if on and g == c for w in tokens(t)) for c in ("de", "en", None)}
+    every = counts["de"] + counts["en"]
+    n, v, d = sum(every.values()), len(every), lattice_lm.DISCOUNT
+    starts = {c: counts[c][None] for c in counts}
+    for k, t in enumerate(texts):
+        total = 0.0
+        for c, own in counts.items():
+            nc = sum(own.values())
+            free = d * len(own) / nc if nc else 1.0
+            p = (starts[c] + 0.5) / (sum(starts.values()) + 0.5 * 3)
+            for w in tokens(t):
+                spell = 0.0 if w is None else by_pieces(w.encode(), weight)
+                wide = max(every[w] - d, 0) / n + (d * v / n) * spell
+                p *= (max(own[w] - d, 0) / nc if nc else 0.0) + free * wide
+            total += p
+        assert got[k]["score"] == pytest.approx(math.log10(total), abs=1e-4), t
 
 
 def test_language_model_totals(spark):
@@ -93,12 +137,10 @@ def test_quality_odd_rows(spark):
 
 
 def test_long_texts_train_on_all_features(spark):
-    from vintara.llm import textvec
-
     text = " ".join(f"w{k}x" for k in range(3000))
     weights = quality.train_quality(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(1, 1)], "doc_id long, quality int"), epochs=1)
     raw = np.frombuffer(text.encode(), np.uint8)
-    found = quality.features(raw, np.array([0, len(raw)]), textvec.Powers())[0]
+    found = quality.features(raw, np.array([0, len(raw)]))[0]
     assert len(found) > 5000 and weights[found].all()
 
 

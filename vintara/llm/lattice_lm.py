@@ -1,4 +1,4 @@
-"""Language-model scores: a unigram lattice over subword pieces, marginal over all segmentations."""
+"""Language-model scores: a lattice of subword pieces and words, marginal over all segmentations."""
 
 from __future__ import annotations
 
@@ -17,79 +17,80 @@ FREQUENT = 65_536
 #: Mixture classes: the most frequent values of a class column, and one for all others.
 CLASSES = 8
 DISCOUNT = 0.75
-EM_ROUNDS = 2
+#: Probability that a word ends after a piece.
+STOP = 0.4
 #: Hash that stands for the end of a text among the word hashes.
 END = -(1 << 63) + 1
-#: Least probability of a single byte, so that every word has a segmentation.
-BYTE_FLOOR = 1e-7
-_WORD_CHUNK = 50_000
+#: The vocabulary's sign for the start of a word; a word's lattice runs over this sign and its bytes.
+SIGN = "▁".encode()
+_WORD_CHUNK = 20_000
 
 
 def read_vocabulary(path: str | None = None) -> tuple[list[bytes], np.ndarray]:
-    """Pieces of an existing vocabulary and their first probabilities.
+    """Pieces of an existing vocabulary and the natural logs of their probabilities, from its own scores.
 
-    The pieces of the file (word-start signs cut off, white space and control pieces left out) and
-    all single bytes. The file's scores are merge ranks, so the first probabilities fall as one
-    over the rank (Zipf); ``train_pieces`` then fits them.
+    Scores that are log probabilities are taken as they are; those of the default file are merge
+    ranks, which stand for the probability 1 / (10 + rank). Byte pieces stand for single bytes.
+    Letters A-Z are lower-cased, as those of the texts are, and pieces that then agree add up.
+    Control pieces are left out, and the rest is brought to a sum of one.
     """
     import public_tokenizers
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path("piece_bpe_32k.model"))
-    weight: dict[bytes, float] = {bytes([k]): 1e-4 for k in range(256)}
-    for k in range(model.get_piece_size()):
-        if model.is_control(k) or model.is_unknown(k) or model.is_byte(k):
-            continue
-        piece = model.id_to_piece(k).replace("▁", "").lower().encode()
-        if piece and not any(piece[i : i + 1].isspace() for i in range(len(piece))):
-            weight[piece] = weight.get(piece, 0.0) + 1 / (10 + max(0.0, -model.get_score(k)))
+    every = [k for k in range(model.get_piece_size()) if not (model.is_control(k) or model.is_unknown(k) or model.is_unused(k))]
+    score = np.array([0.0 if model.is_byte(k) else model.get_score(k) for k in every])
+    ranks = bool((score == np.rint(score)).all())
+    lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+    last = max(-score.min(), 0.0)
+    weight: dict[bytes, float] = {}
+    for k, s in zip(every, score.tolist(), strict=True):
+        if model.is_byte(k):
+            piece, p = bytes([int(model.id_to_piece(k)[1:-1], 16)]), 1 / (10 + last) if ranks else np.exp(score.min())
+        else:
+            piece, p = model.id_to_piece(k).encode(), 1 / (10 + max(0.0, -s)) if ranks else np.exp(s)
+        piece = piece.translate(lower)
+        weight[piece] = weight.get(piece, 0.0) + p
+    for k in range(256):
+        weight.setdefault(bytes([k]), min(weight.values()))
     pieces = sorted(weight)
     p = np.array([weight[x] for x in pieces])
-    return pieces, p / p.sum()
+    return pieces, np.log(p / p.sum())
 
 
 class Lattice:
-    """Piece lookups by hash, and the forward and backward recursions over many words at once."""
+    """Piece lookups by hash, and the forward recursion over the lattices of many words at once."""
 
-    def __init__(self, pieces: list[bytes], logp: np.ndarray, log_go: np.ndarray, log_stop: np.ndarray):
-        """``logp`` has a row for each piece and a column for each class, ``log_go`` and ``log_stop`` a value for each class."""
+    def __init__(self, pieces: list[bytes], logp: np.ndarray):
         self.powers = textvec.Powers()
         data = np.frombuffer(b"".join(pieces), np.uint8)
         size = np.array([len(x) for x in pieces])
         ends = np.cumsum(size)
         h = textvec.Rolling(data, self.powers).of(ends - size, ends)
         order = np.argsort(h)
-        self.hashes, self.index = h[order], order
+        self.hashes, self.logp = h[order], logp[order]
         self.longest = int(size.max())
-        self.logp, self.log_go, self.log_stop = logp, log_go, log_stop
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
 
     def arcs(self, data: np.ndarray, start: np.ndarray, size: np.ndarray):
-        """(from, to, piece) over nodes numbered start + place, one more node than bytes for each word, in order of ``from``'s place."""
+        """(from, to, log probability) over nodes numbered start + place, one more node than bytes for each word."""
         rolling = textvec.Rolling(data, self.powers)
         froms, tos, found = [], [], []
-        node = start + np.arange(len(start))
-        byte_word = np.repeat(np.arange(len(size)), size)
-        byte_at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        at = start[byte_word] + byte_at
-        room = size[byte_word] - byte_at
+        at = np.arange(int(size.sum()))
+        word = np.repeat(np.arange(len(size)), size)
+        room = (start + size)[word] - at
         for length in range(1, min(self.longest, int(size.max(initial=0))) + 1):
             ok = room >= length
-            at, room, byte_word, byte_at = at[ok], room[ok], byte_word[ok], byte_at[ok]
-            if not len(at):
-                break
+            at, room, word = at[ok], room[ok], word[ok]
             h = rolling.of(at, at + length)
             maybe = np.flatnonzero(self.sieve[(h >> np.uint64(44)).astype(np.int64)])
             where = np.searchsorted(self.hashes, h[maybe])
             where[where == len(self.hashes)] = 0
             hit = self.hashes[where] == h[maybe]
-            maybe, where = maybe[hit], where[hit]
-            froms.append(node[byte_word[maybe]] + byte_at[maybe]), tos.append(node[byte_word[maybe]] + byte_at[maybe] + length), found.append(self.index[where])
-        f, t, p = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (froms, tos, found))
-        depth = np.zeros(int(size.sum()) + len(size), np.int64)
-        depth[:] = np.arange(len(depth)) - np.repeat(node, size + 1)
-        return f, t, p, depth, node
+            node = (at + word)[maybe[hit]]
+            froms.append(node), tos.append(node + length), found.append(self.logp[where[hit]])
+        return tuple(np.concatenate(x) for x in (froms, tos, found))
 
     @staticmethod
     def _reduce(target: np.ndarray, keys: np.ndarray, values: np.ndarray) -> None:
@@ -101,44 +102,34 @@ class Lattice:
         count = np.diff(np.concatenate((first, [len(keys)])))
         target[keys[first]] = top + np.log(np.add.reduceat(np.exp(values - np.repeat(top, count)), first))
 
-    def forward(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, kind: np.ndarray, expect: np.ndarray | None = None) -> np.ndarray:
-        """Natural log of each word's probability in its class, over all segmentations.
+    def forward(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Natural log of each word's probability over all segmentations into pieces.
 
-        ``start`` and ``size`` place the words in ``data``, ``kind`` gives the class of each. A word
-        of m pieces has the pieces' probabilities, m - 1 times "go on" and once "stop". ``expect``
-        (pieces by classes) gets the expected counts of pieces added.
+        ``start`` and ``size`` place the words in ``data``. A word of m pieces has the pieces'
+        probabilities, m - 1 times "go on" and once "stop".
         """
         if not len(size):
             return np.zeros(0)
-        packed = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        data, start = data[packed], np.cumsum(size) - size
-        f, t, p, depth, node = self.arcs(data, start, size)
-        word = np.repeat(np.arange(len(size)), size + 1)[f]
-        w = self.logp[p, kind[word]] + self.log_go[kind[word]]
-        alpha = np.full(len(depth), -np.inf)
+        mark = len(SIGN)
+        whole = size + mark
+        begin = np.cumsum(whole) - whole
+        packed = np.empty(int(whole.sum()), np.uint8)
+        packed[(begin[:, None] + np.arange(mark)).ravel()] = np.tile(np.frombuffer(SIGN, np.uint8), len(size))
+        inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        packed[np.repeat(begin + mark, size) + inner] = data[np.repeat(start, size) + inner]
+        f, t, w = self.arcs(packed, begin, whole)
+        node = begin + np.arange(len(size))
+        alpha = np.full(len(packed) + len(size), -np.inf)
         alpha[node] = 0.0
-        to = depth[t]
-        by = np.argsort(to, kind="stable")
-        bounds = np.searchsorted(to[by], np.arange(1, int(size.max()) + 2))
+        depth = np.arange(len(alpha)) - np.repeat(node, whole + 1)
+        by = np.argsort(depth[t], kind="stable")
+        bounds = np.searchsorted(depth[t][by], np.arange(1, int(whole.max()) + 2))
+        go = np.log(1 - STOP)
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             arc = by[a:b]
             if len(arc):
-                self._reduce(alpha, t[arc], alpha[f[arc]] + w[arc])
-        last = node + size
-        total = alpha[last]
-        if expect is not None:
-            beta = np.full(len(depth), -np.inf)
-            beta[last] = 0.0
-            at = depth[f]
-            by = np.argsort(at, kind="stable")
-            bounds = np.searchsorted(at[by], np.arange(0, int(size.max()) + 1))
-            for a, b in reversed(list(zip(bounds[:-1], bounds[1:], strict=True))):
-                arc = by[a:b]
-                if len(arc):
-                    self._reduce(beta, f[arc], beta[t[arc]] + w[arc])
-            share = np.exp(alpha[f] + w + beta[t] - total[word])
-            expect += np.bincount(p * expect.shape[1] + kind[word], weights=share, minlength=expect.size).reshape(expect.shape)
-        return total - self.log_go[kind] + self.log_stop[kind]
+                self._reduce(alpha, t[arc], alpha[f[arc]] + w[arc] + go)
+        return alpha[node + whole] - go + np.log(STOP)
 
 
 def _lower(column: pa.Array, a: int, b: int):
@@ -150,161 +141,103 @@ def _lower(column: pa.Array, a: int, b: int):
     return lower, at - at[0]
 
 
-def _count(classes: int):
-    """(class, text) to (word hash, class, count, word), summed over a batch; the end of each text counts as a word."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            mixed = batch.column(0).to_numpy().astype(np.int64)
-            _, offsets = textvec.text_buffer(batch.column(1))
-            for a, b in textvec.chunks(offsets, 2 << 20):
-                data, at = _lower(batch.column(1), a, b)
-                row, start, end, h = textvec.words(data, at)
-                group = mixed[a:b][row]
-                code = textvec.combine(h, group.astype(np.uint64))
-                _, first, count = np.unique(code, return_index=True, return_counts=True)
-                raw = data.tobytes()
-                kinds, ends = np.unique(mixed[a:b], return_counts=True)
-                words = [raw[s:e] for s, e in zip(start[first], end[first], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate((h[first].view(np.int64), np.full(len(kinds), END)))),
-                        pa.array(np.concatenate((group[first], kinds)).astype(np.int32)),
-                        pa.array(np.concatenate((count, ends)).astype(np.int64)),
-                        pa.array(words + [b""] * len(kinds), pa.binary()),
-                    ],
-                    names=["h", "class", "n", "word"],
-                )
-
-    return run
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(class, text) to (word hash, class, count, word), summed over a batch; the end of each text counts as a word. Class -1: not learned from."""
+    for batch in batches:
+        mixed = batch.column(0).to_numpy().astype(np.int64)
+        _, offsets = textvec.text_buffer(batch.column(1))
+        held, parts, before = [], [], 0
+        for a, b in textvec.chunks(offsets, 2 << 20):
+            data, at = _lower(batch.column(1), a, b)
+            row, start, end, h = textvec.words(data, at)
+            group = mixed[a:b][row]
+            code = textvec.combine(h, group.view(np.uint64))
+            _, first, count = np.unique(code, return_index=True, return_counts=True)
+            held.append((code[first], h[first], group[first], count, start[first] + before, end[first] + before))
+            parts.append(data.tobytes())
+            before += len(data)
+        kinds, ends = np.unique(mixed, return_counts=True)
+        if held:
+            code, h, group, count, start, end = (np.concatenate(x) for x in zip(*held, strict=True))
+            _, first, inverse = np.unique(code, return_index=True, return_inverse=True)
+            total = np.bincount(inverse, weights=count).astype(np.int64)
+            raw = b"".join(parts)
+            words = [raw[s:e] for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate((h[first].view(np.int64), np.full(len(kinds), END)))),
+                    pa.array(np.concatenate((group[first], kinds)).astype(np.int32)),
+                    pa.array(np.concatenate((total, ends)).astype(np.int64)),
+                    pa.array(words + [b""] * len(kinds), pa.binary()),
+                ],
+                names=["h", "class", "n", "word"],
+            )
 
 
-def _words(batch: pa.RecordBatch, classes: int):
-    """Slices of a lexicon batch with columns h, n, word, n0, n1, ...: (slice, bytes, start, size, counts by class)."""
-    for low in range(0, batch.num_rows, _WORD_CHUNK):
-        part = batch.slice(low, _WORD_CHUNK)
-        data, offsets = textvec.text_buffer(part.column(2))
-        yield part, data, offsets[:-1], np.diff(offsets), np.stack([part.column(3 + k).to_numpy() for k in range(classes)], axis=1)
-
-
-def _expect(pieces: list[bytes], logp: np.ndarray, log_go: np.ndarray, log_stop: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = logp.shape[1]
-        lattice, expect, types = Lattice(pieces, logp, log_go, log_stop), np.zeros(logp.shape), np.zeros(classes)
-        for batch in batches:
-            for _, data, start, size, counts in _words(batch, classes):
-                word, kind = np.nonzero((counts > 0) & (size > 0)[:, None])
-                lattice.forward(data, start[word], size[word], kind, expect)
-                types += np.bincount(kind, minlength=classes)
-        some, kind = np.nonzero(expect)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((some, np.full(classes, -1)))), pa.array(np.concatenate((kind, np.arange(classes)))), pa.array(np.concatenate((expect[some, kind], types)))], names=["piece", "class", "n"])
-
-    return run
-
-
-def train_pieces(lexicon: DataFrame, classes: int, pieces: list[bytes], p: np.ndarray, rounds: int = EM_ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Fit each class's piece probabilities to its distinct words by expectation and maximisation: (log p, log go, log stop).
+def _word_scores(sent, n_all: int, spare_all: float, n_class: list[int], spare: list[float]):
+    """Lexicon rows (h, n, m, word, n0, n1, ...) to (h, n, m, logs): log10 of the word's probability in each class.
 
-    Each task sums its expected counts over the fixed vocabulary and classes, so at most one row for
-    each of these and task is shuffled and one row for each comes back. A class without words keeps
-    the first probabilities.
+    A word's lattice has its pieces and, for a word seen in training, one arc over the whole word.
+    In a class that arc weighs the word's discounted share of the class and, of the mass so freed,
+    its discounted share of all training words; what both leave goes to the pieces.
     """
-    logp = np.repeat(np.log(p)[:, None], classes, axis=1)
-    log_go, log_stop = np.full(classes, np.log(0.6)), np.full(classes, np.log(0.4))
-    byte = np.array([len(x) == 1 for x in pieces])
-    for _ in range(rounds):
-        got = lexicon.mapInArrow(_expect(pieces, logp, log_go, log_stop), "piece long, class long, n double").groupBy("piece", "class").agg(F.sum("n").alias("n")).toPandas()
-        count, types = np.zeros(logp.shape), np.zeros(classes)
-        real = got["piece"] >= 0
-        count[got["piece"][real], got["class"][real]] = got["n"][real]
-        types[got["class"][~real]] = got["n"][~real]
-        for k in np.flatnonzero(types):
-            stop = min(max(types[k] / max(count[:, k].sum(), types[k]), 1e-6), 1 - 1e-6)
-            new = count[:, k] / count[:, k].sum()
-            new[byte] = np.maximum(new[byte], BYTE_FLOOR)
-            new = np.maximum(new, 1e-12)
-            logp[:, k], log_go[k], log_stop[k] = np.log(new / new.sum()), np.log(1 - stop), np.log(stop)
-    return logp, log_go, log_stop
-
-
-def _word_scores(sent, n_all: int, spare_all: float, n_class: list[int], spare: list[float]):
-    """Lexicon rows to (h, n, logs): log10 of the word's probability in each class: discounted class counts, then all counts, then, in classes that have it, the lattice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, classes = Lattice(*sent.value), len(n_class)
         for batch in batches:
-            for part, data, start, size, counts in _words(batch, classes):
-                n = part.column(1).to_numpy()
-                sub = np.zeros(counts.shape)  # the end has no bytes and no subword part
-                word, kind = np.nonzero((counts > 0) & (size > 0)[:, None])
-                sub[word, kind] = np.exp(lattice.forward(data, start[word], size[word], kind))
-                wide = (np.maximum(n - DISCOUNT, 0) / n_all)[:, None] + spare_all * sub
+            for low in range(0, batch.num_rows, _WORD_CHUNK):
+                part = batch.slice(low, _WORD_CHUNK)
+                data, offsets = textvec.text_buffer(part.column(3))
+                counts = np.stack([part.column(4 + k).to_numpy() for k in range(classes)], axis=1)
+                pieces = lattice.forward(data, offsets[:-1], np.diff(offsets))
+                pieces[np.diff(offsets) == 0] = -np.inf  # the end has no bytes and no pieces
+                wide = np.maximum(part.column(1).to_numpy() - DISCOUNT, 0) / n_all
                 own = np.maximum(counts - DISCOUNT, 0) / np.maximum(n_class, 1)
-                logs = np.log10(own + np.array(spare) * wide).astype(np.float32)
-                ends = pa.array(np.arange(len(n) + 1, dtype=np.int32) * classes)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(ends, pa.array(logs.ravel()))], names=["h", "n", "logs"])
+                with np.errstate(divide="ignore"):
+                    whole = np.log(own + np.array(spare) * wide[:, None])
+                    logs = np.logaddexp(whole, np.log(np.array(spare) * spare_all) + pieces[:, None]) / np.log(10)
+                ends = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * classes)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(3)), pa.ListArray.from_arrays(ends, pa.array(logs.astype(np.float32).ravel()))], names=["h", "n", "m", "logs"])
 
     return run
 
 
-def _lookup(sent, frequent, floor: np.ndarray):
-    """Rows (rid, train, text) to counts, the sums over frequent words, and the other words in a list.
-
-    Training rows hold no unknown word, so only the words of other rows get lattice scores here.
-    """
+def _lookup(frequent, classes: int):
+    """Rows (rid, text) to counts, the sums over frequent words, and the hashes of the other words in a list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(*sent.value)
-        hashes, table, base = frequent.value
-        classes = len(floor)
+        hashes, table, base, known = frequent.value
         for batch in batches:
-            _, offsets = textvec.text_buffer(batch.column(2))
-            trained = batch.column(1).to_numpy(zero_copy_only=False)
-            for a, b in textvec.chunks(offsets, 4 << 20):
-                data, at = _lower(batch.column(2), a, b)
-                row, start, end, h = textvec.words(data, at)
+            _, offsets = textvec.text_buffer(batch.column(1))
+            for a, b in textvec.chunks(offsets, 2 << 20):
+                data, at = _lower(batch.column(1), a, b)
+                row, _, _, h = textvec.words(data, at)
                 signed = h.view(np.int64)
                 where = np.minimum(np.searchsorted(hashes, signed), max(len(hashes) - 1, 0))
                 often = hashes[where] == signed if len(hashes) else np.zeros(len(h), bool)
-                rows = b - a
-                tokens = np.bincount(row, minlength=rows) + 1
-                known = np.bincount(row[often], minlength=rows)
-                base_sum = np.bincount(row[often], weights=base[where[often]], minlength=rows)
-                sums = [np.bincount(row[often], weights=table[where[often], k], minlength=rows) for k in range(classes)]
-                rare = np.flatnonzero(~often)
-                new = ~trained[a:b][row[rare]]
-                _, first, inverse = np.unique(signed[rare[new]], return_index=True, return_inverse=True)
-                source = rare[new][first]
-                score = np.empty((len(first), classes), np.float32)
-                for low in range(0, len(first), _WORD_CHUNK):
-                    pick = source[low : low + _WORD_CHUNK]
-                    every = np.tile(np.arange(classes), len(pick))
-                    got = lattice.forward(data, np.repeat(start[pick], classes), np.repeat((end - start)[pick], classes), every)
-                    score[low : low + _WORD_CHUNK] = got.reshape(-1, classes) / np.log(10) + floor
-                each = np.where(new, classes, 0)
-                items = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(each))).astype(np.int32)), pa.array(score[inverse].ravel()))
-                bounds = pa.array(np.searchsorted(row[rare], np.arange(rows + 1)).astype(np.int32))
+                rows, place, rare = b - a, where[often], np.flatnonzero(~often)
+                total = lambda weights: np.bincount(row[often], weights=weights, minlength=rows)
+                sums = np.stack([total(table[place, k]) for k in range(classes)], axis=1) if len(hashes) else np.zeros((rows, classes))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, rows),
-                        pa.array(tokens.astype(np.int64)),
-                        pa.array(known.astype(np.int64)),
-                        pa.array(base_sum.astype(np.float64)),
-                        pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * classes), pa.array(np.stack(sums, axis=1).astype(np.float64).ravel())),
-                        pa.ListArray.from_arrays(bounds, pa.array(signed[rare])),
-                        pa.ListArray.from_arrays(bounds, items),
+                        pa.array((np.bincount(row, minlength=rows) + 1).astype(np.int64)),
+                        pa.array((total(known[place]) if len(hashes) else np.zeros(rows)).astype(np.int64)),
+                        pa.array((total(base[place]) if len(hashes) else np.zeros(rows)).astype(np.float64)),
+                        pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * classes), pa.array(sums.astype(np.float64).ravel())),
+                        pa.ListArray.from_arrays(pa.array(np.searchsorted(row[rare], np.arange(rows + 1)).astype(np.int32)), pa.array(signed[rare])),
                     ],
-                    names=["rid", "n_tokens", "n_known", "base", "sums", "words", "lattice"],
+                    names=["rid", "n_tokens", "n_known", "base", "sums", "words"],
                 )
 
     return run
 
 
 def _least_frequent(scores: DataFrame) -> int:
-    """A count that at most FREQUENT words reach, from a histogram of counts on a log scale (some 300 bars at most)."""
-    bar = F.floor(F.log2("n") * 8).cast("int")
+    """A number of occurrences that at most FREQUENT words reach, from a histogram on a log scale (some 300 bars at most)."""
+    bar = F.floor(F.log2("m") * 8).cast("int")
     total, least = 0, 1 << 62
-    for row in scores.where(F.col("h") != END).groupBy(bar.alias("bar")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).orderBy(F.desc("bar")).collect():
+    for row in scores.where(F.col("h") != END).groupBy(bar.alias("bar")).agg(F.count(F.lit(1)).alias("words"), F.min("m").alias("least")).orderBy(F.desc("bar")).collect():
         total += row["words"]
         if total > FREQUENT:
             break
@@ -316,23 +249,23 @@ def score_texts(docs: DataFrame, train, *, key: str = "doc_id", text: str = "tex
     """key, n_tokens, n_known, train_tokens, base_score and score for each row of ``docs``.
 
     ``train`` is a boolean column: the rows to learn from (null: no). Tokens are words between white
-    space with A-Z lower-cased, then one end. score is the log10 probability of the text:
-
-    * A word's subword probability is the sum over all its segmentations into pieces of an existing
-      vocabulary, by a forward recursion in log space; the pieces' probabilities are fitted to the
-      distinct training words.
-    * Every training word is also an arc of its own, with its discounted count; the mass so set
-      free goes to the subword arcs. The lattice's marginal adds both (a training word has subword
-      arcs in the classes that it was seen in).
+    space with A-Z lower-cased, then one end. score is the log10 probability of the text, summed
+    over all its segmentations by a forward recursion in log space; no arc of the lattice crosses
+    white space, so the recursion runs word by word:
+
+    * The pieces of an existing vocabulary are arcs, weighted by the vocabulary's own scores.
+    * A training word has one more arc, over the whole word, weighted by its discounted count; the
+      mass so set free goes to the pieces.
     * With ``group``, a text comes from one of up to CLASSES classes (its most frequent values in
-      training, and the rest): the counts of a class are discounted against those of all training
-      rows, and the text's probability sums over classes. The column itself is never used to score.
-
-    base_score is the add-one unigram score. Word counts are aggregated and stay distributed; only
-    the FREQUENT most frequent words at most, the pieces and a few totals are sent to tasks, all of fixed
-    size. A null text is empty and has the end alone. Rows repeated with one key each give a row;
-    without training rows every word is scored by its pieces alone and the end costs nothing.
-    Other columns are ignored.
+      training, and the rest), which change the weights of whole-word arcs alone: the counts of a
+      class are discounted against those of all training rows, and the text's probability sums over
+      classes. The column itself is never used to score.
+
+    base_score is the add-one unigram score. Each distinct word's lattice is worked out once for the
+    whole table. Word counts are aggregated and stay distributed; only the FREQUENT most frequent
+    words at most, the pieces and a few totals are sent to tasks, all of fixed size. A null text is
+    empty and has the end alone. Rows repeated with one key each give a row; without training rows
+    every word is scored by its pieces alone and the end costs nothing. Other columns are ignored.
     """
     spark: SparkSession = docs.sparkSession
     base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("_key"), F.col(text).alias("_text"), F.coalesce(train, F.lit(False)).alias("_train"), (F.col(group) if group else F.lit(None)).cast("string").alias("_group"))
@@ -344,31 +277,28 @@ def score_texts(docs: DataFrame, train, *, key: str = "doc_id", text: str = "tex
     for k, name in enumerate(names):
         mixed = F.when(F.col("_group").eqNullSafe(F.lit(name)), F.lit(k)).otherwise(mixed)
 
-    counted = base.where("_train").select(mixed.alias("class"), "_text").mapInArrow(_count(classes), "h long, class int, n long, word binary")
+    counted = base.select(F.when(F.col("_train"), mixed).otherwise(-1).alias("class"), "_text").mapInArrow(_count, "h long, class int, n long, word binary")
     in_class = [F.coalesce(F.sum(F.when(F.col("class") == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in range(classes)]
-    lexicon = cut(counted.groupBy("h").agg(F.sum("n").alias("n"), F.first("word").alias("word"), *in_class))
-    totals = lexicon.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), *[F.coalesce(F.sum(f"n{k}"), F.lit(0)) for k in range(classes)], *[F.count_if(F.col(f"n{k}") > 0) for k in range(classes)]).first()
+    learned = F.coalesce(F.sum(F.when(F.col("class") >= 0, F.col("n"))), F.lit(0)).alias("n")
+    lexicon = cut(counted.groupBy("h", "word").agg(learned, F.sum("n").alias("m"), *in_class))
+    totals = lexicon.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0), *[F.coalesce(F.sum(f"n{k}"), F.lit(0)) for k in range(classes)], *[F.count_if(F.col(f"n{k}") > 0) for k in range(classes)]).first()
     n_all, v_all, n_class, v_class = totals[0], totals[1], list(totals[2 : 2 + classes]), list(totals[2 + classes :])
 
-    pieces, p = read_vocabulary(vocabulary)
-    counts = lexicon.select("h", "n", "word", *[f"n{k}" for k in range(classes)])
-    model = (pieces, *train_pieces(counts, classes, pieces, p))
     spare_all = DISCOUNT * v_all / n_all if n_all else 1.0
     spare = [DISCOUNT * v / n if n else 1.0 for n, v in zip(n_class, v_class, strict=True)]
-    sent = spark.sparkContext.broadcast(model)
-    scores = cut(counts.mapInArrow(_word_scores(sent, max(n_all, 1), spare_all, n_class, spare), "h long, n long, logs array<float>"))
-    top = scores.where((F.col("h") != END) & (F.col("n") >= _least_frequent(scores))).toPandas().sort_values("h")
+    sent = spark.sparkContext.broadcast(read_vocabulary(vocabulary))
+    counts = lexicon.select("h", "n", "m", "word", *[f"n{k}" for k in range(classes)])
+    scores = cut(counts.mapInArrow(_word_scores(sent, max(n_all, 1), spare_all, n_class, spare), "h long, n long, m long, logs array<float>"))
+    top = scores.where((F.col("h") != END) & (F.col("m") >= _least_frequent(scores))).toPandas().sort_values("h")  # at most FREQUENT rows
     whole = n_all + v_all + 1
     table = np.stack(top["logs"].to_list()).astype(np.float64) if len(top) else np.zeros((0, classes))
-    frequent = spark.sparkContext.broadcast((top["h"].to_numpy(np.int64), table, np.log10((top["n"].to_numpy(np.float64) + 1) / whole)))
-
-    floor = np.log10(np.array(spare) * spare_all)
-    scored = cut(base.select("rid", "_train", "_text").mapInArrow(_lookup(sent, frequent, floor), "rid long, n_tokens long, n_known long, base double, sums array<double>, words array<long>, lattice array<array<float>>"))
-    rare = scored.select("rid", F.inline(F.arrays_zip(F.col("words").alias("h"), F.col("lattice").alias("unseen")))).join(scores, "h", "left")
-    n = F.coalesce(F.col("n"), F.lit(0))
-    logs = F.coalesce("logs", "unseen")
-    zero = F.lit(0.0)
-    rare = rare.groupBy("rid").agg(F.sum((n > 0).cast("long")).alias("known"), F.sum(F.log10((n + 1) / float(whole))).alias("base_rare"), *[F.sum(logs[k].cast("double")).alias(f"l{k}") for k in range(classes)])
+    seen = top["n"].to_numpy(np.float64)
+    frequent = spark.sparkContext.broadcast((top["h"].to_numpy(np.int64), table, np.log10((seen + 1) / whole), (seen > 0).astype(np.float64)))
+
+    scored = cut(base.select("rid", "_text").mapInArrow(_lookup(frequent, classes), "rid long, n_tokens long, n_known long, base double, sums array<double>, words array<long>"))
+    rare = scored.select("rid", F.explode("words").alias("h")).join(scores, "h")
+    logs, zero = F.col("logs"), F.lit(0.0)
+    rare = rare.groupBy("rid").agg(F.sum((F.col("n") > 0).cast("long")).alias("known"), F.sum(F.log10((F.col("n") + 1) / float(whole))).alias("base_rare"), *[F.sum(logs[k].cast("double")).alias(f"l{k}") for k in range(classes)])
     ends = lexicon.where(F.col("h") == END).first()
     end_n = ends["n"] if ends else 0
     end_base = float(np.log10((end_n + 1) / whole))
@@ -378,7 +308,7 @@ def score_texts(docs: DataFrame, train, *, key: str = "doc_id", text: str = "tex
             return 0.0
         return float(np.log10(max(ends[f"n{k}"] - DISCOUNT, 0) / max(n_class[k], 1) + spare[k] * (end_n - DISCOUNT) / n_all))
 
-    both = scored.drop("words", "lattice").join(rare, "rid", "left")
+    both = scored.drop("words").join(rare, "rid", "left")
     docs_all = sum(ends[f"n{k}"] for k in range(classes)) if ends else 0
     prior = [float(np.log10(((ends[f"n{k}"] if ends else 0) + 0.5) / (docs_all + 0.5 * classes))) for k in range(classes)]
     parts = F.array(*[F.col("sums")[k] + F.coalesce(F.col(f"l{k}"), zero) + end_log(k) + prior[k] for k in range(classes)])
