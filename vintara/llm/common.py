@@ -8,7 +8,6 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel  # noqa: F401  (re-exported for callers)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -17,16 +16,26 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return frame.select(*columns) if columns else frame
 
 
-def cut(frame: DataFrame) -> DataFrame:
-    """Write ``frame`` to the session's checkpoint folder and read it back, which ends its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, as the session's checkpoint folder.
 
-    The folder is the one in ``spark.checkpoint.dir``; a folder of our own is set only where that
-    is unset, which is the case in local tests.
+    Where the setting is missing, a local session gets a temporary folder of its own; on a cluster
+    that is an error, because executors and driver share no local folders.
     """
-    spark = frame.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut(frame: DataFrame) -> DataFrame:
+    """Write ``frame`` to the session's checkpoint folder (see ``shared_folder``) and read it back, which ends its lineage."""
+    shared_folder(frame.sparkSession)
     return frame.checkpoint(eager=True)
 
 
@@ -41,6 +50,3 @@ def null_safe(left: DataFrame, right: DataFrame, *names: str):
 def map_batches(frame: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return frame.mapInArrow(function, schema)
 
-
-def shuffle_partitions(frame: DataFrame) -> int:
-    return int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
