@@ -7,12 +7,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from vintara.llm.common import cut
 
 #: One edit is allowed for so many characters of an item.
 CHARS_PER_EDIT = 12
-#: Items shorter than this (after folding) are left out: they would match ordinary prose.
+#: Items shorter than this (after folding) are found unchanged and as whole words alone: with an edit they would match ordinary prose.
 MIN_CHARS = 24
 #: Items go to the tasks in blocks of at most so many characters, whatever the size of the benchmark.
 BLOCK_CHARS = 4 << 20
@@ -76,14 +77,19 @@ def widen(spans: list[tuple[int, int]], lo: int, hi: int) -> None:
     spans.extend(reversed(after))
 
 
-def _matches(items: list[tuple[int, str]], per_edit: int, key: str):
+def allowed(item: str, per_edit: int, min_chars: int) -> int:
+    """The edits allowed in a folded item."""
+    return len(item) // per_edit if len(item) >= min_chars else 0
+
+
+def _matches(items: list[tuple], per_edit: int, min_chars: int, key_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
         pieces: dict[str, list[tuple[int, int, int]]] = {}
         patterns: dict[int, Pattern] = {}
         for n, (_, item) in enumerate(items):
-            for at, piece in split_item(item, len(item) // per_edit):
+            for at, piece in split_item(item, allowed(item, per_edit, min_chars)):
                 pieces.setdefault(piece, []).append((n, at, len(piece)))
         search = ahocorasick.Automaton()
         for piece, where in pieces.items():
@@ -100,9 +106,12 @@ def _matches(items: list[tuple[int, str]], per_edit: int, key: str):
                         if best.get(n) == 0:
                             continue
                         item = items[n][1]
-                        budget = len(item) // per_edit
+                        budget = allowed(item, per_edit, min_chars)
                         start = end - size + 1 - at
-                        if start >= 0 and folded.startswith(item, start):
+                        if len(item) < min_chars:
+                            if folded[start - 1 : start] in ("", " ") and folded[end + 1 : end + 2] in ("", " "):
+                                best[n] = 0
+                        elif start >= 0 and folded.startswith(item, start):
                             best[n] = 0
                         elif start >= -budget:  # a match further to the left would begin before the text
                             widen(spans.setdefault(n, []), max(0, start - budget), start + len(item) + budget)
@@ -114,22 +123,22 @@ def _matches(items: list[tuple[int, str]], per_edit: int, key: str):
                     if pattern is None:
                         pattern = patterns[n] = Pattern(item)
                     distance = min(pattern.distance(folded[a:b]) for a, b in places)
-                    if distance <= len(item) // per_edit:
+                    if distance <= allowed(item, per_edit, min_chars):
                         best[n] = distance
                 index.append(row)
                 found.append([{"item_id": items[n][0], "distance": d} for n, d in sorted(best.items())])
-            kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32())]))
+            kind = pa.list_(pa.struct([("item_id", key_type), ("distance", pa.int32())]))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns)), pa.array(found, kind)], names=[*batch.schema.names, "matches"])
 
     return run
 
 
-def _blocks(items: DataFrame, key: str, text: str, min_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """The usable items, folded, in blocks of bounded size, fetched by and by; one empty block if there are none."""
+def _blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple]]:
+    """The items that are not empty, folded, in blocks of bounded size, fetched by and by; one empty block if there are none."""
     held, size, none = [], 0, True
     for row in items.select(key, text).where(F.col(key).isNotNull() & F.col(text).isNotNull()).distinct().orderBy(key, text).toLocalIterator():
         item = fold(row[1])
-        if len(item) < min_chars:
+        if not item:
             continue
         if held and size + len(item) > BLOCK_CHARS:
             yield held
@@ -153,19 +162,25 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, text: str = "text", item_ke
     with more than one, the rows are written after each block, before the next is applied, so the
     driver holds two blocks at most and one partition of the items that are still to come.
 
-    Null texts and empty texts match nothing; null items, items without a key and items shorter than
-    ``min_chars`` are left out; repeated items count once, with each of their keys. Rows repeated in
+    An item shorter than ``min_chars`` is found where it stands unchanged between spaces or the ends
+    of the text, with no edits. Null texts and empty texts match nothing; null and empty items and
+    items without a key are left out; repeated items count once, with each of their keys. Keys of
+    items may be of any type that can be ordered. Rows repeated in
     ``docs`` each get their matches. A column named matches in ``docs`` is replaced.
     """
     keep = [c for c in docs.columns if c != "matches"]
     out = None
-    for block in _blocks(items, item_key, item_text, min_chars):
-        now = docs.select(*keep) if out is None else cut(out).withColumnRenamed("matches", "__before__")
+    kind = items.schema[item_key].dataType
+    before = "before"
+    while before in docs.columns:
+        before += "_"
+    for block in _blocks(items, item_key, item_text):
+        now = docs.select(*keep) if out is None else cut(out).withColumnRenamed("matches", before)
         columns = [c for c in now.columns if c != text]
         slim = now.select(F.col(columns[0]) if columns else F.lit(1).alias("__one__"), text, *columns[1:])
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema) + ", matches array<struct<item_id:bigint,distance:int>>"
-        got = slim.mapInArrow(_matches(block, per_edit, columns[0] if columns else "__one__"), schema)
-        out = got if out is None else got.withColumn("matches", F.concat("__before__", "matches")).drop("__before__")
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema) + f", matches array<struct<item_id:{kind.simpleString()},distance:int>>"
+        got = slim.mapInArrow(_matches(block, per_edit, min_chars, to_arrow_type(kind)), schema)
+        out = got if out is None else got.withColumn("matches", F.concat(before, "matches")).drop(before)
     return out.select(*keep, "matches")
 
 
