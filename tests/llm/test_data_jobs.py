@@ -1,7 +1,7 @@
 """Sharding, decontamination, packing and the pipeline."""
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -13,6 +13,7 @@ from vintara.llm import decontaminate, packing, queries, sharding
 from .test_dedup import brute_near
 
 SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string"
 
 
 def test_shards(spark):
@@ -37,7 +38,9 @@ def test_shards_odd_rows_and_rebalancing(spark):
     assert out.count() == len(rows) and sharding.shard_documents(docs.where("false")).count() == 0
     sized = sharding.with_slot(docs.withColumn("size", F.length(F.coalesce("text", F.lit(""))) + 8), slots=64)
     sizes = sharding.slot_bytes(sized)
-    one = sharding.first_map(spark, sizes, 4, 64)
+    zero = sharding.first_map(spark, 4, 64)
+    assert zero.where("version = 0").groupBy("shard").count().where("count = 16").count() == 4
+    one = sharding.rebalance(spark, zero, sizes, 4)
     two = sharding.rebalance(spark, one, sizes, 5)
     three = sharding.rebalance(spark, two, sizes, 3)
     size = {r["virtual_slot"]: r["bytes"] for r in sizes.collect()}
@@ -46,7 +49,31 @@ def test_shards_odd_rows_and_rebalancing(spark):
         load = np.bincount([m[s] for s in m], weights=[size.get(s, 0) for s in m], minlength=n)
         assert len(m) == 64 and load.max() < 1.15 * load.mean()
     moved = sum(size.get(s, 0) for s in maps[0] if maps[0][s] != maps[1][s])
-    assert moved < 0.3 * sum(size.values()) and two.first()["version"] == 1
+    assert moved < 0.3 * sum(size.values()) and two.first()["version"] == 2
+
+
+def test_slot_map_is_stored_edited_and_read_back(spark, tmp_path):
+    path = str(tmp_path / "map")
+    docs = spark.createDataFrame([(k, f"text {k % 700}" * (k % 30)) for k in range(4000)], DOCS).withColumn("virtual_slot", F.lit("clash")).withColumn("shard", F.lit("clash"))
+    first = sharding.shard_documents(docs, shards=4, slots=256, map_path=path).collect()
+    grown = sharding.shard_documents(docs, shards=5, slots=256, map_path=path).collect()
+    assert {r["map_version"] for r in first} == {1} and {r["map_version"] for r in grown} == {2}
+    maps = [{r["virtual_slot"]: r["shard"] for r in sharding.read_map(spark, path, v).collect()} for v in (0, 1, 2)]
+    assert all(len(m) == 256 for m in maps) and maps[0] == {s: s % 4 for s in range(256)}
+    assert all(r["shard"] == maps[1][r["virtual_slot"]] for r in first) and all(r["shard"] == maps[2][r["virtual_slot"]] for r in grown)
+    moved = [s for s in range(256) if maps[1][s] != maps[2][s]]
+    assert moved and len(moved) < 0.35 * 256 and sum(maps[2][s] == 4 for s in moved) > 0.8 * len(moved)
+    assert sharding.assign(sharding.with_slot(docs, slots=256), sharding.read_map(spark, path)).count() == 4000
+
+
+def test_equal_texts_stay_together_unless_they_are_heavy(spark):
+    rows = [(None, None)] * 3000 + [(k, "heavy text " * 40) for k in range(600)] + [(k, f"light {k % 900}") for k in range(2700)]
+    out = sharding.shard_documents(spark.createDataFrame(rows, DOCS), shards=6)
+    by_text = out.where("doc_id is not null and size < 100").groupBy("text_crc32").agg(F.count_distinct("shard").alias("n"), F.count("*").alias("c"))
+    assert by_text.where("n > 1").count() == 0 and by_text.where("c = 3").count() == 900
+    load = [r["b"] for r in out.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(load) == 6 and max(load) < 1.02 * min(load)
+    assert out.groupBy("shard").agg((F.max("slot") + 1 - F.count("*")).alias("gap"), (F.count("*") - F.count_distinct("slot")).alias("twice")).where("gap <> 0 or twice <> 0").count() == 0
 
 
 def distance(item, text):
@@ -119,6 +146,15 @@ def test_leaks_clipped_at_the_start_or_behind_a_repeated_piece(spark):
         assert got[k] == [(i, d) for i, item in items if (d := distance(item, text)) <= len(item) // 12], k
 
 
+def test_short_items_are_found_unchanged_as_whole_words(spark, monkeypatch):
+    items = spark.createDataFrame([("k1", "What is  six?"), ("k2", "a"), ("k3", " "), ("k4", "x" * 24)], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "what\nis six?"), (2, "So: what is six? yes"), (3, "what is sixx?"), (4, "bab a"), (5, "ba"), (6, None), (7, "z" + "x" * 23)], "before long, text string")
+    for size in (1 << 20, 10):
+        monkeypatch.setattr(decontaminate, "BLOCK_CHARS", size)
+        got = {r["before"]: [m["item_id"] for m in r["matches"]] for r in decontaminate.find_leaks(docs, items).collect()}
+        assert got == {1: ["k1"], 2: ["k1"], 3: [], 4: ["k2"], 5: [], 6: [], 7: ["k4"]}
+
+
 def test_items_in_many_blocks(spark, monkeypatch):
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{SF}/benchmark.parquet")
     whole = sorted((r["doc_id"], str(r["matches"])) for r in decontaminate.find_leaks(docs, bench).collect())
@@ -128,10 +164,10 @@ def test_items_in_many_blocks(spark, monkeypatch):
 
 def test_blocks_are_applied_one_at_a_time(spark, monkeypatch):
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{SF}/benchmark.parquet")
-    size, seen = len(list(decontaminate._blocks(bench, "item_id", "text", 24))), []
+    size, seen = len(list(decontaminate._blocks(bench, "item_id", "text"))), []
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 3000)
     monkeypatch.setattr(decontaminate, "cut", lambda frame, f=decontaminate.cut: seen.append(1) or f(frame), raising=False)
-    blocks = decontaminate._blocks(bench, "item_id", "text", 24)
+    blocks = decontaminate._blocks(bench, "item_id", "text")
     assert size == 1 and next(blocks) and sum(map(len, blocks)) > 0
     plan = decontaminate.find_leaks(docs, bench)._jdf.queryExecution().analyzed().toString()
     assert plan.count("MapInArrow") == 1 and len(seen) > 1
@@ -142,9 +178,8 @@ def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
     bpe = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    bpe.encode_special_tokens = True
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").where("doc_id < 60")
-    extra = ["a  b", " lead", "tail ", "x \n y\n z", "a\tb", "", None, "<|endoftext|>", "naïve   café", "\n\n", "1234 5678 !?"]
+    extra = ["a  b", " lead", "tail ", "x \n y\n z", "a\tb", "", None, "<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>\n  y", "naïve   café", "\n\n", "1234 5678 !?"]
     docs = docs.unionByName(spark.createDataFrame([(1000 + k, t) for k, t in enumerate(extra)], "doc_id long, text string"))
     text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
     pieces, sequences = defaultdict(list), defaultdict(list)
@@ -169,6 +204,41 @@ def test_packing_round_trip(spark):
     assert filled > 0.95
 
 
+def test_special_tokens_by_the_tokenizers_defaults(spark):
+    import public_tokenizers as P
+
+    bpe = packing.ByteBpe(P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    assert np.frombuffer(bpe.ids("a <|endoftext|> b"), "<u4").tolist() == [64, 220, 50256, 275]
+
+
+def test_packing_of_very_short_and_alike_documents(spark):
+    rows = [(k % 500 if k % 3 else None, "a b") for k in range(9000)] + [(1, None)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, sequence_id string").withColumnRenamed("sequence_id", "text").withColumn("offset", F.lit("clash"))
+    out = packing.pack_documents(docs, size=256)
+    assert out.count() == len(rows)
+    used = out.agg(F.sum("length"), F.count_distinct("sequence_id")).first()
+    assert used[0] / (256 * used[1]) > 0.97
+    spans = out.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"), F.count_distinct("offset").alias("d"), F.count("*").alias("c"))
+    assert spans.where("n <> end or d <> c or n > 256").count() == 0
+
+
+def test_loss_limit_of_documents_acts(spark):
+    rows = [(k, "word " * (k % 90)) for k in range(400)]
+    out = packing.pack_documents(spark.createDataFrame(rows, DOCS), size=128, max_loss=60, max_segments=9).collect()
+    loss, segments, tokens = Counter(), Counter(), Counter()
+    for r in out:
+        assert r["loss_tokens"] == r["length"] - 1
+        loss[r["sequence_id"]] += r["loss_tokens"]
+        tokens[r["sequence_id"]] += r["length"]
+        segments[r["sequence_id"]] += 1
+    assert max(loss.values()) == 60 and max(segments.values()) <= 9 and max(tokens.values()) <= 128
+    assert len(loss) < 1.2 * max(sum(loss.values()) / 60, sum(segments.values()) / 9)
+    ends = {r["doc_id"]: 0 for r in out}
+    for r in sorted(out, key=lambda r: r["start"]):
+        assert r["start"] == ends[r["doc_id"]]
+        ends[r["doc_id"]] += r["length"]
+
+
 def test_three_limits_hold(spark):
     r = np.random.default_rng(3)
     rows = [(k, int(r.integers(1, 900)), int(r.integers(1, 5)), int(r.integers(0, 500)), "x") for k in range(3000)] + [(None, None, 1, 0, "x")]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -22,14 +23,22 @@ _CACHE = 300_000
 
 
 class ByteBpe:
-    """Ids of a byte-level BPE vocabulary given as merge ranks (tiktoken's file format).
+    """Ids of a byte-level BPE vocabulary given twice: as a tokenizer's JSON, which decides, and as merge ranks, which are faster.
 
-    A single space before a word always begins a new pre-token, so a text is encoded word by word
-    and words are remembered; texts with other white space beside a space are encoded whole.
+    The ranks (tiktoken's file format) have no added tokens, so a text that holds the string of one
+    goes through the JSON's tokenizer. In all others a single space before a word always begins a
+    new pre-token, so a text is encoded word by word and words are remembered; texts with other
+    white space beside a space are encoded whole.
     """
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, json_path: str, ranks_path: str, pattern: str):
         import tiktoken
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(json_path)
+        with open(json_path, encoding="utf-8") as lines:
+            added = [t["content"] for t in json.load(lines).get("added_tokens") or ()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
 
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
@@ -39,6 +48,8 @@ class ByteBpe:
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
+        if self.added and self.added.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         encode = self.encoding.encode_ordinary
         if self.mixed_space.search(text) or text[-1:].isspace():
             return np.array(encode(text), "<u4").tobytes()
@@ -58,11 +69,11 @@ class ByteBpe:
         return b"".join(out)
 
 
-def _pieces(ranks_path: str | None, pattern: str | None, end_id: int, size: int, key: str):
+def _pieces(paths: tuple[str, str, str] | None, end_id: int, size: int, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        bpe = ByteBpe(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN)
+        bpe = ByteBpe(*(paths or (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)))
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             index, start, length, crc, total = [], [], [], [], []
@@ -77,16 +88,18 @@ def _pieces(ranks_path: str | None, pattern: str | None, end_id: int, size: int,
     return run
 
 
-def token_pieces(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 2048, end_id: int = 1, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
+def token_pieces(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 2048, end_id: int = 1, tokenizer: tuple[str, str, str] | None = None) -> DataFrame:
     """Cut each document's ids (its byte-level BPE ids, then ``end_id``) every ``size`` ids.
 
     Returns key, start, length, ids_crc32 and doc_tokens for each piece; the ids themselves are not
-    moved. A null text is empty and gives the end id alone. The default vocabulary is the public one
-    with 50,257 ids; another is given by the path of its ranks and its pre-token pattern.
+    moved. Ids are those of the ``tokenizers`` library with its defaults and without special tokens
+    of its own, so a special token's string in a text is that token. A null text is empty and gives
+    the end id alone. The default vocabulary is the public one with 50,257 ids; another is given by
+    ``tokenizer``, the paths of its JSON and of its ranks, and its pre-token pattern.
     """
     base = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     kind = base.schema["_key"].dataType.simpleString()
-    return base.mapInArrow(_pieces(ranks_path, pattern, end_id, size, "_key"), f"_key {kind}, start long, length long, ids_crc32 long, doc_tokens long").withColumnRenamed("_key", key)
+    return base.mapInArrow(_pieces(tokenizer, end_id, size, "_key"), f"_key {kind}, start long, length long, ids_crc32 long, doc_tokens long").withColumnRenamed("_key", key)
 
 
 def place(sizes: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,13 +199,22 @@ def pack(items: DataFrame, *, tokens: str = "tokens", segments: str | None = Non
     return packed.select(*items.columns, "sequence_id", "offset")
 
 
-def pack_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 2048, max_segments: int = 128, **tokenizer) -> DataFrame:
-    """Tokenise, cut and pack documents: key, start, length, ids_crc32, doc_tokens, sequence_id, offset a piece.
+def pack_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 2048, max_segments: int | None = None, max_loss: int | None = None, end_id: int = 1, tokenizer: tuple[str, str, str] | None = None) -> DataFrame:
+    """Tokenise, cut and pack documents: key, start, length, ids_crc32, doc_tokens, loss_tokens, sequence_id, offset a piece.
 
-    Pieces of full ``size`` are sequences of their own; the rest are packed (see ``pack``). All
-    tokens bear loss. Null keys, repeated rows and extra columns are as in ``token_pieces``.
+    A token bears loss if something stands before it in its sequence's piece of the document, so a
+    piece has one loss-bearing token less than tokens. ``max_segments`` and ``max_loss`` limit the
+    pieces and the loss-bearing tokens of a sequence; by default both are ``size``, which a sequence
+    of very short documents reaches together with its tokens, so no padding comes of them. A piece
+    of full ``size`` leaves room for nothing and is a sequence of its own. Where a lower ``max_loss`` is given, documents are cut so that each piece
+    obeys it. Null keys, repeated rows and extra columns are as in ``token_pieces``.
     """
-    pieces = cut(token_pieces(docs, key=key, text=text, size=size, **tokenizer))
-    whole = pieces.where(F.col("length") == size).withColumn("sequence_id", F.lit(WHOLE) + F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    rest = pack(pieces.where(F.col("length") < size), tokens="length", max_tokens=size, max_segments=max_segments, max_loss=size)
+    max_loss = size if max_loss is None else max_loss
+    max_segments = size if max_segments is None else max_segments
+    cut_at = min(size, max_loss + 1)
+    pieces = token_pieces(docs, key=key, text=text, size=cut_at, end_id=end_id, tokenizer=tokenizer).withColumn("loss_tokens", F.col("length") - 1)
+    pieces = cut(pieces)
+    alone = F.col("length") == size
+    whole = pieces.where(alone).withColumn("sequence_id", F.lit(WHOLE) + F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    rest = pack(pieces.where(~alone), tokens="length", loss="loss_tokens", max_tokens=size, max_segments=max_segments, max_loss=max_loss)
     return whole.unionByName(rest)
