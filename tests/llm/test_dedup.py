@@ -78,12 +78,55 @@ def test_longest_previous_factors():
     r = random.Random(1)
     for _ in range(20):
         t = bytes(r.choice(b"ab") for _ in range(r.randint(0, 40)))
-        length, source = suffix_dedup.longest_previous_factors(t)
-        for i in range(len(t)):
-            best = max((next((k for k in range(len(t) - i) if t[j + k] != t[i + k]), len(t) - i) for j in range(i)), default=0)
-            assert length[i] == best
-            if best:
-                assert source[i] < i and t[source[i] : source[i] + best] == t[i : i + best]
+        order = suffix_dedup.suffix_order(np.frombuffer(t, np.uint8), np.full(len(t), len(t)), max(len(t), 1))[0] if t else np.zeros(0, np.int64)
+        assert [t[i:] for i in order] == sorted(t[i:] for i in range(len(t)))
+        common = suffix_dedup.common_prefixes(t, order)
+        for later in (False, True):
+            length, source = suffix_dedup.longest_previous_factors(order, common, later)
+            for i in range(len(t)):
+                others = range(i + 1, len(t)) if later else range(i)
+                best = max((next((k for k in range(len(t) - max(i, j)) if t[j + k] != t[i + k]), len(t) - max(i, j)) for j in others), default=0)
+                assert length[i] == best
+                if best:
+                    assert source[i] in others and t[source[i] : source[i] + best] == t[i : i + best]
+
+
+def thue_morse(bits):
+    """Two different words with one hash under every polynomial with an odd base modulo 2**64."""
+    a, b = "a", "b"
+    for _ in range(bits):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_hashes_tell_texts_apart_that_defeat_polynomials(spark):
+    for bits in (3, 7, 8, 11, 12):
+        a, b = (x.encode() for x in thue_morse(bits))
+        data = np.frombuffer(a + b, np.uint8)
+        x, y = textvec.hash_spans(data, np.array([0, len(a)]), np.array([len(a), len(data)]))
+        assert x != y
+    a, b = thue_morse(11)
+    got = near_dup.near_duplicates(spark.createDataFrame([(1, a), (2, b), (3, a)], DOCS), width=2).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (2, 2), (3, 1)]
+    check_repeats(spark, [(1, a), (2, b), (3, "c" * 200 + a[:900]), (4, b[500:1100])])
+
+
+def test_spans_hash_by_their_bytes_wherever_they_stand():
+    r = random.Random(9)
+    raw = bytes(r.randrange(256) for _ in range(5000))
+    spans = [(a := r.randrange(4900), a + r.choice([0, 1, 7, 8, 9, 31, 64])) for _ in range(500)]
+    alone = [int(textvec.hash_spans(np.frombuffer(raw[a:b], np.uint8), np.array([0]), np.array([b - a]))[0]) for a, b in spans]
+    together = textvec.hash_spans(np.frombuffer(raw, np.uint8), np.array([a for a, _ in spans]), np.array([b for _, b in spans]))
+    assert alone == [int(x) for x in together]
+    assert len({raw[a:b] for a, b in spans}) == len(set(alone))
+
+
+def test_repeats_in_a_text_of_several_megabytes(spark):
+    r = random.Random(12)
+    prose = "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(2_300_000))
+    passage = prose[1_048_300:1_049_400]  # across the border of two stretches
+    out = suffix_dedup.remove_repeats(spark.createDataFrame([(1, prose), (2, passage), (3, prose[500_000:500_450])], DOCS)).collect()
+    assert sorted((x["doc_id"], x["n_removed"], x["n_spans"]) for x in out) == [(1, 1100 + 450, 2), (2, 1100, 1), (3, 450, 1)]
 
 
 def shingles(text, width):
@@ -141,6 +184,7 @@ def test_near_duplicates_at_the_threshold_and_in_odd_texts(spark):
 def test_stars_alone_lose_no_link(spark, monkeypatch):
     """A chain in which hubs are often unlike both ends, in blocks of three."""
     monkeypatch.setattr(near_dup, "BLOCK", 3)
+    monkeypatch.setattr(near_dup, "SET_BLOCK", 3)
     words = [f"w{k}" for k in range(140)]
     data = [(k, " ".join(words[k : k + 40])) for k in range(0, 100, 3)] + [(500 + k, " ".join(words[k : k + 38] + ["z", "y"])) for k in range(0, 90, 7)]
     check_near(spark, data, 2)
@@ -153,6 +197,30 @@ def test_near_duplicates_with_null_and_repeated_keys(spark):
     assert sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"]) for r in out) == [(-1, 29, 4), (4, 2, 4), (4, 29, 4), (9, 30, 4), (9, 30, 4)]
 
 
+def test_variants_of_one_original_with_many_null_keys(spark, monkeypatch):
+    """Variants that are near the original and far from each other, under one null key: every class finds its own text."""
+    monkeypatch.setattr(near_dup, "BLOCK", 5)
+    r = random.Random(6)
+    words = [f"w{k}" for k in range(60)]
+    rows = [(None, " ".join(words))]
+    for k in range(40):
+        variant = list(words)
+        for at in r.sample(range(60), 2):
+            variant[at] = f"x{k}"
+        rows.append((None, " ".join(variant)))
+    rows += [(7, rows[3][1]), (8, rows[30][1]), (9, "something else")]
+    out = near_dup.near_duplicates(spark.createDataFrame(rows, DOCS), width=2).collect()
+    assert sorted((x["doc_id"] or -1, x["component_id"]) for x in out) == [(-1, 7)] * 41 + [(7, 7), (8, 7), (9, 9)]
+
+
+def test_largest_components_are_not_paired_with_themselves(spark):
+    rows = [(1, k, 0) for k in range(10_000)] + [(1, 10_000 + k, 1 + k) for k in range(3)] + [(2, k, k) for k in range(4)]
+    cells = near_dup._in_blocks(spark.createDataFrame(rows, "bucket long, id long, component long"), "bucket", 100)
+    assert cells.where("bucket = 1").count() == 10_000 + 3 * 101
+    met = cells.alias("x").join(cells.alias("y"), "cell").where("x.bucket = 2 and x.id < y.id and (x.same or x.side <> y.side)").count()
+    assert met == 6
+
+
 def test_components_in_shuffled_rounds(spark, monkeypatch):
     monkeypatch.setattr(graph, "LOCAL_EDGES", 40)
     r = random.Random(1)
@@ -216,23 +284,31 @@ def test_quantisation_bound_never_misses():
 def test_lines(spark):
     long = "This boilerplate line is long enough to count."
     data = [(k, f"own line {k} that is certainly long enough to count\n{long}\nshort", f"s{k % 5}") for k in range(10)] + [(20, None, "s0"), (21, "", "s1"), (22, long, None), (None, long + "\nx", "s3"), (0, long, "s9")]
-    docs = spark.createDataFrame(data, "doc_id long, text string, source string").withColumn("line", F.lit("clash"))
-    out = {(r["doc_id"], r["text"]): r for r in line_dedup.remove_spread_lines(docs, min_sites=5).collect()}
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string").withColumn("line", F.lit("clash")).withColumn("cut", F.lit(1)).withColumn("row", F.lit(2))
+    out = {(r["doc_id"], r["text"]): r for r in line_dedup.remove_spread_lines(docs, min_sites=5, min_bytes=40).collect()}
     assert len(out) == len(data)
     first = [r for k, r in out.items() if k[0] == 0]
     assert all(r["n_removed"] == 0 for r in first)
     assert all(out[k, t]["n_removed"] == 1 and long not in out[k, t]["kept_text"] for k, t, _ in data[1:10])
     assert out[20, None]["kept_text"] is None and out[21, ""]["kept_text"] == "" and out[22, long]["kept_text"] == ""
-    assert out[None, long + "\nx"]["kept_text"] == "x"
-    untouched = line_dedup.remove_spread_lines(docs, min_sites=7)
+    assert out[None, long + "\nx"]["kept_text"] == "x" and out[20, None]["cut"] == 1 and out[20, None]["row"] == 2
+    untouched = line_dedup.remove_spread_lines(docs, min_sites=7, min_bytes=40)
     assert untouched.agg(F.sum("n_removed")).first()[0] == 0
 
 
+def test_short_lines_and_rows_without_a_site(spark):
+    rows = [(k, f"mine {k}\nAll rights reserved.\n \n", f"s{k % 9}") for k in range(9, 27)] + [(1, "All rights reserved.", None), (None, "All rights reserved.\nq", "s1"), (None, "other", "s2")]
+    out = line_dedup.remove_spread_lines(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_sites=8).collect()
+    got = {(r["doc_id"], r["text"]): r["kept_text"] for r in out}
+    assert got[9, rows[0][1]] == rows[0][1] and got[10, rows[1][1]] == "mine 10\n \n" and got[1, rows[-3][1]] == ""
+    assert got[None, rows[-2][1]] == "q" and got[None, "other"] == "other"
+
+
 def test_words_of_many_rows():
     import pyarrow as pa
 
     texts = ["Ab cd", "", None, "ef", " g\th ", "ab"]
     data, offsets = textvec.text_buffer(pa.array(texts))
-    row, start, end, h = textvec.words(data, offsets, textvec.Powers())
+    row, start, end, h = textvec.words(data, offsets)
     assert row.tolist() == [0, 0, 3, 4, 4, 5] and [bytes(data[a:b]).decode() for a, b in zip(start, end)] == ["Ab", "cd", "ef", "g", "h", "ab"]
     assert h[0] == h[5] and len(set(h.tolist())) == 5

@@ -14,7 +14,7 @@ NEAR = 0.15
 
 def judged(line: Column, min_bytes: int | None) -> Column:
     """Whether a line can be boilerplate: at least ``min_bytes`` bytes long or, with None, anything but white space."""
-    return line.rlike(r"\S") if min_bytes is None else F.octet_length(line) >= min_bytes
+    return line.rlike(r"[^\x20\x09-\x0D]") if min_bytes is None else F.octet_length(line) >= min_bytes
 
 
 def spread_lines(docs: DataFrame, *, key: str, text: str, site: str, min_sites: int, min_bytes: int | None) -> DataFrame:
@@ -35,33 +35,34 @@ def spread_lines(docs: DataFrame, *, key: str, text: str, site: str, min_sites:
     return sure.union(near.join(exact, "line_id").select("line_id", "first_key"))
 
 
-def remove_spread_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = 8, min_bytes: int | None = 40, out: str = "kept_text") -> DataFrame:
+def remove_spread_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = 8, min_bytes: int | None = None, out: str = "kept_text") -> DataFrame:
     """``docs`` with three more columns: ``out`` (the text left), n_lines and n_removed.
 
     A line on ``min_sites`` or more distinct sites is boilerplate: it is removed everywhere but in
-    the document with the smallest key that has it, so no content leaves the corpus altogether.
-    Lines shorter than ``min_bytes`` bytes always stay; with None every line but the blank ones is
-    judged. Rows without a site count for no spread but
-    lose boilerplate too. A null text stays null with no lines; an empty text is one empty line.
-    A null key is never the first; rows repeated with one key are treated alike. Extra columns pass
-    through, whatever their names other than the three new ones.
+    the document with the smallest key among those that have it and a site, so no content leaves
+    the corpus altogether. Lines shorter than ``min_bytes`` bytes always stay; with None every line
+    but the blank ones is judged. Rows without a site count for no spread and keep no line for the
+    others, but lose boilerplate too. A null text stays null with no lines; an empty text is one
+    empty line. A null key is never the first; rows repeated with one key, or without one, are
+    told apart by their texts. Extra columns pass through, whatever their names other
+    than the three new ones.
     """
     flagged = cut(spread_lines(docs, key=key, text=text, site=site, min_sites=min_sites, min_bytes=min_bytes))
-    lines = docs.select(F.col(key).alias("__k__"), F.explode(F.split(F.col(text), "\n", -1)).alias("line"))
-    lines = lines.where(judged(F.col("line"), min_bytes)).select("__k__", F.unhex(F.md5(F.col("line").cast("binary"))).alias("line_id"))
-    hit = lines.join(flagged, "line_id").where(~F.col("__k__").eqNullSafe(F.col("first_key")))
-    by_doc = hit.groupBy("__k__").agg(F.collect_set("line_id").alias("__cut__"))
-    both = docs.join(by_doc, docs[key].eqNullSafe(by_doc["__k__"]), "left")
-    every = F.split(F.col(text), "\n", -1)
+    base = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("tk"), F.col(text).alias("t"), F.struct(*docs.columns).alias("row"))
+    lines = base.select("k", "tk", F.explode(F.split("t", "\n", -1)).alias("line")).where(judged(F.col("line"), min_bytes))
+    lines = lines.select("k", "tk", F.unhex(F.md5(F.col("line").cast("binary"))).alias("line_id"))
+    hit = lines.join(flagged, "line_id").where(~F.col("k").eqNullSafe(F.col("first_key")))
+    by_doc = hit.groupBy(F.col("k").alias("hk"), F.col("tk").alias("ht")).agg(F.collect_set("line_id").alias("cut"))
+    both = base.join(by_doc, F.col("k").eqNullSafe(F.col("hk")) & (F.col("tk") == F.col("ht")), "left")
+    every = F.split("t", "\n", -1)
     none = F.array().cast("array<binary>")
-    kept = F.filter(every, lambda x: ~(judged(x, min_bytes) & F.array_contains(F.coalesce(F.col("__cut__"), none), F.unhex(F.md5(x.cast("binary"))))))
-    kept = F.when(F.col("__cut__").isNull(), every).otherwise(kept)
-    both = both.withColumn("__kept__", kept)
+    kept = F.filter(every, lambda x: ~(judged(x, min_bytes) & F.array_contains(F.coalesce(F.col("cut"), none), F.unhex(F.md5(x.cast("binary"))))))
+    both = both.withColumn("kept", F.when(F.col("cut").isNull(), every).otherwise(kept))
     return both.select(
-        *[docs[c] for c in docs.columns if c not in (out, "n_lines", "n_removed")],
-        F.array_join("__kept__", "\n").alias(out),
+        *[F.col("row")[c].alias(c) for c in docs.columns if c not in (out, "n_lines", "n_removed")],
+        F.array_join("kept", "\n").alias(out),
         F.coalesce(F.size(every), F.lit(0)).cast("long").alias("n_lines"),
-        (F.coalesce(F.size(every), F.lit(0)) - F.coalesce(F.size("__kept__"), F.lit(0))).cast("long").alias("n_removed"),
+        (F.coalesce(F.size(every), F.lit(0)) - F.coalesce(F.size("kept"), F.lit(0))).cast("long").alias("n_removed"),
     )
 
 

@@ -58,7 +58,7 @@ def op8_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = remove_spread_lines(table(spark, sf_dir, "documents", "doc_id", "text", "source"), min_sites=8, min_bytes=40)
+    cleaned = remove_spread_lines(table(spark, sf_dir, "documents", "doc_id", "text", "source"), min_sites=8, min_bytes=None)
     return cleaned.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("kept_text", F.lit("")).cast("binary")).alias("kept_md5"))
 
 
@@ -66,7 +66,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = as_transcripts(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
     model = fit(blocks.where(~held_out("conv_id")))
     turns = parse(blocks.drop("role"), model)
-    return turns.select("conv_id", "turn_no", "role", "n_lines", F.md5(F.col("rendered").cast("binary")).alias("rendered_md5"))
+    return turns.select("conv_id", held_out("conv_id").alias("held_out"), "turn_no", "role", "n_lines", F.md5(F.col("rendered").cast("binary")).alias("rendered_md5"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -110,7 +110,7 @@ ORACLE_SQL: dict[str, str] = {
         WITH lines AS (
             SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL
         ), spread AS (
-            SELECT line, min(doc_id) AS first_doc FROM lines WHERE strlen(line) >= 40 AND source IS NOT NULL GROUP BY line HAVING count(DISTINCT source) >= 8
+            SELECT line, min(doc_id) AS first_doc FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') AND source IS NOT NULL GROUP BY line HAVING count(DISTINCT source) >= 8
         ), judged AS (
             SELECT l.doc_id, l.line, l.pos, s.line IS NOT NULL AND l.doc_id <> s.first_doc AS gone FROM lines l LEFT JOIN spread s ON l.line = s.line
         )
