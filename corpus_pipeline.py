@@ -29,9 +29,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each near-duplicate group (five words, similarity 0.8 or more)."""
-    kept = near_duplicates(docs, width=5, threshold=80).where("kept or doc_id is null").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").select(*COLUMNS)
+    """Keep one document of each near-duplicate group (five words, similarity 0.8 or more): the one with the smallest id.
+
+    Rows without an id come after those with one; of rows alike in their id the first as read stays.
+    Documents without words belong to no group and stay. The row number is that of the rows as they
+    are read, which is the same whenever the stage's input is read again.
+    """
+    numbered = docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row"))
+    keyed = numbered.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("key"), "text")
+    kept = near_duplicates(keyed, key="key", width=5, threshold=80).where("kept").select("key.row")
+    return numbered.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +59,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packing),
 ]
 
-#: The classifier and the tokenizer are beyond SQL, so the pipeline is tested against a brute-force version.
+#: The classifier and the tokenizer are beyond SQL, so tests/llm holds the pipeline against a plain program, stage by stage.
 ORACLE_SQL: str | None = None
 
 

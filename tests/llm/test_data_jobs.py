@@ -275,6 +275,75 @@ def test_pipeline_stages(spark):
     assert {r[0] for r in tables[3].select("doc_id").collect()} == want
 
 
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """All five stages against a plain program, on texts with nulls, ties and repeated rows."""
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    from .test_models import plain_ftrl, plain_score, training_order
+
+    r = np.random.default_rng(5)
+    word = lambda: "".join(r.choice(list("abcdefghijklm"), size=r.integers(3, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    item = prose(14)
+    rows = []
+    for k in range(60):
+        good = k % 3 > 0
+        text = prose(40) if good else " ".join("$%" + str(int(x)) for x in r.integers(0, 99, 30))
+        if good and k % 4 == 0:
+            text += "\nShared footer of many sites\n"
+        if k % 20 == 7:
+            text = prose(20) + " " + item[:30] + "q" + item[31:] + " " + prose(10)
+        rows.append((k, text, "x", f"s{k % 11}", len(text)))
+    rows += [(100 + k, rows[k][1] + " tail", "x", "s1", 0) for k in (1, 2, 4)] + [rows[5], (200, None, "x", None, 0), (201, "", None, "s3", 0), (None, prose(30), "x", "s4", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    marks = [(k, int(k % 3 > 0)) for k in range(60)]
+    spark.createDataFrame(marks, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    by_key = defaultdict(set)
+    for d in rows:
+        by_key[d[0]].add(d[1])
+    held = {k: zlib.crc32(str(k).encode()) % 4 == 2 for k, _ in marks}
+    copies = Counter((d[0], d[1]) for d in rows)
+    labelled = [(k, t, label) for k, label in marks if not held[k] for t in by_key[k] for _ in range(copies[k, t])]
+    weights = plain_ftrl(training_order(spark, labelled))
+    now = [d for d in rows if plain_score(d[1], weights) >= 0.7]
+    sites, first = defaultdict(set), {}
+    for d in now:
+        for line in (d[1] or "").split("\n") if d[1] is not None else ():
+            if line.strip() and d[3] is not None:
+                sites[line].add(d[3])
+                if d[0] is not None:
+                    first[line] = min(first.get(line, d[0]), d[0])
+    clean = lambda d: None if d[1] is None else "\n".join(x for x in d[1].split("\n") if len(sites[x]) < 8 or d[0] == first.get(x))
+    now = [(d[0], clean(d)) for d in now]
+    assert any(len(v) >= 8 for v in sites.values())
+    keyed = sorted({d for d in now if d[0] is not None}, key=str)
+    lows = {k for k, _, low in brute_near(keyed, 5) if k == low}
+    now = sorted({d for d in now if d[0] is None or d[0] in lows}, key=str)
+    leak = lambda t: distance(item, decontaminate.fold(t)) <= len(item) // 12
+    leaking = [d for d in now if leak(d[1])]
+    now = [d for d in now if not leak(d[1])]
+    assert leaking and len(now) > 20
+    bpe = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    want = Counter((k, zlib.crc32(np.array(bpe.encode(t or "", add_special_tokens=False).ids + [1], "<u4").tobytes())) for k, t in now)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((x["doc_id"], x["ids_crc32"]) for x in got) == want
+    load = Counter()
+    for x in got:
+        load[x["sequence_id"]] += x["length"]
+    assert max(load.values()) <= 2048
+
+
+def test_one_document_of_each_group_stays(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(4, text), (4, text), (4, text + " more"), (None, text), (9, text), (None, "own words of this one"), (None, "own words of this one"), (7, None), (7, None)]
+    docs = spark.createDataFrame([(k, t, "x", "s", 0) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((x["doc_id"] or -1, x["text"] or "") for x in corpus_pipeline.near_dedup(spark, docs, SF).collect())
+    assert got == [(-1, "own words of this one"), (4, text), (7, ""), (7, "")]
+
+
 def test_pipeline_removes_short_boilerplate_lines(spark):
     short = ["All rights reserved.", "Released under the MIT License.", "©"]
     rows = [(k, "\n".join([f"own {k}", "", short[0], " ", short[1], short[2], "seven" if k < 7 else f"no {k}"]), "x", f"s{k}", 0) for k in range(9)]

@@ -115,6 +115,65 @@ def test_language_model_odd_rows(spark):
     assert lattice_lm.score_texts(docs.where("false"), F.lit(True)).count() == 0
 
 
+def plain_features(text, bits=quality.BITS):
+    """Hashed tokens and pairs of a text, token by token."""
+    import re
+
+    from vintara.llm import textvec
+
+    one = [textvec.hash_spans(np.frombuffer(t, np.uint8), np.array([0]), np.array([len(t)])) for t in re.findall(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^A-Za-z0-9\x80-\xff\x20\x09-\x0d]+", (text or "").encode())]
+    two = [textvec.combine(a, b) for a, b in zip(one, one[1:])]
+    return sorted({int(h[0]) >> (64 - bits) for h in one + two})
+
+
+def plain_ftrl(rows, epochs=4, alpha=2.0, beta=0.03, l1=0.002, l2=0.02):
+    """Weights by the textbook rule, one number at a time; rows are (label, features) in training order."""
+    z, n = Counter(), Counter()
+
+    def weight(f):
+        return 0.0 if abs(z[f]) <= l1 else -(z[f] - math.copysign(l1, z[f])) / ((beta + math.sqrt(n[f])) / alpha + l2)
+
+    for epoch in range(epochs):
+        for k in np.random.default_rng(epoch).permutation(len(rows)):
+            label, found = rows[k]
+            x = {f: 1 / math.sqrt(max(len(found), 1)) for f in found} | {"bias": 1.0}
+            w = {f: weight(f) for f in x}
+            p = 1 / (1 + math.exp(-sum(w[f] * x[f] for f in x)))
+            for f in x:
+                g = (p - label) * x[f]
+                z[f] += g - (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / alpha * w[f]
+                n[f] += g * g
+    return {f: weight(f) for f in n}
+
+
+def plain_score(text, w):
+    found = plain_features(text)
+    margin = w.get("bias", 0.0) + (sum(w.get(f, 0.0) for f in found) / math.sqrt(len(found)) if found else 0.0)
+    return 1 / (1 + math.exp(-margin))
+
+
+def training_order(spark, labelled):
+    """Rows (key, text, label) in the order of the sample: by the hash of the key."""
+    turn = {r["k"]: r["t"] for r in spark.createDataFrame([(k,) for k, _, _ in labelled], "k long").distinct().select("k", F.xxhash64("k").alias("t")).collect()}
+    return [(label, plain_features(text)) for k, text, label in sorted(labelled, key=lambda r: (turn[r[0]], r[2], plain_features(r[1])))]
+
+
+def test_classifier_by_plain_ftrl(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    marks = [(r["doc_id"], r["quality"]) for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r["doc_id"] in text and len(text[r["doc_id"]] or "") < 3000][:40]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    want = plain_ftrl(training_order(spark, [(k, text[k], label) for k, label in marks]), epochs=2)
+    weights = quality.train_quality(docs, labels, epochs=2)
+    assert weights[-1] == pytest.approx(want["bias"], abs=1e-5)
+    assert all(weights[f] == pytest.approx(w, abs=1e-5) for f, w in want.items() if f != "bias")
+    assert np.count_nonzero(weights[:-1]) == sum(w != 0 for f, w in want.items() if f != "bias")
+    few = docs.where("doc_id < 60").unionByName(spark.createDataFrame([(None, None), (5, ""), (6, "x" * 1_500_000)], "doc_id long, text string"))
+    for r in quality.score_quality(few, weights).collect():
+        if len(r["text"] or "") < 100_000:
+            assert r["score"] == pytest.approx(plain_score(r["text"], want), abs=1e-4)
+
+
 def test_quality_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     scored = {r["doc_id"]: r for r in queries.op6_quality_classifier(spark, sf).collect()}
@@ -175,6 +234,41 @@ def test_transcripts_on_conversations(spark):
     assert same / sum(map(len, want.values())) > 0.85
 
 
+def test_viterbi_by_enumeration():
+    import itertools
+
+    r = np.random.default_rng(2)
+    codes_of = (len(transcripts.ROLES) + 1) * transcripts.LENGTHS * transcripts.SHAPES
+    model = np.log(r.random((1 + transcripts.STATES + codes_of, transcripts.STATES)) + 1e-3)
+    step, emit = model[1 : 1 + transcripts.STATES], model[1 + transcripts.STATES :]
+    for size in (1, 2, 4, 5):
+        codes = r.integers(0, codes_of, size)
+
+        def score(path, entry=-1):
+            first = model[0] if entry < 0 else step[entry]
+            return first[path[0]] + sum(step[a, b] for a, b in zip(path, path[1:])) + sum(emit[c, s] for c, s in zip(codes, path))
+
+        paths = list(itertools.product(range(transcripts.STATES), repeat=size))
+        assert tuple(transcripts.viterbi(model, codes)) == max(paths, key=score)
+        assert tuple(transcripts.viterbi(model, codes, 3, 1)) == max((p for p in paths if p[-1] == 1), key=lambda p: score(p, 3))
+        best = transcripts.passage(model, codes, False)
+        assert best[2, 4] == pytest.approx(max(score(p, 2) for p in paths if p[-1] == 4))
+        assert transcripts.passage(model, codes, True)[5, 0] == pytest.approx(max(score(p) for p in paths if p[-1] == 0))
+
+
+def test_transcripts_with_null_keys_ties_and_repeated_rows(spark):
+    conv = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    model = transcripts.fit(transcripts.as_transcripts(conv))
+    rows = [(None, 0, "User: a"), (None, 1, "Assistant: b\nc"), (4, 0, "User: x?"), (4, 0, "User: x?"), (4, None, "System: s"), (9, 2, "")]
+    out = transcripts.parse(spark.createDataFrame(rows, "conv_id long, turn long, text string").withColumn("codes", F.lit("clash")), model).collect()
+    lines = Counter()
+    for r in out:
+        lines[r["conv_id"]] += r["n_lines"]
+    assert lines == {None: 3, 4: 3, 9: 1}
+    four = sorted((r["turn_no"], r["body"]) for r in out if r["conv_id"] == 4)
+    assert [k for k, _ in four] == list(range(len(four))) and "\n".join(b for _, b in four) == "s\nx?\nx?"  # null orders first, ties as read
+
+
 def test_marked_transcript_is_rendered(spark):
     conv = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
     model = transcripts.fit(transcripts.as_transcripts(conv))

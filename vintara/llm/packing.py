@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vintara.llm import textvec
 from vintara.llm.common import cut
 
 #: Pieces that are placed together; a group is one call of the heuristic.
@@ -20,6 +21,11 @@ GROUP = 4096
 #: Sequences filled whole by one piece are numbered from here, so they never meet the packed ones.
 WHOLE = 1 << 62
 _CACHE = 300_000
+_WHITE = np.zeros(256, bool)
+_WHITE[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
+#: First bytes of white space beyond ASCII.
+_LEAD = np.zeros(256, bool)
+_LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 class ByteBpe:
@@ -27,8 +33,8 @@ class ByteBpe:
 
     The ranks (tiktoken's file format) have no added tokens, so a text that holds the string of one
     goes through the JSON's tokenizer. In all others a single space before a word always begins a
-    new pre-token, so a text is encoded word by word and words are remembered; texts with other
-    white space beside a space are encoded whole.
+    new pre-token, so a text can be cut there and each distinct unit encoded once (``units``). Texts
+    with other white space beside a space, or at their end, are encoded whole.
     """
 
     def __init__(self, json_path: str, ranks_path: str, pattern: str):
@@ -44,29 +50,102 @@ class ByteBpe:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.mixed_space = re.compile(r" \s|\s ")
-        self.known: dict[str, bytes] = {}
+        self.bytes_of = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.bytes_of[list(ranks.values())] = [len(x) for x in ranks]
+        self.forget()
+
+    def forget(self) -> None:
+        """Units known so far: their hashes in order, and where the ids of each stand in the pool."""
+        self.hashes, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.uint32)
+
+    def plain(self, text: str) -> bool:
+        """Whether every space of a text is one space before a word, so that the text may be cut there."""
+        return not (self.mixed_space.search(text) or text[-1:].isspace())
+
+    def units(self, hashes: np.ndarray, raw: bytes, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, size, pool): where the ids of each of several distinct units stand in the pool; ``hashes`` are in order.
+
+        Units that are not known yet are encoded in one call where they begin with a space; the
+        bytes of the ids tell where each unit ends.
+        """
+        where = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
+        new = np.flatnonzero(self.hashes[where] != hashes) if len(self.hashes) else np.arange(len(hashes))
+        if len(new):
+            joined = np.array([raw[k] == 0x20 for k in start[new].tolist()], bool)
+            lot, single = new[joined], new[~joined]
+            pieces = [raw[a:b] for a, b in zip(start[lot].tolist(), stop[lot].tolist(), strict=True)]
+            ids = np.array(self.encoding.encode_ordinary(b"".join(pieces).decode()), np.uint32)
+            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(stop[lot] - start[lot]), side="right")
+            alone = [np.array(self.encoding.encode_ordinary(raw[a:b].decode()), np.uint32) for a, b in zip(start[single].tolist(), stop[single].tolist(), strict=True)]
+            size = np.concatenate((np.diff(ends, prepend=0), [len(x) for x in alone])).astype(np.int64)
+            at = len(self.pool) + np.cumsum(size) - size
+            self.pool = np.concatenate((self.pool, ids, *alone))
+            every = np.concatenate((self.hashes, hashes[lot], hashes[single]))
+            order = np.argsort(every)
+            self.hashes, self.at, self.size = every[order], np.concatenate((self.at, at))[order], np.concatenate((self.size, size))[order]
+            where = np.searchsorted(self.hashes, hashes)
+        got = self.at[where], self.size[where], self.pool
+        if len(self.hashes) > _CACHE:
+            self.forget()
+        return got
 
     def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
+        """Ids of a whole text, in the same form."""
         if self.added and self.added.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        encode = self.encoding.encode_ordinary
-        if self.mixed_space.search(text) or text[-1:].isspace():
-            return np.array(encode(text), "<u4").tobytes()
-        known, out = self.known, []
-        first = True
-        for word in text.split(" "):
-            unit = word if first else " " + word
-            first = False
-            got = known.get(unit)
-            if got is None:
-                got = np.array(encode(unit), "<u4").tobytes()
-                if len(unit) < 64:
-                    if len(known) >= _CACHE:
-                        known.clear()
-                    known[unit] = got
-            out.append(got)
-        return b"".join(out)
+        return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
+
+
+def _near_space(data: np.ndarray) -> np.ndarray:
+    """Places of spaces that stand, or may stand, beside other white space; the Unicode kinds have two or three bytes."""
+    n = len(data)
+    wide = np.zeros(n + 6, np.uint8)
+    wide[3 : n + 3] = data
+    space = np.flatnonzero(data == 0x20)
+    after, before, two, three = (wide[space + 3 + k] for k in (1, -1, -2, -3))
+    return space[_WHITE[after] | _WHITE[before] | _LEAD[after] | (two == 0xC2) | (_LEAD[three] & (three != 0xC2))]
+
+
+def _encode(bpe: ByteBpe, texts: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, bounds) of several texts, each with the end id: all ids in a row, and where each text's begin and stop.
+
+    Texts in which every space begins a pre-token are cut at their spaces, and each distinct unit of
+    the stretch is encoded once. Other texts are encoded whole.
+    """
+    rows = len(offsets) - 1
+    raw = texts.tobytes()
+    part = lambda k: raw[offsets[k] : offsets[k + 1]].decode()
+    odd = np.zeros(rows, bool)
+    odd[np.searchsorted(offsets, _near_space(texts), side="right") - 1] = True
+    some = np.flatnonzero(np.diff(offsets) > 0)
+    odd[some[_WHITE[texts[offsets[some + 1] - 1]] | (texts[offsets[some + 1] - 1] >= 0x80)]] = True
+    odd = np.array([o and not bpe.plain(part(k)) for k, o in enumerate(odd)])
+    if bpe.added is not None and bpe.added.search(raw.decode()):
+        odd |= np.array([bool(bpe.added.search(part(k))) for k in range(rows)])
+    first = texts == 0x20
+    first[offsets[:-1][offsets[:-1] < len(texts)]] = True
+    start = np.flatnonzero(first)
+    stop = np.concatenate((start[1:], [len(texts)])) if len(start) else start
+    row = np.searchsorted(offsets, start, side="right") - 1
+    used = ~odd[row]
+    start, stop, row = start[used], stop[used], row[used]
+    hashes, one, which = np.unique(textvec.hash_spans(texts, start, stop), return_index=True, return_inverse=True)
+    at, size, pool = bpe.units(hashes, raw, start[one], stop[one])
+    whole = {k: bpe.ids(part(k)) for k in np.flatnonzero(odd).tolist()}
+    each = size[which]
+    count = np.bincount(row, weights=each, minlength=rows).astype(np.int64)
+    for k, ids in whole.items():
+        count[k] = len(ids) >> 2
+    bounds = np.concatenate(([0], np.cumsum(count + 1)))
+    out = np.full(int(bounds[-1]), end, "<u4")
+    inner = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+    before = np.cumsum(each) - each  # units of a text follow one another
+    base = bounds[row] + before - before[np.searchsorted(row, row)] if len(row) else before
+    out[np.repeat(base, each) + inner] = pool[np.repeat(at[which], each) + inner]
+    for k, ids in whole.items():
+        out[bounds[k] : bounds[k] + count[k]] = np.frombuffer(ids, "<u4")
+    return out, bounds
 
 
 def _pieces(paths: tuple[str, str, str] | None, end_id: int, size: int, key: str):
@@ -74,16 +153,19 @@ def _pieces(paths: tuple[str, str, str] | None, end_id: int, size: int, key: str
         import public_tokenizers
 
         bpe = ByteBpe(*(paths or (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)))
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            index, start, length, crc, total = [], [], [], [], []
-            for row, text in enumerate(batch.column(1)):
-                ids = bpe.ids(text.as_py() or "") + end
-                n = len(ids) // 4
-                for at in range(0, n, size):
-                    part = ids[4 * at : 4 * (at + size)]
-                    index.append(row), start.append(at), length.append(len(part) // 4), crc.append(zlib.crc32(part)), total.append(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))], names=[key, "start", "length", "ids_crc32", "doc_tokens"])
+            texts, offsets = textvec.text_buffer(batch.column(1))
+            for a, b in textvec.chunks(offsets):
+                here = offsets[a : b + 1] - offsets[a]
+                ids, bounds = _encode(bpe, texts[offsets[a] : offsets[b]], here, end_id)
+                total = np.diff(bounds)
+                pieces = -(-total // size)
+                row = np.repeat(np.arange(b - a), pieces)
+                start = (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * size
+                length = np.minimum(total[row] - start, size)
+                view = memoryview(ids.tobytes())
+                crc = [zlib.crc32(view[x:y]) for x, y in zip((4 * (bounds[row] + start)).tolist(), (4 * (bounds[row] + start + length)).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(a + row)), *(pa.array(x, pa.int64()) for x in (start, length, crc, total[row]))], names=[key, "start", "length", "ids_crc32", "doc_tokens"])
 
     return run
 
@@ -106,33 +188,38 @@ def place(sizes: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Bins for items with several sizes each (rows of ``sizes``) under several limits: (bin, order within it).
 
     One bin is open at a time. Of the items that still fit, the one whose sizes have the greatest
-    weighted dot product with the room left is taken (ties: the earlier item); a dimension weighs as
-    much as the items need of it together. When none fits the next bin opens. Every item must fit
+    weighted dot product with the room left is taken (ties: the larger one, then the earlier one); a
+    dimension weighs as much as the items need of it together. When none fits the next bin opens. Every item must fit
     an empty bin.
     """
-    share = sizes / limits
-    weight = share.sum(axis=0)
-    scaled = share * weight
-    free = np.ones(len(sizes), bool)
+    kinds, kind_of, left_of_kind = np.unique(sizes, axis=0, return_inverse=True, return_counts=True)
+    kinds, left_of_kind = kinds[::-1], left_of_kind[::-1].copy()  # items of one size are alike: largest first
+    order = np.argsort(len(kinds) - 1 - kind_of.ravel(), kind="stable")
+    taken = np.cumsum(left_of_kind) - left_of_kind
+    share = kinds / limits
+    scaled = share * (share * left_of_kind[:, None]).sum(axis=0)
+    first = -kinds[:, 0]
     bins, places = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
     at, left, filled = 0, limits.astype(np.float64), 0
-    live = np.arange(len(sizes))
-    while len(live):
-        fits = (sizes[live] <= left).all(axis=1)
-        if not fits.any():
+    for _ in range(len(sizes)):
+        while True:
+            low = np.searchsorted(first, -left[0])  # kinds before have too many tokens
+            fits = left_of_kind[low:] > 0
+            for k in range(1, sizes.shape[1]):
+                fits &= kinds[low:, k] <= left[k]
+            score = np.where(fits, scaled[low:] @ (left / limits), -1.0)
+            best = low + int(score.argmax()) if len(score) else 0
+            if len(score) and score[best - low] >= 0:
+                break
             if not filled:
                 raise ValueError("an item exceeds the limits of an empty bin")
             at, left, filled = at + 1, limits.astype(np.float64), 0
-            live = live[free[live]]
-            continue
-        score = np.where(fits, scaled[live] @ (left / limits), -1.0)
-        best = int(score.argmax())
-        item = live[best]
+        item = order[taken[best]]
+        taken[best] += 1
+        left_of_kind[best] -= 1
         bins[item], places[item] = at, filled
-        left = left - sizes[item]
+        left = left - kinds[best]
         filled += 1
-        free[item] = False
-        live = np.delete(live, best)
     return bins, places
 
 
