@@ -21,6 +21,8 @@ MARKER_NAMES = {
 #: States: the first line of a turn of each role, then a further line of each role.
 STATES = 2 * len(ROLES)
 LENGTHS = 10
+#: Shapes of a line: plain, a question, an item of a list or a line of code, blank.
+SHAPES = 4
 #: A conversation with more lines than this is cut into chunks that are solved apart.
 CHUNK_LINES = 4096
 CHUNK_TURNS = 64
@@ -33,7 +35,11 @@ HEADING = rf"^\s*#+\s*(?i:({_NAMES}))\s*$"
 
 
 def observe(text: str = "text"):
-    """(bodies, codes): each line without its marker, and marker kind * LENGTHS + size class (log2 of its characters)."""
+    """(bodies, codes): each line without its marker, and its features as one number.
+
+    The features are the kind of marker, a size class (log2 of the characters) and the shape of the
+    line; the code is (kind * LENGTHS + size) * SHAPES + shape.
+    """
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
 
     def code(line):
@@ -42,7 +48,8 @@ def observe(text: str = "text"):
         for k, role in enumerate(ROLES, 1):
             kind = F.when(name.isin(*MARKER_NAMES[role]), F.lit(k)).otherwise(kind)
         size = F.least(F.floor(F.log2(F.char_length(line) + F.lit(1))), F.lit(LENGTHS - 1))
-        return (kind * LENGTHS + size).cast("int")
+        shape = F.when(F.trim(line) == "", 3).when(line.rlike(r"\?\s*$"), 1).when(line.rlike(r"^\s*(?:[-*•]\s|\d+[.)]\s|```|\t| {4})"), 2).otherwise(0)
+        return ((kind * LENGTHS + size) * SHAPES + shape).cast("int")
 
     return F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(x, MARKER, ""), HEADING, "")), F.transform(lines, code)
 
@@ -55,7 +62,7 @@ def fit(messages: DataFrame, *, key: str = "conv_id", turn: str = "turn", role:
     product. Roles other than the three and null roles are left out. No rows give even odds.
     """
     known = messages.where(F.col(role).isin(*ROLES)).select(F.col(key).alias("k"), F.col(turn).cast("long").alias("t"), F.col(role).alias("role"), observe(text)[1].alias("codes"))
-    seen = known.select("role", F.posexplode("codes").alias("pos", "code")).groupBy("role", (F.col("pos") > 0).alias("more"), "code").count().collect()  # at most 6 * 40 rows
+    seen = known.select("role", F.posexplode("codes").alias("pos", "code")).groupBy("role", (F.col("pos") > 0).alias("more"), "code").count().collect()  # at most 6 * 160 rows
     shape = known.groupBy("role").agg(F.count(F.lit(1)).alias("turns"), F.count_if(F.size("codes") > 1).alias("longer"), F.sum(F.size("codes") - 1).alias("further")).collect()
     each = known.groupBy("k", "t").agg(*[F.avg((F.col("role") == r).cast("double")).alias(r) for r in ROLES])
     before = each.select("k", (F.col("t") + 1).alias("t"), *[F.col(r).alias(f"was_{r}") for r in ROLES])
@@ -70,12 +77,17 @@ def fit(messages: DataFrame, *, key: str = "conv_id", turn: str = "turn", role:
         k = ROLES.index(row["role"])
         stay[0, k] = (row["longer"] + 0.5) / (row["turns"] + 1)
         stay[1, k] = (row["further"] - row["longer"] + 0.5) / (row["further"] + 1)
-    emit = np.full((STATES, (n + 1) * LENGTHS), 0.5)
+    counts = np.zeros((STATES, (n + 1) * LENGTHS * SHAPES))
     for row in seen:
-        emit[ROLES.index(row["role"]) + n * row["more"], row["code"]] += row["count"]
-    kinds = emit.reshape(STATES, n + 1, LENGTHS)
-    by_kind = kinds.sum(axis=2) / kinds.sum(axis=(1, 2))[:, None]
-    by_size = kinds.sum(axis=1) / kinds.sum(axis=(1, 2))[:, None]
+        counts[ROLES.index(row["role"]) + n * row["more"], row["code"]] += row["count"]
+    counts = counts.reshape(STATES, n + 1, LENGTHS, SHAPES)
+
+    def share(*others: int) -> np.ndarray:
+        one = counts.sum(axis=others) + 0.5
+        return one / one.sum(axis=1, keepdims=True)
+
+    by_kind, by_size, by_shape = share(2, 3), share(1, 3), share(1, 2)
+    emit = by_kind[:, :, None, None] * by_size[:, None, :, None] * by_shape[:, None, None, :]  # features are taken as independent
     step = np.full((STATES, STATES), 1e-12)
     for late in range(2):
         for k in range(n):
@@ -83,7 +95,7 @@ def fit(messages: DataFrame, *, key: str = "conv_id", turn: str = "turn", role:
             step[k + n * late, n + k] = stay[late, k]
     first = np.full(STATES, 1e-12)
     first[:n] = start / start.sum()
-    return np.log(np.concatenate((first[None, :], step, (by_kind[:, :, None] * by_size[:, None, :]).reshape(STATES, -1).T)))
+    return np.log(np.concatenate((first[None, :], step, emit.reshape(STATES, -1).T)))
 
 
 def viterbi(model: np.ndarray, codes: np.ndarray, entry: int = -1, leave: int = -1) -> np.ndarray:
