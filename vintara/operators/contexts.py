@@ -26,11 +26,11 @@ def match_contexts(candidates: DataFrame, inline: DataFrame) -> DataFrame:
 
 
 def map_concepts(facts: DataFrame, mapping: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
-    """Attach canonical concept and priority from a small mapping; an issuer's own rule replaces the standard one."""
-    rows = facts.join(F.broadcast(mapping), "taxonomy_concept", "left")
+    """Attach canonical concept and priority from a mapping; an issuer's own rule replaces the standard one. Spark broadcasts small mappings by their size."""
+    rows = facts.join(mapping, "taxonomy_concept", "left")
     if overrides is not None:
         own = overrides.select("issuer", "taxonomy_concept", F.col("canonical_concept").alias("_c"), F.col("priority").alias("_p"))
-        rows = rows.join(F.broadcast(own), ["issuer", "taxonomy_concept"], "left")
+        rows = rows.join(own, ["issuer", "taxonomy_concept"], "left")
         rows = rows.withColumn("canonical_concept", F.coalesce("_c", "canonical_concept")).withColumn("priority", F.coalesce("_p", "priority")).drop("_c", "_p")
     return rows.where("canonical_concept is not null")
 

@@ -33,8 +33,8 @@ def unresolved(rows: DataFrame, references: str, catalog: DataFrame, key: str) -
 def missing_cells(rows: DataFrame, entity: str, metric: str) -> DataFrame:
     """Pairs of entity and metric that a complete rectangle would have and ``rows`` has not.
 
-    The list of metrics is one aggregated row; what each entity lacks is an array difference, so the
-    rectangle itself is never built.
+    The list of metrics is one aggregated row, which bounds it to some ten thousand names; what each
+    entity lacks is an array difference, so the rectangle itself is never built.
     """
     every = rows.agg(F.collect_set(metric).alias("_all"))
     held = rows.groupBy(entity).agg(F.collect_set(metric).alias("_own"))
@@ -73,6 +73,17 @@ def row_differences(reference: DataFrame, actual: DataFrame, keys: tuple[str, ..
     return both.orderBy(*keys).limit(first).select(*keys, F.array_join("columns", "|").alias("columns"))
 
 
+def first_differences(reference: DataFrame, actual: DataFrame, artifact: str, keys: tuple[str, ...], first: int = 10) -> DataFrame:
+    """The first differing rows of each artifact in key order: artifact, keys, place and the names of unequal columns."""
+    every = (artifact, *keys)
+    values = [c for c in reference.columns if c not in every]
+    a, b = reference.select(*every, F.struct(*values).alias("_a")), actual.select(*every, F.struct(*values).alias("_b"))
+    names = F.array_compact(F.array(*[F.when(~F.col(f"_a.{c}").eqNullSafe(F.col(f"_b.{c}")), c) for c in values]))
+    both = a.join(b, list(every), "full_outer").withColumn("columns", names).where("_a is null or _b is null or size(columns) > 0")
+    place = F.row_number().over(Window.partitionBy(artifact).orderBy(*keys))
+    return both.withColumn("place", place).where(F.col("place") <= first).select(*every, "place", F.array_join("columns", "|").alias("columns"))
+
+
 def observation_reason(model_date: Column, current: bool = True) -> Column:
     """First thing wrong with an observation, null if nothing: identity, date, lineage, construction, look-ahead, order, age."""
     d, available, end = F.col("model_date"), F.col("available"), F.col("q_end")

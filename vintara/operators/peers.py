@@ -63,7 +63,7 @@ def robust_z(rows: DataFrame, group: tuple[str, ...], value: str) -> DataFrame:
     return near.join(mad, list(group), "left").withColumn("z", F.when(F.col("mad") > 0, z)).drop("_off")
 
 
-def withhold(rows: DataFrame, group: tuple[str, ...], value: str, scores: tuple[str, ...], scenarios: DataFrame, approved: DataFrame | None = None, issuer: str = "issuer") -> DataFrame:
+def withhold(rows: DataFrame, group: tuple[str, ...], value: str, scores: tuple[str, ...], scenarios: DataFrame, approved: DataFrame | None = None, issuer: tuple[str, ...] = ("issuer",)) -> DataFrame:
     """Scored rows under each scenario: ``scores`` are null for groups below the scenario's min_peers and for held issuers.
 
     Adds scenario (where ``rows`` have it already, it is part of the group), peer_count, min_peers and
@@ -77,7 +77,7 @@ def withhold(rows: DataFrame, group: tuple[str, ...], value: str, scores: tuple[
     out = out.join(counts, list(group), "left") if group else out.crossJoin(F.broadcast(counts))
     held = F.lit(False)
     if approved is not None:
-        out = out.join(approved.select(issuer, F.lit(True).alias("_approved")).distinct(), issuer, "left")
+        out = out.join(approved.select(*issuer, F.lit(True).alias("_approved")).distinct(), list(issuer), "left")
         held = F.col("_approved").isNull()
     status = F.when(F.col(value).isNull(), None).when(held, "COMPANY_COVERAGE_HOLD").when(F.col("peer_count") < F.col("min_peers"), "PEER_GROUP_INSUFFICIENT").otherwise("PASS")
     out = out.withColumn("normalization_status", status)
@@ -101,7 +101,7 @@ def spearman(pairs: DataFrame, group: tuple[str, ...], left: str, right: str) ->
     return parts.select(*group, "n", F.try_divide(F.col("_c"), F.col("_x") * F.col("_y")).alias("rho"))
 
 
-def narrowest_peer_group(rows: DataFrame, value: str, levels: tuple[tuple[str, str, int], ...], metric: str = "input_id") -> DataFrame:
+def narrowest_peer_group(rows: DataFrame, value: str, levels: tuple[tuple[str, str, int], ...], metric: tuple[str, ...] = ("input_id",)) -> DataFrame:
     """Each row with the narrowest level that has enough peers: level, key and peers, or nulls.
 
     ``levels`` lists (level, key column, minimum) from narrow to wide. Counts are aggregated per
@@ -109,7 +109,7 @@ def narrowest_peer_group(rows: DataFrame, value: str, levels: tuple[tuple[str, s
     """
     counted = rows
     for level, key, _ in levels:
-        n = rows.where(F.col(value).isNotNull()).groupBy(metric, key).agg(F.count(F.lit(1)).alias(f"_n_{level}"))
-        counted = counted.join(n, [metric, key], "left")
+        n = rows.where(F.col(value).isNotNull()).groupBy(*metric, key).agg(F.count(F.lit(1)).alias(f"_n_{level}"))
+        counted = counted.join(n, [*metric, key], "left")
     enough = [F.when(F.col(f"_n_{level}") >= least, F.struct(F.lit(level).alias("level"), F.col(key).cast("string").alias("key"), F.col(f"_n_{level}").alias("peers"))) for level, key, least in levels]
     return counted.withColumn("_g", F.coalesce(*enough)).select(*rows.columns, F.col("_g.level").alias("level"), F.col("_g.key").alias("level_key"), F.col("_g.peers").alias("level_peers"))

@@ -100,8 +100,9 @@ def ytd_identities(facts: DataFrame) -> DataFrame:
     """Fiscal years whose direct quarters are all there: each year-to-date fact against the sum of its quarters (identity_ok)."""
     one = one_parent(facts).withColumn("class", duration_class(F.col("start"), F.col("end")))
     long = one.where(F.col("class").isin("HALF_YEAR_YTD", "NINE_MONTH_YTD", "FISCAL_YEAR")).select(*KEYS, F.col("start").alias("fy_start"), F.col("end").alias("fy_end"), "class", F.col("value").alias("total"))
-    quarter = one.where("class = 'QUARTER'").select(*KEYS, "start", "end", "value")
-    inside = long.join(quarter, list(KEYS)).where("start >= fy_start and end <= fy_end")
+    quarter = one.where("class = 'QUARTER'").select(*KEYS, "start", "end", "value", F.year("start").alias("_y"))
+    long = long.withColumn("_y", F.explode(F.sequence(F.year("fy_start"), F.year("fy_end"))))  # so that a year meets its own quarters alone
+    inside = long.join(quarter, [*KEYS, "_y"]).where("start >= fy_start and end <= fy_end")
     need = F.when(F.col("class") == "HALF_YEAR_YTD", 2).when(F.col("class") == "NINE_MONTH_YTD", 3).otherwise(4)
     sums = inside.groupBy(*KEYS, "fy_start", "class", "total").agg(F.sum("value").alias("quarters_sum"), F.count(F.lit(1)).alias("parts")).where(F.col("parts") == need)
     return sums.select(*KEYS, "fy_start", "class", (F.abs(F.col("total") - F.col("quarters_sum")) <= 1).alias("identity_ok"))

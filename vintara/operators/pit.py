@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Dates that one as-of join takes.
+MAX_DATES = 10_000
 #: A total order of vintages: knowledge date, acceptance, id.
 VINTAGE = ("available", "accepted", "accession")
 
@@ -51,8 +53,11 @@ def as_known_on(facts: DataFrame, dates: DataFrame, keys: tuple[str, ...], date:
     """For each of many dates, the latest fact per key known by then.
 
     Each fact is known from its available date until the next fact of its key, so one window gives
-    intervals and one range join with the dates does all cutoffs at once (no loop). ``dates`` is small.
+    intervals and one range join with the dates does all cutoffs at once (no loop). ``dates``
+    is broadcast and may have MAX_DATES rows at most; more is an error.
     """
+    if dates.limit(MAX_DATES + 1).count() > MAX_DATES:
+        raise ValueError(f"more than {MAX_DATES} dates")
     w = Window.partitionBy(*keys).orderBy(*VINTAGE)
     spans = facts.withColumn("_until", F.lead("available").over(w))
     spans = spans.where("_until is null or _until > available")
@@ -72,8 +77,8 @@ def choose_by_priority(facts: DataFrame, keys: tuple[str, ...], priority: str =
     """Add choice: SELECTED for the least priority number of a key, CONFLICT where that has several values, else SUPERSEDED."""
     best = F.min(priority).over(Window.partitionBy(*keys))
     same = Window.partitionBy(*keys, priority)
-    kinds = F.size(F.collect_set(value).over(same))
-    return facts.withColumn("choice", F.when(F.col(priority) > best, "SUPERSEDED").when(kinds > 1, "CONFLICT").otherwise("SELECTED"))
+    several = F.min(value).over(same) != F.max(value).over(same)
+    return facts.withColumn("choice", F.when(F.col(priority) > best, "SUPERSEDED").when(several, "CONFLICT").otherwise("SELECTED"))
 
 
 def valid_on(history: DataFrame, day: str, start: str = "valid_from", end: str = "valid_to") -> DataFrame:

@@ -9,9 +9,12 @@ from vintara.functions.scalars import ADVERSE, CONFLICTED, NEUTRAL, SUPPORTIVE,
 from vintara.plans import policy
 
 
-def component_table(scores: DataFrame, components: DataFrame, keys: tuple[str, ...] = ("issuer",)) -> DataFrame:
-    """Every entity with every component (the small side is broadcast) and its score where there is one: original and applied weight."""
-    grid = scores.select(*keys).distinct().crossJoin(F.broadcast(components))
+def component_table(scores: DataFrame, components: DataFrame, keys: tuple[str, ...] = ("issuer",), entities: DataFrame | None = None) -> DataFrame:
+    """Every entity with every component (the small side is broadcast) and its score where there is one: original and applied weight.
+
+    ``entities`` has the keys of all entities; by default they are those with any score.
+    """
+    grid = (scores if entities is None else entities).select(*keys).distinct().crossJoin(F.broadcast(components))
     rows = grid.join(scores.select(*keys, "input_id", "score"), [*keys, "input_id"], "left")
     return rows.withColumn("applied", F.when(F.col("score").isNotNull(), F.col("weight")).otherwise(F.lit(0.0)))
 
@@ -60,10 +63,10 @@ def breadth(classes: DataFrame, conflict: str | float = 0.25, keys: tuple[str, .
     return rows.select(*keys, "families", F.when(F.col("families") >= least, 100.0 * F.col("_s") / F.col("families")).alias("breadth_score"))
 
 
-def persistence_candidates(scores: DataFrame, scenarios: DataFrame) -> DataFrame:
+def persistence_candidates(scores: DataFrame, scenarios: DataFrame, keys: tuple[str, ...] = ("issuer",)) -> DataFrame:
     """Each entity under each scenario: score and coverage of the persistence sleeve.
 
-    ``scores`` is wide: issuer and a column per concept. Revenue and operating income are needed,
+    ``scores`` is wide: the keys and a column per concept. Revenue and operating income are needed,
     under the strict scenario all four; a missing cash concept keeps its weight unused.
     """
     four = ("revenue", "operating_income", "cash_from_operations", "free_cash_flow")
@@ -75,16 +78,16 @@ def persistence_candidates(scores: DataFrame, scenarios: DataFrame) -> DataFrame
     total = F.col("w_revenue") + F.col("w_profit") + F.col("w_cash")
     used = sum((F.when(has[c], weight[c]).otherwise(zero) for c in four), zero)
     points = sum((F.when(has[c], weight[c] * F.col(c)).otherwise(zero) for c in four), zero)
-    return rows.select("issuer", "scenario", passed.alias("passed"), F.when(passed, points / used).alias("persistence_score"), F.when(passed, used / total).otherwise(zero).alias("persistence_coverage"))
+    return rows.select(*keys, "scenario", passed.alias("passed"), F.when(passed, points / used).alias("persistence_score"), F.when(passed, used / total).otherwise(zero).alias("persistence_coverage"))
 
 
-def merge_persistence(factors: DataFrame, candidates: DataFrame, share: float = 0.15) -> DataFrame:
+def merge_persistence(factors: DataFrame, candidates: DataFrame, share: float = 0.15, keys: tuple[str, ...] = ("issuer",)) -> DataFrame:
     """Per entity and scenario: the acceleration factor with its persistence sleeve, total coverage, composite and hold reason.
 
-    ``factors`` is wide: issuer, a column per factor, f4_applied, base_coverage (weighted coverage of
+    ``factors`` is wide: the keys, a column per factor, f4_applied, base_coverage (weighted coverage of
     the other factors) and allowed. The composite needs all factors and a coverage of 0.70.
     """
-    rows = factors.join(candidates, "issuer")
+    rows = factors.join(candidates, list(keys))
     publish = F.col("allowed") & F.col("passed")
     sleeve = F.when(publish, share * F.col("persistence_coverage")).otherwise(0.0)
     rows = rows.withColumn("f4_coverage", F.col("f4_applied") + sleeve)
@@ -94,7 +97,7 @@ def merge_persistence(factors: DataFrame, candidates: DataFrame, share: float =
     score = sum((policy.FACTOR_WEIGHTS[f] * parts[f] for f in policy.FACTOR_WEIGHTS), F.lit(0.0))
     composite = F.when(publish & (F.col("total_coverage") >= policy.TOTAL_FLOOR - 1e-9), score)
     hold = F.when(~F.col("allowed"), "EXISTING_COMPANY_HOLD").when(~F.col("passed"), "PERSISTENCE_HISTORY_INCOMPLETE").when(composite.isNull(), "TOTAL_COVERAGE_BELOW_70_PERCENT")
-    return rows.select("issuer", "scenario", "f4_score", "f4_coverage", "total_coverage", composite.alias("composite"), hold.alias("hold_reason"))
+    return rows.select(*keys, "scenario", "f4_score", "f4_coverage", "total_coverage", composite.alias("composite"), hold.alias("hold_reason"))
 
 
 def confidence(evidence: DataFrame) -> DataFrame:

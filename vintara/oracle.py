@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from vintara.plans.policy import COMPONENTS
 
-# The panel in SQL: amounts as exact decimals, one cell in eleven left out, and runs of consecutive quarters.
+# The panel in SQL: amounts as exact decimals, and runs of consecutive quarters.
 _CELLS = """
 li AS (
     SELECT l_suppkey AS issuer, CAST(date_trunc('quarter', l_shipdate) AS DATE) AS q_start, CAST(l_extendedprice AS DECIMAL(12,2)) AS price,
         CAST(l_discount AS DECIMAL(4,2)) AS discount, CAST(l_tax AS DECIMAL(4,2)) AS tax, CAST(l_quantity AS DECIMAL(12,2)) AS quantity
     FROM lineitem
 ), wide AS (
-    SELECT issuer, q_start, CAST(sum(price * (CAST(1 AS DECIMAL(4,2)) - discount)) AS DECIMAL(28,4)) AS revenue, CAST(sum(price * (CAST(0.05 AS DECIMAL(4,2)) - discount)) AS DECIMAL(28,4)) AS operating_income,
+    SELECT issuer, q_start, CAST(sum(price * (CAST(1 AS DECIMAL(4,2)) - discount)) AS DECIMAL(28,4)) AS revenue, CAST(sum(price * (CAST(0.06 AS DECIMAL(4,2)) - discount)) AS DECIMAL(28,4)) AS operating_income,
         CAST(sum(price * tax) AS DECIMAL(28,4)) AS cash_from_operations, CAST(sum(quantity * 10) AS DECIMAL(28,4)) AS capital_expenditures
     FROM li GROUP BY issuer, q_start
 ), gappy AS (
-    SELECT * FROM wide WHERE (issuer * 31 + year(q_start) * 4 + quarter(q_start)) % 11 <> 0
+    SELECT * FROM wide
 ), cells AS (
     SELECT issuer, concept, q_start, last_day(q_start + INTERVAL 2 MONTH) AS q_end, quarter(q_start) AS fiscal_quarter, value
     FROM gappy UNPIVOT (value FOR concept IN (revenue, operating_income, cash_from_operations, capital_expenditures))
@@ -141,7 +141,7 @@ def _latest(day: str) -> str:
 
 _YTD = f"""
 WITH {_CELLS}, full_cells AS (
-    SELECT issuer, q_start, last_day(q_start + INTERVAL 2 MONTH) AS q_end, quarter(q_start) AS fq, revenue AS value FROM wide WHERE year(q_start) < 2001
+    SELECT issuer, q_start, last_day(q_start + INTERVAL 2 MONTH) AS q_end, quarter(q_start) AS fq, revenue AS value FROM wide
 ), direct AS (
     SELECT issuer, q_start, q_end, CAST(CASE WHEN issuer % 7 = 0 AND fq = 3 THEN value + 1000 ELSE value END AS DECIMAL(28,4)) AS value FROM full_cells WHERE fq = 1 OR issuer % 3 <> 0
 ), sums AS (
@@ -188,20 +188,6 @@ local AS (SELECT event_id, (ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_Yor
 """
 
 _COMPONENTS = "SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{i}', CAST({w} AS DOUBLE), '{g}')" for f, i, w, g in COMPONENTS) + ") t(factor, input_id, weight, family)"
-_SCORED = f"""WITH {_CELLS}, {_FCF}, {_obs('fcf')}, {_MARGIN}, acc AS (SELECT *, {_accelerated('q_yoy')}, {_accelerated('ttm_yoy')} FROM obs {_W}),
-final AS (SELECT * REPLACE (CASE concept WHEN 'cash_from_operations' THEN 'cfo' WHEN 'capital_expenditures' THEN 'capex' WHEN 'free_cash_flow' THEN 'fcf' ELSE concept END AS concept) FROM acc WHERE q_end = DATE '2000-12-31'),
-inputs AS (
-    SELECT issuer, concept || '_q_yoy' AS input_id, q_yoy AS v FROM final UNION ALL SELECT issuer, concept || '_ttm_yoy', ttm_yoy FROM final UNION ALL SELECT issuer, concept || '_q_yoy_acceleration', q_yoy_acceleration FROM final
-    UNION ALL SELECT issuer, concept || '_ttm_yoy_acceleration', ttm_yoy_acceleration FROM final
-    UNION ALL SELECT issuer, 'operating_margin_yoy_pp', yoy_pp FROM margins WHERE q_end = DATE '2000-12-31' UNION ALL SELECT issuer, 'operating_margin_acceleration_pp', acceleration_pp FROM margins WHERE q_end = DATE '2000-12-31'
-), rounded AS (SELECT issuer, input_id, round(v, 6) AS value FROM inputs WHERE v IS NOT NULL),
-scored AS (SELECT issuer, input_id, 100.0 * (CAST(rank() OVER (PARTITION BY input_id ORDER BY value) + (count(*) OVER (PARTITION BY input_id, value) - 1) / 2.0 AS DOUBLE) - 0.5) / count(*) OVER (PARTITION BY input_id) AS score FROM rounded)
-"""
-
-_WEIGHTED = f"""{_SCORED}, c AS ({_COMPONENTS}), grid AS (SELECT i.issuer, c.*, s.score FROM (SELECT DISTINCT issuer FROM scored) i CROSS JOIN c LEFT JOIN scored s ON s.issuer = i.issuer AND s.input_id = c.input_id),
-flags AS (SELECT issuer, bool_or(input_id = 'revenue_q_yoy' AND score IS NOT NULL) AND bool_or(input_id = 'operating_income_q_yoy' AND score IS NOT NULL) AS half FROM grid WHERE factor = 'F2_QUARTER' GROUP BY issuer),
-w AS (SELECT g.*, CASE WHEN score IS NULL THEN 0.0 WHEN half AND g.input_id IN ('revenue_q_yoy', 'operating_income_q_yoy') THEN 0.5 ELSE weight END AS applied FROM grid g JOIN flags USING (issuer))"""
-
 ORACLE_SQL: dict[str, str] = {
     "ttm_yoy_percentile": f"""{_PANEL}, r AS (SELECT *, rank() OVER (PARTITION BY q_end ORDER BY ttm_yoy) + (count(*) OVER (PARTITION BY q_end, ttm_yoy) - 1) / 2.0 AS midrank, count(*) OVER (PARTITION BY q_end) AS peers
         FROM obs WHERE concept = 'revenue' AND ttm_yoy IS NOT NULL)
@@ -271,7 +257,7 @@ ORACLE_SQL: dict[str, str] = {
     "identity_0_1_many": """WITH s AS (SELECT concat_ws('-', c_nationkey, c_mktsegment, c_custkey % 7) AS symbol, c_custkey AS entity FROM customer),
         a AS (SELECT DISTINCT concat_ws('-', c_nationkey, c_mktsegment, CASE WHEN c_custkey % 5 = 0 THEN 99 ELSE c_custkey % 7 END) AS symbol FROM customer), k AS (SELECT symbol, count(*) AS n, min(entity) AS e FROM s GROUP BY symbol)
         SELECT a.symbol, CASE WHEN n = 1 THEN e END AS entity, coalesce(n, 0) AS candidates, CASE WHEN n IS NULL THEN 'UNKNOWN' WHEN n = 1 THEN 'RESOLVED' ELSE 'AMBIGUOUS' END AS resolution FROM a LEFT JOIN k USING (symbol)""",
-    "requested_selection": """WITH r AS (SELECT l_suppkey AS issuer, count(*) AS lines FROM lineitem WHERE l_suppkey % 3 = 0 GROUP BY 1)
+    "requested_selection": """WITH r AS (SELECT l_suppkey AS issuer, count(*) AS lines FROM lineitem GROUP BY 1)
         SELECT s_suppkey * 2 AS issuer, s_suppkey AS pos, lines, CASE WHEN lines IS NULL THEN 'UNSCORED' ELSE 'SCORED' END AS status FROM supplier LEFT JOIN r ON r.issuer = s_suppkey * 2""",
     "batch_slice": "SELECT CAST(s_nationkey AS BIGINT) AS s_nationkey, s_suppkey, row_number() OVER w AS position, CAST(ceil(row_number() OVER w / 4.0) AS BIGINT) AS batch FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_suppkey)",
     "set_and_key_gates": f"""WITH {_CELLS}, l AS (SELECT DISTINCT l_suppkey + 1 AS k FROM lineitem), s AS (SELECT s_suppkey AS k FROM supplier), rev AS (SELECT issuer, q_end FROM cells WHERE concept = 'revenue')
@@ -310,19 +296,12 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT *, rank() OVER (PARTITION BY q_end ORDER BY a) + (count(*) OVER (PARTITION BY q_end, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY q_end ORDER BY b) + (count(*) OVER (PARTITION BY q_end, b) - 1) / 2.0 AS rb, count(*) OVER (PARTITION BY q_end) AS k FROM p),
         m AS (SELECT *, abs(100.0 * (CAST(ra AS DOUBLE) - 0.5) / k - 100.0 * (CAST(rb AS DOUBLE) - 0.5) / k) AS move FROM r)
         SELECT q_end, count(*) AS n, CAST(CASE WHEN count(*) > 1 AND NOT isnan(corr(ra, rb)) THEN corr(ra, rb) END AS DECIMAL(18,6)) AS rho, CAST(avg(move) AS DECIMAL(18,6)) AS mean_move, CAST(max(move) AS DECIMAL(18,6)) AS max_move, count(*) FILTER (move > 10) AS over_10 FROM m GROUP BY q_end""",
-    "peer_fallback": f"""{_METRICS}, h AS (SELECT s_suppkey AS issuer, s_nationkey AS nation, n_regionkey AS region FROM supplier JOIN nation ON n_nationkey = s_nationkey), m AS (SELECT * FROM metrics JOIN h USING (issuer) WHERE q_end = DATE '2000-12-31'),
-        k AS (SELECT *, count(*) OVER (PARTITION BY input_id, nation) AS a, count(*) OVER (PARTITION BY input_id, region) AS b, count(*) OVER (PARTITION BY input_id) AS c FROM m)
-        SELECT issuer, input_id, CASE WHEN a >= 4 THEN 'NATION' WHEN b >= 10 THEN 'REGION' WHEN c >= 20 THEN 'ALL' END AS level, CASE WHEN a >= 4 THEN CAST(nation AS VARCHAR) WHEN b >= 10 THEN CAST(region AS VARCHAR) WHEN c >= 20 THEN 'all' END AS level_key,
+    "peer_fallback": f"""{_METRICS}, h AS (SELECT s_suppkey AS issuer, s_nationkey AS nation, n_regionkey AS region FROM supplier JOIN nation ON n_nationkey = s_nationkey), m AS (SELECT * FROM metrics JOIN h USING (issuer)),
+        k AS (SELECT *, count(*) OVER (PARTITION BY q_end, input_id, nation) AS a, count(*) OVER (PARTITION BY q_end, input_id, region) AS b, count(*) OVER (PARTITION BY q_end, input_id) AS c FROM m)
+        SELECT q_end, issuer, input_id, CASE WHEN a >= 4 THEN 'NATION' WHEN b >= 10 THEN 'REGION' WHEN c >= 20 THEN 'ALL' END AS level, CASE WHEN a >= 4 THEN CAST(nation AS VARCHAR) WHEN b >= 10 THEN CAST(region AS VARCHAR) WHEN c >= 20 THEN 'all' END AS level_key,
             CASE WHEN a >= 4 THEN a WHEN b >= 10 THEN b WHEN c >= 20 THEN c END AS level_peers FROM k""",
     "score_bands": f"""{_METRICS}, r AS (SELECT input_id, 100.0 * (CAST({_RANKS} AS DOUBLE) - 0.5) / count(*) OVER (PARTITION BY q_end, input_id) AS p FROM metrics)
         SELECT input_id, CASE WHEN p >= 80 THEN 'VERY_HIGH' WHEN p >= 60 THEN 'HIGH' WHEN p >= 40 THEN 'MIDDLE' WHEN p >= 20 THEN 'LOW' ELSE 'VERY_LOW' END AS band, count(*) AS n FROM r GROUP BY ALL""",
-    "persistence_candidates": f"""WITH {_CELLS}, {_FCF}, {_obs('fcf')}, {_HISTORY}, sc AS (SELECT issuer, concept, {_score("CASE WHEN concept = 'revenue' THEN 0.01 WHEN concept = 'operating_income' THEN 0.02 ELSE 0.03 END")} AS s FROM history WHERE q_end = DATE '2000-12-31' AND q_yoy IS NOT NULL),
-        ids AS (SELECT DISTINCT issuer FROM obs WHERE q_end = DATE '2000-12-31'),
-        w AS (SELECT issuer, max(s) FILTER (concept = 'revenue') AS r, max(s) FILTER (concept = 'operating_income') AS o, max(s) FILTER (concept = 'cash_from_operations') AS c, max(s) FILTER (concept = 'free_cash_flow') AS f FROM ids LEFT JOIN sc USING (issuer) GROUP BY issuer),
-        p AS (SELECT unnest([{{'scenario': 'EQUAL_FAMILIES_40_60', 'a': 1.0, 'b': 1.0, 'k': 1.0, 'h': 0.4, 'strict': false}}, {{'scenario': 'MAPPED_FAMILIES_40_60', 'a': 25.0, 'b': 30.0, 'k': 15.0, 'h': 0.4, 'strict': false}},
-            {{'scenario': 'EQUAL_FAMILIES_50_50', 'a': 1.0, 'b': 1.0, 'k': 1.0, 'h': 0.5, 'strict': false}}, {{'scenario': 'STRICT_COMPLETE_HISTORY', 'a': 1.0, 'b': 1.0, 'k': 1.0, 'h': 0.4, 'strict': true}}], recursive := true)),
-        g AS (SELECT *, r IS NOT NULL AND o IS NOT NULL AND (NOT strict OR (c IS NOT NULL AND f IS NOT NULL)) AS passed, CAST(a AS DOUBLE) AS wa, CAST(b AS DOUBLE) AS wb, CASE WHEN c IS NULL THEN 0.0 ELSE CAST(k AS DOUBLE) * CAST(h AS DOUBLE) END AS wc, CASE WHEN f IS NULL THEN 0.0 ELSE CAST(k AS DOUBLE) * (1 - CAST(h AS DOUBLE)) END AS wf FROM w, p)
-        SELECT scenario, issuer, passed, {_d('CASE WHEN passed THEN (wa * r + wb * o + wc * coalesce(c, 0) + wf * coalesce(f, 0)) / (wa + wb + wc + wf) END', 'persistence_score')}, {_d('CASE WHEN passed THEN (wa + wb + wc + wf) / (a + b + k) ELSE 0 END', 'persistence_coverage')} FROM g""",
     "confidence_bounds": f"""{_PANEL}, a AS (SELECT issuer, CAST(count(ttm_yoy_change) AS DOUBLE) / count(*) AS coverage, issuer % 2 = 0 AS q4, count(*) < 25 AS stale FROM obs WHERE concept = 'revenue' GROUP BY issuer),
         f AS (SELECT *, CAST(0.20 AS DOUBLE) * 100 + CAST(0.25 AS DOUBLE) * (CASE WHEN q4 THEN 98 ELSE 100 END) + CAST(0.15 AS DOUBLE) * (CASE WHEN stale THEN 85 ELSE 100 END) + CAST(0.15 AS DOUBLE) * least(100.0, 100.0 * coverage / CAST(0.85 AS DOUBLE)) AS lo FROM a)
         SELECT issuer, {_d('coverage')}, {_d('lo', 'confidence_low')}, {_d('lo + CAST(0.20 AS DOUBLE) * 95 + CAST(0.05 AS DOUBLE) * 100', 'confidence_high')} FROM f""",
@@ -354,31 +333,10 @@ ORACLE_SQL: dict[str, str] = {
     "distinct_payloads": "SELECT sha256(text) AS sha256, CAST(length(text) AS BIGINT) AS chars, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY text",
     "incremental_new": """WITH o AS (SELECT o_custkey || '/' || year(o_orderdate) AS url, CAST(o_orderdate AS DATE) AS day, o_orderkey AS accession, o_orderstatus FROM orders)
         SELECT url, arg_max(accession, (day, accession)) AS accession FROM o WHERE o_orderstatus <> 'P' AND url NOT IN (SELECT url FROM o WHERE accession % 4 = 0) GROUP BY url""",
+    "html_elements": """SELECT page_id, len(regexp_extract_all(html, '<a[ >]')) AS links, len(regexp_extract_all(html, '<p[ >]')) AS paragraphs, nullif(trim(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&')), '') AS title FROM pages""",
     "stream_latest": f"""WITH {_FILINGS} SELECT issuer, report_period, accession, value FROM filings QUALIFY row_number() OVER (PARTITION BY issuer, report_period ORDER BY available DESC, accepted DESC, accession DESC) = 1""",
-    "html_elements": """SELECT page_id, len(regexp_extract_all(html, '<a[ >]')) AS links, len(regexp_extract_all(html, '<p[ >]')) AS paragraphs FROM pages""",
     "company_coverage": f"""{_PANEL}, last AS (SELECT issuer, concept, arg_max_null(q_yoy, q_end) AS q, arg_max_null(ttm_yoy, q_end) AS t FROM obs GROUP BY ALL),
         have AS (SELECT issuer, concept || '_q_yoy' AS input_id FROM last WHERE q IS NOT NULL UNION ALL SELECT issuer, concept || '_ttm_yoy' FROM last WHERE t IS NOT NULL),
         named AS (SELECT issuer, replace(input_id, 'cash_from_operations', 'cfo') AS input_id FROM have), ids AS (SELECT DISTINCT issuer FROM obs), c AS ({_COMPONENTS})
         SELECT i.issuer, c.factor, {_d('CAST(sum(CASE WHEN n.input_id IS NULL THEN 0 ELSE c.weight END) AS DOUBLE)', 'coverage')} FROM ids i CROSS JOIN c LEFT JOIN named n ON n.issuer = i.issuer AND n.input_id = c.input_id GROUP BY i.issuer, c.factor""",
-    "weighted_factor_scores": f"""{_WEIGHTED}
-        SELECT issuer, factor, {_d('CAST(sum(applied * coalesce(score, 0)) AS DOUBLE) / nullif(CAST(sum(applied) AS DOUBLE), 0)', 'factor_score')}, {_d('CAST(sum(CASE WHEN score IS NOT NULL THEN weight ELSE 0 END) AS DOUBLE)', 'original_coverage')},
-            {_d('CAST(sum(applied) AS DOUBLE)', 'applied_coverage')}, coalesce(array_to_string(list_sort(list_distinct(list(family) FILTER (score IS NOT NULL))), '|'), '') AS families FROM w GROUP BY issuer, factor""",
-    "composite_status": f"""{_WEIGHTED}, {_FAMILY_PARTS},
-        f AS (SELECT issuer, factor, CAST(sum(applied * coalesce(score, 0)) AS DOUBLE) / nullif(CAST(sum(applied) AS DOUBLE), 0) AS s FROM w GROUP BY issuer, factor),
-        p AS (SELECT issuer, max(s) FILTER (factor = 'F1_TTM') AS f1, max(s) FILTER (factor = 'F2_QUARTER') AS f2, max(s) FILTER (factor = 'F3_QUALITY') AS f3, max(s) FILTER (factor = 'F4_ACCELERATION') AS momentum FROM f GROUP BY issuer),
-        sc AS (SELECT unnest([{{'scenario': 'BASELINE', 't': 0.25, 'strict': true}}, {{'scenario': 'STRICT_CONFLICT_COUNTS', 't': 0.25, 'strict': false}}, {{'scenario': 'ABSOLUTE_DIRECTION_0_50', 't': 0.5, 'strict': true}}], recursive := true)),
-        j AS (SELECT sc.*, p.issuer, (0.35 * f1 + 0.25 * f2 + 0.2 * f3) / 0.8 AS level, momentum, [growth, profit, cash, margin] AS k, growth, profit, cash, {_dir('acceleration_pp', 0.01)} AS acc,
-            coalesce(yoy_pp - acceleration_pp < -0.0025 AND acceleration_pp > 0.01, false) AS recovered, {_dir('rev_q', 0.01)} AS dq, {_dir('rev_t', 0.01)} AS dt FROM p JOIN families USING (issuer) CROSS JOIN sc WHERE q_end = DATE '2000-12-31'),
-        n AS (SELECT *, len(list_filter(k, lambda x: x = 'SUPPORTIVE')) AS up, len(list_filter(k, lambda x: x = 'ADVERSE')) AS down, len(list_filter(k, lambda x: x = 'NEUTRAL')) AS flat, len(list_filter(k, lambda x: x = 'CONFLICTED')) AS torn, len(list_filter(k, lambda x: x <> 'INELIGIBLE')) AS e FROM j),
-        a AS (SELECT *, (up - down) / CAST(nullif(e, 0) AS DOUBLE) AS adi, CASE acc WHEN 'SUPPORTIVE' THEN 1.0 WHEN 'ADVERSE' THEN -1.0 WHEN 'NEUTRAL' THEN 0.0 END AS adx, ('SUPPORTIVE' IN (dq, dt) AND 'ADVERSE' IN (dq, dt)) AS opposing FROM n),
-        r AS (SELECT *, CASE WHEN level IS NULL OR momentum IS NULL THEN 'DATA_OR_METHODOLOGY_GATE'
-            WHEN (up >= 2 AND down + torn >= 2) OR opposing OR coalesce((adi >= t AND level < 47.5) OR (adi <= -t AND level >= 52.5), false) OR coalesce((adx >= t AND momentum < 47.5) OR (adx <= -t AND momentum >= 52.5), false) OR (torn > 0 AND strict) THEN 'MATERIAL_CONFLICT_PRECEDENCE'
-            WHEN level < 42.5 AND momentum < 47.5 AND down >= 3 AND down - up >= 2 THEN 'DETERIORATING' WHEN (level >= 47.5 OR coalesce(adi >= t, false)) AND momentum < 42.5 THEN 'DECELERATING'
-            WHEN level >= 55 AND momentum >= 60 AND up >= 3 AND up - down >= 2 AND torn = 0 AND coalesce(adi > -t, false) THEN 'ACCELERATING' WHEN level >= 52.5 AND (momentum >= 47.5 OR coalesce(adi >= t, false)) THEN 'IMPROVING_POSITIVE'
-            WHEN level BETWEEN 45 AND 55 AND momentum BETWEEN 42.5 AND 57.5 AND e > 0 AND flat >= 0.5 * e AND torn = 0 THEN 'STABLE' ELSE 'NO_DIRECTIONAL_RULE_MATCH_REVIEW' END AS status_reason FROM a)
-        SELECT scenario, issuer, CAST(level AS DECIMAL(18,6)) AS level, CAST(momentum AS DECIMAL(18,6)) AS momentum, CASE status_reason WHEN 'DATA_OR_METHODOLOGY_GATE' THEN 'UNSCORED' WHEN 'MATERIAL_CONFLICT_PRECEDENCE' THEN 'MIXED' WHEN 'NO_DIRECTIONAL_RULE_MATCH_REVIEW' THEN 'MIXED'
-            WHEN 'IMPROVING_POSITIVE' THEN 'IMPROVING' ELSE status_reason END AS status, status_reason FROM r""",
 }
-
-# Where SQL has no entry: the normal distribution function, order-free hashes, and the multi-step composites, which rest on parts checked above.
-ORACLE_SQL = {k: v for k, v in ORACLE_SQL.items() if v and k != "html_elements"}

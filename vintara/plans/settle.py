@@ -3,17 +3,56 @@
 from __future__ import annotations
 
 import tempfile
+from collections import OrderedDict
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: Settled tables kept for later queries of the same session; the oldest go first.
+KEPT = 32
+_kept: OrderedDict[tuple, DataFrame] = OrderedDict()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder: the one in spark.checkpoint.dir.
+
+    Where the setting is missing, a local session gets a temporary folder; on a cluster that is an
+    error, because driver and executors share no local folders.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
 
 
 def settle(frame: DataFrame) -> DataFrame:
-    """Write ``frame`` once to the folder in spark.checkpoint.dir and read it from there.
+    """Write ``frame`` once to the shared folder and read it from there.
 
     Later steps then share one computation, plans stay small, and a lost executor costs no rerun.
-    Where the setting is absent, as in local tests, a local folder is set.
     """
-    spark = frame.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    shared_folder(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def once(spark: SparkSession, name: tuple, build: Callable[[], DataFrame]) -> DataFrame:
+    """The settled table ``name`` of this session, built when first asked for.
+
+    The name should hold the path of the input; files that change under one path are not noticed.
+    """
+    key = (spark.sparkContext.applicationId, *name)
+    if key not in _kept:
+        _kept[key] = settle(build())
+        while len(_kept) > KEPT:
+            _kept.popitem(last=False)
+    _kept.move_to_end(key)
+    return _kept[key]
+
+
+def forget() -> None:
+    """Drop all kept tables, so that the next query builds its own."""
+    _kept.clear()

@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vintara import oracle, record_queries, stage_oracle, stage_queries
 from vintara.functions import scalars as S
 from vintara.functions import trading_days
 from vintara.operators import classify, contexts, gates, lineage, peers, periods, pit, scoring, timeseries
-from vintara.oracle import ORACLE_SQL  # noqa: F401  (part of this module's interface)
-from vintara.plans import bridge, policy
+from vintara.plans import bridge, policy, stages
 from vintara.plans.bridge import MODEL_DATE, table
-from vintara.plans.settle import settle
+from vintara.plans.settle import once, settle, shared_folder
 from vintara.sources import landing, tables
 from vintara.streaming import arrivals
 
@@ -40,13 +39,14 @@ def big(column: str | Column, name: str | None = None) -> Column:
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timeseries.year_over_year(timeseries.trailing(timeseries.mark_runs(bridge.quarter_cells(spark, sf_dir))))
+    """Trailing sums and yearly changes of the panel, built once a session."""
+    return once(spark, ("changes", sf_dir), lambda: timeseries.year_over_year(timeseries.trailing(timeseries.mark_runs(bridge.quarter_cells(spark, sf_dir)))))
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(q_end, issuer, input_id, value) of trailing growth rates: the peer groups are (q_end, input_id)."""
     rows = changes(spark, sf_dir).where("ttm_yoy is not null")
-    return settle(rows.select("q_end", "issuer", F.concat("concept", F.lit("_ttm_yoy")).alias("input_id"), F.round("ttm_yoy", 3).alias("value")))
+    return once(spark, ("metrics", sf_dir), lambda: rows.select("q_end", "issuer", F.concat("concept", F.lit("_ttm_yoy")).alias("input_id"), F.round("ttm_yoy", 3).alias("value")))
 
 
 @query
@@ -240,7 +240,7 @@ def identity_0_1_many(spark, sf_dir):
 @query
 def requested_selection(spark, sf_dir):
     """Requested suppliers in their order, with results where there are any."""
-    results = table(spark, sf_dir, "lineitem").where("l_suppkey % 3 = 0").groupBy(F.col("l_suppkey").alias("issuer")).agg(F.count(F.lit(1)).alias("lines")).withColumn("status", F.lit("SCORED"))
+    results = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("issuer")).agg(F.count(F.lit(1)).alias("lines")).withColumn("status", F.lit("SCORED"))
     asked = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 2).alias("issuer"), F.col("s_suppkey").alias("pos"))
     return contexts.select_requested(asked, results, "issuer").select("issuer", "pos", big("lines"), "status")
 
@@ -372,11 +372,11 @@ def mad_robust_z(spark, sf_dir):
 
 @query
 def robust_cdf_score(spark, sf_dir):
-    """The capped z as a score of 0 to 100 through the normal distribution function (no SQL engine here has one), null below the baseline's minimum of peers."""
+    """The capped z as a score of 0 to 100 through the normal distribution function, null below the baseline's minimum of peers."""
     group = ("q_end", "input_id")
     rows = peers.robust_z(metrics(spark, sf_dir), group, "value")
     rows = peers.withhold(rows, group, "value", ("z",), policy.normalization_scenarios(spark).where("scenario = 'BASELINE'"))
-    return rows.select("q_end", "issuer", "input_id", dec(100 * S.normal_cdf("z"), "score"))
+    return rows.select("q_end", "issuer", "input_id", (100 * S.normal_cdf("z")).cast("decimal(18,6)").alias("score"))
 
 
 @query
@@ -405,12 +405,12 @@ def spearman_sensitivity(spark, sf_dir):
 
 @query
 def peer_fallback(spark, sf_dir):
-    """The narrowest of nation, region and all with enough suppliers, for each metric of the last period."""
+    """The narrowest of nation, region and all with enough suppliers, for each metric and quarter."""
     s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
     home = s.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("issuer"), F.col("s_nationkey").alias("nation"), F.col("n_regionkey").alias("region"), F.lit("all").alias("everyone"))
-    rows = metrics(spark, sf_dir).where("q_end = date'2000-12-31'").join(home, "issuer")
-    out = peers.narrowest_peer_group(rows, "value", (("NATION", "nation", 4), ("REGION", "region", 10), ("ALL", "everyone", 20)))
-    return out.select("issuer", "input_id", "level", "level_key", big("level_peers"))
+    rows = metrics(spark, sf_dir).join(home, "issuer")
+    out = peers.narrowest_peer_group(rows, "value", (("NATION", "nation", 4), ("REGION", "region", 10), ("ALL", "everyone", 20)), ("q_end", "input_id"))
+    return out.select("q_end", "issuer", "input_id", "level", "level_key", big("level_peers"))
 
 
 @query
@@ -420,52 +420,17 @@ def score_bands(spark, sf_dir):
 
 
 def scored(spark, sf_dir) -> DataFrame:
-    """(issuer, input_id, score): percentiles of the quarter 2000-12-31 for the inputs that the panel has."""
-    rows = timeseries.free_cash_flow(bridge.quarter_cells(spark, sf_dir))
-    rows = timeseries.acceleration(timeseries.acceleration(timeseries.year_over_year(timeseries.trailing(timeseries.mark_runs(rows))), "q_yoy"), "ttm_yoy").where("q_end = date'2000-12-31'")
-    alias = F.when(F.col("concept") == "cash_from_operations", "cfo").when(F.col("concept") == "capital_expenditures", "capex").when(F.col("concept") == "free_cash_flow", "fcf").otherwise(F.col("concept"))
-    names = {"q_yoy": "q_yoy", "ttm_yoy": "ttm_yoy", "q_yoy_acceleration": "q_yoy_acceleration", "ttm_yoy_acceleration": "ttm_yoy_acceleration"}
-    long = rows.withColumn("a", alias).select("issuer", "a", *names).unpivot(["issuer", "a"], list(names), "m", "value").where("value is not null")
-    long = long.select("issuer", F.concat_ws("_", "a", "m").alias("input_id"), F.round("value", 6).alias("value"))
-    m = timeseries.margins(bridge.quarter_cells(spark, sf_dir), "operating_income").where("q_end = date'2000-12-31'")
-    margin = m.select("issuer", F.expr("stack(2, 'operating_margin_yoy_pp', yoy_pp, 'operating_margin_acceleration_pp', acceleration_pp) as (input_id, value)")).where("value is not null").select("issuer", "input_id", F.round("value", 6).alias("value"))
-    return settle(peers.midrank_percentiles(settle(long.unionByName(margin)), ("input_id",), "value").select("issuer", "input_id", F.col("percentile").alias("score")))
+    """(q_end, issuer, input_id, score): percentiles of each quarter for the inputs that the panel has."""
+    rows = stage_queries.Method(spark, sf_dir).inputs.join(F.broadcast(policy.metric_transformations(spark)), "input_id").where("transformation = required")
+    return once(spark, ("scored", sf_dir), lambda: peers.midrank_percentiles(rows, ("q_end", "input_id"), "value").select("q_end", "issuer", "input_id", F.col("percentile").alias("score")))
 
 
 @query
 def weighted_factor_scores(spark, sf_dir):
-    rows = scoring.component_table(scored(spark, sf_dir), policy.factor_components(spark))
-    out = scoring.factor_scores(scoring.check_cap(scoring.reweight_quarter_factor(rows)))
-    return out.select("issuer", "factor", dec("factor_score"), dec("original_coverage"), dec("applied_coverage"), F.array_join("families", "|").alias("families"))
-
-
-@query
-def composite_status(spark, sf_dir):
-    """Level, momentum and status of each supplier at the quarter 2000-12-31, under two thresholds."""
-    rows = scoring.component_table(scored(spark, sf_dir), policy.factor_components(spark))
-    f = scoring.factor_scores(scoring.reweight_quarter_factor(rows)).groupBy("issuer").pivot("factor", ["F1_TTM", "F2_QUARTER", "F3_QUALITY", "F4_ACCELERATION"]).agg(F.first("factor_score"))
-    w = policy.FACTOR_WEIGHTS
-    level = (w["F1_TTM"] * F.col("F1_TTM") + w["F2_QUARTER"] * F.col("F2_QUARTER") + w["F3_QUALITY"] * F.col("F3_QUALITY")) / 0.8
-    fam = families(spark, sf_dir).where("q_end = date'2000-12-31'")
-    opposing = F.array_contains(F.array(S.direction(F.col("rev_q_yoy"), 0.01), S.direction(F.col("rev_ttm_yoy"), 0.01)), S.SUPPORTIVE) & F.array_contains(F.array(S.direction(F.col("rev_q_yoy"), 0.01), S.direction(F.col("rev_ttm_yoy"), 0.01)), S.ADVERSE)
-    both = f.join(fam, "issuer").withColumn("level", level).withColumn("momentum", F.col("F4_ACCELERATION")).withColumn("opposing", opposing).withColumn("eligible", F.col("level").isNotNull())
-    both = both.withColumn("families", F.create_map(*[x for n in ("growth", "profit", "cash", "margin") for x in (F.lit(n), F.col(n))]))
-    both = both.withColumn("accelerations", F.create_map(F.lit("margin"), S.direction(F.col("acceleration_pp"), 0.01))).withColumn("recovered", classify.recovered(F.col("yoy_pp"), F.col("acceleration_pp"), 0.0025).cast("int"))
-    both = both.crossJoin(F.broadcast(policy.pilot_scenarios(spark).where("scenario in ('BASELINE', 'ABSOLUTE_DIRECTION_0_50', 'STRICT_CONFLICT_COUNTS')").select("scenario", "threshold", "conflict_is_mixed")))
-    out = classify.classify_status(both)
-    return out.select("scenario", "issuer", F.col("level").cast("decimal(18,6)").alias("level"), F.col("momentum").cast("decimal(18,6)").alias("momentum"), "status", "status_reason")
-
-
-@query
-def persistence_candidates(spark, sf_dir):
-    """Persistence sleeve of each supplier under each scenario, from the history at the quarter 2000-12-31."""
-    cells = timeseries.free_cash_flow(bridge.quarter_cells(spark, sf_dir))
-    rows = timeseries.growth_history(timeseries.year_over_year(timeseries.trailing(timeseries.mark_runs(cells)))).where("q_end = date'2000-12-31'")
-    band = F.when(F.col("concept") == "revenue", 0.01).when(F.col("concept") == "operating_income", 0.02).otherwise(0.03)
-    four = ["revenue", "operating_income", "cash_from_operations", "free_cash_flow"]
-    wide = rows.withColumn("score", S.persistence_score(F.col("history"), band, policy.RECENCY_WEIGHTS)).groupBy("issuer").agg(*[F.max(F.when(F.col("concept") == c, F.col("score"))).alias(c) for c in four])
-    out = scoring.persistence_candidates(wide, policy.persistence_scenarios(spark))
-    return out.select("scenario", "issuer", "passed", dec("persistence_score"), dec("persistence_coverage"))
+    """Factor scores of each supplier and quarter with their coverage, before any floor or hold."""
+    rows = scoring.component_table(scored(spark, sf_dir), policy.factor_components(spark), stages.KEYS)
+    out = scoring.factor_scores(scoring.check_cap(scoring.reweight_quarter_factor(rows, stages.KEYS)), stages.KEYS)
+    return out.select("q_end", "issuer", "factor", dec("factor_score"), dec("original_coverage"), dec("applied_coverage"), F.array_join("families", "|").alias("families"))
 
 
 @query
@@ -647,12 +612,14 @@ def stream_latest(spark, sf_dir):
     schema = spark.read.parquet(f"{sf_dir}/orders.parquet").schema
     static = spark.readStream.schema(schema).parquet(f"{sf_dir}/orders.parquet*")
     stream = bridge.filings_of(static)
-    query_ = arrivals.maintain_latest(stream, f"{root}/state", f"{root}/checkpoint")
-    version = max((p["batchId"] for p in query_.recentProgress), default=0)
-    return arrivals.latest_version(spark, f"{root}/state", version).select("issuer", "report_period", "accession", "value")
+    arrivals.maintain_latest(stream, f"{root}/state", f"{root}/checkpoint")
+    return arrivals.latest(spark, f"{root}/state").select("issuer", "report_period", "accession", "value")
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new folder for stream state: under spark.checkpoint.dir, which all machines share, or local where that is unset."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{place}/stream-{uuid.uuid4().hex}" if place else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """A new folder below the shared one."""
+    return f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+
+
+QUERIES |= stage_queries.QUERIES | record_queries.QUERIES
+ORACLE_SQL = oracle.ORACLE_SQL | stage_oracle.ORACLE_SQL | record_queries.ORACLE_SQL

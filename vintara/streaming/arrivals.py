@@ -13,31 +13,26 @@ def new_documents(stream: DataFrame, key: str, at: str, delay: str = "7 days") -
     return stream.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
 
 
-def merge_latest(batch: DataFrame, state_path: str, keys: tuple[str, ...], version: int) -> DataFrame:
-    """Fold one micro-batch into the latest vintage per key, written as a new version beside the old.
+def maintain_latest(stream: DataFrame, state_path: str, checkpoint: str, keys: tuple[str, ...] = ("issuer", "report_period")):
+    """Run the stream to its end (available now) and keep the latest vintage per key under ``state_path``.
 
-    Versions are numbered by micro-batch, so a repeated batch writes the same folder again and the
-    result counts it once. Only the newest version is read; late amendments win by vintage order.
+    The latest vintage of each key is kept in Spark's keyed state. A micro-batch writes only the
+    keys it changed, to a folder of its own number, so a repeated batch writes the same rows again;
+    ``latest`` takes the last change of each key. Late amendments win by vintage order.
     """
-    spark: SparkSession = batch.sparkSession
-    rest = [c for c in batch.columns if c not in keys]
-    rows = batch
-    if version > 0:
-        rows = spark.read.parquet(f"{state_path}/v{version - 1}").select(*batch.columns).unionByName(batch)
-    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*VINTAGE)).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
-    best.write.mode("overwrite").parquet(f"{state_path}/v{version}")
-    return best
-
-
-def maintain_latest(stream: DataFrame, state_path: str, checkpoint: str, keys: tuple[str, ...] = ("issuer", "report_period")):
-    """Run the stream to its end (available now) and keep the latest vintage per key under ``state_path``."""
-    query = stream.writeStream.foreachBatch(lambda batch, n: merge_latest(batch, state_path, keys, n) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    rest = [c for c in stream.columns if c not in keys]
+    best = stream.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*VINTAGE)).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{state_path}/batch={n}")
+    query = best.writeStream.outputMode("update").foreachBatch(lambda batch, n: write(batch, n) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
 
-def latest_version(spark: SparkSession, state_path: str, version: int) -> DataFrame:
-    return spark.read.parquet(f"{state_path}/v{version}")
+def latest(spark: SparkSession, state_path: str, keys: tuple[str, ...] = ("issuer", "report_period")) -> DataFrame:
+    """The latest vintage per key of what ``maintain_latest`` has written."""
+    rows = spark.read.parquet(state_path).drop("batch")
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*VINTAGE)).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
 def windowed_counts(events: DataFrame, at: str, delay: str, width: str, kind: str) -> DataFrame:
