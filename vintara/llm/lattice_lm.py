@@ -19,6 +19,12 @@ CLASSES = 8
 DISCOUNT = 0.75
 #: Probability that a word ends after a piece.
 STOP = 0.4
+#: A rank r of the vocabulary's list stands for the probability 1 / (RANK_SHIFT + r); byte pieces share BYTE_MASS.
+RANK_SHIFT, BYTE_MASS = 10, 0.01
+#: Share of the pieces' weights that comes from the corpus; the rest is the vocabulary's own.
+CORPUS_SHARE = 0.5
+#: Scores from here down mark pieces that the file's own tokenizer never scores.
+NEVER = -1e8
 #: Hash that stands for the end of a text among the word hashes.
 END = -(1 << 63) + 1
 #: The vocabulary's sign for the start of a word; a word's lattice runs over this sign and its bytes.
@@ -29,33 +35,30 @@ _WORD_CHUNK = 20_000
 def read_vocabulary(path: str | None = None) -> tuple[list[bytes], np.ndarray]:
     """Pieces of an existing vocabulary and the natural logs of their probabilities, from its own scores.
 
-    Scores that are log probabilities are taken as they are; those of the default file are merge
-    ranks, which stand for the probability 1 / (10 + rank). Byte pieces stand for single bytes.
-    Letters A-Z are lower-cased, as those of the texts are, and pieces that then agree add up.
-    Control pieces are left out, and the rest is brought to a sum of one.
+    Scores that are log probabilities are taken as they are. The default file's scores are ranks: it
+    lists merged pieces and then single characters, each from frequent to rare. A rank r in either
+    list stands for 1 / (RANK_SHIFT + r), and the two lists have equal mass; byte pieces share
+    BYTE_MASS. Letters A-Z are lower-cased, as those of the texts are, and pieces that then agree
+    add up. Control pieces, and merged ones that the file marks as never to be scored, are left out.
     """
     import public_tokenizers
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path("piece_bpe_32k.model"))
-    every = [k for k in range(model.get_piece_size()) if not (model.is_control(k) or model.is_unknown(k) or model.is_unused(k))]
-    score = np.array([0.0 if model.is_byte(k) else model.get_score(k) for k in every])
-    ranks = bool((score == np.rint(score)).all())
+    every = [k for k in range(model.get_piece_size()) if not (model.is_control(k) or model.is_unknown(k) or model.is_unused(k) or model.is_byte(k))]
+    score = {k: model.get_score(k) for k in every}
     lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-    last = max(-score.min(), 0.0)
-    weight: dict[bytes, float] = {}
-    for k, s in zip(every, score.tolist(), strict=True):
-        if model.is_byte(k):
-            piece, p = bytes([int(model.id_to_piece(k)[1:-1], 16)]), 1 / (10 + last) if ranks else np.exp(score.min())
-        else:
-            piece, p = model.id_to_piece(k).encode(), 1 / (10 + max(0.0, -s)) if ranks else np.exp(s)
-        piece = piece.translate(lower)
-        weight[piece] = weight.get(piece, 0.0) + p
-    for k in range(256):
-        weight.setdefault(bytes([k]), min(weight.values()))
+    weight: dict[bytes, float] = {bytes([k]): BYTE_MASS / 256 for k in range(256)}
+    lists: list[list[int]] = [every]
+    if all(s == round(s) for s in score.values()):
+        lists = [sorted((k for k in every if (len(model.id_to_piece(k)) == 1) == single and (single or score[k] > NEVER)), key=lambda k: (-score[k] if score[k] > NEVER else 0.0, k)) for single in (False, True)]
+    for one in lists:
+        p = np.exp([score[k] for k in one]) if len(lists) == 1 else 1 / (RANK_SHIFT + np.arange(len(one)))
+        for k, share in zip(one, (1 - BYTE_MASS) / len(lists) * p / p.sum(), strict=True):
+            piece = model.id_to_piece(k).encode().translate(lower)
+            weight[piece] = weight.get(piece, 0.0) + float(share)
     pieces = sorted(weight)
-    p = np.array([weight[x] for x in pieces])
-    return pieces, np.log(p / p.sum())
+    return pieces, np.log(np.array([weight[x] for x in pieces]))
 
 
 class Lattice:
@@ -68,13 +71,13 @@ class Lattice:
         ends = np.cumsum(size)
         h = textvec.Rolling(data, self.powers).of(ends - size, ends)
         order = np.argsort(h)
-        self.hashes, self.logp = h[order], logp[order]
+        self.hashes, self.index, self.logp = h[order], order, logp
         self.longest = int(size.max())
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
 
     def arcs(self, data: np.ndarray, start: np.ndarray, size: np.ndarray):
-        """(from, to, log probability) over nodes numbered start + place, one more node than bytes for each word."""
+        """(from, to, piece) over nodes numbered start + place, one more node than bytes for each word."""
         rolling = textvec.Rolling(data, self.powers)
         froms, tos, found = [], [], []
         at = np.arange(int(size.sum()))
@@ -89,7 +92,7 @@ class Lattice:
             where[where == len(self.hashes)] = 0
             hit = self.hashes[where] == h[maybe]
             node = (at + word)[maybe[hit]]
-            froms.append(node), tos.append(node + length), found.append(self.logp[where[hit]])
+            froms.append(node), tos.append(node + length), found.append(self.index[where[hit]])
         return tuple(np.concatenate(x) for x in (froms, tos, found))
 
     @staticmethod
@@ -102,11 +105,12 @@ class Lattice:
         count = np.diff(np.concatenate((first, [len(keys)])))
         target[keys[first]] = top + np.log(np.add.reduceat(np.exp(values - np.repeat(top, count)), first))
 
-    def forward(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    def forward(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, expect: np.ndarray | None = None) -> np.ndarray:
         """Natural log of each word's probability over all segmentations into pieces.
 
         ``start`` and ``size`` place the words in ``data``. A word of m pieces has the pieces'
-        probabilities, m - 1 times "go on" and once "stop".
+        probabilities, m - 1 times "go on" and once "stop". ``expect`` (a number for each piece) gets
+        the expected counts of pieces added, by the backward recursion; every word counts once.
         """
         if not len(size):
             return np.zeros(0)
@@ -117,19 +121,66 @@ class Lattice:
         packed[(begin[:, None] + np.arange(mark)).ravel()] = np.tile(np.frombuffer(SIGN, np.uint8), len(size))
         inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
         packed[np.repeat(begin + mark, size) + inner] = data[np.repeat(start, size) + inner]
-        f, t, w = self.arcs(packed, begin, whole)
-        node = begin + np.arange(len(size))
-        alpha = np.full(len(packed) + len(size), -np.inf)
-        alpha[node] = 0.0
-        depth = np.arange(len(alpha)) - np.repeat(node, whole + 1)
-        by = np.argsort(depth[t], kind="stable")
-        bounds = np.searchsorted(depth[t][by], np.arange(1, int(whole.max()) + 2))
+        f, t, piece = self.arcs(packed, begin, whole)
         go = np.log(1 - STOP)
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            arc = by[a:b]
-            if len(arc):
-                self._reduce(alpha, t[arc], alpha[f[arc]] + w[arc] + go)
-        return alpha[node + whole] - go + np.log(STOP)
+        w = self.logp[piece] + go
+        node = begin + np.arange(len(size))
+        depth = np.arange(len(packed) + len(size)) - np.repeat(node, whole + 1)
+        steps = np.arange(int(whole.max()) + 2)
+
+        def recursion(at: np.ndarray, to: np.ndarray, first: np.ndarray, order) -> np.ndarray:
+            """Log sums at all nodes, from the ``first`` ones over the arcs from ``at`` to ``to``, by the depth of ``to`` in ``order``."""
+            total = np.full(len(depth), -np.inf)
+            total[first] = 0.0
+            by = np.argsort(depth[to], kind="stable")
+            bounds = np.searchsorted(depth[to][by], steps)
+            for d in order(range(len(steps) - 1)):
+                arc = by[bounds[d] : bounds[d + 1]]
+                if len(arc):
+                    self._reduce(total, to[arc], total[at[arc]] + w[arc])
+            return total
+
+        last = node + whole
+        alpha = recursion(f, t, node, iter)
+        if expect is not None:
+            beta = recursion(t, f, last, reversed)
+            word = np.repeat(np.arange(len(size)), whole + 1)[f]
+            expect += np.bincount(piece, weights=np.exp(alpha[f] + w + beta[t] - alpha[last][word]), minlength=len(expect))
+        return alpha[last] - go + np.log(STOP)
+
+
+def _expect(sent):
+    """Lexicon rows (h, n, m, word, ...) to (piece, n): expected counts of pieces over the distinct training words of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = Lattice(*sent.value)
+        expect = np.zeros(len(lattice.logp))
+        for batch in batches:
+            data, offsets = textvec.text_buffer(batch.column(3))
+            size = np.diff(offsets)
+            rows = np.flatnonzero((batch.column(1).to_numpy() > 0) & (size > 0))
+            for low in range(0, len(rows), _WORD_CHUNK):
+                pick = rows[low : low + _WORD_CHUNK]
+                lattice.forward(data, offsets[:-1][pick], size[pick], expect)
+        some = np.flatnonzero(expect)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(expect[some])], names=["piece", "n"])
+
+    return run
+
+
+def adapt(lexicon: DataFrame, pieces: list[bytes], logp: np.ndarray, sent) -> np.ndarray:
+    """Weights of the pieces for words that training has not seen: the vocabulary's, and as much from the corpus.
+
+    The vocabulary's own scores weigh all segmentations of every distinct training word; the pieces
+    so expected, as shares, are averaged with the vocabulary's probabilities. Each task returns at
+    most one row for a piece. Without training words the vocabulary's weights stay.
+    """
+    got = lexicon.mapInArrow(_expect(sent), "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
+    if not len(got):
+        return logp
+    own = np.zeros(len(pieces))
+    own[got["piece"].to_numpy()] = got["n"]
+    return np.log((1 - CORPUS_SHARE) * np.exp(logp) + CORPUS_SHARE * own / own.sum())
 
 
 def _lower(column: pa.Array, a: int, b: int):
@@ -253,7 +304,8 @@ def score_texts(docs: DataFrame, train, *, key: str = "doc_id", text: str = "tex
     over all its segmentations by a forward recursion in log space; no arc of the lattice crosses
     white space, so the recursion runs word by word:
 
-    * The pieces of an existing vocabulary are arcs, weighted by the vocabulary's own scores.
+    * The pieces of an existing vocabulary are arcs, weighted by the vocabulary's own scores and, by
+      half, by how often those scores lead to them in training words (see ``adapt``).
     * A training word has one more arc, over the whole word, weighted by its discounted count; the
       mass so set free goes to the pieces.
     * With ``group``, a text comes from one of up to CLASSES classes (its most frequent values in
@@ -286,8 +338,10 @@ def score_texts(docs: DataFrame, train, *, key: str = "doc_id", text: str = "tex
 
     spare_all = DISCOUNT * v_all / n_all if n_all else 1.0
     spare = [DISCOUNT * v / n if n else 1.0 for n, v in zip(n_class, v_class, strict=True)]
-    sent = spark.sparkContext.broadcast(read_vocabulary(vocabulary))
+    pieces, logp = read_vocabulary(vocabulary)
     counts = lexicon.select("h", "n", "m", "word", *[f"n{k}" for k in range(classes)])
+    logp = adapt(counts, pieces, logp, spark.sparkContext.broadcast((pieces, logp)))
+    sent = spark.sparkContext.broadcast((pieces, logp))
     scores = cut(counts.mapInArrow(_word_scores(sent, max(n_all, 1), spare_all, n_class, spare), "h long, n long, m long, logs array<float>"))
     top = scores.where((F.col("h") != END) & (F.col("m") >= _least_frequent(scores))).toPandas().sort_values("h")  # at most FREQUENT rows
     whole = n_all + v_all + 1
