@@ -275,6 +275,31 @@ def test_pipeline_stages(spark):
     assert {r[0] for r in tables[3].select("doc_id").collect()} == want
 
 
+def test_one_text_of_more_than_a_megabyte(spark):
+    """Each operator on a table with one very long text, beside a short copy of its start and an empty one."""
+    from vintara.llm import lattice_lm, line_dedup, near_dup
+
+    r = np.random.default_rng(8)
+    words = ["".join(r.choice(list("abcdefgh"), size=5)) for _ in range(900)]
+    long = "\n".join(" ".join(r.choice(words, size=12)) for _ in range(17_000))
+    assert len(long) > 1 << 20
+    item = long[600_000:600_100].replace("\n", " ")
+    rows = [(1, long, "a"), (2, long[:900], "b"), (3, "", "a"), (4, long, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    near = {x["doc_id"]: x["component_id"] for x in near_dup.near_duplicates(docs, width=2).collect()}
+    assert near == {1: 1, 2: 2, 3: 3, 4: 1}
+    leaks = {x["doc_id"]: [m["distance"] for m in x["matches"]] for x in decontaminate.find_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert leaks == {1: [0], 2: [], 3: [], 4: [0]}
+    pieces = packing.pack_documents(docs, size=2048).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).collect()
+    assert all(x["n"] == x["m"] for x in pieces) and len(pieces) == 4
+    scores = {x["doc_id"]: x for x in lattice_lm.score_texts(docs.drop("source"), F.col("doc_id") == 1).collect()}
+    assert scores[1]["n_tokens"] == 17_000 * 12 + 1 == scores[4]["n_known"] and scores[1]["score"] == pytest.approx(scores[4]["score"])
+    lines = {x["doc_id"]: x for x in line_dedup.remove_spread_lines(docs, min_sites=2).collect()}
+    assert lines[1]["n_removed"] == 0 and lines[4]["kept_text"] == "" and lines[4]["n_lines"] == 17_000
+    shards = sharding.shard_documents(docs.drop("source"), shards=2, slots=64).collect()
+    assert sorted(x["size"] for x in shards) == sorted(len(t) + 8 for _, t, _ in rows)
+
+
 def test_pipeline_by_brute_force(spark, tmp_path):
     """All five stages against a plain program, on texts with nulls, ties and repeated rows."""
     import public_tokenizers as P

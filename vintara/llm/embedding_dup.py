@@ -45,8 +45,8 @@ def possible(a, b, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     return rows, cols
 
 
-def _vectors(key: str):
-    """(key, values) to (key, raw little-endian doubles) with null for a vector that links with nothing."""
+def _vectors(key: str, kind: str):
+    """(key, values) to (key, raw little-endian numbers of type ``kind``) with null for a vector that links with nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -54,7 +54,7 @@ def _vectors(key: str):
             for value in column:
                 values = value.values
                 ok = values is not None and len(values) and not values.null_count
-                raw = values.to_numpy(zero_copy_only=False).astype("<f8") if ok else None
+                raw = values.to_numpy(zero_copy_only=False).astype(kind) if ok else None
                 ok = ok and np.isfinite(raw).all() and raw.any()
                 out.append((raw + 0.0).tobytes() if ok else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=[key, "raw"])
@@ -62,7 +62,7 @@ def _vectors(key: str):
     return run
 
 
-def _tiles(threshold: float):
+def _tiles(threshold: float, kind: str):
     """Rows in order of their tile to (class a, class b, weight b): the links of a, summed, and a forest over linked classes.
 
     Output rows: (id, links, other): ``links`` counts vectors of other classes that ``id`` is linked
@@ -70,7 +70,7 @@ def _tiles(threshold: float):
     """
 
     def unit_rows(raw: list[bytes]) -> np.ndarray:
-        values = np.stack([np.frombuffer(r, "<f8") for r in raw])
+        values = np.stack([np.frombuffer(r, kind) for r in raw]).astype(np.float64)
         values = values / np.abs(values).max(axis=1, keepdims=True)  # no overflow in the norm
         return values / np.linalg.norm(values, axis=1, keepdims=True)
 
@@ -156,16 +156,18 @@ def embedding_duplicates(vectors: DataFrame, *, key: str = "vec_id", value: str
     """
     base = vectors.select(F.col(key).alias("_key"), F.col(value).alias("_value"))
     kind = base.schema["_key"].dataType.simpleString()
-    told = cut(base.mapInArrow(_vectors("_key"), f"_key {kind}, raw binary"))
+    single = base.schema["_value"].dataType.elementType.typeName() == "float"
+    number = "<f4" if single else "<f8"  # single-precision values travel as such; cosines are of doubles either way
+    told = cut(base.mapInArrow(_vectors("_key", number), f"_key {kind}, raw binary"))
     classes = told.where("raw is not null").groupBy("raw").agg(F.count(F.lit(1)).alias("weight"), F.min("_key").alias("owner"))
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
     blocks = max(1, -(-classes.count() // block))
-    dealt = classes.select("id", "weight", "raw", (F.octet_length("raw") / 8).cast("int").alias("dims"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("side"))
+    dealt = classes.select("id", "weight", "raw", (F.octet_length("raw") / (4 if single else 8)).cast("int").alias("dims"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("side"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     tile = F.least("side", "other") * F.lit(blocks).cast("long") + F.greatest("side", "other")
     tiles = dealt.select(tile.alias("tile"), "id", "side", (F.col("side") == F.col("other")).alias("same"), "weight", "dims", "raw")
     spread = tiles.repartition(max(1, min(blocks * (blocks + 1) // 2, 20_000)), "tile").sortWithinPartitions("tile")
-    found = cut(spread.mapInArrow(_tiles(threshold), "id long, links long, other long"))
+    found = cut(spread.mapInArrow(_tiles(threshold, number), "id long, links long, other long"))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     joined = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
     named = classes.select("raw", "id", "weight", "owner").join(links, "id", "left").join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
