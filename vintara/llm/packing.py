@@ -28,6 +28,15 @@ _LEAD = np.zeros(256, bool)
 _LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
+def added_tokens(json_path: str) -> re.Pattern | None:
+    """A pattern of the strings of a tokenizer's added tokens; of the file only that list is parsed."""
+    with open(json_path, encoding="utf-8") as file:
+        text = file.read()
+    name = re.search(r'"added_tokens"\s*:\s*', text)
+    added = [t["content"] for t in json.JSONDecoder().raw_decode(text, name.end())[0] or ()] if name else []
+    return re.compile("|".join(map(re.escape, added))) if added else None
+
+
 class ByteBpe:
     """Ids of a byte-level BPE vocabulary given twice: as a tokenizer's JSON, which decides, and as merge ranks, which are faster.
 
@@ -39,13 +48,9 @@ class ByteBpe:
 
     def __init__(self, json_path: str, ranks_path: str, pattern: str):
         import tiktoken
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(json_path)
-        with open(json_path, encoding="utf-8") as lines:
-            added = [t["content"] for t in json.load(lines).get("added_tokens") or ()]
-        self.added = re.compile("|".join(map(re.escape, added))) if added else None
 
+        self.json_path, self.tokenizer = json_path, None  # loaded when a text needs it
+        self.added = added_tokens(json_path)
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -93,6 +98,10 @@ class ByteBpe:
     def ids(self, text: str) -> bytes:
         """Ids of a whole text, in the same form."""
         if self.added and self.added.search(text):
+            if self.tokenizer is None:
+                from tokenizers import Tokenizer
+
+                self.tokenizer = Tokenizer.from_file(self.json_path)
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
 
