@@ -30,9 +30,12 @@ def distribution(rows: DataFrame, group: tuple[str, ...], value: str, buckets: i
     return placed.join(shift, [*group, "_range"]).select(*group, value, "ties", (F.col("_before") + F.col("_inside")).alias("before"), "peers")
 
 
-def midrank_percentiles(rows: DataFrame, group: tuple[str, ...], value: str) -> DataFrame:
-    """Add ties, peers, midrank (average place of equal values) and percentile, 100 (midrank - 1/2) / peers."""
-    ranked = distribution(rows, group, value)
+def midrank_percentiles(rows: DataFrame, group: tuple[str, ...], value: str, ranked: DataFrame | None = None) -> DataFrame:
+    """Add ties, peers, midrank (average place of equal values) and percentile, 100 (midrank - 1/2) / peers.
+
+    ``ranked`` is the ``distribution`` of the rows, where it is there already.
+    """
+    ranked = distribution(rows, group, value) if ranked is None else ranked
     midrank = F.col("before") + (F.col("ties") + 1) / 2.0
     ranked = ranked.select(*group, value, "ties", "peers", midrank.alias("midrank"), (100.0 * (midrank - 0.5) / F.col("peers")).alias("percentile"))
     return rows.join(ranked, [*group, value], "left")
@@ -54,9 +57,9 @@ def quantiles(ranked: DataFrame, group: tuple[str, ...], value: str, named: dict
     return ranked.groupBy(*group).agg(F.max("peers").alias("peers"), *picks).select(*group, "peers", *out)
 
 
-def robust_z(rows: DataFrame, group: tuple[str, ...], value: str) -> DataFrame:
-    """Add center, mad and z: 0.6745 (v - median) / MAD within -3 and 3; null where the MAD is 0."""
-    center = quantiles(distribution(rows, group, value), group, value, {"center": 0.5}).drop("peers")
+def robust_z(rows: DataFrame, group: tuple[str, ...], value: str, ranked: DataFrame | None = None) -> DataFrame:
+    """Add center, mad and z: 0.6745 (v - median) / MAD within -3 and 3; null where the MAD is 0. ``ranked`` as above."""
+    center = quantiles(distribution(rows, group, value) if ranked is None else ranked, group, value, {"center": 0.5}).drop("peers")
     near = settle(rows.join(center, list(group), "left").withColumn("_off", F.abs(F.col(value) - F.col("center"))))
     mad = quantiles(distribution(near, group, "_off"), group, "_off", {"mad": 0.5}).drop("peers")
     z = clamp(F.try_divide(0.6745 * (F.col(value) - F.col("center")), F.col("mad")), -3.0, 3.0)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vintara.functions import scalars as S
 from vintara.operators import classify, peers, scoring, timeseries
 from vintara.plans import policy
+from vintara.plans.settle import settle
 
 #: A model date (here the quarter's end) and an issuer.
 KEYS = ("q_end", "issuer")
@@ -84,16 +85,17 @@ def normalize(inputs: DataFrame, scenarios: DataFrame, required: DataFrame, pass
     """
     group = ("q_end", "input_id", "scenario")
     usable = inputs.join(F.broadcast(required), "input_id").where("transformation = required").drop("required")
-    long = usable.crossJoin(F.broadcast(scenarios.drop("min_peers"))).where("age_days <= excluded_days")
+    long = settle(usable.crossJoin(F.broadcast(scenarios.drop("min_peers"))).where("age_days <= excluded_days"))
     cuts = peers.quantiles(peers.distribution(long, group, "value"), group, "value", {"p025": 0.025, "p975": 0.975, "p05": 0.05, "p95": 0.95}).drop("peers")
     low = F.when(F.col("winsor") == 0.025, F.col("p025")).when(F.col("winsor") == 0.05, F.col("p05"))
     high = F.when(F.col("winsor") == 0.025, F.col("p975")).when(F.col("winsor") == 0.05, F.col("p95"))
-    rows = long.join(cuts, list(group)).select(
+    rows = settle(long.join(cuts, list(group)).select(
         *group, "issuer", "value", F.when(F.col("winsor").isNull(), F.col("value")).otherwise(S.clamp(F.col("value"), low, high)).alias("sensitivity_value"),
         ((F.col("value") < F.col("p025")) | (F.col("value") > F.col("p975"))).alias("peer_extreme"), F.when(F.col("age_days") > F.col("stale_days"), "STALE").otherwise("CURRENT").alias("age_class"),
-    )
-    ranked = peers.robust_z(peers.midrank_percentiles(rows, group, "sensitivity_value"), group, "sensitivity_value")
-    scored = ranked.withColumn("robust", 100 * S.normal_cdf("z")).drop("peers", "center", "mad", "z")
+    ))
+    ranked = settle(peers.distribution(rows, group, "sensitivity_value"))
+    both = peers.midrank_percentiles(rows, group, "sensitivity_value", ranked)
+    scored = peers.robust_z(both, group, "sensitivity_value", ranked).withColumn("robust", 100 * S.normal_cdf("z")).drop("peers", "center", "mad", "z")
     return peers.withhold(scored, group, "value", ("midrank", "percentile", "robust"), scenarios, passed, KEYS)
 
 

@@ -151,9 +151,8 @@ def archive_choice(spark, sf_dir):
     # dates past the model date come from the second half of the year
     s = s.unionByName(table(spark, sf_dir, "supplier").select("s_nationkey", F.concat(F.lit("2001-"), F.lpad((1 + F.col("s_suppkey") % 6).cast("string"), 2, "0"), F.lit("-15")).alias("day"), F.lit("x").alias("value")))
     s.select(F.concat(F.lit("nation-"), "s_nationkey").alias("name"), "day", "value").write.partitionBy("name", "day").text(root)
-    parts = [r[0] for r in table(spark, sf_dir, "nation").select("n_nationkey").collect()]  # 25 nations
-    every = [landing.latest_archive(spark, f"{root}/name=nation-{k}", r"day=(\d{4}-\d{2}-\d{2})/", MODEL_DATE).select(F.lit(k).alias("s_nationkey"), "as_of") for k in parts if table(spark, sf_dir, "supplier").where(F.col("s_nationkey") == k).limit(1).count()]
-    return tables.union_tables(every).select(F.col("s_nationkey").cast("int").alias("s_nationkey"), "as_of")
+    newest = landing.latest_archive(spark, root, r"day=(\d{4}-\d{2}-\d{2})/", MODEL_DATE, r"name=nation-(\d+)/")
+    return newest.select(F.col("archive").cast("int").alias("s_nationkey"), "as_of")
 
 
 @query("""WITH f AS (SELECT l_orderkey, bool_or(l_returnflag = 'R') AS r, bool_or(l_shipdate < DATE '1996-01-01') AS late, bool_or(l_linestatus = 'O') AS open, count(*) < 2 AS short FROM lineitem GROUP BY 1)

@@ -165,8 +165,12 @@ def tagged_facts(elements: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("start", F.col("start").try_cast("date")).withColumn("end", F.col("end").try_cast("date")).withColumn("match", F.when(F.col("entity").isNull(), "CONTEXT_NOT_FOUND").otherwise("FOUND"))
 
 
-def latest_archive(spark: SparkSession, folder: str, pattern: str, model_date: str) -> DataFrame:
-    """Path and date of the newest archived file dated on or before a day; the date is the pattern's first group."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*").load(folder).select("path", "length")
+def latest_archive(spark: SparkSession, folder: str, pattern: str, model_date: str, archive: str | None = None) -> DataFrame:
+    """Path and date of the newest archived file dated on or before a day; the date is the pattern's first group.
+
+    With ``archive``, a pattern whose first group names the archive, there is a row for each of them.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*").option("recursiveFileLookup", True).load(folder).select("path")
     dated = files.withColumn("as_of", F.to_date(F.nullif(F.regexp_extract("path", pattern, 1), F.lit("")))).where(F.col("as_of") <= F.lit(model_date).cast("date"))
-    return dated.agg(F.max_by("path", F.struct("as_of", "path")).alias("path"), F.max("as_of").alias("as_of"))
+    groups = [F.regexp_extract("path", archive, 1).alias("archive")] if archive else []
+    return dated.groupBy(*groups).agg(F.max_by("path", F.struct("as_of", "path")).alias("path"), F.max("as_of").alias("as_of"))

@@ -133,7 +133,7 @@ def normalization_distributions(spark, sf_dir):
 def normalization_sensitivity(spark, sf_dir):
     """How each scenario and method ranks companies against the baseline's percentiles."""
     out = stages.sensitivity(Method(spark, sf_dir).normalized())
-    return out.select("q_end", "scenario", "input_id", "method", big("n"), dec("rho", None, "decimal(18,6)"), dec("mean_change", None, "decimal(18,4)"), dec("max_change", None, "decimal(18,4)"), big("over_10"))
+    return out.select("q_end", "scenario", "input_id", "method", big("n"), dec("rho", None, "decimal(18,6)"), dec(F.col("mean_change") + 1e-9, "mean_change", "decimal(18,4)"), dec("max_change", None, "decimal(18,6)"), big("over_10"))
 
 
 @query
