@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vintara.plans.settle import settle as cut
+from vintara.plans.settle import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Read the Parquet table ``name`` and keep ``columns`` (all when none are named)."""
@@ -16,29 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return frame.select(*columns) if columns else frame
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, as the session's checkpoint folder.
-
-    Where the setting is missing, a local session gets a temporary folder of its own; on a cluster
-    that is an error, because executors and driver share no local folders.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        context.setCheckpointDir(folder)
-    return context.getCheckpointDir()
-
-
-def cut(frame: DataFrame) -> DataFrame:
-    """Write ``frame`` to the session's checkpoint folder (see ``shared_folder``) and read it back, which ends its lineage."""
-    shared_folder(frame.sparkSession)
-    return frame.checkpoint(eager=True)
-
-
 def null_safe(left: DataFrame, right: DataFrame, *names: str):
     """A join condition that also matches null with null."""
     condition = F.lit(True)
@@ -47,6 +23,4 @@ def null_safe(left: DataFrame, right: DataFrame, *names: str):
     return condition
 
 
-def map_batches(frame: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return frame.mapInArrow(function, schema)
-
+__all__ = ["cut", "null_safe", "shared_folder", "table"]
