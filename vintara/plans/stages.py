@@ -82,21 +82,25 @@ def normalize(inputs: DataFrame, scenarios: DataFrame, required: DataFrame, pass
 
     An input is eligible with its required transformation and within the scenario's age. Ranks come
     from all eligible companies, held ones too; scores are masked afterwards (``peers.withhold``).
+    Scenarios of one age limit share their quantiles, and those that clip alike their ranks too.
     """
-    group = ("q_end", "input_id", "scenario")
+    named = scenarios.withColumn("clip", F.coalesce(F.col("winsor").cast("string"), F.lit("none")))
+    aged, group = ("q_end", "input_id", "excluded_days"), ("q_end", "input_id", "excluded_days", "clip")
     usable = inputs.join(F.broadcast(required), "input_id").where("transformation = required").drop("required")
-    long = settle(usable.crossJoin(F.broadcast(scenarios.drop("min_peers"))).where("age_days <= excluded_days"))
-    cuts = peers.quantiles(peers.distribution(long, group, "value"), group, "value", {"p025": 0.025, "p975": 0.975, "p05": 0.05, "p95": 0.95}).drop("peers")
+    wide = settle(usable.crossJoin(F.broadcast(named.select("excluded_days").distinct())).where("age_days <= excluded_days"))
+    cuts = peers.quantiles(peers.distribution(wide, aged, "value"), aged, "value", {"p025": 0.025, "p975": 0.975, "p05": 0.05, "p95": 0.95}).drop("peers")
     low = F.when(F.col("winsor") == 0.025, F.col("p025")).when(F.col("winsor") == 0.05, F.col("p05"))
     high = F.when(F.col("winsor") == 0.025, F.col("p975")).when(F.col("winsor") == 0.05, F.col("p95"))
-    rows = settle(long.join(cuts, list(group)).select(
-        *group, "issuer", "value", F.when(F.col("winsor").isNull(), F.col("value")).otherwise(S.clamp(F.col("value"), low, high)).alias("sensitivity_value"),
-        ((F.col("value") < F.col("p025")) | (F.col("value") > F.col("p975"))).alias("peer_extreme"), F.when(F.col("age_days") > F.col("stale_days"), "STALE").otherwise("CURRENT").alias("age_class"),
+    rows = settle(wide.join(cuts, list(aged)).join(F.broadcast(named.select("excluded_days", "clip", "winsor").distinct()), "excluded_days").select(
+        *group, "issuer", "value", "age_days", F.when(F.col("winsor").isNull(), F.col("value")).otherwise(S.clamp(F.col("value"), low, high)).alias("sensitivity_value"),
+        ((F.col("value") < F.col("p025")) | (F.col("value") > F.col("p975"))).alias("peer_extreme"),
     ))
     ranked = settle(peers.distribution(rows, group, "sensitivity_value"))
     both = peers.midrank_percentiles(rows, group, "sensitivity_value", ranked)
-    scored = peers.robust_z(both, group, "sensitivity_value", ranked).withColumn("robust", 100 * S.normal_cdf("z")).drop("peers", "center", "mad", "z")
-    return peers.withhold(scored, group, "value", ("midrank", "percentile", "robust"), scenarios, passed, KEYS)
+    scored = settle(peers.robust_z(both, group, "sensitivity_value", ranked).withColumn("robust", 100 * S.normal_cdf("z")).drop("peers", "center", "mad", "z"))
+    every = scored.join(F.broadcast(named.select("scenario", "excluded_days", "clip", "stale_days")), ["excluded_days", "clip"])
+    every = every.withColumn("age_class", F.when(F.col("age_days") > F.col("stale_days"), "STALE").otherwise("CURRENT")).drop("excluded_days", "clip", "stale_days", "age_days")
+    return peers.withhold(every, ("q_end", "input_id", "scenario"), "value", ("midrank", "percentile", "robust"), scenarios, passed, KEYS)
 
 
 def sensitivity(normalized: DataFrame) -> DataFrame:
