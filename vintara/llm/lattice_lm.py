@@ -29,7 +29,7 @@ NEVER = -1e8
 END = -(1 << 63) + 1
 #: The vocabulary's sign for the start of a word; a word's lattice runs over this sign and its bytes.
 SIGN = "▁".encode()
-_WORD_CHUNK = 20_000
+_WORD_CHUNK = 8_000
 
 
 def read_vocabulary(path: str | None = None) -> tuple[list[bytes], np.ndarray]:
