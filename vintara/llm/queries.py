@@ -15,6 +15,7 @@ from vintara.llm.line_dedup import remove_spread_lines
 from vintara.llm.near_dup import near_duplicates
 from vintara.llm.packing import pack_documents
 from vintara.llm.quality import classify, held_out
+from vintara.llm.scaled_sketch import edited_fingerprints
 from vintara.llm.sharding import shard_documents
 from vintara.llm.suffix_dedup import remove_repeats
 from vintara.llm.transcripts import as_transcripts, fit, parse
@@ -69,6 +70,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select("conv_id", held_out("conv_id").alias("held_out"), "turn_no", "role", "n_lines", F.md5(F.col("rendered").cast("binary")).alias("rendered_md5"))
 
 
+def op12_scaled_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_vector_packing": op8_vector_packing,
     "op9_line_dedup": op9_line_dedup,
     "op10_chat_formatting": op10_chat_formatting,
+    "op12_scaled_fingerprints": op12_scaled_fingerprints,
 }
 
 #: Links (a, b) in both directions to each node's component; nodes come from ``ids``.
