@@ -1,11 +1,13 @@
 """Fingerprints, token alignment and hard negatives against brute force, with the odd cases of each."""
 
 import hashlib
+from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from vintara.llm import queries, scaled_sketch, textvec
+from vintara.llm import queries, scaled_sketch, textvec, token_align
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string"
@@ -77,3 +79,97 @@ def test_sketches_merge_and_measure_containment(spark):
     a, b = (pair.where(f"doc_id = {k}").select(F.col("sketch").alias(n)) for k, n in ((0, "a"), (1, "b")))
     row = a.join(b, F.lit(True)).select(scaled_sketch.contained(F.col("a"), F.col("b")).alias("x"), scaled_sketch.contained(F.col("b"), F.col("a")).alias("y")).first()
     assert row["x"] == 1.0 and abs(row["y"] - 1 / 6) < 0.08
+
+
+@pytest.fixture(scope="module")
+def sides():
+    import public_tokenizers as public
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    a.encode_special_tokens = True
+    return a, sentencepiece.SentencePieceProcessor(model_file=public.path("piece_bpe_32k.model"))
+
+
+def brute_alignment(rows, sides):
+    """Per document: (n_a, n_b, groups as text, links), by sets of byte offsets and all pairs that overlap."""
+    a, b = sides
+    alphabet = token_align.byte_alphabet()
+    told = []
+    for key, text in rows:
+        none = (key, 0, 0, [], [])
+        if not text:
+            told.append(none)
+            continue
+        whole = (" " + text).encode()
+        ids_a, ids_b = a.encode(" " + text, add_special_tokens=False).ids, b.encode(text)
+        raw_a = [bytes(alphabet[c] for c in a.id_to_token(i)) for i in ids_a]
+        raw_b = [bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("\u2581", " ").encode() for i in ids_b]
+        if b"".join(raw_a) != whole or b"".join(raw_b) != whole:
+            told.append(none)
+            continue
+        spans = []
+        for ids, raw in ((ids_a, raw_a), (ids_b, raw_b)):
+            at, found = 0, []
+            for i, r in zip(ids, raw):
+                found.append((at, at + len(r), i))
+                at += len(r)
+            spans.append(found)
+        links, low = [], 0
+        for s, e, i in spans[0]:
+            while spans[1][low][1] <= s:
+                low += 1
+            for s2, e2, j in spans[1][low:]:
+                if s2 >= e:
+                    break
+                links.append((i, j))
+        stops = sorted({e for _, e, _ in spans[0]} & {e for _, e, _ in spans[1]})
+        groups = []
+        for low, high in zip([0, *stops], stops):
+            groups.append("|".join(",".join(str(i) for s, e, i in side if low <= s and e <= high) for side in spans) if len(whole) < 3000 else None)
+        told.append((key, len(ids_a), len(ids_b), groups, links))
+    count = Counter(p for *_, links in told for p in set(links))
+    most = defaultdict(int)
+    for (i, _), n in count.items():
+        most[i] = max(most[i], n)
+    out = []
+    for key, n_a, n_b, groups, links in told:
+        digest = "" if not links else None if None in groups else hashlib.sha256(";".join(groups).encode()).hexdigest()
+        out.append((key, n_a, n_b, len(groups), len(links), sum(count[p] == most[p[0]] for p in links), sum(count[p] for p in links), digest))
+    return out
+
+
+def check_alignment(rows, out, sides):
+    want = brute_alignment(rows, sides)
+    got = [tuple(r[c] for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")) for r in out]
+    order = lambda rows: sorted(rows, key=repr)
+    for g, w in zip(order(got), order(want), strict=True):
+        assert g[:7] == w[:7] and (w[7] is None or g[7] == w[7])
+
+
+def test_alignment_of_the_documents(spark, sides):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    check_alignment([(r["doc_id"], r["text"]) for r in docs.collect()], queries.op13_token_alignment(spark, SF).collect(), sides)
+
+
+def test_alignment_of_odd_texts(spark, sides):
+    odd = ["", None, " ", "  two  spaces ", "a\nb", "a \n b", "tab\there", "end\n", "<|endoftext|> is plain", "</s><s><unk>", "<0x41>", "sub\u2581word", "caf\u00e9 na\u00efve \u4f60\u597d \U0001f600!", "e\u0301 \u00a0x \u3000 y", "a\x00b", "1234567890 " * 40, "antidisestablishmentarianism" * 9, "x" * 2500, "don't  can't we'll", "\ufeffbom", "word", "word", "Word word"]
+    rows = [(k, t) for k, t in enumerate(odd)] + [(None, "word"), (None, None), (3, "again"), (3, "again")]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("stretch", F.lit("clash")).withColumn("n_a", F.lit(9))
+    check_alignment(rows, token_align.align_tokens(docs).collect(), sides)
+    check_alignment(rows, token_align.align_tokens(docs.repartition(5), stretch=40).collect(), sides)
+    assert token_align.align_tokens(docs.where("false")).count() == 0
+
+
+def test_pointer_jumping_on_long_chains():
+    ends_a = np.arange(2, 2002, 2)
+    ends_b = np.concatenate((np.arange(1, 2000, 2), [2000]))
+    a, b = token_align.label_groups(ends_a, ends_b)
+    assert set(a) == set(b) == {0}
+    r = np.random.default_rng(2)
+    for _ in range(50):
+        x, y = (np.unique(np.append(r.choice(np.arange(1, 200), r.integers(1, 60)), 200)) for _ in range(2))
+        common = np.intersect1d(x, y)
+        a, b = token_align.label_groups(x, y)
+        assert (a == np.searchsorted(common, x)).all() and (b == np.searchsorted(common, y)).all()

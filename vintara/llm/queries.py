@@ -18,6 +18,7 @@ from vintara.llm.quality import classify, held_out
 from vintara.llm.scaled_sketch import edited_fingerprints
 from vintara.llm.sharding import shard_documents
 from vintara.llm.suffix_dedup import remove_repeats
+from vintara.llm.token_align import align_tokens
 from vintara.llm.transcripts import as_transcripts, fit, parse
 
 
@@ -74,6 +75,10 @@ def op12_scaled_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_chat_formatting": op10_chat_formatting,
     "op12_scaled_fingerprints": op12_scaled_fingerprints,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 #: Links (a, b) in both directions to each node's component; nodes come from ``ids``.
