@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vintara.llm import queries, scaled_sketch, textvec, token_align
+from vintara.llm import hard_negatives, queries, scaled_sketch, textvec, token_align
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string"
@@ -173,3 +173,58 @@ def test_pointer_jumping_on_long_chains():
         common = np.intersect1d(x, y)
         a, b = token_align.label_groups(x, y)
         assert (a == np.searchsorted(common, x)).all() and (b == np.searchsorted(common, y)).all()
+
+
+def brute_negatives(rows, anchors, k=5, low=80, high=100):
+    """Rows are (id, label, codes); one row an id."""
+    out = []
+    for a, label, x in rows:
+        if a not in anchors:
+            continue
+        scored = sorted((-sum(p * q for p, q in zip(x, y)), b, other) for b, other, y in rows if b != a and len(x) == len(y))
+        for s, p in [(-s, b) for s, b, other in scored if other == label][:k]:
+            near = [(b, -n) for n, b, other in scored if other != label and low * s <= high * -n <= high * s][:k]
+            out += [(a, p, r, b, s, n) for r, (b, n) in enumerate(near, 1)]
+    return sorted(out)
+
+
+NEGATIVES = ("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+def found(frame):
+    return sorted(tuple(r[c] for c in NEGATIVES) for r in frame.collect())
+
+
+@pytest.mark.parametrize("sizes", [(65_536, 65_536), (37, 3)])
+def test_hard_negatives_against_brute_force(spark, sizes):
+    r = np.random.default_rng(6)
+    centre = r.normal(size=(4, 12))
+    rows = [(k, int(c), [int(v) for v in np.floor(40 * (centre[c] + 0.5 * r.normal(size=12)))]) for k in range(400) for c in [r.integers(0, 4)]]
+    rows += [(400 + k, int(k % 3), rows[7][2]) for k in range(60)] + [(500, 0, [0] * 12), (501, 1, [0] * 12), (502, 0, [3, 4]), (503, 1, [3, 4]), (504, 0, [2, 4]), (505, 2, []), (506, 0, []), (507, 2, [])]
+    rows += [(600, 0, [1 << 29] * 12), (601, 0, [(1 << 29) + 1] * 12), (602, 1, [(1 << 29) - 1] * 12)]
+    anchors = {k for k in range(0, 700, 9)} | {500, 502, 505, 600}
+    odd = [(None, 0, [1] * 12), (701, None, [1] * 12), (702, 0, None), (703, 0, [1] * 11 + [None]), (7, 9, rows[7][2])]
+    frame = spark.createDataFrame(rows + odd, "vec_id long, label int, codes array<long>").withColumn("shard", F.lit("clash")).withColumn("cell", F.lit(0))
+    asked = F.col("vec_id").isin(*anchors)
+    assert found(hard_negatives.hard_negatives(frame, asked, rows=sizes[0], block=sizes[1])) == brute_negatives(rows, anchors)
+    assert hard_negatives.hard_negatives(frame.where("false"), asked).count() == 0 == hard_negatives.hard_negatives(frame, F.lit(False)).count()
+
+
+def test_hard_negatives_match_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{SF}/embeddings.parquet'")
+    want = con.sql(queries.ORACLE_SQL["op11_hard_negatives"])
+    at = [want.columns.index(c) for c in NEGATIVES]
+    assert found(queries.op11_hard_negatives(spark, SF)) == sorted(tuple(r[k] for k in at) for r in want.fetchall())
+
+
+def test_best_first_opens_few_boxes():
+    r = np.random.default_rng(8)
+    points = np.floor(256 * (np.repeat(r.normal(size=(64, 6)), 128, axis=0) + 0.05 * r.normal(size=(64 * 128, 6))))
+    tree = hard_negatives.Tree(np.arange(len(points)), points)
+    for q in points[::1000]:
+        got, leaves = hard_negatives.best_first([tree], q, np.array([-np.inf]), np.array([np.inf]), 5, -1)
+        order = np.lexsort((np.arange(len(points)), -(points @ q)))[:5]
+        assert [i for _, i in got[0]] == order.tolist() and leaves < len(points) / hard_negatives.LEAF / 4

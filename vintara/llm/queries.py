@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vintara.llm.common import table
 from vintara.llm.decontaminate import find_leaks
 from vintara.llm.embedding_dup import embedding_duplicates
+from vintara.llm.hard_negatives import hard_negatives
 from vintara.llm.lattice_lm import score_texts
 from vintara.llm.line_dedup import remove_spread_lines
 from vintara.llm.near_dup import near_duplicates
@@ -71,6 +72,13 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select("conv_id", held_out("conv_id").alias("held_out"), "turn_no", "role", "n_lines", F.md5(F.col("rendered").cast("binary")).alias("rendered_md5"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label").where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    coded = rows.select("vec_id", label.alias("label"), F.transform("embedding", lambda x: F.floor(256 * x.cast("double"))).alias("codes"))
+    return hard_negatives(coded, F.col("vec_id") % 100 == 0, positives=5, negatives=5, low=80, high=100)
+
+
 def op12_scaled_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -90,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_vector_packing": op8_vector_packing,
     "op9_line_dedup": op9_line_dedup,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_scaled_fingerprints": op12_scaled_fingerprints,
     "op13_token_alignment": op13_token_alignment,
 }
@@ -131,4 +140,18 @@ ORACLE_SQL: dict[str, str] = {
             SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone) AS kept FROM judged GROUP BY doc_id
         ) j USING (doc_id)
     """,
+    "op11_hard_negatives": """
+        WITH rows AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+            FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS alike, list_inner_product(a.e, b.e)::BIGINT AS s
+            FROM rows a JOIN rows b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+        ), positive AS (SELECT a, b, s FROM scored WHERE alike QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5),
+        negative AS (
+            SELECT p.a, p.b AS p, p.s AS ps, n.b AS n, n.s AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b) AS r
+            FROM positive p JOIN scored n ON p.a = n.a AND NOT n.alike AND 80 * p.s <= 100 * n.s AND n.s <= p.s
+        )
+        SELECT a AS anchor_id, p AS positive_id, r::INTEGER AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score FROM negative WHERE r <= 5
+    """,
 }
