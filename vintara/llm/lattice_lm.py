@@ -254,14 +254,14 @@ def _word_scores(sent, n_all: int, spare_all: float, n_class: list[int], spare:
 
 
 def _lookup(frequent, classes: int):
-    """Rows (rid, text) to counts, the sums over frequent words, and the hashes of the other words in a list."""
+    """Rows (rid, key, text) to counts, the sums over frequent words, and the hashes of the other words in a list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, table, base, known = frequent.value
         for batch in batches:
-            _, offsets = textvec.text_buffer(batch.column(1))
+            _, offsets = textvec.text_buffer(batch.column(2))
             for a, b in textvec.chunks(offsets, 2 << 20):
-                data, at = _lower(batch.column(1), a, b)
+                data, at = _lower(batch.column(2), a, b)
                 row, _, _, h = textvec.words(data, at)
                 signed = h.view(np.int64)
                 where = np.minimum(np.searchsorted(hashes, signed), max(len(hashes) - 1, 0))
@@ -272,13 +272,14 @@ def _lookup(frequent, classes: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, rows),
+                        batch.column(1).slice(a, rows),
                         pa.array((np.bincount(row, minlength=rows) + 1).astype(np.int64)),
                         pa.array((total(known[place]) if len(hashes) else np.zeros(rows)).astype(np.int64)),
                         pa.array((total(base[place]) if len(hashes) else np.zeros(rows)).astype(np.float64)),
                         pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * classes), pa.array(sums.astype(np.float64).ravel())),
                         pa.ListArray.from_arrays(pa.array(np.searchsorted(row[rare], np.arange(rows + 1)).astype(np.int32)), pa.array(signed[rare])),
                     ],
-                    names=["rid", "n_tokens", "n_known", "base", "sums", "words"],
+                    names=["rid", "_key", "n_tokens", "n_known", "base", "sums", "words"],
                 )
 
     return run
@@ -320,7 +321,7 @@ def score_texts(docs: DataFrame, train, *, key: str = "doc_id", text: str = "tex
     every word is scored by its pieces alone and the end costs nothing. Other columns are ignored.
     """
     spark: SparkSession = docs.sparkSession
-    base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("_key"), F.col(text).alias("_text"), F.coalesce(train, F.lit(False)).alias("_train"), (F.col(group) if group else F.lit(None)).cast("string").alias("_group"))
+    base = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.coalesce(train, F.lit(False)).alias("_train"), (F.col(group) if group else F.lit(None)).cast("string").alias("_group"))
     names: list[str] = []
     if group:
         names = [r["_group"] for r in base.where("_train and _group is not null").groupBy("_group").count().orderBy(F.desc("count"), "_group").limit(CLASSES - 1).collect()]
@@ -349,7 +350,9 @@ def score_texts(docs: DataFrame, train, *, key: str = "doc_id", text: str = "tex
     seen = top["n"].to_numpy(np.float64)
     frequent = spark.sparkContext.broadcast((top["h"].to_numpy(np.int64), table, np.log10((seen + 1) / whole), (seen > 0).astype(np.float64)))
 
-    scored = cut(base.select("rid", "_text").mapInArrow(_lookup(frequent, classes), "rid long, n_tokens long, n_known long, base double, sums array<double>, words array<long>"))
+    kind = base.schema["_key"].dataType.simpleString()
+    numbered = base.select(F.monotonically_increasing_id().alias("rid"), "_key", "_text")  # numbers and keys are settled together, so the input may come from a shuffle
+    scored = cut(numbered.mapInArrow(_lookup(frequent, classes), f"rid long, _key {kind}, n_tokens long, n_known long, base double, sums array<double>, words array<long>"))
     rare = scored.select("rid", F.explode("words").alias("h")).join(scores, "h")
     logs, zero = F.col("logs"), F.lit(0.0)
     rare = rare.groupBy("rid").agg(F.sum((F.col("n") > 0).cast("long")).alias("known"), F.sum(F.log10((F.col("n") + 1) / float(whole))).alias("base_rare"), *[F.sum(logs[k].cast("double")).alias(f"l{k}") for k in range(classes)])
@@ -368,9 +371,7 @@ def score_texts(docs: DataFrame, train, *, key: str = "doc_id", text: str = "tex
     parts = F.array(*[F.col("sums")[k] + F.coalesce(F.col(f"l{k}"), zero) + end_log(k) + prior[k] for k in range(classes)])
     both = both.withColumn("parts", parts).withColumn("most", F.array_max("parts"))
     score = F.col("most") + F.log10(F.aggregate("parts", F.lit(0.0), lambda acc, x: acc + F.pow(F.lit(10.0), x - F.col("most"))))
-    found = both.select(
-        "rid", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0)) + (1 if end_n else 0)).cast("long").alias("n_known"),
+    return both.select(
+        F.col("_key").alias(key), "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0)) + (1 if end_n else 0)).cast("long").alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("base_rare", zero) + end_base).alias("base_score"), score.alias("score"),
     )
-    keys = base.select("rid", "_key")
-    return keys.join(found, "rid").drop("rid").withColumnRenamed("_key", key)
