@@ -294,7 +294,9 @@ def test_transcripts_with_null_keys_ties_and_repeated_rows(spark):
         lines[r["conv_id"]] += r["n_lines"]
     assert lines == {None: 3, 4: 3, 9: 1}
     four = sorted((r["turn_no"], r["body"]) for r in out if r["conv_id"] == 4)
-    assert [k for k, _ in four] == list(range(len(four))) and "\n".join(b for _, b in four) == "s\nx?\nx?"  # null orders first, ties as read
+    assert [k for k, _ in four] == list(range(len(four)))
+    told = plain_turns(model, ["System: s", "User: x?", "User: x?"])  # null orders first, ties as read; a marker stays where the state opens no turn
+    assert [(r["role"], r["n_lines"], r["rendered"]) for r in sorted(out, key=lambda r: r["turn_no"]) if r["conv_id"] == 4] == told
 
 
 def test_marked_transcript_is_rendered(spark):
@@ -315,3 +317,70 @@ def test_long_transcript_in_chunks_is_the_whole_path(spark, monkeypatch):
     whole = sorted(map(tuple, transcripts.parse(blocks, model).collect()))
     monkeypatch.setattr(transcripts, "CHUNK_LINES", 5)
     assert sorted(map(tuple, transcripts.parse(blocks, model).collect())) == whole
+
+
+def plain_turns(model, blocks):
+    """Turns of one transcript by a plain program: states of all lines at once, the marker cut where a turn opens."""
+    import re
+
+    lines = [line for block in blocks for line in (block or "").split("\n")]
+    out = []
+    for line, state in zip(lines, transcripts.viterbi(model, np.array([plain_code(line) for line in lines]))):
+        opens = state < len(transcripts.ROLES)
+        if opens:
+            line = re.sub(transcripts.HEADING, "", re.sub(transcripts.MARKER, "", line, count=1), count=1)
+        if opens or not out:
+            out.append([transcripts.ROLES[state % len(transcripts.ROLES)], []])
+        out[-1][1].append(line)
+    return [(role, len(body), f"<|{role}|>\n" + "\n".join(body).strip(" ") + "\n<|end|>") for role, body in out]
+
+
+def plain_code(line):
+    import re
+
+    found = re.search(transcripts.MARKER, line) or re.search(transcripts.HEADING, line)
+    kind = next((k for k, role in enumerate(transcripts.ROLES, 1) if found and found[1].lower() in transcripts.MARKER_NAMES[role]), 0)
+    size = min(int(math.log2(len(line) + 1)), transcripts.LENGTHS - 1)
+    shape = 3 if not line.strip(" ") else 1 if re.search(r"\?\s*$", line) else 2 if re.search(r"^\s*(?:[-*\u2022]\s|\d+[.)]\s|```|\t| {4})", line) else 0
+    return (kind * transcripts.LENGTHS + size) * transcripts.SHAPES + shape
+
+
+def test_rendered_turns_by_a_plain_program(spark):
+    conv = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    model = transcripts.fit(transcripts.as_transcripts(conv))
+    blocks = transcripts.as_transcripts(conv.where("conv_id < 60")).drop("role")
+    held = [(1000, 0, "User: what is it?\nAnswer: is a word here\nA: too\nAssistant: well\nQ: inside"), (1001, 0, "### User\nhello\nAssistant:\nAssistant: twice"), (1002, 5, None), (1002, 6, "no marker\n\nbot: x")]
+    blocks = blocks.unionByName(spark.createDataFrame(held, blocks.schema))
+    told = {}
+    for r in sorted(blocks.collect(), key=lambda r: (r["conv_id"], r["turn"])):
+        told.setdefault(r["conv_id"], []).append(r["text"])
+    got = {}
+    for r in sorted(transcripts.parse(blocks, model).collect(), key=lambda r: r["turn_no"]):
+        got.setdefault(r["conv_id"], []).append((r["role"], r["n_lines"], r["rendered"]))
+    assert got == {k: plain_turns(model, v) for k, v in told.items()}
+
+
+def test_no_text_but_markers_is_lost(spark):
+    """Kept lines are the given ones, but that the opening line of a turn may have lost a marker."""
+    import re
+
+    model = np.log(np.full((1 + transcripts.STATES + 4 * transcripts.LENGTHS * transcripts.SHAPES, transcripts.STATES), 0.1))
+    model[1:7, 3:] += 3  # further lines are likelier than new turns, whatever the markers say
+    text = "\n".join(f"{name}: text {k}" for k, name in enumerate(["User", "Answer", "A", "Assistant", "Q", "System"] * 9))
+    out = transcripts.parse(spark.createDataFrame([(1, 0, text)], "conv_id long, turn long, text string"), model).collect()
+    body = [line for r in sorted(out, key=lambda r: r["turn_no"]) for line in r["body"].split("\n")]
+    given = text.split("\n")
+    opens, at = set(), 0
+    for r in sorted(out, key=lambda r: r["turn_no"]):
+        opens.add(at)
+        at += r["n_lines"]
+    assert len(opens) < 5 and [re.sub(transcripts.MARKER, "", x) if k in opens else x for k, x in enumerate(given)] == body
+
+
+def test_a_block_of_very_many_lines(spark):
+    conv = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    model = transcripts.fit(transcripts.as_transcripts(conv))
+    block = "\n".join("User: a line" if k % 50 == 0 else "Assistant: more of it" if k % 50 == 25 else f"further {k}" for k in range(200_000))
+    out = transcripts.parse(spark.createDataFrame([(1, 0, block), (2, 0, "User: x")], "conv_id long, turn long, text string"), model)
+    n = out.groupBy("conv_id").agg(F.sum("n_lines").alias("lines"), F.count("*").alias("turns"), F.sum(F.length("body")).alias("size"))
+    assert {(r["conv_id"], r["lines"]) for r in n.collect()} == {(1, 200_000), (2, 1)}

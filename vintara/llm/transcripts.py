@@ -35,7 +35,7 @@ HEADING = rf"^\s*#+\s*(?i:({_NAMES}))\s*$"
 
 
 def observe(text: str = "text"):
-    """(bodies, codes): each line without its marker, and its features as one number.
+    """(lines, codes): each line as it is, and its features as one number.
 
     The features are the kind of marker, a size class (log2 of the characters) and the shape of the
     line; the code is (kind * LENGTHS + size) * SHAPES + shape.
@@ -51,7 +51,12 @@ def observe(text: str = "text"):
         shape = F.when(F.trim(line) == "", 3).when(line.rlike(r"\?\s*$"), 1).when(line.rlike(r"^\s*(?:[-*•]\s|\d+[.)]\s|```|\t| {4})"), 2).otherwise(0)
         return ((kind * LENGTHS + size) * SHAPES + shape).cast("int")
 
-    return F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(x, MARKER, ""), HEADING, "")), F.transform(lines, code)
+    return lines, F.transform(lines, code)
+
+
+def without_marker(line):
+    """A line that opens a turn, less the marker it may have."""
+    return F.regexp_replace(F.regexp_replace(line, MARKER, ""), HEADING, "")
 
 
 def fit(messages: DataFrame, *, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> np.ndarray:
@@ -143,14 +148,17 @@ def _grouped(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[pa.Table]:
 
 
 def _solve(model: np.ndarray, key: str):
-    """Rows (key, c1, c2, uid, bodies, codes, entry, leave) to the same with states for codes."""
+    """Rows (key, c1, c2, uid, lines, codes, entry, leave) to the same with states for codes, and each line's turn, counted from the chunk's beginning."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _grouped(batches, 3):
             codes = [np.asarray(c, np.int64) for c in rows.column("codes").to_pylist()]
             states = viterbi(model, np.concatenate(codes), rows.column("entry")[0].as_py(), rows.column("leave")[0].as_py())
-            parts = np.split(states, np.cumsum([len(c) for c in codes])[:-1])
-            out = rows.drop_columns(["codes", "entry", "leave"]).append_column("states", pa.array([p.astype(np.int32) for p in parts], pa.list_(pa.int32())))
+            ends = np.cumsum([len(c) for c in codes])[:-1]
+            parts, turns = (np.split(x.astype(np.int32), ends) for x in (states, np.cumsum(states < len(ROLES))))
+            out = rows.drop_columns(["codes", "entry", "leave"])
+            for name, lists in (("states", parts), ("turns", turns)):
+                out = out.append_column(name, pa.array(lists, pa.list_(pa.int32())))
             yield from out.combine_chunks().to_batches()
 
     return run
@@ -192,8 +200,8 @@ def parse(messages: DataFrame, model: np.ndarray, *, key: str = "conv_id", order
 
     A transcript is all lines of all blocks with one key (null: a transcript of its own), in order;
     where a block begins says nothing. Each line's state is the likeliest by Viterbi. A line whose
-    state opens a turn starts the next one; its marker is cut off. rendered is the turn in canonical
-    form. Blocks that tie in order (repeated rows too) keep the order they are read in; null orders
+    state opens a turn starts the next one and loses its marker, if it has one; all other lines are
+    kept as they are. rendered is the turn in canonical form. Blocks that tie in order (repeated rows too) keep the order they are read in; null orders
     come first; a null or empty text is one empty line. Other columns are ignored.
 
     A transcript with more than CHUNK_LINES lines is cut into chunks. Each chunk is first reduced,
@@ -201,19 +209,19 @@ def parse(messages: DataFrame, model: np.ndarray, *, key: str = "conv_id", order
     numbers are chained along the transcript, and the chunks are then solved between the states so
     found, which gives the path of the whole.
     """
-    bodies, codes = observe("_text")
+    lines, codes = observe("_text")
     base = messages.select(F.col(key).alias("_key"), F.coalesce(F.col(order).cast("long"), F.lit(-(1 << 62))).alias("turn"), F.col(text).alias("_text"))
     kind = base.schema["_key"].dataType.simpleString()
-    rows = cut(base.select("_key", "turn", F.monotonically_increasing_id().alias("uid"), bodies.alias("bodies"), codes.alias("codes")))
+    rows = cut(base.select("_key", "turn", F.monotonically_increasing_id().alias("uid"), lines.alias("lines"), codes.alias("codes")))
     slot = F.floor(F.col("turn") / CHUNK_TURNS).cast("long")
-    counts = rows.groupBy("_key", slot.alias("slot")).agg(F.sum(F.size("codes")).alias("lines")).select(F.col("_key").alias("k"), "slot", "lines")
-    totals = counts.groupBy("k").agg(F.sum("lines").alias("all_lines")).where(f"all_lines > {CHUNK_LINES}")
-    big = counts.join(totals.withColumnRenamed("k", "k2"), F.col("k").eqNullSafe(F.col("k2"))).select("k", "slot", "lines")
+    counts = rows.groupBy("_key", slot.alias("slot")).agg(F.sum(F.size("codes")).alias("n_lines")).select(F.col("_key").alias("k"), "slot", "n_lines")
+    totals = counts.groupBy("k").agg(F.sum("n_lines").alias("all_lines")).where(f"all_lines > {CHUNK_LINES}")
+    big = counts.join(totals.withColumnRenamed("k", "k2"), F.col("k").eqNullSafe(F.col("k2"))).select("k", "slot", "n_lines")
     placed = rows.join(big, rows["_key"].eqNullSafe(big["k"]) & (slot == big["slot"]), "left")
-    full = F.col("lines") > CHUNK_LINES
-    c1 = F.when(F.col("lines").isNull(), F.lit(0)).when(full, F.col("turn")).otherwise(F.col("slot") * CHUNK_TURNS)
+    full = F.col("n_lines") > CHUNK_LINES
+    c1 = F.when(F.col("n_lines").isNull(), F.lit(0)).when(full, F.col("turn")).otherwise(F.col("slot") * CHUNK_TURNS)
     c2 = F.when(full, F.floor(F.col("uid") / CHUNK_TURNS)).otherwise(F.lit(0))
-    placed = placed.select("_key", c1.cast("long").alias("c1"), c2.cast("long").alias("c2"), "turn", "uid", "bodies", "codes", F.col("lines").isNotNull().alias("cut"))
+    placed = placed.select("_key", c1.cast("long").alias("c1"), c2.cast("long").alias("c2"), "turn", "uid", "lines", "codes", F.col("n_lines").isNotNull().alias("cut"))
     whole, parts = placed.where("not cut"), placed.where("cut")
 
     def in_order(frame: DataFrame) -> DataFrame:
@@ -225,22 +233,20 @@ def parse(messages: DataFrame, model: np.ndarray, *, key: str = "conv_id", order
     borders = scores.repartition("_key").sortWithinPartitions("_key", "c1", "c2").mapInArrow(_borders("_key"), f"_key {kind}, c1 long, c2 long, entry int, leave int")
     borders = borders.select(F.col("_key").alias("k"), F.col("c1").alias("b1"), F.col("c2").alias("b2"), "entry", "leave")
     parts = parts.join(borders, parts["_key"].eqNullSafe(borders["k"]) & (F.col("c1") == F.col("b1")) & (F.col("c2") == F.col("b2")))
-    columns = ["_key", "c1", "c2", "turn", "uid", "bodies", "codes", "entry", "leave"]
+    columns = ["_key", "c1", "c2", "turn", "uid", "lines", "codes", "entry", "leave"]
     whole = whole.withColumn("entry", F.lit(-1)).withColumn("leave", F.lit(-1)).select(*columns)
-    solved = cut(in_order(whole.unionByName(parts.select(*columns))).mapInArrow(_solve(model, "_key"), f"_key {kind}, c1 long, c2 long, turn long, uid long, bodies array<string>, states array<int>"))
+    solved = cut(in_order(whole.unionByName(parts.select(*columns))).mapInArrow(_solve(model, "_key"), f"_key {kind}, c1 long, c2 long, turn long, uid long, lines array<string>, states array<int>, turns array<int>"))
 
     n = len(ROLES)
     starts = F.size(F.filter("states", lambda s: s < n)).cast("long")
     chunk = solved.groupBy("_key", "c1", "c2").agg(F.sum(starts).alias("starts"))
     chunk = chunk.withColumn("before", F.coalesce(F.sum("starts").over(Window.partitionBy("_key").orderBy("c1", "c2").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     chunk = chunk.select(F.col("_key").alias("k"), F.col("c1").alias("b1"), F.col("c2").alias("b2"), "before")
-    inside = Window.partitionBy("_key", "c1", "c2").orderBy("turn", "uid")
-    lines = solved.withColumn("ahead", F.coalesce(F.sum(starts).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    lines = lines.join(chunk, lines["_key"].eqNullSafe(chunk["k"]) & (F.col("c1") == F.col("b1")) & (F.col("c2") == F.col("b2")))
-    lines = lines.select("_key", "c1", "c2", "turn", "uid", "before", "ahead", "bodies", "states", F.posexplode("states").alias("pos", "state"))
-    upto = F.size(F.filter(F.slice("states", F.lit(1), F.col("pos") + 1), lambda s: s < n))
-    lines = lines.select("_key", (F.col("before") + F.col("ahead") + upto - 1).cast("long").alias("turn_no"), F.struct("c1", "c2", "turn", "uid", "pos", F.element_at("bodies", F.col("pos") + 1).alias("body")).alias("line"), (F.col("state") % n).alias("role"))
-    turns = lines.groupBy("_key", "turn_no").agg(F.min("role").alias("role"), F.count(F.lit(1)).alias("n_lines"), F.array_join(F.transform(F.sort_array(F.collect_list("line")), lambda x: x["body"]), "\n").alias("body"))
+    each = solved.select("_key", "c1", "c2", "turn", "uid", F.posexplode(F.arrays_zip("lines", "states", "turns")).alias("pos", "line"))
+    each = each.join(chunk, each["_key"].eqNullSafe(chunk["k"]) & (F.col("c1") == F.col("b1")) & (F.col("c2") == F.col("b2")))
+    body = F.when(F.col("line.states") < n, without_marker(F.col("line.lines"))).otherwise(F.col("line.lines"))
+    each = each.select("_key", (F.col("before") + F.col("line.turns") - 1).cast("long").alias("turn_no"), F.struct("c1", "c2", "turn", "uid", "pos", body.alias("body")).alias("line"), (F.col("line.states") % n).alias("role"))
+    turns = each.groupBy("_key", "turn_no").agg(F.min("role").alias("role"), F.count(F.lit(1)).alias("n_lines"), F.array_join(F.transform(F.sort_array(F.collect_list("line")), lambda x: x["body"]), "\n").alias("body"))
     role = F.element_at(F.array(*[F.lit(r) for r in ROLES]), F.col("role") + 1)
     return turns.select(F.col("_key").alias(key), "turn_no", role.alias("role"), "n_lines", "body", F.concat(F.lit("<|"), role, F.lit("|>\n"), F.trim("body"), F.lit("\n<|end|>")).alias("rendered"))
 
