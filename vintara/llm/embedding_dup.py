@@ -173,6 +173,6 @@ def embedding_duplicates(vectors: DataFrame, *, key: str = "vec_id", value: str
     named = classes.select("raw", "id", "weight", "owner").join(links, "id", "left").join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     lowest = named.groupBy("component").agg(F.min("owner").alias("lowest"))
     named = named.join(lowest, "component").select("raw", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "lowest")
-    out = told.join(named, "raw", "left")
-    component = F.when(F.col("raw").isNull(), F.col("_key")).otherwise(F.col("lowest"))
-    return out.select(F.col("_key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("_key") == component, F.lit(False)).alias("kept"))
+    alone = told.where("raw is null").select("_key", F.lit(0).cast("long").alias("n_links"), F.col("_key").alias("lowest"))  # they meet no one, least of all in one task of a join
+    out = told.where("raw is not null").join(named, "raw").select("_key", F.col("n_links").cast("long").alias("n_links"), "lowest").unionByName(alone)
+    return out.select(F.col("_key").alias(key), "n_links", F.col("lowest").alias("component_id"), F.coalesce(F.col("_key") == F.col("lowest"), F.lit(False)).alias("kept"))

@@ -278,6 +278,6 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     named = classes.select("class", "id").join(final.withColumnRenamed("node", "id"), "id", "left").select("class", F.coalesce("component", "id").alias("component"))
     lowest = classes.select("class", "owner").join(named, "class").groupBy("component").agg(F.min("owner").alias("lowest"))
     named = named.join(lowest, "component").select("class", "lowest")
-    out = told.select("_key", "n_shingles", "class").join(named, "class", "left")
-    component = F.when(F.col("class").isNull(), F.col("_key")).otherwise(F.col("lowest"))
-    return out.select(F.col("_key").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("_key") == component, F.lit(False)).alias("kept"))
+    alone = told.where("class is null").select("_key", "n_shingles", F.col("_key").alias("lowest"))  # texts without words meet no one, least of all in one task of a join
+    out = told.where("class is not null").select("_key", "n_shingles", "class").join(named, "class").select("_key", "n_shingles", "lowest").unionByName(alone)
+    return out.select(F.col("_key").alias(key), "n_shingles", F.col("lowest").alias("component_id"), F.coalesce(F.col("_key") == F.col("lowest"), F.lit(False)).alias("kept"))
