@@ -32,10 +32,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each near-duplicate group (five words, similarity 0.8 or more): the one with the smallest id.
 
     Rows without an id come after those with one; of rows alike in their id the first as read stays.
-    Documents without words belong to no group and stay. The row number is that of the rows as they
-    are read, which is the same whenever the stage's input is read again.
+    Documents without words belong to no group and stay. Rows are numbered once and written with
+    their numbers, so the input may come from a shuffle.
     """
-    numbered = docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row"))
+    numbered = cut(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")))
     keyed = numbered.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("key"), "text")
     kept = near_duplicates(keyed, key="key", width=5, threshold=80).where("kept").select("key.row")
     return numbered.join(kept, "row", "left_semi").select(*COLUMNS)
