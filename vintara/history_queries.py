@@ -8,11 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vintara.operators import asof, intervals
-from vintara.oracle import _FILINGS
-from vintara.plans import bridge
+from vintara.functions import scalars as S
+from vintara.operators import asof, balances, closure, intervals, productivity, scoring, timeseries
+from vintara.oracle import _FILINGS, _PANEL, _d, _dir, _rec
+from vintara.plans import bridge, modules, policy, stages
 from vintara.plans.bridge import table
 from vintara.plans.settle import shared_folder
+from vintara.stage_oracle import _INPUTS
+from vintara.stage_queries import Method, dec
 from vintara.streaming import intake, vintages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +153,173 @@ def stream_intake(spark, sf_dir):
             raise
     intake.take_in(stream, "digest", f"{root}/store", hook=fault)
     return intake.documents(spark, f"{root}/store").groupBy("digest").agg(F.count(F.lit(1)).alias("stored"), F.max("n_chars").alias("n_chars"))
+
+
+def _lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges (child, parent): a yearly signal rests on two observations, an observation on four quarters, a quarter on the filings that its lines cite."""
+    cited = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("issuer"), F.trunc("l_shipdate", "quarter").alias("q"), F.col("l_orderkey")).distinct()
+    name = lambda kind, day: F.concat_ws("|", F.lit(kind), F.col("issuer"), day)
+    quarters = cited.select("issuer", "q").distinct()
+    observed = quarters.select("issuer", "q", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).select("issuer", "q", F.add_months("q", 3 * F.col("k")).alias("t"))
+    signals = observed.select("issuer", "t").distinct().select("issuer", "t", F.explode(F.array(F.lit(0), F.lit(12))).alias("k")).select("issuer", "t", F.add_months("t", F.col("k")).alias("g"))
+    return (
+        signals.select(name("signal", F.col("g")).alias("child"), name("observation", F.col("t")).alias("parent"))
+        .unionByName(observed.select(name("observation", F.col("t")).alias("child"), name("quarter", F.col("q")).alias("parent")))
+        .unionByName(cited.select(name("quarter", F.col("q")).alias("child"), F.concat_ws("|", F.lit("filing"), "l_orderkey").alias("parent")))
+    )
+
+
+def _part(node: str, k: int):
+    return F.split_part(node, F.lit("|"), F.lit(k))
+
+
+_CITED = "cited AS (SELECT DISTINCT l_suppkey AS issuer, CAST(date_trunc('quarter', l_shipdate) AS DATE) AS q, l_orderkey FROM lineitem)"
+
+
+@query(f"""WITH {_FILINGS}, {_CITED}, qd AS (SELECT cited.issuer, q, max(available) AS d, bool_or(accession IS NULL) AS lacks FROM cited LEFT JOIN filings ON accession = l_orderkey GROUP BY ALL),
+    o AS (SELECT issuer, CAST(q + to_months(CAST(3 * k AS INTEGER)) AS DATE) AS t, max(d) AS d, bool_or(lacks) AS lacks FROM qd, range(4) r(k) GROUP BY ALL), g AS (SELECT issuer, CAST(t + to_months(CAST(12 * k AS INTEGER)) AS DATE) AS quarter, max(d) AS d, bool_or(lacks) AS lacks FROM o, range(2) r(k) GROUP BY ALL)
+    SELECT issuer, quarter, CASE WHEN NOT lacks THEN d END AS available, CASE WHEN lacks THEN 'MISSING_PARENT' ELSE 'RESOLVED' END AS status, 3 AS height FROM g""")
+def lineage_knowable(spark, sf_dir):
+    """When everything that a yearly signal rests on was known, through observations, quarters and filings."""
+    known = bridge.filings(spark, sf_dir).select(F.concat_ws("|", F.lit("filing"), "accession").alias("node"), "available")
+    told = closure.resolve(_lineage(spark, sf_dir), known).where(_part("node", 1) == "signal")
+    return told.select(_part("node", 2).cast("long").alias("issuer"), _part("node", 3).cast("date").alias("quarter"), "available", "status", "height")
+
+
+@query(f"""WITH {_CITED}, o AS (SELECT DISTINCT issuer, CAST(q + to_months(CAST(3 * k AS INTEGER)) AS DATE) AS t, q FROM cited, range(4) r(k)),
+    g AS (SELECT DISTINCT issuer, CAST(t + to_months(CAST(12 * k AS INTEGER)) AS DATE) AS quarter, t FROM o, range(2) r(k)), gq AS (SELECT DISTINCT issuer, quarter, q FROM g JOIN o USING (issuer, t))
+    SELECT issuer, quarter, (SELECT count(*) FROM g x WHERE x.issuer = a.issuer AND x.quarter = a.quarter) AS observations, quarters, filings, 3 AS deepest
+    FROM (SELECT issuer, quarter, count(DISTINCT q) AS quarters, count(DISTINCT l_orderkey) AS filings FROM gq JOIN cited USING (issuer, q) GROUP BY ALL) a""")
+def lineage_closure(spark, sf_dir):
+    """How many observations, quarters and filings every yearly signal rests on, from its closure."""
+    edges = _lineage(spark, sf_dir)
+    found = closure.close_over(edges, edges.where(F.col("child").startswith("signal|")).select(F.col("child").alias("root")))
+    count = lambda kind, name: F.count_if(_part("node", 1) == kind).alias(name)
+    counted = found.groupBy("root").agg(count("observation", "observations"), count("quarter", "quarters"), count("filing", "filings"), F.max("depth").alias("deepest"))
+    return counted.select(_part("root", 2).cast("long").alias("issuer"), _part("root", 3).cast("date").alias("quarter"), "observations", "quarters", "filings", "deepest")
+
+
+def _open_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is open of each supplier's lines: added on the earlier of a line's order and shipping day, taken away on the later."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("issuer"), F.to_date("l_shipdate").alias("shipped"), F.col("l_extendedprice").cast("decimal(12,2)").alias("price"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.to_date("o_orderdate").alias("ordered"))
+    changes = F.array(F.struct(F.least("ordered", "shipped").alias("day"), F.col("price").cast("decimal(13,2)").alias("amount")), F.struct(F.greatest("ordered", "shipped").alias("day"), (-F.col("price")).cast("decimal(13,2)").alias("amount")))
+    deltas = lines.join(orders, "l_orderkey").select("issuer", F.inline(changes))
+    return balances.averaged(balances.balances(deltas, ("issuer",)), ("issuer",))
+
+
+def _trailing(cells: DataFrame) -> DataFrame:
+    return timeseries.trailing(timeseries.mark_runs(cells))
+
+
+def _trailing_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """issuer, q_end and the trailing revenue and operating income, where both are whole."""
+    of = lambda c: F.max(F.when(F.col("concept") == c, F.col("ttm")))
+    wide = _trailing(bridge.quarter_cells(spark, sf_dir).where("concept in ('revenue', 'operating_income')")).groupBy("issuer", "q_end").agg(of("revenue").alias("revenue"), of("operating_income").alias("operating_income"))
+    return wide.where("revenue is not null and operating_income is not null")
+
+
+_OPEN = """l AS (SELECT l_suppkey AS issuer, CAST(o_orderdate AS DATE) AS o, CAST(l_shipdate AS DATE) AS s, CAST(l_extendedprice AS DECIMAL(12,2)) AS p FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+    delta AS (SELECT issuer, least(o, s) AS day, p AS amount FROM l UNION ALL SELECT issuer, greatest(o, s), -p FROM l),
+    dq AS (SELECT issuer, last_day(CAST(date_trunc('quarter', day) AS DATE) + INTERVAL 2 MONTH) AS q_end, sum(amount) AS change, coalesce(sum(amount) FILTER (amount > 0), 0) AS opened, coalesce(-sum(amount) FILTER (amount < 0), 0) AS closed FROM delta GROUP BY ALL),
+    grid AS (SELECT issuer, last_day(CAST(q + INTERVAL 2 MONTH AS DATE)) AS q_end FROM (SELECT issuer, unnest(generate_series(date_trunc('quarter', min(q_end)), (SELECT max(q_end) FROM dq), INTERVAL 3 MONTH)) AS q FROM dq GROUP BY issuer)),
+    held AS (SELECT issuer, q_end, coalesce(opened, 0) AS opened, coalesce(closed, 0) AS closed, sum(coalesce(change, 0)) OVER (PARTITION BY issuer ORDER BY q_end) AS balance FROM grid LEFT JOIN dq USING (issuer, q_end)),
+    mean AS (SELECT *, CASE WHEN lag(q_end, 4) OVER v IS NOT NULL THEN sum(CAST(balance AS DOUBLE)) OVER (PARTITION BY issuer ORDER BY q_end ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) / 5 END AS average, lag(balance, 4) OVER v AS beginning FROM held WINDOW v AS (PARTITION BY issuer ORDER BY q_end))"""
+_FLOWS = "flows AS (SELECT issuer, q_end, max(ttm) FILTER (concept = 'revenue') AS revenue, max(ttm) FILTER (concept = 'operating_income') AS profit FROM obs GROUP BY ALL HAVING revenue IS NOT NULL AND profit IS NOT NULL)"
+_TURNOVER = """base AS (SELECT m.issuer, m.q_end, balance, average, CAST(revenue AS DOUBLE) AS revenue, CAST(profit AS DOUBLE) AS profit FROM mean m JOIN flows USING (issuer, q_end)),
+    turn AS (SELECT a.issuer, a.q_end, a.balance, a.average, a.revenue / nullif(a.average, 0) AS turnover, a.revenue / nullif(a.average, 0) - b.revenue / nullif(b.average, 0) AS turnover_change, a.profit / nullif(a.average, 0) AS return_on_average,
+        (a.profit - b.profit) / nullif(a.average - b.average, 0) AS incremental_return FROM base a LEFT JOIN base b ON b.issuer = a.issuer AND a.q_end = last_day(b.q_end + INTERVAL 12 MONTH))"""
+
+
+@query(f"""{_PANEL}, {_OPEN}, {_FLOWS}, {_TURNOVER} SELECT issuer, q_end, CAST(balance AS DECIMAL(28,2)) AS balance, CAST(average AS DECIMAL(28,4)) AS average, {_d('turnover')}, {_d('turnover_change')}, {_d('return_on_average')}, {_d('round(incremental_return, 6)', 'incremental_return')} FROM turn""")
+def capital_turnover(spark, sf_dir):
+    """Trailing sales over the average of what was open at five quarter ends, the return on it, and the return on what was added in a year."""
+    flows = _trailing_wide(spark, sf_dir).withColumnRenamed("operating_income", "profit")
+    out = balances.returns_on(_open_lines(spark, sf_dir), flows, ("issuer",))
+    return out.select("issuer", "q_end", "balance", dec("average", kind="decimal(28,4)"), dec("turnover"), dec("turnover_change"), dec("return_on_average"), dec(F.round("incremental_return", 6), "incremental_return"))
+
+
+_HEADS = f"""{_FLOWS}, told AS (SELECT l_suppkey AS issuer, CAST(l_shipdate AS DATE) AS counted_on, max(CAST(l_quantity * 10 AS INTEGER)) AS heads FROM lineitem WHERE round(l_discount, 2) = 0.1 AND round(l_tax, 2) = 0.08 GROUP BY ALL),
+    met AS (SELECT f.*, counted_on, heads AS h, CAST(f.q_end - counted_on AS INTEGER) AS head_age FROM flows f ASOF LEFT JOIN told t ON f.issuer = t.issuer AND f.q_end >= t.counted_on),
+    weighed AS (SELECT *, coalesce(CASE WHEN head_age <= 120 THEN 1.0 WHEN head_age <= 240 THEN 0.75 WHEN head_age <= 365 THEN 0.5 ELSE 0 END * CASE WHEN h % 50 = 0 THEN 0.8 ELSE 1 END, 0)::DOUBLE AS head_weight FROM met),
+    headed AS (SELECT issuer, q_end, CAST(revenue AS DOUBLE) AS r, CAST(profit AS DOUBLE) AS o, head_age, head_weight, CASE WHEN head_weight > 0 THEN h END AS heads FROM weighed),
+    perhead AS (SELECT a.*, a.r / a.heads AS revenue_per_head, a.o / a.heads AS operating_income_per_head, CASE WHEN b.r > 0 THEN (a.r / a.heads) / (b.r / b.heads) - 1 END AS r_yoy, CASE WHEN b.o > 0 THEN (a.o / a.heads) / (b.o / b.heads) - 1 END AS o_yoy,
+        a.heads::DOUBLE / b.heads - 1 AS heads_yoy, CASE WHEN b.r > 0 THEN a.r / b.r - 1 END - (a.heads::DOUBLE / b.heads - 1) AS growth_spread FROM headed a LEFT JOIN (SELECT issuer, lead(q_end, 4) OVER (PARTITION BY issuer ORDER BY q_end) AS q_next, q_end AS q_was, r, o, heads FROM headed) b ON a.issuer = b.issuer AND a.q_end = b.q_next AND a.q_end = last_day(b.q_was + INTERVAL 12 MONTH))"""
+
+
+def _per_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' figures per head; a line with the highest discount and tax discloses a head count, which is approximate where it is a multiple of fifty."""
+    lines = table(spark, sf_dir, "lineitem").where((F.round("l_discount", 2) == 0.1) & (F.round("l_tax", 2) == 0.08))
+    heads = (F.col("l_quantity") * 10).cast("int")
+    told = lines.select(F.col("l_suppkey").alias("issuer"), F.to_date("l_shipdate").alias("counted_on"), heads.alias("heads"), (heads % 50 == 0).alias("approximate"))
+    return productivity.per_head(productivity.carried_counts(_trailing_wide(spark, sf_dir), told))
+
+
+@query(f"""{_PANEL}, {_HEADS} SELECT issuer, q_end, heads, head_age, CASE WHEN head_weight = 0 THEN 'NO_EMPLOYEE_SIGNAL' WHEN head_age <= 120 THEN 'OBSERVED_EMPLOYEE' ELSE 'CARRIED_EMPLOYEE' END AS employee_class, CAST(head_weight AS DECIMAL(9,4)) AS head_weight,
+    {_d('revenue_per_head')}, {_d('operating_income_per_head')}, {_d('r_yoy', 'revenue_per_head_yoy')}, {_d('o_yoy', 'operating_income_per_head_yoy')}, {_d('heads_yoy')}, {_d('growth_spread')} FROM perhead""")
+def per_head_productivity(spark, sf_dir):
+    """Trailing figures per head with irregular head counts carried to quarter ends; the count's weight falls with its age and its precision."""
+    out = _per_head(spark, sf_dir)
+    return out.select("issuer", "q_end", "heads", "head_age", "employee_class", dec("head_weight", kind="decimal(9,4)"), dec("revenue_per_head"), dec("operating_income_per_head"), dec("revenue_per_head_yoy"), dec("operating_income_per_head_yoy"), dec("heads_yoy"), dec("growth_spread"))
+
+
+_WORTH = "CASE {c} WHEN 'SUPPORTIVE' THEN 1.0 WHEN 'NEUTRAL' THEN 0.5 WHEN 'ADVERSE' THEN 0.0 WHEN 'CONFLICTED' THEN 0.25 END"
+_SIX = "[" + ", ".join(_WORTH.format(c=c) for c in ("growth", "profit", "cash", "margin", "productivity", "capital")) + "]"
+
+
+@query(f"""{_INPUTS}, {_OPEN}, {_HEADS}, {_TURNOVER.replace('base', 'tbase')},
+    six AS (SELECT c.q_end, c.issuer, growth, profit, cash, margin, coalesce({_rec(_dir('round(r_yoy, 6)', 0.01), _dir('round(o_yoy, 6)', 0.02))}, 'INELIGIBLE') AS productivity, {_dir('round(turnover_change, 6)', 0.01)} AS capital FROM classes c LEFT JOIN perhead p ON p.issuer = c.issuer AND p.q_end = c.q_end LEFT JOIN turn t ON t.issuer = c.issuer AND t.q_end = c.q_end)
+    SELECT q_end, issuer, productivity, capital, len(list_filter({_SIX}, lambda x: x IS NOT NULL)) AS families, CASE WHEN len(list_filter({_SIX}, lambda x: x IS NOT NULL)) >= 3 THEN CAST(100.0 * list_sum({_SIX}) / len(list_filter({_SIX}, lambda x: x IS NOT NULL)) AS DECIMAL(18,9)) END AS breadth_score FROM six""")
+def six_family_breadth(spark, sf_dir):
+    """Breadth over all six families: productivity from figures per head and capital from the change of turnover beside the other four."""
+    heads = _per_head(spark, sf_dir).select("q_end", "issuer", *[F.round(f"{f}_per_head_yoy", 6).alias(f"{f}_per_head_yoy") for f in ("revenue", "operating_income")])
+    turnover = balances.returns_on(_open_lines(spark, sf_dir), _trailing_wide(spark, sf_dir).withColumnRenamed("operating_income", "profit"), ("issuer",)).select("q_end", "issuer", F.round("turnover_change", 6).alias("turnover_change"))
+    classes = stages.six_families(Method(spark, sf_dir).classes, heads, turnover)
+    long = classes.unpivot(list(stages.KEYS), list(stages.FAMILIES), "family", "class")
+    score = scoring.breadth(long, 0.25, stages.KEYS)
+    return classes.select(*stages.KEYS, "productivity", "capital").join(score, list(stages.KEYS)).select(*stages.KEYS, "productivity", "capital", "families", dec("breadth_score"))
+
+
+def _module_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long values of every concept: trailing flows, and the average and beginning of what is open."""
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("issuer"), F.trunc("l_shipdate", "quarter").alias("q_start"), F.col("l_extendedprice").cast("decimal(12,2)").alias("price"), F.col("l_discount").cast("decimal(4,2)").alias("discount"), "l_returnflag")
+    more = line.groupBy("issuer", "q_start").agg(F.sum(F.when(F.col("l_returnflag") == "R", F.col("price")).otherwise(0)).cast("decimal(28,4)").alias("returned"), F.sum(F.col("price") * F.col("discount")).cast("decimal(28,4)").alias("rebates"))
+    held = _open_lines(spark, sf_dir)
+    moved = held.select("issuer", F.trunc("q_end", "quarter").alias("q_start"), F.col("opened").cast("decimal(28,4)").alias("opened"), F.col("closed").cast("decimal(28,4)").alias("closed"))
+
+    def cells(wide: DataFrame, *names: str) -> DataFrame:
+        long = wide.unpivot(["issuer", "q_start"], list(names), "concept", "value")
+        return long.select("issuer", "concept", "q_start", F.last_day(F.add_months("q_start", 2)).alias("q_end"), F.quarter("q_start").alias("fiscal_quarter"), "value")
+
+    flows = bridge.quarter_cells(spark, sf_dir).unionByName(cells(more, "returned", "rebates")).unionByName(cells(moved, "opened", "closed"))
+    trailing = _trailing(flows).select("issuer", "q_end", "concept", F.lit("ttm").alias("basis"), F.col("ttm").cast("double").alias("value"))
+    instants = held.select("issuer", "q_end", F.lit("open_lines").alias("concept"), F.inline(F.array(*[F.struct(F.lit(b).alias("basis"), F.col(b).cast("double").alias("value")) for b in ("average", "beginning")])))
+    return trailing.unionByName(instants)
+
+
+_MODULE = "CASE r_regionkey WHEN 0 THEN 'OPERATING' WHEN 1 THEN 'BANK' WHEN 2 THEN 'INSURER' WHEN 3 THEN 'ASSET_MANAGER' WHEN 4 THEN 'REIT' END"
+_metric = lambda module, name, upper, lower, unit, scale, sign: f"SELECT issuer, q_end, module, '{name}' AS metric, '{unit}' AS unit, ({upper}) / nullif({lower}, 0) * {scale} AS v, {sign} AS sign FROM t WHERE module = '{module}'"
+_ALL_METRICS = " UNION ALL ".join(
+    (
+        _metric("OPERATING", "OPERATING_MARGIN", "oi", "rev", "pp", 100, 1), _metric("OPERATING", "FCF_MARGIN", "cfo - capex", "rev", "pp", 100, 1), _metric("OPERATING", "CAPEX_INTENSITY", "capex", "rev", "pp", 100, "NULL"), _metric("BANK", "EFFICIENCY_RATIO", "rev - oi", "rev", "bp", 10000, -1),
+        _metric("BANK", "NET_CHARGE_OFF_RATE", "ret", "average", "bp", 10000, -1), _metric("BANK", "PREPROVISION_YIELD", "oi + ret", "average", "bp", 10000, 1), _metric("INSURER", "LOSS_RATIO", "ret", "rev", "bp", 10000, -1), _metric("INSURER", "EXPENSE_RATIO", "reb", "rev", "bp", 10000, -1),
+        _metric("INSURER", "COMBINED_RATIO", "ret + reb", "rev", "bp", 10000, -1), _metric("ASSET_MANAGER", "FEE_RATE", "cfo", "average", "bp", 10000, 1), _metric("ASSET_MANAGER", "ORGANIC_GROWTH_RATE", "opened4 - closed4", "beginning", "pp", 100, 1), _metric("REIT", "INTEREST_BURDEN", "reb", "oi + reb", "pp", 100, -1),
+    )
+)
+
+
+@query(f"""{_PANEL}, {_OPEN}, extra AS (SELECT l_suppkey AS issuer, CAST(date_trunc('quarter', l_shipdate) AS DATE) AS q_start, sum(CASE WHEN l_returnflag = 'R' THEN CAST(l_extendedprice AS DECIMAL(12,2)) ELSE 0 END) AS ret, sum(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_discount AS DECIMAL(4,2))) AS reb FROM lineitem GROUP BY ALL),
+    four AS (SELECT issuer, last_day(q_start + INTERVAL 2 MONTH) AS q_end, CASE WHEN last_day(lag(q_start, 3) OVER x + INTERVAL 11 MONTH) = last_day(q_start + INTERVAL 2 MONTH) THEN sum(ret) OVER y END AS ret, CASE WHEN last_day(lag(q_start, 3) OVER x + INTERVAL 11 MONTH) = last_day(q_start + INTERVAL 2 MONTH) THEN sum(reb) OVER y END AS reb FROM extra
+        WINDOW x AS (PARTITION BY issuer ORDER BY q_start), y AS (PARTITION BY issuer ORDER BY q_start ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)),
+    moved AS (SELECT issuer, q_end, average, CAST(beginning AS DOUBLE) AS beginning, CASE WHEN count(*) OVER z = 4 THEN sum(opened) OVER z END AS opened4, CASE WHEN count(*) OVER z = 4 THEN sum(closed) OVER z END AS closed4 FROM mean WINDOW z AS (PARTITION BY issuer ORDER BY q_end ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)),
+    o AS (SELECT issuer, q_end, CAST(max(ttm) FILTER (concept = 'revenue') AS DOUBLE) AS rev, CAST(max(ttm) FILTER (concept = 'operating_income') AS DOUBLE) AS oi, CAST(max(ttm) FILTER (concept = 'cash_from_operations') AS DOUBLE) AS cfo, CAST(max(ttm) FILTER (concept = 'capital_expenditures') AS DOUBLE) AS capex FROM obs GROUP BY ALL),
+    t AS (SELECT issuer, q_end, {_MODULE} AS module, rev, oi, cfo, capex, CAST(ret AS DOUBLE) AS ret, CAST(reb AS DOUBLE) AS reb, average, beginning, CAST(opened4 AS DOUBLE) AS opened4, CAST(closed4 AS DOUBLE) AS closed4
+        FROM moved FULL JOIN o USING (issuer, q_end) FULL JOIN four USING (issuer, q_end) JOIN supplier ON s_suppkey = issuer JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey)
+    SELECT issuer, q_end, module, metric, unit, {_d('round(v, 6)', 'value')}, {_d('round(v, 6) * sign', 'aligned')} FROM ({_ALL_METRICS}) WHERE v IS NOT NULL""")
+def metric_modules(spark, sf_dir):
+    """Twelve metrics of five modules from one relation of terms; a supplier's region is its module."""
+    names = F.array(*[F.lit(m) for m in ("OPERATING", "BANK", "INSURER", "ASSET_MANAGER", "REIT")])
+    places = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey")
+    members = table(spark, sf_dir, "supplier").join(places, "s_nationkey").select(F.col("s_suppkey").alias("issuer"), F.try_element_at(names, F.col("n_regionkey") + 1).alias("module"))
+    out = modules.evaluate(_module_values(spark, sf_dir), members, modules.formulas(spark))
+    return out.select("issuer", "q_end", "module", "metric", "unit", dec(F.round("value", 6), "value"), dec(F.round("aligned", 6), "aligned"))

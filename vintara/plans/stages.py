@@ -60,6 +60,17 @@ def family_classes(inputs: DataFrame) -> DataFrame:
 FAMILIES = ("growth", "profit", "cash", "margin", "productivity", "capital")
 
 
+def six_families(classes: DataFrame, per_head: DataFrame, turnover: DataFrame) -> DataFrame:
+    """``classes`` with productivity judged by the yearly changes of revenue and operating income per head, and capital by that of turnover.
+
+    ``per_head`` and ``turnover`` have KEYS and those changes; a company without them is ineligible there and nowhere else.
+    """
+    band = policy.NEUTRAL_BANDS
+    rows = classes.drop("productivity", "capital").join(per_head, list(KEYS), "left").join(turnover, list(KEYS), "left")
+    heads = S.reconcile_directions([S.direction(F.col("revenue_per_head_yoy"), band["growth"]), S.direction(F.col("operating_income_per_head_yoy"), band["profit"])])
+    return rows.withColumns({"productivity": heads, "capital": S.direction(F.col("turnover_change"), band["growth"])}).select(*classes.columns)
+
+
 def company_gates(inputs: DataFrame, classes: DataFrame, components: DataFrame, excluded_days: int = policy.EXCLUDED_DAYS) -> DataFrame:
     """KEYS, factor, coverage, gate: what each company can fill of each factor, and whether that meets its floor."""
     usable = inputs.join(F.broadcast(inputs.sparkSession.createDataFrame(policy.TRANSFORMATIONS, "input_id string, required string")), "input_id")
