@@ -11,8 +11,8 @@ from vintara.llm.common import cut, shared_folder
 
 #: The number of virtual slots never changes; the driver handles one number per slot and no more.
 SLOTS = 8192
-#: A group of equal texts with more than this part of a shard's even share is dealt over all slots.
-HEAVY = 64
+#: Parts of a slot in which its rows are numbered apart, so that a slot with a large group is no single task.
+PARTS = 16
 MAP_SCHEMA = "version int, virtual_slot int, shard int"
 
 
@@ -24,11 +24,11 @@ def with_slot(docs: DataFrame, *, text: str = "text", slots: int = SLOTS) -> Dat
 def spread_heavy(sized: DataFrame, *, group: str, row: str, shards: int, slots: int = SLOTS) -> DataFrame:
     """Deal the rows of heavy groups over all slots by their row number; the other rows keep virtual_slot.
 
-    A group (rows equal in ``group``) is heavy when it has more than 1 / HEAVY of a shard's even
-    share of bytes. At most ``shards`` * HEAVY groups can be, so the list of them is broadcast.
+    A group (rows equal in ``group``) is heavy when it has more bytes than a shard's even share, so
+    that no shard can hold it. Fewer than ``shards`` groups can be, so the list of them is broadcast.
     """
     total = sized.agg(F.sum("size")).first()[0] or 0
-    heavy = sized.groupBy(group).agg(F.sum("size").alias("bytes")).where(F.col("bytes") * shards * HEAVY > total).select(F.col(group).alias("__heavy__"))
+    heavy = sized.groupBy(group).agg(F.sum("size").alias("bytes")).where(F.col("bytes") * shards > total).select(F.col(group).alias("__heavy__"))
     both = sized.join(F.broadcast(heavy), F.col(group) == F.col("__heavy__"), "left")
     dealt = F.pmod(F.xxhash64(group, row), F.lit(slots)).cast("int")
     return both.withColumn("virtual_slot", F.when(F.col("__heavy__").isNull(), F.col("virtual_slot")).otherwise(dealt)).drop("__heavy__")
@@ -111,9 +111,9 @@ def shard_documents(docs: DataFrame, *, shards: int = 24, key: str = "doc_id", t
     slots, and rows are placed by the latest version as it is read back; map_version says which. A
     map that is already there is edited and gets one version more.
 
-    slot counts the rows of a shard from 0 without gaps: virtual slots are laid one after another (a
-    prefix sum over their fixed number) and rows are numbered inside their own, so no shard is ever
-    sorted in one task. grown_shard is null under this law. Null keys, empty texts and repeated rows
+    slot counts the rows of a shard from 0 without gaps: the PARTS of its virtual slots are laid one
+    after another (a prefix sum over their fixed number) and rows are numbered inside their own part, so neither a shard
+    nor a large group is ever sorted in one task. grown_shard is null under this law. Null keys, empty texts and repeated rows
     are ordinary rows; an empty table gives none. Other columns are ignored.
     """
     spark = docs.sparkSession
@@ -121,16 +121,17 @@ def shard_documents(docs: DataFrame, *, shards: int = 24, key: str = "doc_id", t
     hashed = with_slot(base, text="_text", slots=slots)
     sized = cut(hashed.select("_key", "virtual_slot", F.xxhash64("_text").alias("_group"), F.monotonically_increasing_id().alias("_row"), (F.octet_length("_text") + F.lit(8)).cast("long").alias("size"), F.crc32(F.col("_text").cast("binary")).alias("crc")))
     sized = spread_heavy(sized, group="_group", row="_row", shards=shards, slots=slots)
-    sizes = cut(slot_bytes(sized))
+    parted = sized.withColumn("_part", F.pmod(F.xxhash64("_row", F.lit("part")), F.lit(PARTS)).cast("int"))
+    counts = cut(parted.groupBy("virtual_slot", "_part").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")))
     path = map_path or f"{shared_folder(spark)}/slot-map-{uuid.uuid4().hex}"
     if not map_path or not _exists(spark, path):
         store_map(first_map(spark, shards, slots), path)
-    store_map(rebalance(spark, read_map(spark, path), sizes, shards), path)
-    placed = read_map(spark, path).join(sizes, "virtual_slot")
-    before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("start", F.coalesce(F.sum("rows").over(before), F.lit(0))).select("virtual_slot", "shard", "start", "version")
-    inside = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("_key", "crc", "size", "_row"))
-    rows = sized.withColumn("place", inside - 1).join(F.broadcast(placed), "virtual_slot")
+    store_map(rebalance(spark, read_map(spark, path), slot_bytes(counts), shards), path)
+    placed = read_map(spark, path).join(counts, "virtual_slot")
+    before = Window.partitionBy("shard").orderBy("virtual_slot", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("start", F.coalesce(F.sum("rows").over(before), F.lit(0))).select("virtual_slot", "_part", "shard", "start", "version")
+    inside = F.row_number().over(Window.partitionBy("virtual_slot", "_part").orderBy("_key", "crc", "size", "_row"))
+    rows = parted.withColumn("place", inside - 1).join(F.broadcast(placed), ["virtual_slot", "_part"])  # slots * PARTS rows at most
     return rows.select(
         F.col("_key").alias(key), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard",
         (F.col("start") + F.col("place")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.col("version").alias("map_version"),
