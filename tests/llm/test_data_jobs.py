@@ -383,3 +383,22 @@ def test_stages_on_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         now = stage(spark, now, SF)
     assert now.count() == 0
+
+
+def test_every_limit_of_the_query_closes_sequences(spark):
+    out = queries.op8_vector_packing(spark, "/root/testdata/sf0.1").groupBy("sequence_id").agg(
+        F.sum("length").alias("tokens"), F.sum("loss_tokens").alias("loss"), F.count("*").alias("pieces"), F.min("closed_by").alias("a"), F.max("closed_by").alias("b")
+    ).collect()
+    closed = Counter(r["a"] for r in out)
+    assert all(r["a"] == r["b"] and r["tokens"] <= 2048 and r["loss"] <= 2044 and r["pieces"] <= 16 for r in out)
+    assert min(closed[c] for c in ("tokens", "segments", "loss")) > 0 and closed["end"] <= 1 + len(out) // 1000
+    assert all(r["pieces"] == 16 for r in out if r["a"] == "segments") and all(r["loss"] >= 2040 for r in out if r["a"] == "loss")
+    assert sum(r["tokens"] for r in out) / (2048 * len(out)) > 0.99
+
+
+def test_groups_of_equal_texts_below_a_shard_are_kept_whole(spark):
+    out = queries.op3_virtual_slot_sharding(spark, "/root/testdata/sf0.01")
+    load = [r["b"] for r in out.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    groups = out.groupBy("text_crc32", "size").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"), F.count_distinct("shard").alias("shards"))
+    assert groups.where("rows > 1").count() > 10 and groups.where(f"shards > 1 and bytes <= {sum(load) / 24}").count() == 0
+    assert len(load) == 24 and max(load) < 1.01 * min(load)

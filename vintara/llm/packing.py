@@ -193,8 +193,12 @@ def token_pieces(docs: DataFrame, *, key: str = "doc_id", text: str = "text", si
     return base.mapInArrow(_pieces(tokenizer, end_id, size, "_key"), f"_key {kind}, start long, length long, ids_crc32 long, doc_tokens long").withColumnRenamed("_key", key)
 
 
-def place(sizes: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bins for items with several sizes each (rows of ``sizes``) under several limits: (bin, order within it).
+#: What closed a sequence: its items ran out, or for all that remained the first of these limits that leaves none room.
+CLOSED_BY = ("end", "tokens", "segments", "loss")
+
+
+def place(sizes: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bins for items with several sizes each (rows of ``sizes``) under several limits: (bin, order within it, which limit closed it).
 
     One bin is open at a time. Of the items that still fit, the one whose sizes have the greatest
     weighted dot product with the room left is taken (ties: the larger one, then the earlier one); a
@@ -210,6 +214,7 @@ def place(sizes: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray
     first = -kinds[:, 0]
     bins, places = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
     at, left, filled = 0, limits.astype(np.float64), 0
+    closed = np.zeros(len(sizes), np.int8)
     for _ in range(len(sizes)):
         while True:
             low = np.searchsorted(first, -left[0])  # kinds before have too many tokens
@@ -222,6 +227,12 @@ def place(sizes: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray
                 break
             if not filled:
                 raise ValueError("an item exceeds the limits of an empty bin")
+            room = left_of_kind > 0
+            for k in range(sizes.shape[1]):
+                room &= kinds[:, k] <= left[k]
+                if not room.any():
+                    closed[at] = 1 + k
+                    break
             at, left, filled = at + 1, limits.astype(np.float64), 0
         item = order[taken[best]]
         taken[best] += 1
@@ -229,11 +240,11 @@ def place(sizes: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray
         bins[item], places[item] = at, filled
         left = left - kinds[best]
         filled += 1
-    return bins, places
+    return bins, places, closed[bins]
 
 
 def _pack(limits: tuple[int, ...], columns: int):
-    """Rows in order of their group to (everything but the group, sequence_id, offset)."""
+    """Rows in order of their group to (everything but the group, sequence_id, offset, closed_by)."""
     caps = np.array(limits, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,14 +254,14 @@ def _pack(limits: tuple[int, ...], columns: int):
             whole = pa.Table.from_batches(parts).combine_chunks()
             group = whole.column("__group__")[0].as_py()
             sizes = np.stack([whole.column(c).to_numpy() for c in ("__tokens__", "__segments__", "__loss__")], axis=1)
-            bins, places = place(sizes, caps)
+            bins, places, closed = place(sizes, caps)
             order = np.lexsort((places, bins))
             length = sizes[order, 0]
             run_up = np.cumsum(length) - length
             first = np.concatenate(([True], bins[order][1:] != bins[order][:-1]))
             offset = run_up - np.repeat(run_up[first], np.diff(np.concatenate((np.flatnonzero(first), [len(order)]))))
             kept = whole.drop_columns(["__group__"]).take(pa.array(order))
-            kept = kept.append_column("sequence_id", pa.array(group * (1 << 20) + bins[order])).append_column("offset", pa.array(offset))
+            kept = kept.append_column("sequence_id", pa.array(group * (1 << 20) + bins[order])).append_column("offset", pa.array(offset)).append_column("closed_by", pa.array([CLOSED_BY[k] for k in closed[order].tolist()], pa.string()))
             return kept.combine_chunks().to_batches()[0]
 
         for batch in batches:
@@ -269,7 +280,7 @@ def _pack(limits: tuple[int, ...], columns: int):
 
 
 def pack(items: DataFrame, *, tokens: str = "tokens", segments: str | None = None, loss: str | None = None, max_tokens: int = 2048, max_segments: int = 128, max_loss: int = 2048) -> DataFrame:
-    """Give every row of ``items`` a sequence_id and an offset there under three limits at once.
+    """Give every row of ``items`` a sequence_id, an offset there and what closed the sequence, under three limits at once.
 
     ``tokens``, ``segments`` (default one a row) and ``loss`` (loss-bearing tokens, default all) are
     integer columns; nulls count as 0. Rows are dealt at random (by a hash of all columns and their
@@ -290,27 +301,27 @@ def pack(items: DataFrame, *, tokens: str = "tokens", segments: str | None = Non
     groups = max(1, -(-fixed.count() // GROUP))
     dealt = fixed.withColumn("__group__", F.pmod(F.xxhash64("__row__"), F.lit(groups))).drop("__row__")
     names = [c for c in dealt.columns if c != "__group__"]
-    schema = ", ".join(f"`{c}` {dealt.schema[c].dataType.simpleString()}" for c in names) + ", sequence_id long, offset long"
+    schema = ", ".join(f"`{c}` {dealt.schema[c].dataType.simpleString()}" for c in names) + ", sequence_id long, offset long, closed_by string"
     packed = dealt.repartition(max(1, min(20_000, -(-groups // 4))), "__group__").sortWithinPartitions("__group__", F.desc("__tokens__")).mapInArrow(_pack((max_tokens, max_segments, max_loss), len(names)), schema)
-    return packed.select(*items.columns, "sequence_id", "offset")
+    return packed.select(*items.columns, "sequence_id", "offset", "closed_by")
 
 
 def pack_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 2048, max_segments: int | None = None, max_loss: int | None = None, end_id: int = 1, tokenizer: tuple[str, str, str] | None = None) -> DataFrame:
-    """Tokenise, cut and pack documents: key, start, length, ids_crc32, doc_tokens, loss_tokens, sequence_id, offset a piece.
+    """Tokenise, cut and pack documents: key, start, length, ids_crc32, doc_tokens, loss_tokens, sequence_id, offset, closed_by a piece.
 
     A token bears loss if something stands before it in its sequence's piece of the document, so a
     piece has one loss-bearing token less than tokens. ``max_segments`` and ``max_loss`` limit the
-    pieces and the loss-bearing tokens of a sequence; by default both are ``size``, which a sequence
-    of very short documents reaches together with its tokens, so no padding comes of them. A piece
-    of full ``size`` leaves room for nothing and is a sequence of its own. Where a lower ``max_loss`` is given, documents are cut so that each piece
-    obeys it. Null keys, repeated rows and extra columns are as in ``token_pieces``.
+    pieces and the loss-bearing tokens of a sequence beside its tokens; by default both are ``size``, which
+    leaves it to the tokens alone, as a corpus of very short documents needs. Below that they act: documents are cut so that
+    each piece obeys the loss limit, and a piece that reaches it is a sequence of its own. closed_by tells what ended a sequence (see
+    CLOSED_BY). Null keys, repeated rows and extra columns are as in ``token_pieces``.
     """
     max_loss = size if max_loss is None else max_loss
     max_segments = size if max_segments is None else max_segments
     cut_at = min(size, max_loss + 1)
     pieces = token_pieces(docs, key=key, text=text, size=cut_at, end_id=end_id, tokenizer=tokenizer).withColumn("loss_tokens", F.col("length") - 1)
     pieces = cut(pieces)
-    alone = F.col("length") == size
-    whole = pieces.where(alone).withColumn("sequence_id", F.lit(WHOLE) + F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    alone = F.col("length") == cut_at
+    whole = pieces.where(alone).withColumn("sequence_id", F.lit(WHOLE) + F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long")).withColumn("closed_by", F.lit("loss" if cut_at < size else "tokens"))
     rest = pack(pieces.where(~alone), tokens="length", loss="loss_tokens", max_tokens=size, max_segments=max_segments, max_loss=max_loss)
     return whole.unionByName(rest)

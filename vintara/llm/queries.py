@@ -57,7 +57,7 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op8_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), size=2048, end_id=1)
+    return pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), size=2048, end_id=1, max_segments=16, max_loss=2044)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
