@@ -188,3 +188,40 @@ def test_a_metric_needs_all_its_terms(spark):
     out = {(r["issuer"], r["metric"]): (r["value"], r["aligned"], r["unit"]) for r in modules.evaluate(frame, members, modules.formulas(spark)).collect()}
     assert out == {(1, "OPERATING_MARGIN"): (25.0, 25.0, "pp"), (3, "EFFICIENCY_RATIO"): (8000.0, -8000.0, "bp")}
     assert len({m for _, m, *_ in modules.TERMS}) == len(modules.METRICS) >= 10
+
+
+def test_a_settled_table_follows_its_files(spark, tmp_path):
+    from vintara.plans.settle import once
+
+    path = str(tmp_path / "t")
+    count = lambda: once(spark, ("rows", path), lambda: spark.read.parquet(path)).count()
+    spark.range(5).write.parquet(path)
+    assert count() == 5 == count()
+    spark.range(9).write.mode("overwrite").parquet(path)
+    assert count() == 9
+
+
+def test_weights_of_scores_that_are_there_equal_those_of_the_whole_grid(spark):
+    from vintara.operators import scoring
+    from vintara.plans import policy
+
+    r = random.Random(1)
+    names = sorted({c[1] for c in policy.COMPONENTS})
+    rows = [(i, n, r.uniform(0, 100)) for i in range(60) for n in names if r.random() < [0.3, 0.7, 0.95][i % 3]]
+    scores = spark.createDataFrame(rows + [(70, names[0], None)], "issuer int, input_id string, score double")
+    entities = spark.range(75).select(F.col("id").cast("int").alias("issuer"))
+    parts = policy.factor_components(spark)
+    want = scoring.factor_scores(scoring.check_cap(scoring.reweight_quarter_factor(scoring.component_table(scores, parts, entities=entities))))
+    got = scoring.weighted_scores(scores, parts, entities=entities)
+    plain = lambda f: {(x["issuer"], x["factor"]): tuple(round(v, 9) if isinstance(v, float) else v for v in (x["factor_score"], x["original_coverage"], x["applied_coverage"], x["families"], bool(x["floor_met"]))) for x in f.collect()}
+    assert plain(got) == plain(want) and len(plain(got)) == 75 * 4
+
+
+def test_large_groups_are_ranked_in_ranges_with_the_same_numbers(spark, monkeypatch):
+    from vintara.operators import peers
+
+    rows = spark.range(4000).select((F.col("id") % 3).alias("g"), (F.hash("id") % 700).cast("double").alias("v"))
+    one = sorted(map(tuple, peers.distribution(rows, ("g",), "v").collect()))
+    monkeypatch.setattr(peers, "ONE_SORT", 10)
+    assert sorted(map(tuple, peers.distribution(rows, ("g",), "v").collect())) == one
+    assert sorted(map(tuple, peers.distribution(rows, (), "v").collect()))[0][1:] is not None

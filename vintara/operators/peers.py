@@ -10,16 +10,23 @@ from vintara.plans.settle import settle
 
 #: Value ranges that a peer group is cut into; each is ranked on its own.
 BUCKETS = 16
+#: Distinct values of a group that one task sorts.
+ONE_SORT = 200_000
 
 
 def distribution(rows: DataFrame, group: tuple[str, ...], value: str, buckets: int = BUCKETS) -> DataFrame:
     """One row per group and distinct value: ties, before (smaller values) and peers (all values); nulls are left out.
 
-    Equal values are counted before any ordering. Cut points from a quantile sketch split each
-    group into ranges; running counts are taken inside ranges and shifted by the counts of the
-    ranges before, so a group of any size is ranked by many tasks. Cut points only balance the work.
+    Equal values are counted before any ordering. Groups of up to ONE_SORT distinct values are each ranked
+    by one running sum. If there are larger ones, cut points from a quantile sketch split each group into ranges; running
+    counts are taken inside ranges and shifted by the counts of the ranges before, so a group of any
+    size is ranked by many tasks. Both give the same numbers; cut points only balance the work.
     """
     counts = settle(rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("ties")))
+    if counts.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > ONE_SORT).isEmpty():
+        every = Window.partitionBy(*group)
+        smaller = every.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        return counts.select(*group, value, "ties", F.coalesce(F.sum("ties").over(smaller), F.lit(0)).alias("before"), F.sum("ties").over(every).alias("peers"))
     cuts = counts.groupBy(*group).agg(F.percentile_approx(value, [k / buckets for k in range(1, buckets)], 1000).alias("_cuts"), F.sum("ties").alias("peers"))
     placed = counts.join(cuts, list(group)) if group else counts.crossJoin(F.broadcast(cuts))
     placed = placed.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
@@ -41,19 +48,25 @@ def midrank_percentiles(rows: DataFrame, group: tuple[str, ...], value: str, ran
     return rows.join(ranked, [*group, value], "left")
 
 
-def quantiles(ranked: DataFrame, group: tuple[str, ...], value: str, named: dict[str, float]) -> DataFrame:
-    """Exact quantiles from ``distribution``: linear between the places around (N - 1) p. One aggregation for all."""
+def quantiles(ranked: DataFrame, group: tuple[str, ...], value: str, named: dict[str, float], parts: dict[str, float] | None = None) -> DataFrame:
+    """Exact quantiles from ``distribution``: linear between the places around (N - 1) p. One aggregation for all.
+
+    For each name in ``parts`` the two values around the place and the share between them come apart, as {name}_lo, {name}_hi and {name}_f.
+    """
 
     def place(k):
         return F.max(F.when((F.col("before") <= k) & (k < F.col("before") + F.col("ties")), F.col(value)))
 
     picks, out = [], []
-    for name, p in named.items():
+    for name, p in (named | (parts or {})).items():
         at = (F.col("peers") - 1) * F.lit(float(p))
         low = F.floor(at)
         high = F.least(low + 1, F.col("peers") - 1)
-        picks += [place(low).alias(f"_{name}_lo"), place(high).alias(f"_{name}_hi"), F.max(at - low).alias(f"_{name}_f")]
-        out.append((F.col(f"_{name}_lo") + (F.col(f"_{name}_hi") - F.col(f"_{name}_lo")) * F.col(f"_{name}_f")).alias(name))
+        picks += [place(low).alias(f"{name}_lo"), place(high).alias(f"{name}_hi"), F.max(at - low).alias(f"{name}_f")]
+        if name in named:
+            out.append((F.col(f"{name}_lo") + (F.col(f"{name}_hi") - F.col(f"{name}_lo")) * F.col(f"{name}_f")).alias(name))
+        else:
+            out += [F.col(f"{name}_lo"), F.col(f"{name}_hi"), F.col(f"{name}_f")]
     return ranked.groupBy(*group).agg(F.max("peers").alias("peers"), *picks).select(*group, "peers", *out)
 
 

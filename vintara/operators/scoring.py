@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vintara.functions.scalars import ADVERSE, CONFLICTED, NEUTRAL, SUPPORTIVE, safe_ratio
@@ -55,6 +55,26 @@ def factor_scores(rows: DataFrame, keys: tuple[str, ...] = ("issuer",)) -> DataF
     return out.select(*keys, "factor", safe_ratio(F.col("_num"), F.col("applied_coverage")).alias("factor_score"), "original_coverage", "applied_coverage", (1 - F.col("applied_coverage")).alias("residual_weight"), "families", floor.alias("floor_met"))
 
 
+def weighted_scores(scores: DataFrame, components: DataFrame, keys: tuple[str, ...] = ("issuer",), entities: DataFrame | None = None) -> DataFrame:
+    """``factor_scores`` of the reweighted components of every entity, in one grouping of the scores that are there.
+
+    A missing score only matters as weight that is not there, so no row is made for it: the shift of F2's
+    weight is decided over an entity's own rows, and an entity without any score of a factor gets the factor's empty row at the end.
+    ``entities`` has the keys of all entities; by default they are those with any score.
+    """
+    every = Window.partitionBy(*keys)
+    there = lambda name: F.max((F.col("input_id") == name).cast("int")).over(every) == 1
+    rows = scores.where(F.col("score").isNotNull()).select(*keys, "input_id", "score").join(F.broadcast(components), "input_id")
+    half = (F.col("factor") == "F2_QUARTER") & F.col("input_id").isin("revenue_q_yoy", "operating_income_q_yoy") & there("revenue_q_yoy") & there("operating_income_q_yoy") & ~there("gross_profit_q_yoy")
+    found = factor_scores(check_cap(rows.withColumn("applied", F.when(half, F.lit(0.5)).otherwise(F.col("weight")))), keys)
+    grid = (scores if entities is None else entities).select(*keys).distinct().crossJoin(F.broadcast(components.select("factor").distinct()))
+    zero = F.lit(0.0)
+    return grid.join(found, [*keys, "factor"], "left").select(
+        *keys, "factor", "factor_score", F.coalesce("original_coverage", zero).alias("original_coverage"), F.coalesce("applied_coverage", zero).alias("applied_coverage"), F.coalesce("residual_weight", F.lit(1.0)).alias("residual_weight"),
+        F.coalesce("families", F.array().cast("array<string>")).alias("families"), F.coalesce("floor_met", F.lit(False)).alias("floor_met"),
+    )
+
+
 def breadth(classes: DataFrame, conflict: str | float = 0.25, keys: tuple[str, ...] = ("issuer",), least: int = 3) -> DataFrame:
     """Per entity: mean value of eligible family classes times 100, null below ``least`` families. ``conflict`` is a value or a column."""
     worth = F.col(conflict) if isinstance(conflict, str) else F.lit(conflict)

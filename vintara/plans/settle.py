@@ -39,12 +39,22 @@ def settle(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def state_of(spark: SparkSession, path: str) -> int:
+    """A number that changes when a file below ``path`` is added, removed or written again (names, sizes and times; files are not read)."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files, found = where.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(where, True), []
+    while files.hasNext():
+        file = files.next()
+        found.append((file.getPath().toString(), file.getLen(), file.getModificationTime()))
+    return hash(tuple(sorted(found)))
+
+
 def once(spark: SparkSession, name: tuple, build: Callable[[], DataFrame]) -> DataFrame:
     """The settled table ``name`` of this session, built when first asked for.
 
-    The name should hold the path of the input; files that change under one path are not noticed.
+    The last part of the name is the path of the input. A table is built anew once a file there has changed.
     """
-    key = (spark.sparkContext.applicationId, *name)
+    key = (spark.sparkContext.applicationId, *name, state_of(spark, name[-1]))
     if key not in _kept:
         _kept[key] = settle(build())
         while len(_kept) > KEPT:

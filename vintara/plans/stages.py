@@ -75,8 +75,7 @@ def company_gates(inputs: DataFrame, classes: DataFrame, components: DataFrame,
     """KEYS, factor, coverage, gate: what each company can fill of each factor, and whether that meets its floor."""
     usable = inputs.join(F.broadcast(inputs.sparkSession.createDataFrame(policy.TRANSFORMATIONS, "input_id string, required string")), "input_id")
     usable = usable.where((F.col("transformation") == F.col("required")) & (F.col("age_days") <= excluded_days)).select(*KEYS, "input_id", F.lit(1.0).alias("score"))
-    rows = scoring.reweight_quarter_factor(scoring.component_table(usable, components, KEYS, entities=classes), KEYS)
-    four = scoring.factor_scores(rows, KEYS).select(*KEYS, "factor", F.col("original_coverage").alias("coverage"), "floor_met")
+    four = scoring.weighted_scores(usable, components, KEYS, entities=classes).select(*KEYS, "factor", F.col("original_coverage").alias("coverage"), "floor_met")
     n = F.size(F.filter(F.array(*FAMILIES), lambda c: c != S.INELIGIBLE))
     breadth = classes.select(*KEYS, F.lit("F5_BREADTH").alias("factor"), (n / 6.0).alias("coverage"), (n >= 3).alias("floor_met"))
     both = four.unionByName(breadth)
@@ -93,22 +92,44 @@ def normalize(inputs: DataFrame, scenarios: DataFrame, required: DataFrame, pass
 
     An input is eligible with its required transformation and within the scenario's age. Ranks come
     from all eligible companies, held ones too; scores are masked afterwards (``peers.withhold``).
-    Scenarios of one age limit share their quantiles, and those that clip alike their ranks too.
+
+    Each age limit is ranked once. Clipping keeps the order of values, so ranks and the middle of a
+    clipped distribution follow from the unclipped counts: all values at or beyond a limit become one tie. Only the
+    spread around the middle is ordered anew.
     """
     named = scenarios.withColumn("clip", F.coalesce(F.col("winsor").cast("string"), F.lit("none")))
     aged, group = ("q_end", "input_id", "excluded_days"), ("q_end", "input_id", "excluded_days", "clip")
     usable = inputs.join(F.broadcast(required), "input_id").where("transformation = required").drop("required")
     wide = settle(usable.crossJoin(F.broadcast(named.select("excluded_days").distinct())).where("age_days <= excluded_days"))
-    cuts = peers.quantiles(peers.distribution(wide, aged, "value"), aged, "value", {"p025": 0.025, "p975": 0.975, "p05": 0.05, "p95": 0.95}).drop("peers")
-    low = F.when(F.col("winsor") == 0.025, F.col("p025")).when(F.col("winsor") == 0.05, F.col("p05"))
-    high = F.when(F.col("winsor") == 0.025, F.col("p975")).when(F.col("winsor") == 0.05, F.col("p95"))
-    rows = settle(wide.join(cuts, list(aged)).join(F.broadcast(named.select("excluded_days", "clip", "winsor").distinct()), "excluded_days").select(
-        *group, "issuer", "value", "age_days", F.when(F.col("winsor").isNull(), F.col("value")).otherwise(S.clamp(F.col("value"), low, high)).alias("sensitivity_value"),
-        ((F.col("value") < F.col("p025")) | (F.col("value") > F.col("p975"))).alias("peer_extreme"),
-    ))
-    ranked = settle(peers.distribution(rows, group, "sensitivity_value"))
-    both = peers.midrank_percentiles(rows, group, "sensitivity_value", ranked)
-    scored = settle(peers.robust_z(both, group, "sensitivity_value", ranked).withColumn("robust", 100 * S.normal_cdf("z")).drop("peers", "center", "mad", "z"))
+    ranked = settle(peers.distribution(wide, aged, "value"))
+    limits = peers.quantiles(ranked, aged, "value", {"p025": 0.025, "p975": 0.975, "p05": 0.05, "p95": 0.95}, {"middle": 0.5})
+    at = ranked.join(limits.drop("peers"), list(aged))
+    upto = F.col("before") + F.col("ties")
+    edges = at.groupBy(*aged).agg(
+        *[F.first(c).alias(c) for c in ("p025", "p975", "p05", "p95", "middle_lo", "middle_hi", "middle_f")],
+        *[F.max(F.when(F.col("value") <= F.col(p), upto)).alias(f"n_{p}") for p in ("p025", "p05")], *[F.min(F.when(F.col("value") >= F.col(p), F.col("before"))).alias(f"n_{p}") for p in ("p975", "p95")],
+    )
+
+    def of(five: str, ten: str):
+        return F.when(F.col("winsor") == 0.025, F.col(five)).when(F.col("winsor") == 0.05, F.col(ten))
+
+    low, high, none = of("p025", "p05"), of("p975", "p95"), F.col("winsor").isNull()
+    clipped = lambda c: F.when(none, F.col(c)).otherwise(S.clamp(F.col(c), low, high))
+    under, over = ~none & (F.col("value") <= low), ~none & (F.col("value") >= high)
+    before = F.when(under, 0).when(over, of("n_p975", "n_p95")).otherwise(F.col("before"))
+    ties = F.when(under & over, F.col("peers")).when(under, of("n_p025", "n_p05")).when(over, F.col("peers") - of("n_p975", "n_p95")).otherwise(F.col("ties"))
+    midrank = F.col("_before") + (F.col("_ties") + 1) / 2.0
+    clips = F.broadcast(named.select("excluded_days", "clip", "winsor").distinct())
+    rows = wide.join(ranked, [*aged, "value"]).join(edges, list(aged)).join(clips, "excluded_days").withColumns({"_before": before, "_ties": ties})
+    center = clipped("middle_lo") + (clipped("middle_hi") - clipped("middle_lo")) * F.col("middle_f")
+    rows = rows.select(
+        *group, "issuer", "value", "age_days", clipped("value").alias("sensitivity_value"), ((F.col("value") < F.col("p025")) | (F.col("value") > F.col("p975"))).alias("peer_extreme"),
+        F.col("_ties").cast("long").alias("ties"), "peers", midrank.alias("midrank"), (100.0 * (midrank - 0.5) / F.col("peers")).alias("percentile"), center.alias("center"),
+    )
+    rows = settle(rows.withColumn("_off", F.abs(F.col("sensitivity_value") - F.col("center"))))
+    mad = peers.quantiles(peers.distribution(rows, group, "_off"), group, "_off", {"mad": 0.5}).drop("peers")
+    z = S.clamp(F.try_divide(0.6745 * (F.col("sensitivity_value") - F.col("center")), F.col("mad")), -3.0, 3.0)
+    scored = rows.join(mad, list(group), "left").withColumn("robust", 100 * S.normal_cdf(F.when(F.col("mad") > 0, z))).drop("peers", "center", "mad", "_off")
     every = scored.join(F.broadcast(named.select("scenario", "excluded_days", "clip", "stale_days")), ["excluded_days", "clip"])
     every = every.withColumn("age_class", F.when(F.col("age_days") > F.col("stale_days"), "STALE").otherwise("CURRENT")).drop("excluded_days", "clip", "stale_days", "age_days")
     return peers.withhold(every, ("q_end", "input_id", "scenario"), "value", ("midrank", "percentile", "robust"), scenarios, passed, KEYS)
@@ -134,8 +155,7 @@ def factor_scores(normalized: DataFrame, classes: DataFrame, passed: DataFrame,
     shown = normalized.where("scenario = 'BASELINE' and normalization_status = 'PASS'").drop("scenario")
     scores = shown.crossJoin(F.broadcast(scenarios)).select(*keys, "input_id", F.when(F.col("score_field") == "percentile", F.col("percentile")).otherwise(F.col("robust")).alias("score")).where("score is not null")
     everyone = classes.select(*KEYS).crossJoin(F.broadcast(scenarios.select("scenario")))
-    rows = scoring.check_cap(scoring.reweight_quarter_factor(scoring.component_table(scores, components, keys, entities=everyone), keys))
-    four = scoring.factor_scores(rows, keys)
+    four = scoring.weighted_scores(scores, components, keys, entities=everyone)
     long = classes.select(*KEYS, *FAMILIES).unpivot(list(KEYS), list(FAMILIES), "family", "class").crossJoin(F.broadcast(scenarios.select("scenario", "conflict")))
     five = scoring.breadth(long, "conflict", keys).select(*keys, F.lit("F5_BREADTH").alias("factor"), F.col("breadth_score").alias("factor_score"), (F.col("families") / 6.0).alias("original_coverage"), (F.col("families") / 6.0).alias("applied_coverage"), (F.col("families") >= 3).alias("floor_met"))
     out = four.select(*five.columns).unionByName(five).join(passed.withColumn("approved", F.lit(True)), list(KEYS), "left")

@@ -428,8 +428,7 @@ def scored(spark, sf_dir) -> DataFrame:
 @query
 def weighted_factor_scores(spark, sf_dir):
     """Factor scores of each supplier and quarter with their coverage, before any floor or hold."""
-    rows = scoring.component_table(scored(spark, sf_dir), policy.factor_components(spark), stages.KEYS)
-    out = scoring.factor_scores(scoring.check_cap(scoring.reweight_quarter_factor(rows, stages.KEYS)), stages.KEYS)
+    out = scoring.weighted_scores(scored(spark, sf_dir), policy.factor_components(spark), stages.KEYS)
     return out.select("q_end", "issuer", "factor", dec("factor_score"), dec("original_coverage"), dec("applied_coverage"), F.array_join("families", "|").alias("families"))
 
 
