@@ -50,8 +50,35 @@ def select_requested(requests: DataFrame, results: DataFrame, key: str, status:
 
 
 def batch_slices(members: DataFrame, group: str, order: str, size: int) -> DataFrame:
-    """Add position and batch: fixed-size slices of each group in order (a position by prefix sums over ordered groups)."""
+    """Add position and batch: fixed-size slices of each group in order; ties of ``order`` and nulls first, in any order among themselves.
+
+    Rows are dealt into ranges of (group, order) and settled there; positions are counted inside a range and shifted
+    by the rows of the group's ranges before it, so a group of any size is numbered by many tasks.
+    """
     from pyspark.sql import Window
 
-    w = Window.partitionBy(group).orderBy(order)
-    return members.withColumn("position", F.row_number().over(w)).withColumn("batch", F.ceil(F.col("position") / size).cast("int"))
+    from vintara.plans.settle import settle
+
+    ranged = settle(members.repartitionByRange(group, order).withColumn("_range", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()))
+    counts = ranged.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = counts.select(F.col(group).alias("_g"), F.col("_range").alias("_r"), before.alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(group, "_range").orderBy(order, "_row"))
+    rows = ranged.withColumn("_inside", inside).join(shift, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")))
+    return rows.withColumn("position", (F.col("_before") + F.col("_inside")).cast("int")).withColumn("batch", F.ceil(F.col("position") / size).cast("int")).drop("_range", "_row", "_g", "_r", "_before", "_inside")
+
+
+def membership_audit(holdings: DataFrame, requests: DataFrame, as_of: str, model_date: str, *, symbol: str = "symbol", max_age_days: int = 14) -> DataFrame:
+    """(symbol, status, requested) of every holding and of every requested symbol that is no candidate.
+
+    ``holdings`` has a class (see ``landing.holding_classes``). Those of class CANDIDATE are peers, the others keep their
+    class. A requested symbol without a peer is REQUESTED_NOT_IN_PROXY, whatever other class a holding of that name has. A source dated after
+    the model date is a look-ahead and one older than ``max_age_days`` is stale: either fails the job.
+    """
+    age = F.date_diff(F.lit(model_date).cast("date"), F.lit(as_of).cast("date"))
+    sure = F.when(age < 0, F.raise_error(F.lit("holdings are dated after the model date"))).when(age > max_age_days, F.raise_error(F.lit("holdings are too old for the model date"))).otherwise(F.lit(True))
+    asked = requests.select(F.col(symbol)).distinct().withColumn("_asked", F.lit(True))
+    rows = holdings.where(sure).select(symbol, F.when(F.col("class") == "CANDIDATE", "PEER_CANDIDATE").otherwise(F.col("class")).alias("status"))
+    held = rows.join(asked, symbol, "left").select(symbol, "status", F.coalesce("_asked", F.lit(False)).alias("requested"))
+    lacking = asked.join(rows.where("status = 'PEER_CANDIDATE'"), symbol, "left_anti")
+    return held.unionByName(lacking.select(symbol, F.lit("REQUESTED_NOT_IN_PROXY").alias("status"), F.lit(True).alias("requested")))

@@ -123,3 +123,8 @@ def filing_row(rows: DataFrame, model_date: Column) -> DataFrame:
     )
     consistent = (F.col("report_period") <= F.to_date("accepted")) & (F.to_date("accepted") <= F.col("available"))
     return rows.withColumn("is_amendment", F.col("form").endswith("/A")).withColumn("exclusion", exclusion).withColumn("eligible", exclusion.isNull()).withColumn("consistent", consistent)
+
+
+def unresolved_rows(cited: DataFrame, catalog: DataFrame, key: str) -> DataFrame:
+    """Distinct keys that rows cite and the catalog lacks; references stay rows, whoever cites them."""
+    return cited.select(key).where(F.col(key).isNotNull()).distinct().join(catalog.select(key), key, "left_anti")

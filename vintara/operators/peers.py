@@ -129,3 +129,27 @@ def narrowest_peer_group(rows: DataFrame, value: str, levels: tuple[tuple[str, s
         counted = counted.join(n, [*metric, key], "left")
     enough = [F.when(F.col(f"_n_{level}") >= least, F.struct(F.lit(level).alias("level"), F.col(key).cast("string").alias("key"), F.col(f"_n_{level}").alias("peers"))) for level, key, least in levels]
     return counted.withColumn("_g", F.coalesce(*enough)).select(*rows.columns, F.col("_g.level").alias("level"), F.col("_g.key").alias("level_key"), F.col("_g.peers").alias("level_peers"))
+
+
+def ranks_by_level(rows: DataFrame, value: str, levels: tuple[tuple[str, str, int], ...], keys: tuple[str, ...], metric: tuple[str, ...] = ("input_id",)) -> DataFrame:
+    """Every row with its percentile in each level's group, as rows: ``rows``' columns, place, level, level_key, least, level_peers and percentile.
+
+    ``levels`` is as in ``narrowest_peer_group``. All levels are ranked by one ``distribution``, whose groups are
+    (metric, level, key); the widest level may be one group of everything and is still not ranked in one task when it is large.
+    """
+    each = F.array(*[F.struct(F.lit(k).alias("place"), F.lit(level).alias("level"), F.col(key).cast("string").alias("level_key"), F.lit(least).alias("least")) for k, (level, key, least) in enumerate(levels)])
+    long = settle(rows.select("*", F.inline(each)).where(F.col("level_key").isNotNull()))
+    group = (*metric, "level", "level_key")
+    return midrank_percentiles(long, group, value).withColumnRenamed("peers", "level_peers").drop("ties", "midrank")
+
+
+def narrowest_ranks(ranked: DataFrame, columns: tuple[str, ...], broader: int = 0) -> DataFrame:
+    """Of ``ranks_by_level`` each row once (named by ``columns``), with level, level_key, level_peers and percentile of the narrowest group that has enough peers.
+
+    With ``broader`` the level so many places wider is taken where there is one. Rows without any sufficient group have nulls; a missing value has no percentile.
+    """
+    told = F.struct("level", "level_key", "level_peers", "percentile")
+    enough = F.min(F.when(F.col("level_peers") >= F.col("least"), F.col("place")))
+    wide = ranked.groupBy(*columns).agg(enough.alias("_first"), F.map_from_entries(F.collect_list(F.struct("place", told.alias("told")))).alias("_all"), F.max("place").alias("_last"))
+    chosen = F.try_element_at("_all", F.least(F.col("_first") + broader, F.col("_last")))
+    return wide.withColumn("_g", F.when(F.col("_first").isNotNull(), chosen)).select(*columns, *[F.col("_g")[c].alias(c) for c in ("level", "level_key", "level_peers", "percentile")])

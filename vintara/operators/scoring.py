@@ -162,16 +162,19 @@ def factor_coverage(companies: DataFrame, factors: DataFrame, least: int) -> Dat
     return factors.select("factor").distinct().join(met, "factor", "left").select("factor", n.alias("companies"), F.when(n >= least, "PASS").otherwise("PEER_GROUP_INSUFFICIENT").alias("coverage"))
 
 
-def sleeve_coverage(inputs: DataFrame, sleeves: DataFrame) -> DataFrame:
-    """Per issuer and factor: the sum of the weights of sleeves of which any input is there; every factor has a row.
+def sleeve_coverage(inputs: DataFrame, sleeves: DataFrame, keys: tuple[str, ...] = ("issuer",)) -> DataFrame:
+    """Per entity and factor: the sum of the weights of sleeves of which enough inputs are there; every factor has a row.
 
-    ``inputs`` has issuer, input_id and present; ``sleeves`` has factor, sleeve, input_id and weight,
-    the weight being the sleeve's own and the same for each of its inputs.
+    ``inputs`` has the keys, input_id and present; ``sleeves`` has factor, sleeve, input_id and weight,
+    the weight being the sleeve's own and the same for each of its inputs, and may have needed (how many of the inputs, default 1).
     """
-    grid = inputs.select("issuer").distinct().crossJoin(F.broadcast(sleeves))
-    have = inputs.where("present").select("issuer", "input_id", F.lit(1).alias("_have")).distinct()
-    any_of = grid.join(have, ["issuer", "input_id"], "left").groupBy("issuer", "factor", "sleeve").agg(F.max("_have").alias("_have"), F.max("weight").alias("weight"))
-    return any_of.groupBy("issuer", "factor").agg(F.sum(F.when(F.col("_have") == 1, F.col("weight")).otherwise(0.0)).alias("coverage"))
+    rules = sleeves if "needed" in sleeves.columns else sleeves.withColumn("needed", F.lit(1))
+    entities = inputs.select(*keys).distinct()
+    there = inputs.where("present").select(*keys, "input_id").distinct().join(F.broadcast(rules), "input_id")
+    filled = there.groupBy(*keys, "factor", "sleeve").agg(F.count(F.lit(1)).alias("_n"), F.max("weight").alias("weight"), F.max("needed").alias("needed")).where("_n >= needed")
+    summed = filled.groupBy(*keys, "factor").agg(F.sum("weight").alias("_c"))
+    every = entities.crossJoin(F.broadcast(rules.select("factor").distinct()))
+    return every.join(summed, [*keys, "factor"], "left").select(*keys, "factor", F.coalesce("_c", F.lit(0.0)).alias("coverage"))
 
 
 def complete_sum(rows: DataFrame, keys: tuple[str, ...], needed: tuple[str, ...], component: str = "component", value: str = "value") -> DataFrame:

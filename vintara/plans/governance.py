@@ -88,3 +88,29 @@ def prepare(requests: DataFrame, symbols: DataFrame, filings: DataFrame, model_d
     rows = who.join(audit.select(F.col("issuer").alias("entity"), "targets", "latest_period", "history"), "entity", "left")
     exception = F.when(F.col("resolution") != "RESOLVED", F.col("resolution")).when(F.col("targets").isNull(), "NO_ELIGIBLE_FILINGS").when(F.col("history") != "PASS_TARGET_HISTORY", F.col("history"))
     return rows.withColumn("exception", exception).select("symbol", "entity", F.coalesce("targets", F.lit(0)).alias("targets"), "latest_period", "exception")
+
+
+def mapping_continuity(facts: DataFrame, rules: DataFrame, eligible: DataFrame, unit: str = "USD") -> tuple[DataFrame, DataFrame]:
+    """(evidence, summary) of rules that add several reported components up to one concept.
+
+    ``facts`` has issuer, taxonomy_concept, unit, accession, start, end, value; ``rules`` issuer, rule_id, canonical_concept, component, a row a
+    component; ``eligible`` the filings (issuer, accession) known on the model date. Evidence is a row for each rule, filing and
+    period that has any component: the total where all are there, else what is missing. Of a component reported twice in one filing and period
+    the greatest value counts. A rule is APPROVED when it has rows and all are complete, else REVIEW_REQUIRED; rules without rows have a summary too.
+    """
+    needed = rules.groupBy("issuer", "rule_id", "canonical_concept").agg(F.array_sort(F.collect_set("component")).alias("components"))
+    usable = facts.where(F.col("unit") == unit).join(eligible.select("issuer", "accession").distinct(), ["issuer", "accession"], "left_semi")
+    met = usable.join(rules.select("issuer", "rule_id", F.col("component").alias("taxonomy_concept")).distinct(), ["issuer", "taxonomy_concept"])
+    one = met.groupBy("issuer", "rule_id", "accession", "start", "end", "taxonomy_concept").agg(F.max("value").alias("value"))
+    found = one.groupBy("issuer", "rule_id", "accession", "start", "end").agg(F.sum("value").alias("_total"), F.collect_set("taxonomy_concept").alias("_found"))
+    judged = found.join(needed, ["issuer", "rule_id"])
+    missing = F.array_except("components", "_found")
+    evidence = judged.select("issuer", "rule_id", "canonical_concept", "accession", "start", "end", F.size("components").alias("required"), F.size("_found").alias("present"), F.array_join(missing, "|").alias("missing"), F.when(F.size(missing) == 0, F.col("_total")).alias("canonical_value"))
+    done = F.col("missing") == ""
+    counts = evidence.groupBy("issuer", "rule_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(done).alias("complete_rows"), F.count_distinct(F.when(done, F.struct("start", "end"))).alias("complete_periods"), F.min(F.when(done, F.col("end"))).alias("earliest_end"), F.max(F.when(done, F.col("end"))).alias("latest_end")
+    )
+    n = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    whole = (F.col("rows") > 0) & (F.col("rows") == F.col("complete_rows"))
+    summary = needed.join(counts, ["issuer", "rule_id"], "left").select("issuer", "rule_id", "canonical_concept", F.array_join("components", "+").alias("components"), n("rows"), n("complete_rows"), n("complete_periods"), "earliest_end", "latest_end", F.when(whole, "APPROVED").otherwise("REVIEW_REQUIRED").alias("mapping_status"))
+    return evidence, summary

@@ -45,6 +45,43 @@ COMPONENTS = (
     ("F4_ACCELERATION", "operating_margin_acceleration_pp", 0.15, "MARGIN"),
     ("F4_ACCELERATION", "persistence_composite", 0.15, "CROSS_FAMILY"),
 )
+#: (factor, sleeve, input, weight of the sleeve, inputs needed) of the raw coverage of the first inputs stage.
+SLEEVES = (
+    ("F1_TTM", "revenue", "revenue_ttm_yoy", 0.20, 1),
+    ("F1_TTM", "profit", "operating_income_ttm_yoy", 0.25, 1),
+    ("F1_TTM", "operating cash", "cfo_ttm_yoy", 0.15, 1),
+    ("F1_TTM", "free cash", "fcf_ttm_yoy", 0.20, 1),
+    ("F2_QUARTER", "revenue", "revenue_q_yoy", 0.45, 1),
+    ("F2_QUARTER", "profit", "operating_income_q_yoy", 0.45, 1),
+    ("F2_QUARTER", "both", "revenue_q_yoy", 0.10, 2),
+    ("F2_QUARTER", "both", "operating_income_q_yoy", 0.10, 2),
+    ("F3_QUALITY", "operating margin", "operating_margin_yoy_pp", 0.30, 1),
+    ("F3_QUALITY", "cash margin", "fcf_margin_yoy_pp", 0.20, 1),
+    ("F3_QUALITY", "leverage", "operating_leverage_spread", 0.20, 1),
+    ("F4_ACCELERATION", "revenue", "revenue_q_yoy_acceleration", 0.25, 1),
+    ("F4_ACCELERATION", "revenue", "revenue_ttm_yoy_acceleration", 0.25, 1),
+    ("F4_ACCELERATION", "profit", "operating_income_q_yoy_acceleration", 0.30, 1),
+    ("F4_ACCELERATION", "profit", "operating_income_ttm_yoy_acceleration", 0.30, 1),
+    ("F4_ACCELERATION", "cash", "cfo_ttm_yoy_acceleration", 0.15, 1),
+    ("F4_ACCELERATION", "cash", "fcf_ttm_yoy_acceleration", 0.15, 1),
+    ("F4_ACCELERATION", "margin", "operating_margin_acceleration_pp", 0.15, 1),
+    ("F4_ACCELERATION", "two families", "acceleration_family_growth", 0.15, 2),
+    ("F4_ACCELERATION", "two families", "acceleration_family_profit", 0.15, 2),
+    ("F4_ACCELERATION", "two families", "acceleration_family_cash", 0.15, 2),
+    ("F4_ACCELERATION", "two families", "acceleration_family_margin", 0.15, 2),
+)
+#: (dimension, alternative, cut, a value passes at or above it, primary) of the sensitivity matrix.
+SENSITIVITY_CUTS = (
+    *(("STALENESS", a, float(n), False, p) for a, n, p in (("AGE_180", 180, True), ("AGE_150", 150, False), ("AGE_210", 210, False))),
+    *(("OUTLIER", a, c, True, p) for a, c, p in (("TAILS_2_5", 47.5, True), ("TAILS_5", 45.0, False))),
+    *(("REWEIGHT_CAP", a, c, False, p) for a, c, p in (("CAP_125", 1.25, True), ("CAP_100", 1.0, False), ("CAP_150", 1.5, False))),
+    *(("TOTAL_COVERAGE_FLOOR", a, c, True, p) for a, c, p in (("FLOOR_70", 0.70, True), ("FLOOR_65", 0.65, False), ("FLOOR_80", 0.80, False))),
+    *(("NEUTRAL_BAND", a, c, False, p) for a, c, p in (("BAND_47_5_52_5", 2.5, True), ("BAND_45_55", 5.0, False))),
+    *(("ACCELERATION_CUTOFF", a, c, True, p) for a, c, p in (("CUTOFF_60", 60.0, True), ("CUTOFF_55", 55.0, False), ("CUTOFF_65", 65.0, False))),
+    *(("CONFLICT_VALUE", a, c, False, p) for a, c, p in (("CONFLICT_0_25", 0.25, True), ("CONFLICT_0", 0.0, False), ("CONFLICT_0_5", 0.5, False))),
+    *(("EMPLOYEE_AGE", a, float(n), False, p) for a, n, p in (("AGE_365", 365, True), ("AGE_270", 270, False), ("AGE_450", 450, False))),
+    *(("MINIMUM_PEERS", a, c, True, p) for a, c, p in (("HIERARCHY", 1.0, True), ("LOWER", 0.75, False), ("HIGHER", 1.25, False))),
+)
 #: (input, required transformation): a value of another transformation never enters its peer distribution.
 TRANSFORMATIONS = (
     *((f"{c}_{b}_yoy", "PERCENT_CHANGE") for c, b in (("revenue", "q"), ("revenue", "ttm"), ("operating_income", "q"), ("operating_income", "ttm"), ("cfo", "ttm"), ("fcf", "ttm"))),

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vintara import history_queries, oracle, record_queries, stage_oracle, stage_queries
+from vintara import history_queries, matrix_queries, oracle, record_queries, stage_oracle, stage_queries
 from vintara.functions import scalars as S
 from vintara.functions import trading_days
 from vintara.operators import classify, contexts, gates, lineage, peers, periods, pit, scoring, timeseries
@@ -620,5 +620,5 @@ def _scratch(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
 
 
-QUERIES |= stage_queries.QUERIES | record_queries.QUERIES | history_queries.QUERIES
+QUERIES |= stage_queries.QUERIES | record_queries.QUERIES | matrix_queries.REGISTER
 ORACLE_SQL = oracle.ORACLE_SQL | stage_oracle.ORACLE_SQL | record_queries.ORACLE_SQL | history_queries.ORACLE_SQL

@@ -92,9 +92,9 @@ def missing_members(spark, sf_dir):
 @query("""SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')""")
 def unresolved_references(spark, sf_dir):
     """Orders that suppliers' lines cite and the catalog of finished orders lacks."""
-    cited = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.collect_set("l_orderkey").alias("refs"))
+    cited = table(spark, sf_dir, "lineitem").select("l_orderkey")
     catalog = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return gates.unresolved(cited, "refs", catalog, "l_orderkey")
+    return gates.unresolved_rows(cited, catalog, "l_orderkey")
 
 
 @query(f"""WITH {_FILINGS} SELECT form, count(*) AS facts, count(DISTINCT accession) AS filings, CAST(sum(CAST(l_quantity AS DECIMAL(12,2))) AS DECIMAL(28,2)) AS quantity FROM lineitem JOIN filings ON accession = l_orderkey GROUP BY form""")
