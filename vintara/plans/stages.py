@@ -136,7 +136,10 @@ def normalize(inputs: DataFrame, scenarios: DataFrame, required: DataFrame, pass
 
 
 def sensitivity(normalized: DataFrame) -> DataFrame:
-    """Per model date, scenario, input and method: how scores differ from the baseline's percentiles."""
+    """Per model date, scenario, input and method: how scores differ from the baseline's percentiles.
+
+    A cell in which nothing passes, here or in the baseline, has n = 0 and nulls.
+    """
     shown = normalized.where("normalization_status = 'PASS'")
     base = shown.where("scenario = 'BASELINE'").select("q_end", "issuer", "input_id", F.col("percentile").alias("reference"))
     methods = F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).alias("score")) for m in ("percentile", "robust")])
@@ -146,7 +149,10 @@ def sensitivity(normalized: DataFrame) -> DataFrame:
     rho = peers.spearman(pairs.withColumns({"score": F.round("score", 6), "reference": F.round("reference", 6)}), group, "reference", "score")
     move = F.abs(F.round("reference", 6) - F.round("score", 6))
     moved = pairs.groupBy(*group).agg(F.avg(move).alias("mean_change"), F.max(move).alias("max_change"), F.count_if(move > 10).alias("over_10"))
-    return rho.join(moved, list(group))
+    names = F.array(*[F.lit(m) for m in ("percentile", "robust")])
+    every = normalized.select("q_end", "scenario", "input_id").distinct().select("*", F.explode(names).alias("method"))
+    out = every.join(rho.join(moved, list(group)), list(group), "left")
+    return out.withColumns({"n": F.coalesce("n", F.lit(0)), "over_10": F.coalesce("over_10", F.lit(0))})
 
 
 def factor_scores(normalized: DataFrame, classes: DataFrame, passed: DataFrame, components: DataFrame, scenarios: DataFrame) -> DataFrame:

@@ -41,8 +41,9 @@ def scratch(spark: SparkSession) -> str:
 ORDERS = T.StructType().add("o_orderkey", T.LongType()).add("o_custkey", T.LongType()).add("o_totalprice", T.DecimalType(12, 2)).add("day", T.DateType())
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE o_custkey END AS o_custkey, CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE CAST(o_totalprice AS DECIMAL(12,2)) END AS o_totalprice,
-    CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS day, CASE WHEN o_orderkey % 50 = 0 THEN 'o_totalprice|day' END AS rejected_columns FROM orders""")
+@query("""WITH landed AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 50 = 0 THEN '12,3x' ELSE CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS VARCHAR) END AS price, CASE WHEN o_orderkey % 50 = 0 THEN '1998-02-30' ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS day FROM orders),
+    cast_ AS (SELECT o_orderkey, o_custkey, TRY_CAST(price AS DECIMAL(12,2)) AS p, TRY_CAST(day AS DATE) AS d FROM landed), judged AS (SELECT *, nullif(concat_ws('|', CASE WHEN p IS NULL THEN 'o_totalprice' END, CASE WHEN d IS NULL THEN 'day' END), '') AS rejected_columns FROM cast_)
+    SELECT o_orderkey, CASE WHEN rejected_columns IS NULL THEN o_custkey END AS o_custkey, CASE WHEN rejected_columns IS NULL THEN p END AS o_totalprice, CASE WHEN rejected_columns IS NULL THEN d END AS day, rejected_columns FROM judged""")
 def csv_rows_and_rejects(spark, sf_dir):
     """Orders written as CSV, one in fifty with two broken fields, read back as typed rows and rejects."""
     broken = F.col("o_orderkey") % 50 == 0
@@ -63,15 +64,16 @@ def concept_mapping(spark, sf_dir):
     return contexts.map_concepts(facts, mapping, own).select("issuer", "taxonomy_concept", "canonical_concept", "priority", "facts")
 
 
-@query("""SELECT CASE p_size % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'USD' ELSE lower(p_type) END AS family, count(*) AS n FROM part GROUP BY ALL""")
+@query("""WITH u AS (SELECT CASE p_size % 3 WHEN 0 THEN 'iso4217:USD' WHEN 1 THEN 'usd' ELSE p_type END AS unit FROM part) SELECT CASE WHEN contains(lower(unit), 'usd') THEN 'USD' ELSE lower(unit) END AS family, count(*) AS n FROM u GROUP BY ALL""")
 def unit_families(spark, sf_dir):
     """Units of several spellings brought to families; a part's type stands for a unit that is no currency."""
     unit = F.when(F.col("p_size") % 3 == 0, "iso4217:USD").when(F.col("p_size") % 3 == 1, "usd").otherwise(F.col("p_type"))
     return table(spark, sf_dir, "part").groupBy(S.unit_family(unit).alias("family")).agg(big(F.count(F.lit(1)), "n"))
 
 
-@query(f"""WITH {_FILINGS} SELECT accession, CASE WHEN accession % 40 = 0 THEN 'MISSING_VINTAGE' WHEN accession % 41 = 0 THEN 'BUFFER_MISMATCH' WHEN available > DATE '{MODEL_DATE}' THEN 'FUTURE_FILING'
-    WHEN accession % 43 = 0 THEN 'SOURCE_BEFORE_BUFFER' ELSE 'PASS_KNOWABLE_AT_MODEL_DATE' END AS vintage FROM filings""")
+@query(f"""WITH {_FILINGS}, d AS (SELECT accession, available, CAST(accepted AS DATE) AS accepted_day, CASE WHEN accession % 43 = 0 THEN CAST(accepted AS DATE) - 5 ELSE CAST(accepted AS DATE) END AS expected FROM filings),
+    e AS (SELECT *, CASE WHEN accession % 40 = 0 THEN NULL WHEN accession % 41 = 0 THEN expected + 1 ELSE expected END AS buffer_day FROM d)
+    SELECT accession, CASE WHEN buffer_day IS NULL OR available IS NULL THEN 'MISSING_VINTAGE' WHEN buffer_day <> expected THEN 'BUFFER_MISMATCH' WHEN available > DATE '{MODEL_DATE}' THEN 'FUTURE_FILING' WHEN buffer_day < accepted_day THEN 'SOURCE_BEFORE_BUFFER' ELSE 'PASS_KNOWABLE_AT_MODEL_DATE' END AS vintage FROM e""")
 def vintage_check(spark, sf_dir):
     """What is wrong with each filing's knowledge date, if anything; some dates are broken on purpose."""
     f = bridge.filings(spark, sf_dir)
@@ -256,7 +258,11 @@ def as_of_anchor(spark, sf_dir):
     return diagnostics.period_anchor(rows, ("issuer",), ("A", "R"))
 
 
-@query(f"""WITH {_CELLS}, {_obs()} SELECT concept, CASE WHEN year(q_end) % 3 = 0 AND issuer % 5 = 0 AND ttm IS NOT NULL THEN 'MISMATCH_TTM' ELSE 'MATCH' END AS rederivation, count(*) AS n FROM obs GROUP BY ALL""")
+@query(f"""WITH {_CELLS}, {_obs()}, stored AS (SELECT issuer, concept, q_end, CASE WHEN year(q_end) % 3 = 0 AND issuer % 5 = 0 THEN ttm + 1 ELSE ttm END AS ttm, prior_ttm, prior_q FROM obs), numbered AS (SELECT issuer, concept, q_end, value, 4 * year(q_end) + quarter(q_end) AS n FROM cells),
+    again AS (SELECT a.issuer, a.concept, a.q_end, CASE WHEN count(*) FILTER (a.n - b.n < 4) = 4 THEN sum(b.value) FILTER (a.n - b.n < 4) END AS ttm, CASE WHEN count(*) = 8 THEN sum(b.value) FILTER (a.n - b.n >= 4) END AS prior_ttm, CASE WHEN count(*) FILTER (a.n - b.n < 5) = 5 THEN max(b.value) FILTER (a.n - b.n = 4) END AS prior_q
+        FROM numbered a JOIN numbered b ON a.issuer = b.issuer AND a.concept = b.concept AND b.n BETWEEN a.n - 7 AND a.n GROUP BY ALL)
+    SELECT s.concept, CASE WHEN s.ttm IS DISTINCT FROM g.ttm THEN 'MISMATCH_TTM' WHEN s.prior_ttm IS DISTINCT FROM g.prior_ttm THEN 'MISMATCH_PRIOR_TTM' WHEN s.prior_q IS DISTINCT FROM g.prior_q THEN 'MISMATCH_PRIOR_Q' ELSE 'MATCH' END AS rederivation, count(*) AS n
+    FROM stored s LEFT JOIN again g ON g.issuer = s.issuer AND g.concept = s.concept AND g.q_end = s.q_end GROUP BY ALL""")
 def rederivation(spark, sf_dir):
     """Trailing sums from windows against the same sums from calendar numbers and joins; some stored ones are spoilt."""
     cells = bridge.quarter_cells(spark, sf_dir)
@@ -323,8 +329,8 @@ def period_labels(spark, sf_dir):
     return rows.select("issuer", "start", "stop", diagnostics.period_label(F.col("start"), F.col("stop"), F.col("before")).alias("label"))
 
 
-@query(f"""{_YTD}, annual AS (SELECT issuer, fy_start, fy, m9 FROM long WHERE fy IS NOT NULL AND m9 IS NOT NULL) SELECT issuer, fy_start, CAST(fy - m9 AS DECIMAL(28,4)) AS contemporaneous_q4, CAST(fy - (m9 + CASE WHEN issuer % 5 = 0 THEN 250 ELSE 0 END) AS DECIMAL(28,4)) AS same_vintage_q4,
-    issuer % 5 = 0 AS differs, CAST(fy_start + INTERVAL 12 MONTH AS DATE) + 29 AS recast_available FROM annual""")
+@query(f"""{_YTD}, annual AS (SELECT issuer, fy_start, fy, m9, m9 + CASE WHEN issuer % 5 = 0 THEN 250 ELSE 0 END AS recast FROM long WHERE fy IS NOT NULL AND m9 IS NOT NULL) SELECT issuer, fy_start, CAST(fy - m9 AS DECIMAL(28,4)) AS contemporaneous_q4, CAST(fy - recast AS DECIMAL(28,4)) AS same_vintage_q4,
+    CAST(fy - m9 AS DECIMAL(28,4)) <> CAST(fy - recast AS DECIMAL(28,4)) AS differs, CAST(fy_start + INTERVAL 12 MONTH AS DATE) + 29 AS recast_available FROM annual""")
 def two_q4_views(spark, sf_dir):
     """The fourth quarter from the nine months known at the time, and from those the annual filing restates; the latter is never known before that filing."""
     facts = bridge.ytd_facts(spark, sf_dir).withColumn("class", S.duration_class(F.col("start"), F.col("end")))

@@ -140,8 +140,10 @@ ORACLE_SQL: dict[str, str] = {
         CASE WHEN count(*) >= min(min_peers) THEN 'PASS' ELSE 'PEER_GROUP_INSUFFICIENT' END AS coverage FROM n GROUP BY scenario, q_end, input_id""",
     "normalization_sensitivity": f"""{_NORMAL}, sh AS (SELECT {_K}, input_id, scenario, unnest([{{'method': 'percentile', 'score': round(pct, 6)}}, {{'method': 'robust', 'score': round(rob, 6)}}], recursive := true) FROM n WHERE st = 'PASS'),
         pr AS (SELECT s.q_end, s.scenario, s.input_id, s.method, s.score, round(b.pct, 6) AS reference FROM sh s JOIN n b ON b.issuer = s.issuer AND b.q_end = s.q_end AND b.input_id = s.input_id AND b.scenario = 'BASELINE' AND b.st = 'PASS' WHERE s.score IS NOT NULL),
-        r AS (SELECT *, rank() OVER (PARTITION BY q_end, scenario, input_id, method ORDER BY score) + (count(*) OVER (PARTITION BY q_end, scenario, input_id, method, score) - 1) / 2.0 AS x, rank() OVER (PARTITION BY q_end, scenario, input_id, method ORDER BY reference) + (count(*) OVER (PARTITION BY q_end, scenario, input_id, method, reference) - 1) / 2.0 AS y FROM pr)
-        SELECT q_end, scenario, input_id, method, count(*) AS n, CAST(CASE WHEN count(*) > 1 AND NOT isnan(corr(x, y)) THEN corr(x, y) END AS {_R}) AS rho, CAST(avg(abs(score - reference)) + 1e-9 AS DECIMAL(18,4)) AS mean_change, CAST(max(abs(score - reference)) AS DECIMAL(18,6)) AS max_change, count(*) FILTER (abs(reference - score) > 10) AS over_10 FROM r GROUP BY ALL""",
+        r AS (SELECT *, rank() OVER (PARTITION BY q_end, scenario, input_id, method ORDER BY score) + (count(*) OVER (PARTITION BY q_end, scenario, input_id, method, score) - 1) / 2.0 AS x, rank() OVER (PARTITION BY q_end, scenario, input_id, method ORDER BY reference) + (count(*) OVER (PARTITION BY q_end, scenario, input_id, method, reference) - 1) / 2.0 AS y FROM pr),
+        ag AS (SELECT q_end, scenario, input_id, method, count(*) AS n, CAST(CASE WHEN count(*) > 1 AND NOT isnan(corr(x, y)) THEN corr(x, y) END AS {_R}) AS rho, CAST(avg(abs(score - reference)) + 1e-9 AS DECIMAL(18,4)) AS mean_change, CAST(max(abs(score - reference)) AS DECIMAL(18,6)) AS max_change, count(*) FILTER (abs(reference - score) > 10) AS over_10 FROM r GROUP BY ALL),
+        cell AS (SELECT DISTINCT q_end, scenario, input_id, method FROM n, (VALUES ('percentile'), ('robust')) k(method))
+        SELECT c.q_end, c.scenario, c.input_id, c.method, coalesce(n, 0) AS n, rho, mean_change, max_change, coalesce(over_10, 0) AS over_10 FROM cell c LEFT JOIN ag a ON a.q_end = c.q_end AND a.scenario = c.scenario AND a.input_id = c.input_id AND a.method = c.method""",
     "method_difference_review": f"""{_NORMAL}, d AS (SELECT {_K}, input_id, CAST(round(abs(pct - rob), 6) AS {_R}) AS difference FROM n WHERE scenario = 'BASELINE' AND st = 'PASS' AND rob IS NOT NULL)
         SELECT {_K}, input_id, difference, row_number() OVER (PARTITION BY q_end ORDER BY difference DESC, issuer, input_id) AS place FROM d QUALIFY place <= 20""",
     "factor_scores_scenarios": f"""{_FACTORS} SELECT {_S}, factor, {_d('factor_score')}, CASE WHEN floor THEN 'PASS' ELSE 'FAIL' END AS floor, status AS score_status, {_d('CAST(original AS DOUBLE)', 'original_coverage')}, {_d('CAST(applied AS DOUBLE)', 'applied_coverage')} FROM fs""",
