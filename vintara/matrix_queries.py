@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vintara.history_queries import _HEADS, _per_head, query
 from vintara.history_queries import QUERIES as REGISTER
 from vintara.operators import contexts, peers, scoring, sensitivity
-from vintara.oracle import _FILINGS, _d
+from vintara.oracle import _FILINGS, _YTD, _accelerated, _d, _obs
 from vintara.plans import bridge, governance, policy, stages
 from vintara.plans.bridge import table
 from vintara.sources import landing, variant_facts
@@ -177,3 +177,23 @@ def unlisted_fact_rejects(spark, sf_dir):
     """What those documents hold that is no fact, and why; every twenty-fifth document is cut off on its way."""
     _, rejects = _unlisted(spark, sf_dir)
     return rejects.groupBy("supplier", "problem").agg(big(F.count(F.lit(1)), "rejected"))
+
+
+_PROVED = _YTD.replace("WHERE fq = 1 OR issuer % 3 <> 0", "WHERE (fq = 1 OR issuer % 3 <> 0) AND NOT (fq = 2 AND year(q_start) % 3 = 0)")
+
+
+@query(f"""{_PROVED}, vq AS (SELECT issuer, 'revenue' AS concept, q_start, q_end, quarter(q_start) AS fiscal_quarter, value FROM out WHERE status LIKE 'PASS%' AND value IS NOT NULL), {_obs('vq').replace('runs', 'vruns').replace('sums', 'vsums').replace('obs AS', 'vobs AS')}, va AS (SELECT *, {_accelerated('q_yoy')}, {_accelerated('ttm_yoy')} FROM vobs WINDOW w AS (PARTITION BY issuer, concept ORDER BY q_end))
+    SELECT issuer, q_end, value, ttm, {_d('q_yoy')}, {_d('ttm_yoy')}, {_d('q_yoy_acceleration')}, {_d('ttm_yoy_acceleration')} FROM va""")
+def verified_signals(spark, sf_dir):
+    """From tagged filings to signals: yearly documents are parsed, reported facts held against their contexts, and only proved ones counted; second quarters of some years have lost their context."""
+    accession = (F.col("issuer") * 10_000 + F.year("end")).cast("long")
+    facts = bridge.ytd_facts(spark, sf_dir).withColumns({"accession": accession, "local_concept": F.lit("Revenues"), "form": F.lit("10-K"), "report_period": F.make_date(F.year("end"), F.lit(12), F.lit(31)), "accepted": F.col("end").cast("timestamp")}).withColumn("url", F.format_string("filings/%d.htm", "accession"))
+    name = F.concat(F.lit("c"), F.date_format("start", "yyyyMMdd"), F.lit("_"), F.date_format("end", "yyyyMMdd"))
+    lost = (F.month("start") == 4) & (F.month("end") == 6) & (F.year("start") % 3 == 0)
+    context = F.concat(F.lit('<xbrli:context id="'), name, F.lit('"><xbrli:identifier>'), F.col("issuer").cast("string"), F.lit("</xbrli:identifier><xbrli:startDate>"), F.col("start").cast("string"), F.lit("</xbrli:startDate><xbrli:endDate>"), F.col("end").cast("string"), F.lit("</xbrli:endDate></xbrli:context>"))
+    tag = F.concat(F.lit('<ix:nonFraction name="own:Revenues" contextRef="'), F.when(lost, "lost").otherwise(name), F.lit('" unitRef="USD" decimals="4">'), F.format_number("value", 4), F.lit("</ix:nonFraction>"))
+    documents = facts.groupBy("accession").agg(F.concat_ws("\n", F.lit("<html><body>"), F.concat_ws("\n", F.collect_list(context)), F.concat_ws("\n", F.collect_list(tag)), F.lit("</body></html>")).alias("html"))
+    targets = facts.select("accession", "issuer", "form", "report_period").distinct()
+    mapping = spark.createDataFrame([("Revenues", "revenue", 1)], "taxonomy_concept string, canonical_concept string, priority int")
+    _, out = governance.verified_signals(documents, facts, targets, mapping, "filings/%d.htm")
+    return out.select("issuer", "q_end", "value", "ttm", dec("q_yoy"), dec("ttm_yoy"), dec("q_yoy_acceleration"), dec("ttm_yoy_acceleration"))

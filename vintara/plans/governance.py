@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vintara.functions import scalars as S
 from vintara.operators import contexts, gates, periods, pit, scoring, timeseries
 from vintara.plans import stages
+from vintara.sources import landing
 
 
 def canonical_facts(candidates: DataFrame, inline: DataFrame, targets: DataFrame, mapping: DataFrame, url: str) -> DataFrame:
@@ -42,6 +43,22 @@ def signals(facts: DataFrame) -> DataFrame:
     return timeseries.roll_forward(rows)
 
 
+def verified_signals(documents: DataFrame, candidates: DataFrame, targets: DataFrame, mapping: DataFrame, url: str) -> tuple[DataFrame, DataFrame]:
+    """(decisions, signals): candidate facts proved by the contexts of the filings' own documents, and the signals of those that are canonical.
+
+    ``documents`` has accession and html. Tagged facts are taken from them, joined with their contexts and
+    read as numbers; every candidate must find exactly one context without dimensions that reports its concept, dates and value
+    (``canonical_facts``). Only canonical facts go on to quarters and observations, under their canonical concept; a fact that
+    the documents do not prove is a hole, to be filled from year-to-date facts where these are proved.
+    """
+    tagged = landing.tagged_facts(landing.html_elements(documents, "accession", "html"), "accession").where("match = 'FOUND'")
+    kind = candidates.schema["value"].dataType
+    inline = tagged.select("accession", S.local_name(F.col("name")).alias("local_concept"), "start", "end", S.accounting_number(F.col("text")).cast(kind).alias("value"), "context_id", "dimensions")
+    decisions = canonical_facts(candidates, inline, targets, mapping, url)
+    proved = decisions.where("decision = 'CANONICAL'").drop("concept").withColumnRenamed("canonical_concept", "concept")
+    return decisions, signals(proved)
+
+
 def select_batch(companyfacts: DataFrame, inline: DataFrame, keys: tuple[str, ...], context: str, value: str, needed: int) -> DataFrame:
     """Per key: the value and sorted contexts from the first source, or from the second where the first has none, and whether enough components are there."""
 
