@@ -155,3 +155,16 @@ ORACLE_SQL: dict[str, str] = {
         SELECT a AS anchor_id, p AS positive_id, r::INTEGER AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score FROM negative WHERE r <= 5
     """,
 }
+
+#: All 400-byte windows by their MD5; the windows that start more than once cover what goes.
+ORACLE_SQL["op1_suffix_dedup"] = """
+    WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes FROM documents),
+    windows AS (SELECT doc_id, i, md5(array_slice(b, i, i + 399)) AS h FROM (SELECT doc_id, b, unnest(range(1, n_bytes - 398)) AS i FROM d WHERE n_bytes >= 400)),
+    hit AS (SELECT doc_id, i FROM windows SEMI JOIN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1) r ON r.h = windows.h),
+    run AS (SELECT doc_id, i, sum(CASE WHEN i <= before + 400 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM hit)),
+    span AS (SELECT doc_id, min(i) AS s, max(i) + 399 AS e FROM run GROUP BY doc_id, k),
+    edge AS (SELECT doc_id, s, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) + 1 AS a FROM span UNION ALL SELECT doc_id, n_bytes + 1, coalesce(m, 0) + 1 FROM d LEFT JOIN (SELECT doc_id, max(e) AS m FROM span GROUP BY doc_id) USING (doc_id)),
+    kept AS (SELECT doc_id, string_agg(hex(array_slice(b, a, s - 1)), '' ORDER BY a) AS x FROM edge JOIN d USING (doc_id) WHERE a < s GROUP BY doc_id)
+    SELECT d.doc_id, n_bytes, coalesce(r.n, 0)::BIGINT AS n_removed, coalesce(r.k, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(x, ''))) AS kept_sha256
+    FROM d LEFT JOIN (SELECT doc_id, sum(e - s + 1) AS n, count(*) AS k FROM span GROUP BY doc_id) r USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
