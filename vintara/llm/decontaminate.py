@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -82,7 +83,7 @@ def allowed(item: str, per_edit: int, min_chars: int) -> int:
     return len(item) // per_edit if len(item) >= min_chars else 0
 
 
-def _matches(items: list[tuple], per_edit: int, min_chars: int, key_type: pa.DataType):
+def _matches(items: list[tuple], per_edit: int, min_chars: int, key_type: pa.DataType, with_text: bool = True):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
@@ -128,7 +129,8 @@ def _matches(items: list[tuple], per_edit: int, min_chars: int, key_type: pa.Dat
                 index.append(row)
                 found.append([{"item_id": items[n][0], "distance": d} for n, d in sorted(best.items())])
             kind = pa.list_(pa.struct([("item_id", key_type), ("distance", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns)), pa.array(found, kind)], names=[*batch.schema.names, "matches"])
+            passed = [k for k in range(batch.num_columns) if with_text or k != 1]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in passed), pa.array(found, kind)], names=[*(batch.schema.names[k] for k in passed), "matches"])
 
     return run
 
@@ -158,9 +160,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, text: str = "text", item_ke
     hits of pieces are all the candidates. Each hit has a window that holds any such match (its place
     differs from the piece's by at most the budget); an item's windows that meet are joined, and each
     of the joined windows is verified once with Myers' distance, so no hit is passed over.
-    Documents are never shuffled. A benchmark of any size is worked off in blocks of bounded size:
-    with more than one, the rows are written after each block, before the next is applied, so the
-    driver holds two blocks at most and one partition of the items that are still to come.
+    With one block of items (BLOCK_CHARS) documents are never shuffled or written. A larger benchmark
+    is worked off block by block: documents are numbered and written once, each block is one pass over
+    number and text that returns the matches alone, and these meet the documents in one join at the end. The driver holds a block at a time
+    and one partition of the items that are still to come.
 
     An item shorter than ``min_chars`` is found where it stands unchanged between spaces or the ends
     of the text, with no edits. Null texts and empty texts match nothing; null and empty items and
@@ -169,19 +172,24 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, text: str = "text", item_ke
     ``docs`` each get their matches. A column named matches in ``docs`` is replaced.
     """
     keep = [c for c in docs.columns if c != "matches"]
-    out = None
     kind = items.schema[item_key].dataType
-    before = "before"
-    while before in docs.columns:
-        before += "_"
-    for block in _blocks(items, item_key, item_text):
-        now = docs.select(*keep) if out is None else cut(out).withColumnRenamed("matches", before)
-        columns = [c for c in now.columns if c != text]
-        slim = now.select(F.col(columns[0]) if columns else F.lit(1).alias("__one__"), text, *columns[1:])
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema) + f", matches array<struct<item_id:{kind.simpleString()},distance:int>>"
-        got = slim.mapInArrow(_matches(block, per_edit, min_chars, to_arrow_type(kind)), schema)
-        out = got if out is None else got.withColumn("matches", F.concat(before, "matches")).drop(before)
-    return out.select(*keep, "matches")
+    found = f"matches array<struct<item_id:{kind.simpleString()},distance:int>>"
+    blocks = _blocks(items, item_key, item_text)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        columns = [c for c in keep if c != text]
+        slim = docs.select(F.col(columns[0]) if columns else F.lit(1).alias("__one__"), text, *columns[1:])
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema)
+        return slim.mapInArrow(_matches(first, per_edit, min_chars, to_arrow_type(kind)), f"{schema}, {found}").select(*keep, "matches")
+    whole = cut(docs.select(F.monotonically_increasing_id().alias("__row__"), F.struct(*keep).alias("__kept__")))
+    texts = whole.select("__row__", F.col("__kept__")[text].alias("__text__"))
+    hits = None
+    for block in itertools.chain([first, second], blocks):
+        some = cut(texts.mapInArrow(_matches(block, per_edit, min_chars, to_arrow_type(kind), with_text=False), f"__row__ long, {found}").where(F.size("matches") > 0))
+        hits = some if hits is None else hits.unionByName(some)
+    every = hits.groupBy("__row__").agg(F.sort_array(F.flatten(F.collect_list("matches"))).alias("matches"))
+    none = F.array().cast(every.schema["matches"].dataType)
+    return whole.join(every, "__row__", "left").select(*[F.col("__kept__")[c].alias(c) for c in keep], F.coalesce("matches", none).alias("matches"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
