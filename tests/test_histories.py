@@ -222,6 +222,8 @@ def test_large_groups_are_ranked_in_ranges_with_the_same_numbers(spark, monkeypa
 
     rows = spark.range(4000).select((F.col("id") % 3).alias("g"), (F.hash("id") % 700).cast("double").alias("v"))
     one = sorted(map(tuple, peers.distribution(rows, ("g",), "v").collect()))
+    named = lambda: sorted(map(tuple, peers.rank_rows(rows, ("g",), "v").select("g", "v", "ties", "before", "peers").distinct().collect()))
+    assert named() == one
     monkeypatch.setattr(peers, "ONE_SORT", 10)
-    assert sorted(map(tuple, peers.distribution(rows, ("g",), "v").collect())) == one
+    assert sorted(map(tuple, peers.distribution(rows, ("g",), "v").collect())) == one == named()
     assert sorted(map(tuple, peers.distribution(rows, (), "v").collect()))[0][1:] is not None

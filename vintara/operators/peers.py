@@ -37,6 +37,18 @@ def distribution(rows: DataFrame, group: tuple[str, ...], value: str, buckets: i
     return placed.join(shift, [*group, "_range"]).select(*group, value, "ties", (F.col("_before") + F.col("_inside")).alias("before"), "peers")
 
 
+def rank_rows(rows: DataFrame, group: tuple[str, ...], value: str) -> DataFrame:
+    """``rows`` with ties, before and peers as in ``distribution``; ``rows`` is settled, and its value is never null.
+
+    While no group has more than ONE_SORT rows, one exchange by group gives all three; otherwise the distribution is joined.
+    """
+    if not rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > ONE_SORT).isEmpty():
+        return rows.join(distribution(rows, group, value), [*group, value])
+    every = Window.partitionBy(*group)
+    one = F.count(F.lit(1))
+    return rows.withColumns({"before": F.rank().over(every.orderBy(value)) - 1, "ties": one.over(Window.partitionBy(*group, value)), "peers": one.over(every)})
+
+
 def midrank_percentiles(rows: DataFrame, group: tuple[str, ...], value: str, ranked: DataFrame | None = None) -> DataFrame:
     """Add ties, peers, midrank (average place of equal values) and percentile, 100 (midrank - 1/2) / peers.
 

@@ -91,7 +91,7 @@ def normalize(inputs: DataFrame, scenarios: DataFrame, required: DataFrame, pass
     """Every eligible input under every scenario: clipped value, ranks, percentile, robust score and status.
 
     An input is eligible with its required transformation and within the scenario's age. Ranks come
-    from all eligible companies, held ones too; scores are masked afterwards (``peers.withhold``).
+    from all eligible companies, held ones too; scores are masked afterwards, as by ``peers.withhold``.
 
     Each age limit is ranked once. Clipping keeps the order of values, so ranks and the middle of a
     clipped distribution follow from the unclipped counts: all values at or beyond a limit become one tie. Only the
@@ -101,7 +101,7 @@ def normalize(inputs: DataFrame, scenarios: DataFrame, required: DataFrame, pass
     aged, group = ("q_end", "input_id", "excluded_days"), ("q_end", "input_id", "excluded_days", "clip")
     usable = inputs.join(F.broadcast(required), "input_id").where("transformation = required").drop("required")
     wide = settle(usable.crossJoin(F.broadcast(named.select("excluded_days").distinct())).where("age_days <= excluded_days"))
-    ranked = settle(peers.distribution(wide, aged, "value"))
+    ranked = settle(peers.rank_rows(wide, aged, "value"))
     limits = peers.quantiles(ranked, aged, "value", {"p025": 0.025, "p975": 0.975, "p05": 0.05, "p95": 0.95}, {"middle": 0.5})
     at = ranked.join(limits.drop("peers"), list(aged))
     upto = F.col("before") + F.col("ties")
@@ -120,7 +120,7 @@ def normalize(inputs: DataFrame, scenarios: DataFrame, required: DataFrame, pass
     ties = F.when(under & over, F.col("peers")).when(under, of("n_p025", "n_p05")).when(over, F.col("peers") - of("n_p975", "n_p95")).otherwise(F.col("ties"))
     midrank = F.col("_before") + (F.col("_ties") + 1) / 2.0
     clips = F.broadcast(named.select("excluded_days", "clip", "winsor").distinct())
-    rows = wide.join(ranked, [*aged, "value"]).join(edges, list(aged)).join(clips, "excluded_days").withColumns({"_before": before, "_ties": ties})
+    rows = ranked.join(edges, list(aged)).join(clips, "excluded_days").withColumns({"_before": before, "_ties": ties})
     center = clipped("middle_lo") + (clipped("middle_hi") - clipped("middle_lo")) * F.col("middle_f")
     rows = rows.select(
         *group, "issuer", "value", "age_days", clipped("value").alias("sensitivity_value"), ((F.col("value") < F.col("p025")) | (F.col("value") > F.col("p975"))).alias("peer_extreme"),
@@ -129,10 +129,15 @@ def normalize(inputs: DataFrame, scenarios: DataFrame, required: DataFrame, pass
     rows = settle(rows.withColumn("_off", F.abs(F.col("sensitivity_value") - F.col("center"))))
     mad = peers.quantiles(peers.distribution(rows, group, "_off"), group, "_off", {"mad": 0.5}).drop("peers")
     z = S.clamp(F.try_divide(0.6745 * (F.col("sensitivity_value") - F.col("center")), F.col("mad")), -3.0, 3.0)
-    scored = rows.join(mad, list(group), "left").withColumn("robust", 100 * S.normal_cdf(F.when(F.col("mad") > 0, z))).drop("peers", "center", "mad", "_off")
-    every = scored.join(F.broadcast(named.select("scenario", "excluded_days", "clip", "stale_days")), ["excluded_days", "clip"])
-    every = every.withColumn("age_class", F.when(F.col("age_days") > F.col("stale_days"), "STALE").otherwise("CURRENT")).drop("excluded_days", "clip", "stale_days", "age_days")
-    return peers.withhold(every, ("q_end", "input_id", "scenario"), "value", ("midrank", "percentile", "robust"), scenarios, passed, KEYS)
+    scored = rows.join(mad, list(group), "left").withColumn("robust", 100 * S.normal_cdf(F.when(F.col("mad") > 0, z))).withColumnRenamed("peers", "peer_count").drop("center", "mad", "_off")
+    every = scored.join(F.broadcast(named.select("scenario", "excluded_days", "clip", "stale_days", "min_peers")), ["excluded_days", "clip"])
+    every = every.join(passed.select(*KEYS, F.lit(True).alias("_approved")).distinct(), list(KEYS), "left")
+    status = F.when(F.col("_approved").isNull(), "COMPANY_COVERAGE_HOLD").when(F.col("peer_count") < F.col("min_peers"), "PEER_GROUP_INSUFFICIENT").otherwise("PASS")
+    masked = {c: F.when(status == "PASS", F.col(c)) for c in ("midrank", "percentile", "robust")}
+    return every.select(
+        "q_end", "input_id", "scenario", "issuer", "value", "sensitivity_value", "peer_extreme", "ties", *[v.alias(c) for c, v in masked.items()],
+        F.when(F.col("age_days") > F.col("stale_days"), "STALE").otherwise("CURRENT").alias("age_class"), F.col("peer_count").cast("long").alias("peer_count"), "min_peers", status.alias("normalization_status"),
+    )
 
 
 def sensitivity(normalized: DataFrame) -> DataFrame:
