@@ -84,8 +84,18 @@ SENSITIVITY_CUTS = (
 )
 #: (input, required transformation): a value of another transformation never enters its peer distribution.
 TRANSFORMATIONS = (
-    *((f"{c}_{b}_yoy", "PERCENT_CHANGE") for c, b in (("revenue", "q"), ("revenue", "ttm"), ("operating_income", "q"), ("operating_income", "ttm"), ("cfo", "ttm"), ("fcf", "ttm"))),
-    *((f"{c}_{b}_yoy_acceleration", "YOY_RATE_DELTA") for c, b in (("revenue", "q"), ("revenue", "ttm"), ("operating_income", "q"), ("operating_income", "ttm"), ("cfo", "ttm"), ("fcf", "ttm"))),
+    ("revenue_q_yoy", "PERCENT_CHANGE"),
+    ("revenue_ttm_yoy", "PERCENT_CHANGE"),
+    ("operating_income_q_yoy", "PERCENT_CHANGE"),
+    ("operating_income_ttm_yoy", "PERCENT_CHANGE"),
+    ("cfo_ttm_yoy", "PERCENT_CHANGE"),
+    ("fcf_ttm_yoy", "PERCENT_CHANGE"),
+    ("revenue_q_yoy_acceleration", "YOY_RATE_DELTA"),
+    ("revenue_ttm_yoy_acceleration", "YOY_RATE_DELTA"),
+    ("operating_income_q_yoy_acceleration", "YOY_RATE_DELTA"),
+    ("operating_income_ttm_yoy_acceleration", "YOY_RATE_DELTA"),
+    ("cfo_ttm_yoy_acceleration", "YOY_RATE_DELTA"),
+    ("fcf_ttm_yoy_acceleration", "YOY_RATE_DELTA"),
     ("operating_margin_yoy_pp", "MARGIN_YOY_PP"),
     ("fcf_margin_yoy_pp", "MARGIN_YOY_PP"),
     ("operating_margin_acceleration_pp", "MARGIN_YOY_PP_DELTA"),
