@@ -51,7 +51,7 @@ _other = lambda dimension, alternative, source, x, p: f"SELECT '{dimension}' AS
         UNION ALL SELECT 'TOTAL_COVERAGE_FLOOR', q_end, total FROM tot UNION ALL SELECT 'NEUTRAL_BAND', q_end, abs(pct - 50) FROM shown UNION ALL SELECT 'ACCELERATION_CUTOFF', q_end, pct FROM shown WHERE input_id LIKE '%acceleration%'
         UNION ALL SELECT 'CONFLICT_VALUE', q_end, CASE WHEN c > 0 THEN CAST((0.5 * n - s) AS DOUBLE) / c WHEN s >= 0.5 * n THEN -1 ELSE 99 END FROM br UNION ALL SELECT 'EMPLOYEE_AGE', q_end, CAST(head_age AS DOUBLE) FROM perhead WHERE head_age IS NOT NULL UNION ALL SELECT 'MINIMUM_PEERS', q_end, CAST(room AS DOUBLE) FROM lf),
     hit AS (SELECT v.dimension, c.alternative, v.q_end, CASE WHEN c.at_least THEN v.value >= c.cut ELSE v.value <= c.cut END AS here, CASE WHEN p.at_least THEN v.value >= p.cut ELSE v.value <= p.cut END AS there FROM vals v JOIN cuts c USING (dimension) JOIN cuts p ON p.dimension = v.dimension AND p.is_primary),
-    wide AS (SELECT f.q_end, a.pct AS narrow, b.pct AS broad FROM lf f LEFT JOIN lr a ON a.q_end = f.q_end AND a.issuer = f.issuer AND a.input_id = f.input_id AND a.place = f.first LEFT JOIN lr b ON b.q_end = f.q_end AND b.issuer = f.issuer AND b.input_id = f.input_id AND b.place = least(f.first + 1, 2)),
+    wide AS (SELECT f.q_end, a.pct AS narrow, b.pct AS broad FROM lf f LEFT JOIN lr a ON a.q_end = f.q_end AND a.issuer = f.issuer AND a.input_id = f.input_id AND a.place = f.first LEFT JOIN lr b ON b.q_end = f.q_end AND b.issuer = f.issuer AND b.input_id = f.input_id AND b.place = CASE WHEN f.first IS NOT NULL THEN least(f.first + 1, 2) END),
     every AS (SELECT dimension, alternative, q_end, count(*) FILTER (here) AS passing, count(*) FILTER (here AND NOT there) AS entered, count(*) FILTER (NOT here AND there) AS dropped, count(*) FILTER (there) AS base FROM hit GROUP BY ALL
         UNION ALL {_other('NORMALIZATION', 'PERCENTILE', 'shown', 'pct', 'pct')} UNION ALL {_other('NORMALIZATION', 'ROBUST_Z_CDF', 'shown', 'round(rob, 6)', 'pct')} UNION ALL {_other('PEER_LEVEL', 'NARROWEST', 'wide', 'narrow', 'narrow')} UNION ALL {_other('PEER_LEVEL', 'ONE_BROADER', 'wide', 'broad', 'narrow')})
     SELECT dimension, alternative, q_end, passing, entered, dropped, {_d('CAST(entered + dropped AS DOUBLE) / nullif(base, 0)', 'turnover')} FROM every""".replace("every AS (\n    SELECT q_end, issuer, short", "every0 AS (\n    SELECT q_end, issuer, short").replace("AS age_days FROM every WHERE v IS NOT NULL", "AS age_days FROM every0 WHERE v IS NOT NULL").replace("wide AS (SELECT q_end, issuer, max(", "wide0 AS (SELECT q_end, issuer, max(").replace("AS margin FROM wide)", "AS margin FROM wide0)"))
