@@ -333,7 +333,8 @@ ORACLE_SQL: dict[str, str] = {
     "distinct_payloads": "SELECT sha256(text) AS sha256, CAST(length(text) AS BIGINT) AS chars, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY text",
     "incremental_new": """WITH o AS (SELECT o_custkey || '/' || year(o_orderdate) AS url, CAST(o_orderdate AS DATE) AS day, o_orderkey AS accession, o_orderstatus FROM orders)
         SELECT url, arg_max(accession, (day, accession)) AS accession FROM o WHERE o_orderstatus <> 'P' AND url NOT IN (SELECT url FROM o WHERE accession % 4 = 0) GROUP BY url""",
-    "html_elements": """SELECT page_id, len(regexp_extract_all(html, '<a[ >]')) AS links, len(regexp_extract_all(html, '<p[ >]')) AS paragraphs, nullif(trim(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&')), '') AS title FROM pages""",
+    # a reference cut off before its semicolon, as at the end of a shortened title, is read as HTML reads it
+    "html_elements": """SELECT page_id, len(regexp_extract_all(html, '<a[ >]')) AS links, len(regexp_extract_all(html, '<p[ >]')) AS paragraphs, CASE WHEN html LIKE '%<title>%</title>%' THEN trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&#39(;|$)', chr(39), 'g'), '&amp;?', '&', 'g')) END AS title FROM pages""",
     "stream_latest": f"""WITH {_FILINGS} SELECT issuer, report_period, accession, value FROM filings QUALIFY row_number() OVER (PARTITION BY issuer, report_period ORDER BY available DESC, accepted DESC, accession DESC) = 1""",
     "company_coverage": f"""{_PANEL}, last AS (SELECT issuer, concept, arg_max_null(q_yoy, q_end) AS q, arg_max_null(ttm_yoy, q_end) AS t FROM obs GROUP BY ALL),
         have AS (SELECT issuer, concept || '_q_yoy' AS input_id FROM last WHERE q IS NOT NULL UNION ALL SELECT issuer, concept || '_ttm_yoy' FROM last WHERE t IS NOT NULL),
