@@ -88,9 +88,10 @@ def overlap_of_histories(spark, sf_dir):
 
 
 @query("""WITH l AS (SELECT l_suppkey AS issuer, l_partkey % 20 AS shelf, CAST(l_shipdate AS DATE) AS f, CAST(l_shipdate AS DATE) + 3 + CAST(l_quantity AS INTEGER) AS t FROM lineitem),
-    m AS (SELECT *, f > max(t) OVER (PARTITION BY issuer, shelf ORDER BY f, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS fresh, coalesce(f < max(t) OVER (PARTITION BY issuer, shelf ORDER BY f, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS o FROM l),
-    n AS (SELECT *, sum(CASE WHEN fresh OR fresh IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY issuer, shelf ORDER BY f, t ROWS UNBOUNDED PRECEDING) AS island FROM m)
-    SELECT issuer, shelf, min(f) AS valid_from, max(t) AS valid_to, count(*) AS parts, count(*) FILTER (o) AS overlapping FROM n GROUP BY issuer, shelf, island""")
+    d AS (SELECT issuer, shelf, f, t, count(*) AS n FROM l GROUP BY ALL),
+    m AS (SELECT *, f > max(t) OVER w AS fresh, coalesce(f < max(t) OVER w, false) AS o FROM d WINDOW w AS (PARTITION BY issuer, shelf ORDER BY f, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    i AS (SELECT *, sum(CASE WHEN fresh OR fresh IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY issuer, shelf ORDER BY f, t ROWS UNBOUNDED PRECEDING) AS island FROM m)
+    SELECT issuer, shelf, min(f) AS valid_from, max(t) AS valid_to, CAST(sum(n) AS BIGINT) AS parts, CAST(sum(n - 1 + o::INTEGER) AS BIGINT) AS overlapping FROM i GROUP BY issuer, shelf, island""")
 def merged_spans(spark, sf_dir):
     """Days on which a supplier's shelf was in use, from spans that overlap or touch, and how many spans of each began inside another."""
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("issuer"), (F.col("l_partkey") % 20).alias("shelf"), F.to_date("l_shipdate").alias("valid_from"), F.date_add(F.to_date("l_shipdate"), 3 + F.col("l_quantity").cast("int")).alias("valid_to"))
