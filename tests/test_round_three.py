@@ -3,6 +3,7 @@
 import duckdb
 
 from vintara import history_queries, oracle, queries
+from vintara.streaming import vintages
 
 
 def plain(rows):
@@ -25,3 +26,13 @@ def test_equal_spans_are_counted_the_same_in_any_order(spark, tmp_path):
     con.execute(f"copy lineitem to '{tmp_path}/lineitem.parquet' (format parquet)")
     got = history_queries.merged_spans(spark, str(tmp_path)).select("issuer", "shelf", "valid_from", "valid_to", "parts", "overlapping").collect()
     assert plain(got) == plain(con.execute(history_queries.ORACLE_SQL["merged_spans"]).fetchall())
+
+
+def test_vintages_touch_state_once_a_group(spark, tmp_path):
+    data = [(i, f"2000-0{1 + i % 3}-28", 10 * i + v, f"2000-0{4 + v}-10") for i in range(200) for v in range(2)]
+    frame = spark.createDataFrame(data, "issuer long, p string, accession long, a string").selectExpr("issuer", "date(p) report_period", "date(a) available", "accession", "timestamp(a) accepted")
+    frame.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(frame.schema).parquet(f"{tmp_path}/in")
+    query = vintages.follow_vintages(stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint", groups=2)
+    assert max(p.stateOperators[0].numRowsTotal for p in query.recentProgress) <= 2 * 3  # a value, a timer and its index a group, not a key
+    assert sorted((r["accession"], r["standing"]) for r in vintages.standing(spark, f"{tmp_path}/out").collect()) == sorted((a, "CURRENT" if a % 10 else "SUPERSEDED") for _, _, a, _ in data)
