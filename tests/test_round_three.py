@@ -1,8 +1,10 @@
 """Regressions of round three: each test failed before its change."""
 
 import duckdb
+from pyspark.sql import functions as F
 
 from vintara import history_queries, oracle, queries
+from vintara.operators import peers
 from vintara.streaming import vintages
 
 
@@ -36,3 +38,11 @@ def test_vintages_touch_state_once_a_group(spark, tmp_path):
     query = vintages.follow_vintages(stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint", groups=2)
     assert max(p.stateOperators[0].numRowsTotal for p in query.recentProgress) <= 2 * 3  # a value, a timer and its index a group, not a key
     assert sorted((r["accession"], r["standing"]) for r in vintages.standing(spark, f"{tmp_path}/out").collect()) == sorted((a, "CURRENT" if a % 10 else "SUPERSEDED") for _, _, a, _ in data)
+
+
+def test_spearman_behind_one_exchange_writes_nothing(spark, monkeypatch):
+    data = spark.range(400).selectExpr("id % 3 as g", "cast(id * 7919 % 23 as double) as a", "cast(if(id % 10 = 0, null, id * 104729 % 19) as double) as b")
+    largest = F.max("a").alias("largest")
+    want = plain(peers.spearman(data, ("g",), "a", "b", (largest,)).selectExpr("g", "n", "round(rho, 9)", "largest").collect())
+    monkeypatch.setattr(peers, "settle", None)  # a call would fail
+    assert plain(peers.spearman(data, ("g",), "a", "b", (largest,), small=peers.fits(data, ("g",))).selectExpr("g", "n", "round(rho, 9)", "largest").collect()) == want

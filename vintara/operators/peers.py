@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vintara.functions.scalars import clamp
@@ -37,12 +37,17 @@ def distribution(rows: DataFrame, group: tuple[str, ...], value: str, buckets: i
     return placed.join(shift, [*group, "_range"]).select(*group, value, "ties", (F.col("_before") + F.col("_inside")).alias("before"), "peers")
 
 
+def fits(rows: DataFrame, group: tuple[str, ...]) -> bool:
+    """Whether no group has more than ONE_SORT rows."""
+    return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > ONE_SORT).isEmpty()
+
+
 def rank_rows(rows: DataFrame, group: tuple[str, ...], value: str) -> DataFrame:
-    """``rows`` with ties, before and peers as in ``distribution``; ``rows`` is settled, and its value is never null.
+    """``rows`` with ties, before and peers as in ``distribution``; the value is never null. ``rows`` is read twice.
 
     While no group has more than ONE_SORT rows, one exchange by group gives all three; otherwise the distribution is joined.
     """
-    if not rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > ONE_SORT).isEmpty():
+    if not fits(rows, group):
         return rows.join(distribution(rows, group, value), [*group, value])
     every = Window.partitionBy(*group)
     one = F.count(F.lit(1))
@@ -119,14 +124,23 @@ def winsorize(rows: DataFrame, group: tuple[str, ...], value: str, limits: DataF
     return joined.withColumn("clipped", F.when(F.col("_l").isNull(), F.col(value)).otherwise(clamp(F.col(value), F.col("_l"), F.col("_h")))).drop("_l", "_h")
 
 
-def spearman(pairs: DataFrame, group: tuple[str, ...], left: str, right: str) -> DataFrame:
-    """(group, n, rho): Pearson's correlation of midranks; null for fewer than two pairs or a constant side."""
-    rows = settle(pairs.where(F.col(left).isNotNull() & F.col(right).isNotNull()))
-    for name, column in (("_a", left), ("_b", right)):
-        ranked = distribution(rows, group, column).select(*group, column, (F.col("before") + (F.col("ties") + 1) / 2.0).alias(name))
-        rows = rows.join(ranked, [*group, column])
-    parts = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.covar_pop("_a", "_b").alias("_c"), F.stddev_pop("_a").alias("_x"), F.stddev_pop("_b").alias("_y"))
-    return parts.select(*group, "n", F.try_divide(F.col("_c"), F.col("_x") * F.col("_y")).alias("rho"))
+def spearman(pairs: DataFrame, group: tuple[str, ...], left: str, right: str, also: tuple[Column, ...] = (), small: bool = False) -> DataFrame:
+    """(group, n, rho and the aggregates ``also``): Pearson's correlation of midranks; null for fewer than two pairs or a constant side.
+
+    With ``small`` it is known that every group ``fits``: both sides are then ranked and correlated behind one exchange
+    by group, and nothing is written.
+    """
+    rows = pairs.where(F.col(left).isNotNull() & F.col(right).isNotNull())
+    if small:
+        every, one = Window.partitionBy(*group), F.count(F.lit(1))
+        rows = rows.withColumns({name: F.rank().over(every.orderBy(c)) + (one.over(Window.partitionBy(*group, c)) - 1) / 2.0 for name, c in (("_a", left), ("_b", right))})
+    else:
+        rows = settle(rows)
+        for name, column in (("_a", left), ("_b", right)):
+            ranked = distribution(rows, group, column).select(*group, column, (F.col("before") + (F.col("ties") + 1) / 2.0).alias(name))
+            rows = rows.join(ranked, [*group, column])
+    parts = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.covar_pop("_a", "_b").alias("_c"), F.stddev_pop("_a").alias("_x"), F.stddev_pop("_b").alias("_y"), *also)
+    return parts.withColumn("rho", F.try_divide(F.col("_c"), F.col("_x") * F.col("_y"))).drop("_c", "_x", "_y")
 
 
 def narrowest_peer_group(rows: DataFrame, value: str, levels: tuple[tuple[str, str, int], ...], metric: tuple[str, ...] = ("input_id",)) -> DataFrame:
