@@ -46,3 +46,18 @@ def test_spearman_behind_one_exchange_writes_nothing(spark, monkeypatch):
     want = plain(peers.spearman(data, ("g",), "a", "b", (largest,)).selectExpr("g", "n", "round(rho, 9)", "largest").collect())
     monkeypatch.setattr(peers, "settle", None)  # a call would fail
     assert plain(peers.spearman(data, ("g",), "a", "b", (largest,), small=peers.fits(data, ("g",))).selectExpr("g", "n", "round(rho, 9)", "largest").collect()) == want
+
+
+def halves(folder):
+    """Sixty suppliers whose quantities grow by rates on the edge of a half in the third place, as doubles on either side of it."""
+    con = duckdb.connect()
+    con.execute("create table q as select s, k, CASE WHEN k < 4 THEN 5000 ELSE ([1657, 1883, 2117, 2343, 2561, 2811][1 + s % 6] + s // 6 * CAST(s % 6 > 2 AS INTEGER)) * 10 // 4 + CAST(k = 7 AS INTEGER) * (([1657, 1883, 2117, 2343, 2561, 2811][1 + s % 6] + s // 6 * CAST(s % 6 > 2 AS INTEGER)) * 10 % 4) END / 100.0 AS quantity from range(60) a(s), range(8) b(k)")
+    con.execute("create table lineitem as select s::BIGINT as l_suppkey, quantity::DOUBLE as l_quantity, (1000 + s * k)::DOUBLE as l_extendedprice, 0.0::DOUBLE as l_discount, 0.05::DOUBLE as l_tax, (DATE '1998-02-01' + to_months((3 * k)::INTEGER))::TIMESTAMP as l_shipdate from q")
+    con.execute(f"copy lineitem to '{folder}/lineitem.parquet' (format parquet)")
+    return con
+
+
+def test_midranks_of_rates_on_a_half(spark, tmp_path):
+    con = halves(tmp_path)
+    got = queries.midrank_percentile(spark, str(tmp_path)).select("q_end", "issuer", "input_id", "value", "ties", "peers", "midrank", "percentile").collect()
+    assert plain(got) == plain(con.execute(oracle.ORACLE_SQL["midrank_percentile"]).fetchall())

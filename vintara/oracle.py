@@ -62,6 +62,14 @@ def _d(expression: str, name: str | None = None) -> str:
     return f"CAST({expression} AS DECIMAL(18,9)) AS {name or expression}"
 
 
+def _digits(expression: str, places: int = 9) -> str:
+    """A double as decimal, its shortest digits rounded half up as Spark does; a product with a power of ten may fall on the other side of a half."""
+    return f"CAST(CAST({expression} AS VARCHAR) AS DECIMAL(18,{places}))"
+
+
+_METRICS_BY_DIGITS = _METRICS.replace("round(ttm_yoy, 3)", f"CAST({_digits('ttm_yoy', 3)} AS DOUBLE)")
+
+
 def _accelerated(m: str) -> str:
     near = "lag(run) OVER w = run"
     rate, change = f"CASE WHEN {near} THEN {m} - lag({m}) OVER w END", f"CASE WHEN {near} THEN {m}_change - lag({m}_change) OVER w END"
@@ -285,7 +293,7 @@ ORACLE_SQL: dict[str, str] = {
         v AS (SELECT scenario, issuer, q_end, unnest([growth, profit, cash, margin]) AS k, c FROM families, s), w AS (SELECT *, CASE k WHEN 'SUPPORTIVE' THEN 1.0 WHEN 'NEUTRAL' THEN 0.5 WHEN 'ADVERSE' THEN 0.0 WHEN 'CONFLICTED' THEN c END AS p FROM v)
         SELECT scenario, issuer, q_end, count(p) AS families, {_d('CASE WHEN count(p) >= 3 THEN 100.0 * CAST(sum(p) AS DOUBLE) / count(p) END', 'breadth_score')} FROM w GROUP BY scenario, issuer, q_end""",
     "coverage_by_transformation": f"""{_PANEL} SELECT concept || '_ttm_yoy' AS input_id, ttm_yoy_method AS transformation, count(DISTINCT issuer) AS peers, CASE WHEN count(DISTINCT issuer) >= 50 THEN 'PASS' ELSE 'PEER_GROUP_INSUFFICIENT' END AS coverage FROM obs WHERE ttm_yoy_method IS NOT NULL GROUP BY 1, 2""",
-    "midrank_percentile": f"""{_METRICS}, r AS (SELECT *, count(*) OVER (PARTITION BY q_end, input_id, value) AS ties, count(*) OVER (PARTITION BY q_end, input_id) AS peers, {_RANKS} AS midrank FROM metrics)
+    "midrank_percentile": f"""{_METRICS_BY_DIGITS}, r AS (SELECT *, count(*) OVER (PARTITION BY q_end, input_id, value) AS ties, count(*) OVER (PARTITION BY q_end, input_id) AS peers, {_RANKS} AS midrank FROM metrics)
         SELECT q_end, issuer, input_id, {_d('value')}, ties, peers, {_d('midrank')}, {_d('100.0 * (CAST(midrank AS DOUBLE) - 0.5) / peers', 'percentile')} FROM r""",
     "mad_robust_z": f"""{_METRICS}, c AS (SELECT *, quantile_cont(value, 0.5) OVER (PARTITION BY q_end, input_id) AS center FROM metrics), m AS (SELECT *, quantile_cont(abs(value - center), 0.5) OVER (PARTITION BY q_end, input_id) AS mad FROM c)
         SELECT q_end, issuer, input_id, {_d('center')}, {_d('mad')}, {_d('CASE WHEN mad > 0 THEN greatest(least(0.6745 * (value - center) / mad, 3.0), -3.0) END', 'z')} FROM m""",
