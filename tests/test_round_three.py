@@ -3,7 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
-from vintara import history_queries, oracle, queries
+from vintara import history_queries, oracle, queries, stage_oracle
 from vintara.operators import peers
 from vintara.streaming import vintages
 
@@ -61,3 +61,10 @@ def test_midranks_of_rates_on_a_half(spark, tmp_path):
     con = halves(tmp_path)
     got = queries.midrank_percentile(spark, str(tmp_path)).select("q_end", "issuer", "input_id", "value", "ties", "peers", "midrank", "percentile").collect()
     assert plain(got) == plain(con.execute(oracle.ORACLE_SQL["midrank_percentile"]).fetchall())
+
+
+def test_robust_scores_of_rates_on_a_half(spark, tmp_path):
+    con = halves(tmp_path)
+    got = queries.robust_cdf_score(spark, str(tmp_path)).select("q_end", "issuer", "input_id", "score").collect()
+    assert any(r["score"] is not None for r in got)
+    assert plain(got) == plain(con.execute(stage_oracle.ORACLE_SQL["robust_cdf_score"]).fetchall())

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from vintara.functions.scalars import SERIES_TERMS
-from vintara.oracle import _CELLS, _COMPONENTS, _FCF, _HISTORY, _MARGIN, _W, _accelerated, _d, _dir, _obs, _rec, _score
+from vintara.oracle import _CELLS, _COMPONENTS, _FCF, _HISTORY, _MARGIN, _W, _accelerated, _d, _digits, _dir, _obs, _rec, _score
 from vintara.plans import policy
 
 _K = "q_end, issuer"
@@ -157,7 +157,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT {_K}, factor, {_d('factor_score')}, {_d('original', 'original_coverage')}, {_d('applied', 'applied_coverage')}, families FROM uf JOIN names USING ({_K}, factor)""",
     "pilot_sensitivity": f"""{_PILOT} SELECT p.q_end, p.scenario, count(*) FILTER (p.published) AS published, count(*) FILTER (p.status <> b.status) AS status_changes, {_d('max(abs(p.confidence - b.confidence))', 'max_confidence_change')}
         FROM pilot p JOIN pilot b ON b.issuer = p.issuer AND b.q_end = p.q_end AND b.scenario = 'BASELINE' GROUP BY ALL""",
-    "robust_cdf_score": f"""{_INPUTS}, g AS (SELECT q_end, issuer, concept || '_ttm_yoy' AS input_id, round(ttm_yoy, 3) AS value FROM obs WHERE ttm_yoy IS NOT NULL AND concept <> 'free_cash_flow'),
+    "robust_cdf_score": f"""{_INPUTS}, g AS (SELECT q_end, issuer, concept || '_ttm_yoy' AS input_id, CAST({_digits('ttm_yoy', 3)} AS DOUBLE) AS value FROM obs WHERE ttm_yoy IS NOT NULL AND concept <> 'free_cash_flow'),
         a AS (SELECT *, count(*) OVER (PARTITION BY q_end, input_id) AS k, quantile_cont(value, 0.5) OVER (PARTITION BY q_end, input_id) AS center FROM g), m2 AS (SELECT *, quantile_cont(abs(value - center), 0.5) OVER (PARTITION BY q_end, input_id) AS mad FROM a),
-        z2 AS (SELECT *, CASE WHEN mad > 0 AND k >= 50 THEN greatest(least(0.6745 * (value - center) / mad, 3.0), -3.0) END AS z FROM m2) SELECT q_end, issuer, input_id, CAST(100 * {_phi('z')} AS {_R}) AS score FROM z2""",
+        z2 AS (SELECT *, CASE WHEN mad > 0 AND k >= 50 THEN greatest(least(0.6745 * (value - center) / mad, 3.0), -3.0) END AS z FROM m2) SELECT q_end, issuer, input_id, {_digits(f"100 * {_phi('z')}", 6)} AS score FROM z2""",
 }
