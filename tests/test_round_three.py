@@ -3,7 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
-from vintara import history_queries, oracle, queries, stage_oracle
+from vintara import history_queries, matrix_queries, oracle, queries, stage_oracle
 from vintara.operators import peers
 from vintara.streaming import vintages
 
@@ -68,3 +68,12 @@ def test_robust_scores_of_rates_on_a_half(spark, tmp_path):
     got = queries.robust_cdf_score(spark, str(tmp_path)).select("q_end", "issuer", "input_id", "score").collect()
     assert any(r["score"] is not None for r in got)
     assert plain(got) == plain(con.execute(stage_oracle.ORACLE_SQL["robust_cdf_score"]).fetchall())
+
+
+def test_signals_of_rates_on_a_half(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute("create table pair as select unnest([1, 2, 4, 5, 8]) as s, unnest([48261987, 51315659, 72570813, 91737750, 84331015]) as v, unnest([354, 187, 275, 13853, 161]) as p")
+    con.execute("create table lineitem as select s::BIGINT as l_suppkey, 1.0::DOUBLE as l_quantity, CASE WHEN k < 4 THEN p ELSE v END / 100.0::DOUBLE as l_extendedprice, 0.0::DOUBLE as l_discount, 0.05::DOUBLE as l_tax, (DATE '1998-02-01' + to_months((3 * k)::INTEGER))::TIMESTAMP as l_shipdate from pair, range(8) b(k)")
+    con.execute(f"copy lineitem to '{tmp_path}/lineitem.parquet' (format parquet)")
+    got = matrix_queries.verified_signals(spark, str(tmp_path)).select("issuer", "q_end", "value", "ttm", "q_yoy", "ttm_yoy", "q_yoy_acceleration", "ttm_yoy_acceleration").collect()
+    assert plain(got) == plain(con.execute(queries.ORACLE_SQL["verified_signals"]).fetchall())

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vintara.history_queries import _HEADS, _per_head, query
 from vintara.history_queries import QUERIES as REGISTER
 from vintara.operators import contexts, peers, scoring, sensitivity
-from vintara.oracle import _FILINGS, _YTD, _accelerated, _d, _obs
+from vintara.oracle import _FILINGS, _YTD, _accelerated, _d, _digits, _obs
 from vintara.plans import bridge, governance, policy, stages
 from vintara.plans.bridge import table
 from vintara.sources import landing, variant_facts
@@ -183,7 +183,7 @@ _PROVED = _YTD.replace("WHERE fq = 1 OR issuer % 3 <> 0", "WHERE (fq = 1 OR issu
 
 
 @query(f"""{_PROVED}, vq AS (SELECT issuer, 'revenue' AS concept, q_start, q_end, quarter(q_start) AS fiscal_quarter, value FROM out WHERE status LIKE 'PASS%' AND value IS NOT NULL), {_obs('vq').replace('runs', 'vruns').replace('sums', 'vsums').replace('obs AS', 'vobs AS')}, va AS (SELECT *, {_accelerated('q_yoy')}, {_accelerated('ttm_yoy')} FROM vobs WINDOW w AS (PARTITION BY issuer, concept ORDER BY q_end))
-    SELECT issuer, q_end, value, ttm, {_d('q_yoy')}, {_d('ttm_yoy')}, {_d('q_yoy_acceleration')}, {_d('ttm_yoy_acceleration')} FROM va""")
+    SELECT issuer, q_end, value, ttm, {_digits('q_yoy')} AS q_yoy, {_digits('ttm_yoy')} AS ttm_yoy, {_digits('q_yoy_acceleration')} AS q_yoy_acceleration, {_digits('ttm_yoy_acceleration')} AS ttm_yoy_acceleration FROM va""")
 def verified_signals(spark, sf_dir):
     """From tagged filings to signals: yearly documents are parsed, reported facts held against their contexts, and only proved ones counted; second quarters of some years have lost their context."""
     accession = (F.col("issuer") * 10_000 + F.year("end")).cast("long")
