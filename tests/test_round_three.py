@@ -4,7 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from vintara import history_queries, matrix_queries, oracle, queries, stage_oracle
-from vintara.operators import peers
+from vintara.operators import closure, peers
 from vintara.streaming import vintages
 
 
@@ -77,3 +77,22 @@ def test_signals_of_rates_on_a_half(spark, tmp_path):
     con.execute(f"copy lineitem to '{tmp_path}/lineitem.parquet' (format parquet)")
     got = matrix_queries.verified_signals(spark, str(tmp_path)).select("issuer", "q_end", "value", "ttm", "q_yoy", "ttm_yoy", "q_yoy_acceleration", "ttm_yoy_acceleration").collect()
     assert plain(got) == plain(con.execute(queries.ORACLE_SQL["verified_signals"]).fetchall())
+
+
+def test_closure_walks_no_nodes_without_parents(spark, monkeypatch):
+    edges = [(f"r{r}", f"m{r}") for r in range(3)] + [(f"m{r}", f"e{k}") for r in range(3) for k in range(500)] + [("m0", "m1"), ("m1", "m0"), ("r2", "e7"), ("r2", None)]
+    monkeypatch.setattr(closure, "LONGEST", 100)
+    settled, settle = [], closure.settle
+
+    def counted(frame):
+        out = settle(frame)
+        settled.append(out.count())
+        return out
+
+    monkeypatch.setattr(closure, "settle", counted)
+    got = closure.close_over(spark.createDataFrame(edges, "child string, parent string"), spark.createDataFrame([("r0",), ("r2",), ("m0",)], "root string"))
+    above = {"r0": {"m0": 1, "m1": 2}, "r2": {"m2": 1}, "m0": {"m1": 1, "m0": 2}}
+    ends = {"r0": 2, "r2": 2, "m0": 1}
+    want = [(r, n, d) for r, of in above.items() for n, d in of.items()] + [(r, f"e{k}", 1 if (r, k) == ("r2", 7) else d) for r, d in ends.items() for k in range(500)]
+    assert plain(got.select("root", "node", "depth").collect()) == plain(want)
+    assert max(settled) < 100  # lists of nodes, not nodes

@@ -13,7 +13,7 @@ from vintara.operators import asof, balances, closure, intervals, productivity,
 from vintara.oracle import _FILINGS, _PANEL, _d, _dir, _rec
 from vintara.plans import bridge, modules, policy, stages
 from vintara.plans.bridge import table
-from vintara.plans.settle import shared_folder
+from vintara.plans.settle import settle, shared_folder
 from vintara.stage_oracle import _INPUTS
 from vintara.stage_queries import Method, dec
 from vintara.streaming import intake, vintages
@@ -159,6 +159,7 @@ def stream_intake(spark, sf_dir):
 def _lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges (child, parent): a yearly signal rests on two observations, an observation on four quarters, a quarter on the filings that its lines cite."""
     cited = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("issuer"), F.trunc("l_shipdate", "quarter").alias("q"), F.col("l_orderkey")).distinct()
+    cited = settle(cited)
     name = lambda kind, day: F.concat_ws("|", F.lit(kind), F.col("issuer"), day)
     quarters = cited.select("issuer", "q").distinct()
     observed = quarters.select("issuer", "q", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).select("issuer", "q", F.add_months("q", 3 * F.col("k")).alias("t"))
@@ -195,7 +196,7 @@ def lineage_closure(spark, sf_dir):
     """How many observations, quarters and filings every yearly signal rests on, from its closure."""
     edges = _lineage(spark, sf_dir)
     found = closure.close_over(edges, edges.where(F.col("child").startswith("signal|")).select(F.col("child").alias("root")))
-    count = lambda kind, name: F.count_if(_part("node", 1) == kind).alias(name)
+    count = lambda kind, name: F.count_if(F.col("node").startswith(f"{kind}|")).alias(name)
     counted = found.groupBy("root").agg(count("observation", "observations"), count("quarter", "quarters"), count("filing", "filings"), F.max("depth").alias("deepest"))
     return counted.select(_part("root", 2).cast("long").alias("issuer"), _part("root", 3).cast("date").alias("quarter"), "observations", "quarters", "filings", "deepest")
 

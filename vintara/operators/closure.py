@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from vintara.plans.settle import settle
 
+#: Parents of a node that one row lists.
+LONGEST = 10_000
 RESOLVED, MISSING, CYCLE = "RESOLVED", "MISSING_PARENT", "CYCLE"
 
 
@@ -15,23 +17,34 @@ def close_over(edges: DataFrame, roots: DataFrame, *, child: str = "child", pare
 
     Each round follows the edges of what the round before has found and drops what is known already,
     so diamonds are walked once and cycles end. Rounds are written to the checkpoint folder; their number is the
-    depth of the deepest chain. The result has a row for each root and node: for a date or a status
+    depth of the deepest chain. Nodes without parents, mostly the greatest part, take no part in the rounds: they are kept as
+    lists with their children, meet the walked nodes once at the end, and are opened only behind the exchange by root. Lists longer
+    than LONGEST are cut by the nodes' hashes. The result has a row for each root and node: for a date or a status
     of every node ``resolve`` needs one row a node.
     """
-    links = settle(edges.select(F.col(child).alias("_c"), F.col(parent).alias("_p")).where("_c is not null and _p is not null").distinct())
+    pairs = edges.select(F.col(child).alias("_c"), F.col(parent).alias("_p")).where("_c is not null and _p is not null")
+    shares = (pairs.groupBy("_c").agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0) // LONGEST + 1
+    inner = pairs.select(F.col("_c").alias("_p")).distinct().withColumn("_more", F.lit(True))
+    each = pairs.join(inner, "_p", "left").groupBy("_c", F.pmod(F.xxhash64("_p"), F.lit(shares)).alias("_share"))
+    links = settle(each.agg(F.collect_set(F.when(F.col("_more"), F.col("_p"))).alias("_up"), F.collect_set(F.when(F.col("_more").isNull(), F.col("_p"))).alias("_ends")))
+    up = links.select("_c", F.explode("_up").alias("_p"))
     front = settle(roots.select(F.col(root)).where(F.col(root).isNotNull()).distinct().select(root, F.col(root).alias("node")))
+    walked = front.withColumn("depth", F.lit(0))
     found, depth = None, 0
     while True:
         depth += 1
-        new = front.join(links, F.col("node") == F.col("_c")).select(root, F.col("_p").alias("node")).distinct()
+        new = front.join(up, F.col("node") == F.col("_c")).select(root, F.col("_p").alias("node")).distinct()
         if found is not None:
             new = new.join(found.select(root, "node"), [root, "node"], "left_anti")
         front = settle(new)
         if front.isEmpty():
             break
         told = front.withColumn("depth", F.lit(depth))
-        found = told if found is None else found.unionByName(told)
-    return found if found is not None else front.withColumn("depth", F.lit(0))
+        found, walked = told if found is None else found.unionByName(told), walked.unionByName(told)
+    last = walked.join(links.where(F.size("_ends") > 0), F.col("node") == F.col("_c")).select(root, "_share", (F.col("depth") + 1).alias("depth"), "_ends")
+    ends = last.repartition(root, "_share").select(root, "_share", "depth", F.explode("_ends").alias("node")).groupBy(root, "_share", "node").agg(F.min("depth").alias("depth"))
+    ends = ends.select(root, "node", "depth")
+    return ends if found is None else found.unionByName(ends)
 
 
 def resolve(edges: DataFrame, known: DataFrame, *, child: str = "child", parent: str = "parent", node: str = "node", at: str = "available") -> DataFrame:
