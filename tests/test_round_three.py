@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from vintara import history_queries, matrix_queries, oracle, queries, stage_oracle
 from vintara.operators import closure, peers
+from vintara.plans import settle
 from vintara.streaming import vintages
 
 
@@ -96,3 +97,9 @@ def test_closure_walks_no_nodes_without_parents(spark, monkeypatch):
     want = [(r, n, d) for r, of in above.items() for n, d in of.items()] + [(r, f"e{k}", 1 if (r, k) == ("r2", 7) else d) for r, d in ends.items() for k in range(500)]
     assert plain(got.select("root", "node", "depth").collect()) == plain(want)
     assert max(settled) < 100  # lists of nodes, not nodes
+
+
+def test_normalization_is_kept_only_where_it_is_read_again(spark):
+    settle.forget()
+    assert queries.QUERIES["metric_normalization"](spark, "/root/testdata/sf0.001").count() > 0
+    assert not any("normalized" in part for key in settle._kept for part in map(str, key))

@@ -121,12 +121,13 @@ def normal_cdf(z: Column | str) -> Column:
     """Standard normal distribution function for values between -4 and 4, which the capped z keeps to.
 
     Spark has no error function; the power series of the integral converges to double precision in
-    that range, and stays inside generated code.
+    that range, and stays inside generated code. Generated code is shortest for a column that is never
+    null; where ``z`` is an expression, give it a column of its own first.
     """
     z = F.col(z) if isinstance(z, str) else z
     series = F.lit(1.0)
     for k in range(SERIES_TERMS, 0, -1):
-        series = 1.0 + series * z * z / float(2 * k + 1)
+        series = 1.0 + series * z * z * (1.0 / (2 * k + 1))
     return 0.5 + z * F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * series
 
 

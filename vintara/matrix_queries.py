@@ -58,7 +58,7 @@ _other = lambda dimension, alternative, source, x, p: f"SELECT '{dimension}' AS
 def sensitivity_all(spark, sf_dir):
     """Eleven dimensions of the sensitivity matrix, a row for each alternative and quarter: who passes, enters and drops out against the primary rule."""
     m = Method(spark, sf_dir)
-    shown = m.normalized("scenario = 'BASELINE'").where("normalization_status = 'PASS'").select("q_end", "input_id", "percentile", F.round("robust", 6).alias("robust"))
+    shown = m.normalized("scenario = 'BASELINE'", keep=True).where("normalization_status = 'PASS'").select("q_end", "input_id", "percentile", F.round("robust", 6).alias("robust"))
     usable = m.inputs.join(F.broadcast(policy.metric_transformations(spark)), "input_id").where("transformation = required")
     weight = F.create_map(*[F.lit(x) for pair in policy.FACTOR_WEIGHTS.items() for x in pair])[F.col("factor")]
     total = m.gates().groupBy(*stages.KEYS).agg(F.round(F.sum(weight * F.col("coverage")), 9).alias("value"))

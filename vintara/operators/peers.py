@@ -42,12 +42,13 @@ def fits(rows: DataFrame, group: tuple[str, ...]) -> bool:
     return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > ONE_SORT).isEmpty()
 
 
-def rank_rows(rows: DataFrame, group: tuple[str, ...], value: str) -> DataFrame:
+def rank_rows(rows: DataFrame, group: tuple[str, ...], value: str, small: bool | None = None) -> DataFrame:
     """``rows`` with ties, before and peers as in ``distribution``; the value is never null. ``rows`` is read twice.
 
     While no group has more than ONE_SORT rows, one exchange by group gives all three; otherwise the distribution is joined.
+    ``small`` tells whether every group ``fits``, where that is known.
     """
-    if not fits(rows, group):
+    if not (fits(rows, group) if small is None else small):
         return rows.join(distribution(rows, group, value), [*group, value])
     every = Window.partitionBy(*group)
     one = F.count(F.lit(1))

@@ -63,9 +63,11 @@ class Method:
     def approved(self) -> DataFrame:
         return self._once("approved", lambda: stages.approved(self.gates()))
 
-    def normalized(self, scenarios: str = "true") -> DataFrame:
+    def normalized(self, scenarios: str = "true", keep: bool = False) -> DataFrame:
+        """``stages.normalize``; settled with ``keep``, for what reads it more than once."""
         chosen = policy.normalization_scenarios(self.spark).where(scenarios)
-        return self._once(f"normalized where {scenarios}", lambda: stages.normalize(self.inputs, chosen, policy.metric_transformations(self.spark), self.approved()))
+        build = lambda: stages.normalize(self.inputs, chosen, policy.metric_transformations(self.spark), self.approved())
+        return self._once(f"normalized where {scenarios}", build) if keep else build()
 
     def factors(self, scenarios: str = "true") -> DataFrame:
         chosen = policy.score_scenarios(self.spark).where(scenarios)
@@ -132,7 +134,7 @@ def normalization_distributions(spark, sf_dir):
 @query
 def normalization_sensitivity(spark, sf_dir):
     """How each scenario and method ranks companies against the baseline's percentiles."""
-    out = stages.sensitivity(Method(spark, sf_dir).normalized())
+    out = stages.sensitivity(Method(spark, sf_dir).normalized(keep=True))
     return out.select("q_end", "scenario", "input_id", "method", big("n"), dec("rho", None, "decimal(18,6)"), dec(F.col("mean_change") + 1e-9, "mean_change", "decimal(18,4)"), dec("max_change", None, "decimal(18,6)"), big("over_10"))
 
 
