@@ -1,11 +1,13 @@
 """Regressions of round three: each test failed before its change."""
 
 import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from vintara import history_queries, matrix_queries, oracle, queries, stage_oracle
 from vintara.operators import closure, peers
 from vintara.plans import settle
+from vintara.sources import landing
 from vintara.streaming import vintages
 
 
@@ -103,3 +105,13 @@ def test_normalization_is_kept_only_where_it_is_read_again(spark):
     settle.forget()
     assert queries.QUERIES["metric_normalization"](spark, "/root/testdata/sf0.001").count() > 0
     assert not any("normalized" in part for key in settle._kept for part in map(str, key))
+
+
+def test_elements_leave_the_parser_in_bounded_batches():
+    pages = ["<html><body>" + "<p a='b'>x</p>" * 98 + "</body></html>"] * 999 + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(pages)], names=["k", "h"])
+    out = list(landing._tags()(iter([batch])))
+    assert max(b.num_rows for b in out) <= 10_000
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [(r["doc"], r["position"]) for r in rows] == [(d, p) for d in range(999) for p in range(100)]
+    assert {(r["tag"], tuple(r["attributes"]), r["text"]) for r in rows} == {("html", (), ""), ("body", (), ""), ("p", (("a", "b"),), "x")}

@@ -101,8 +101,15 @@ def holding_classes(holdings: DataFrame, sectors: tuple[str, ...]) -> DataFrame:
     return rows.withColumn("class", kind).drop("_n")
 
 
+#: Elements that leave the parser at once.
+ELEMENTS = 10_000
+
+
 def _tags():
-    """Elements of HTML documents: one row per start tag with its attributes and the text up to its end."""
+    """Elements of HTML documents: one row per start tag with its attributes and the text up to its end.
+
+    However many documents a batch holds, one document and ELEMENTS rows are in memory as Python objects.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from html.parser import HTMLParser
@@ -130,15 +137,21 @@ def _tags():
                     self.open[-1][3].append(text.strip())
 
         kinds = [("doc", None), ("position", pa.int32()), ("tag", pa.string()), ("attributes", pa.map_(pa.string(), pa.string())), ("text", pa.string())]
+        def table(rows, key):
+            return pa.RecordBatch.from_arrays([pa.array(v, t or key) for v, (_, t) in zip(rows, kinds, strict=True)], names=[n for n, _ in kinds])
+
         for batch in batches:
             rows = [[], [], [], [], []]
-            for doc, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, html in zip(*batch.columns[:2], strict=True):
                 reader = Reader()
-                reader.feed(html or "")
+                reader.feed(html.as_py() or "")
                 for position, tag, attrs, text in reader.found:
-                    for column, value in zip(rows, (doc, position, tag, list(attrs.items()), " ".join(text)), strict=True):
+                    for column, value in zip(rows, (doc.as_py(), position, tag, list(attrs.items()), " ".join(text)), strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t or batch.column(0).type) for v, (_, t) in zip(rows, kinds, strict=True)], names=[n for n, _ in kinds])
+                    if len(rows[0]) == ELEMENTS:
+                        yield table(rows, batch.column(0).type)
+                        rows = [[], [], [], [], []]
+            yield table(rows, batch.column(0).type)
 
     return run
 
