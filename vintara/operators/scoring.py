@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vintara.functions.scalars import ADVERSE, CONFLICTED, NEUTRAL, SUPPORTIVE, safe_ratio
@@ -75,6 +77,37 @@ def weighted_scores(scores: DataFrame, components: DataFrame, keys: tuple[str, .
     )
 
 
+def scores_of_row(score: dict[str, Column], components: tuple[tuple[str, str, float, str], ...] = policy.COMPONENTS) -> dict[str, Column]:
+    """``weighted_scores`` where an entity's scores are columns of its row: per factor a struct of what that has but the residual weight.
+
+    Nothing is exchanged or grouped. An input without a column is missing.
+    """
+    has = {n: c.isNotNull() for n, c in score.items()}
+    there = lambda n: has.get(n, F.lit(False))
+    half = there("revenue_q_yoy") & there("operating_income_q_yoy") & ~there("gross_profit_q_yoy")
+    total = lambda parts: sum(parts, F.lit(0.0))
+    out = {}
+    for factor in dict.fromkeys(f for f, *_ in components):
+        own = [(n, w, family) for f, n, w, family in components if f == factor and n in score]
+        shifted = {n for n, *_ in own if factor == "F2_QUARTER" and n in ("revenue_q_yoy", "operating_income_q_yoy")}
+        if any(0.5 > w * policy.WEIGHT_CAP + 1e-12 for n, w, _ in own if n in shifted):
+            raise ValueError("applied weight breaks the cap")
+        applied = {n: F.when(has[n], F.when(half, 0.5).otherwise(w) if n in shifted else F.lit(w)).otherwise(0.0) for n, w, _ in own}
+        original, used = total(F.when(has[n], w).otherwise(0.0) for n, w, _ in own), total(applied.values())
+        points = total(applied[n] * F.coalesce(score[n], F.lit(0.0)) for n, *_ in own)
+        kinds = {family: reduce(Column.__or__, [has[n] for n, _, k in own if k == family]) for family in dict.fromkeys(k for *_, k in own)}
+        independent = sum((c.cast("int") for k, c in kinds.items() if k != "CROSS_FAMILY"), F.lit(0))
+        eps = 1e-9
+        floor = {
+            "F1_TTM": there("revenue_ttm_yoy") & there("operating_income_ttm_yoy") & kinds.get("CASH", F.lit(False)) & (original >= 0.60 - eps),
+            "F2_QUARTER": there("revenue_q_yoy") & there("operating_income_q_yoy") & (used >= 0.90 - eps),
+            "F3_QUALITY": there("operating_margin_yoy_pp") & there("fcf_margin_yoy_pp") & (original >= 0.50 - eps),
+        }.get(factor, (independent >= 2) & (original >= 0.40 - eps))
+        families = F.array_compact(F.array(*[F.when(kinds[k], k) for k in sorted(kinds)])) if kinds else F.array().cast("array<string>")
+        out[factor] = F.struct(safe_ratio(points, used).alias("factor_score"), original.alias("original_coverage"), used.alias("applied_coverage"), families.alias("families"), floor.alias("floor_met"))
+    return out
+
+
 def breadth(classes: DataFrame, conflict: str | float = 0.25, keys: tuple[str, ...] = ("issuer",), least: int = 3) -> DataFrame:
     """Per entity: mean value of eligible family classes times 100, null below ``least`` families. ``conflict`` is a value or a column."""
     worth = F.col(conflict) if isinstance(conflict, str) else F.lit(conflict)
@@ -83,11 +116,11 @@ def breadth(classes: DataFrame, conflict: str | float = 0.25, keys: tuple[str, .
     return rows.select(*keys, "families", F.when(F.col("families") >= least, 100.0 * F.col("_s") / F.col("families")).alias("breadth_score"))
 
 
-def persistence_candidates(scores: DataFrame, scenarios: DataFrame, keys: tuple[str, ...] = ("issuer",)) -> DataFrame:
+def persistence_candidates(scores: DataFrame, scenarios: DataFrame, keys: tuple[str, ...] = ("issuer",), keep: tuple[str, ...] = ()) -> DataFrame:
     """Each entity under each scenario: score and coverage of the persistence sleeve.
 
     ``scores`` is wide: the keys and a column per concept. Revenue and operating income are needed,
-    under the strict scenario all four; a missing cash concept keeps its weight unused.
+    under the strict scenario all four; a missing cash concept keeps its weight unused. ``keep`` names columns that go along.
     """
     four = ("revenue", "operating_income", "cash_from_operations", "free_cash_flow")
     rows = scores.crossJoin(F.broadcast(scenarios))
@@ -98,7 +131,7 @@ def persistence_candidates(scores: DataFrame, scenarios: DataFrame, keys: tuple[
     total = F.col("w_revenue") + F.col("w_profit") + F.col("w_cash")
     used = sum((F.when(has[c], weight[c]).otherwise(zero) for c in four), zero)
     points = sum((F.when(has[c], weight[c] * F.col(c)).otherwise(zero) for c in four), zero)
-    return rows.select(*keys, "scenario", passed.alias("passed"), F.when(passed, points / used).alias("persistence_score"), F.when(passed, used / total).otherwise(zero).alias("persistence_coverage"))
+    return rows.select(*keys, *keep, "scenario", passed.alias("passed"), F.when(passed, points / used).alias("persistence_score"), F.when(passed, used / total).otherwise(zero).alias("persistence_coverage"))
 
 
 def merge_persistence(factors: DataFrame, candidates: DataFrame, share: float = 0.15, keys: tuple[str, ...] = ("issuer",)) -> DataFrame:
@@ -107,7 +140,11 @@ def merge_persistence(factors: DataFrame, candidates: DataFrame, share: float =
     ``factors`` is wide: the keys, a column per factor, f4_applied, base_coverage (weighted coverage of
     the other factors) and allowed. The composite needs all factors and a coverage of 0.70.
     """
-    rows = factors.join(candidates, list(keys))
+    return merged_persistence(factors.join(candidates, list(keys)), share, keys)
+
+
+def merged_persistence(rows: DataFrame, share: float = 0.15, keys: tuple[str, ...] = ("issuer",), keep: tuple[str, ...] = ()) -> DataFrame:
+    """``merge_persistence`` of rows that have both sides' columns; those in ``keep`` go along."""
     publish = F.col("allowed") & F.col("passed")
     sleeve = F.when(publish, share * F.col("persistence_coverage")).otherwise(0.0)
     rows = rows.withColumn("f4_coverage", F.col("f4_applied") + sleeve)
@@ -117,7 +154,7 @@ def merge_persistence(factors: DataFrame, candidates: DataFrame, share: float =
     score = sum((policy.FACTOR_WEIGHTS[f] * parts[f] for f in policy.FACTOR_WEIGHTS), F.lit(0.0))
     composite = F.when(publish & (F.col("total_coverage") >= policy.TOTAL_FLOOR - 1e-9), score)
     hold = F.when(~F.col("allowed"), "EXISTING_COMPANY_HOLD").when(~F.col("passed"), "PERSISTENCE_HISTORY_INCOMPLETE").when(composite.isNull(), "TOTAL_COVERAGE_BELOW_70_PERCENT")
-    return rows.select(*keys, "scenario", "f4_score", "f4_coverage", "total_coverage", composite.alias("composite"), hold.alias("hold_reason"))
+    return rows.select(*keys, *keep, "scenario", "f4_score", "f4_coverage", "total_coverage", composite.alias("composite"), hold.alias("hold_reason"))
 
 
 def confidence(evidence: DataFrame) -> DataFrame:

@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 #: Knowledge cutoff used where a query needs one model date.
 MODEL_DATE = "2001-06-30"
+#: Concepts that every quarter of ``quarter_rows`` reports.
+REPORTED = ("revenue", "operating_income", "cash_from_operations", "capital_expenditures")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def quarter_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long panel: issuer, concept, q_start, q_end, fiscal_quarter, value (DECIMAL(28,4)), one row a cell.
+def quarter_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide panel: issuer, q_start, q_end, fiscal_quarter and a column for each concept (DECIMAL(28,4)), one row a quarter.
 
     Amounts are cast to exact decimals at the scan. Operating income is what is left of six per cent
     of the price after the discount, so it is negative now and then.
@@ -34,9 +36,13 @@ def quarter_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum(F.col("price") * F.col("tax")).cast("decimal(28,4)").alias("cash_from_operations"),
         F.sum(F.col("quantity") * ten).cast("decimal(28,4)").alias("capital_expenditures"),
     )
-    values = ["revenue", "operating_income", "cash_from_operations", "capital_expenditures"]
-    long = wide.unpivot(["issuer", "q_start"], values, "concept", "value")
-    return long.select("issuer", "concept", "q_start", F.last_day(F.add_months("q_start", 2)).alias("q_end"), F.quarter("q_start").alias("fiscal_quarter"), "value")
+    return wide.select("issuer", "q_start", F.last_day(F.add_months("q_start", 2)).alias("q_end"), F.quarter("q_start").alias("fiscal_quarter"), *REPORTED)
+
+
+def quarter_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long panel: issuer, concept, q_start, q_end, fiscal_quarter, value (DECIMAL(28,4)), one row a cell."""
+    long = quarter_rows(spark, sf_dir).unpivot(["issuer", "q_start", "q_end", "fiscal_quarter"], list(REPORTED), "concept", "value")
+    return long.select("issuer", "concept", "q_start", "q_end", "fiscal_quarter", "value")
 
 
 def customer_cells(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,6 +30,10 @@ def big(column, name: str | None = None):
     return dec(column, name, "long")
 
 
+#: Days since a supplier's evidence of a quarter.
+AGE = (80 + (F.col("issuer") * 13 + F.month("q_end") * 7) % 120).cast("int")
+
+
 class Method:
     """The tables of one run, each built when first asked for and settled once a session (see ``settle.once``)."""
 
@@ -44,24 +48,24 @@ class Method:
         return self._once("cells", lambda: bridge.quarter_cells(self.spark, self.sf_dir))
 
     @property
-    def observed(self) -> DataFrame:
-        return self._once("observed", lambda: stages.with_free_cash_flow(self.cells))
+    def signals(self) -> DataFrame:
+        """All inputs of a supplier and quarter in one row; ``inputs``, ``classes``, gates and holds follow from it row by row and are not kept."""
+        return self._once("signals", lambda: stages.quarter_signals(bridge.quarter_rows(self.spark, self.sf_dir)))
 
     @property
     def inputs(self) -> DataFrame:
         """Factor inputs; a supplier's filing lag stands for the age of its evidence."""
-        age = (80 + (F.col("issuer") * 13 + F.month("q_end") * 7) % 120).cast("int")
-        return self._once("inputs", lambda: stages.factor_inputs(self.cells, self.observed).withColumn("age_days", age))
+        return stages.factor_inputs(self.signals).withColumn("age_days", AGE)
 
     @property
     def classes(self) -> DataFrame:
-        return self._once("classes", lambda: stages.family_classes(self.inputs))
+        return stages.family_classes(self.signals)
 
     def gates(self) -> DataFrame:
-        return self._once("gates", lambda: stages.company_gates(self.inputs, self.classes, policy.factor_components(self.spark)))
+        return stages.company_gates(self.classes, AGE)
 
     def approved(self) -> DataFrame:
-        return self._once("approved", lambda: stages.approved(self.gates()))
+        return stages.approved(self.gates())
 
     def normalized(self, scenarios: str = "true", keep: bool = False) -> DataFrame:
         """``stages.normalize``; settled with ``keep``, for what reads it more than once."""
@@ -69,15 +73,19 @@ class Method:
         build = lambda: stages.normalize(self.inputs, chosen, policy.metric_transformations(self.spark), self.approved())
         return self._once(f"normalized where {scenarios}", build) if keep else build()
 
+    def percentiles(self) -> DataFrame:
+        """The baseline of ``normalized`` for what needs no robust scores."""
+        chosen = policy.normalization_scenarios(self.spark).where("scenario = 'BASELINE'")
+        return stages.baseline_percentiles(self.inputs, chosen, policy.metric_transformations(self.spark), self.approved())
+
     def factors(self, scenarios: str = "true") -> DataFrame:
         chosen = policy.score_scenarios(self.spark).where(scenarios)
-        return self._once(f"factors where {scenarios}", lambda: stages.factor_scores(self.normalized("scenario = 'BASELINE'"), self.classes, self.approved(), policy.factor_components(self.spark), chosen))
+        normalized = self.normalized("scenario = 'BASELINE'") if any(field == "robust" for _, field, _ in chosen.collect()) else self.percentiles()
+        return stages.factor_scores(normalized, self.classes, self.approved(), chosen)
 
     def persistence(self) -> DataFrame:
-        band = F.when(F.col("concept") == "revenue", 0.01).when(F.col("concept") == "operating_income", 0.02).otherwise(0.03)
-        score = S.persistence_score(F.col("history"), band, policy.RECENCY_WEIGHTS)
-        four = ("revenue", "operating_income", "cash_from_operations", "free_cash_flow")
-        return self.observed.groupBy(*stages.KEYS).agg(*[F.max(F.when(F.col("concept") == c, score)).alias(c) for c in four])
+        bands = {"revenue": 0.01, "operating_income": 0.02, "cash_from_operations": 0.03, "free_cash_flow": 0.03}
+        return self.signals.select(*stages.KEYS, *[S.persistence_score(F.col(f"history_{c}"), band, policy.RECENCY_WEIGHTS).alias(c) for c, band in bands.items()])
 
     def composites(self) -> DataFrame:
         return self._once("composites", lambda: stages.composites(self.factors("scenario = 'BASELINE'"), self.persistence(), policy.persistence_scenarios(self.spark)))
@@ -87,9 +95,8 @@ class Method:
 
     def _pilot(self) -> DataFrame:
         one = self.composites().where("scenario = 'EQUAL_FAMILIES_40_60'")
-        age = (80 + (F.col("issuer") * 13 + F.month("q_end") * 7) % 120).cast("int")
         vintage = F.when(F.col("issuer") % 17 == 0, "FUTURE_FILING").otherwise("PASS_KNOWABLE_AT_MODEL_DATE")
-        evidence = self.classes.select(*stages.KEYS, age.alias("age_days"), vintage.alias("vintage"), ((F.month("q_end") == 12) & (F.col("issuer") % 3 == 0)).alias("derived_q4"), (age > policy.STALE_DAYS).alias("stale"))
+        evidence = self.classes.select(*stages.KEYS, AGE.alias("age_days"), vintage.alias("vintage"), ((F.month("q_end") == 12) & (F.col("issuer") % 3 == 0)).alias("derived_q4"), (AGE > policy.STALE_DAYS).alias("stale"))
         evidence = evidence.join(one.select(*stages.KEYS, F.col("total_coverage").alias("coverage")), list(stages.KEYS), "left")
         excluded = table(self.spark, self.sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("issuer"), F.lit("NEGATIVE_BALANCE").alias("reason"))
         line = table(self.spark, self.sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity >= 50")
