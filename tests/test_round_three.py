@@ -5,8 +5,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from vintara import history_queries, matrix_queries, oracle, queries, stage_oracle
-from vintara.operators import closure, peers
-from vintara.plans import settle
+from vintara.operators import closure, peers, scoring, timeseries
+from vintara.plans import bridge, policy, settle, stages
 from vintara.sources import landing
 from vintara.streaming import vintages
 
@@ -115,3 +115,53 @@ def test_elements_leave_the_parser_in_bounded_batches():
     rows = [r for b in out for r in b.to_pylist()]
     assert [(r["doc"], r["position"]) for r in rows] == [(d, p) for d in range(999) for p in range(100)]
     assert {(r["tag"], tuple(r["attributes"]), r["text"]) for r in rows} == {("html", (), ""), ("body", (), ""), ("p", (("a", "b"),), "x")}
+
+
+def test_quarter_signals_are_those_of_the_long_panel(spark):
+    """Holes, missing values, nonpositive bases: one ordering by issuer gives what a window for each concept gave."""
+    data = [(i, 4 * (1990 + q // 4) + q % 4, None if (i * 7 + q) % 11 == 0 else 100.0 + (i * 31 + q * 17) % 50, -20.0 + (i * 13 + q * 29) % 50, None if (i + q) % 13 == 5 else 5.0 + (i * q) % 7, 1.0 + (i + 3 * q) % 9) for i in range(1, 9) for q in range(24) if (i + q) % 10]
+    start = "make_date(cast(n / 4 as int), cast(1 + n % 4 * 3 as int), 1)"
+    names = ("revenue", "operating_income", "cash_from_operations", "capital_expenditures")
+    rows = spark.createDataFrame(data, "issuer long, n int, revenue double, operating_income double, cash_from_operations double, capital_expenditures double")
+    rows = rows.selectExpr("issuer", f"{start} as q_start", f"last_day(add_months({start}, 2)) as q_end", f"quarter({start}) as fiscal_quarter", *[f"cast({c} as decimal(28,4)) as {c}" for c in names])
+    cells = rows.unpivot(["issuer", "q_start", "q_end", "fiscal_quarter"], list(names), "concept", "value")
+    observed, cash = timeseries.observations(cells), timeseries.free_cash_flow(cells)
+    short = F.create_map(*[F.lit(x) for pair in stages.SHORT.items() for x in pair])[F.col("concept")]
+    want = []
+    for kind in ("q_yoy", "ttm_yoy", "q_yoy_acceleration", "ttm_yoy_acceleration"):
+        want += observed.select("q_end", "issuer", F.concat_ws("_", short, F.lit(kind)), F.round(F.coalesce(kind, F.col(f"{kind}_change").cast("double")), 6).alias("value"), f"{kind}_method").where("value is not null").collect()
+    for name, top in (("operating", "operating_income"), ("fcf", "free_cash_flow")):
+        for field, told in (("yoy_pp", "MARGIN_YOY_PP"), ("acceleration_pp", "MARGIN_YOY_PP_DELTA")):
+            want += timeseries.margins(cash, top).select("q_end", "issuer", F.lit(f"{name}_margin_{field}"), F.round(field, 6).alias("value"), F.lit(told)).where("value is not null").collect()
+    want += timeseries.leverage_spread(observed).select("q_end", "issuer", F.lit("operating_leverage_spread"), F.round("spread", 6), F.lit("YOY_RATE_SPREAD")).collect()
+    signals = stages.quarter_signals(rows)
+    got = stages.factor_inputs(signals).collect()
+    assert len(got) > 500 and plain(got) == plain(want)
+    for c in stages.SHORT:
+        assert plain(signals.where(f"history_{c} is not null").select("issuer", "q_end", f"history_{c}").collect()) == plain(observed.where(f"concept = '{c}' and history is not null").select("issuer", "q_end", "history").collect())
+
+
+def test_hundredths_are_the_decimal_casts(spark):
+    values = [0.05, 1.005, 2.675, -0.125, 1.115, 1e9 + 0.015, 0.1 + 0.2, 99999.995, -7.5, None, 0.0, 123456.78]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select(bridge.hundredths("v", 12).alias("a"), (F.col("v").cast("decimal(12,2)") * 100).cast("long").alias("b")).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got]
+    big = spark.range(5).select(*bridge.split_sum(F.lit(9 * 10**18) - F.col("id"), "x")).select(bridge.joined_sum("x").alias("x")).first()["x"]
+    assert big * 10**4 == 45 * 10**18 - 10
+
+
+def test_scores_of_a_row_are_those_of_the_long_form(spark):
+    names = [n for n, _ in policy.TRANSFORMATIONS]
+    data = [(k, n, float((k * 37 + j * 11) % 100)) for k in range(60) for j, n in enumerate(names) if (k * 7 + j * 5) % (2 + k % 5)]
+    long = spark.createDataFrame(data, "issuer long, input_id string, score double")
+    columns = ("factor_score", "original_coverage", "applied_coverage")
+    show = lambda rows: plain(rows.select("issuer", "factor", *[F.round(c, 9) for c in columns], "families", "floor_met").collect())
+    wide = long.groupBy("issuer").agg(*[F.max(F.when(F.col("input_id") == n, F.col("score"))).alias(n) for n in names])
+    each = [F.struct(F.lit(f).alias("factor"), *[s[c].alias(c) for c in (*columns, "families", "floor_met")]) for f, s in scoring.scores_of_row({n: F.col(n) for n in names}).items()]
+    assert show(wide.select("issuer", F.inline(F.array(*each)))) == show(scoring.weighted_scores(long, policy.factor_components(spark)))
+
+
+def test_the_method_keeps_one_panel(spark):
+    for name, kept in (("governed_inputs", 1), ("rank_stability", 1), ("weighted_factor_scores", 1), ("peer_level_ranks", 1), ("research_pilot", 3)):
+        settle.forget()
+        queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert len(settle._kept) == kept, name

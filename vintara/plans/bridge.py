@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Knowledge cutoff used where a query needs one model date.
@@ -15,6 +15,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def hundredths(column: str, digits: int) -> Column:
+    """``cast(column as decimal(digits, 2))`` in hundredths, as a long.
+
+    A double that is the nearest one to a whole number of hundredths is that number; only others take the slow way through decimal digits.
+    """
+    c = F.col(column).cast("double")
+    near = F.rint(c * 100.0)
+    exact = (near / 100.0 == c) & (F.abs(c) < 10.0 ** (digits - 2)) & (F.abs(c) < 1e12)
+    return F.when(exact, near.cast("long")).otherwise((c.cast(f"decimal({digits},2)") * 100).cast("long"))
+
+
+def split_sum(amount: Column, name: str) -> list[Column]:
+    """The sum of a long column in two parts, which no number of rows makes overflow; ``joined_sum`` puts them together."""
+    return [F.sum(F.shiftright(amount, 30)).alias(f"_{name}_high"), F.sum(amount.bitwiseAND(F.lit((1 << 30) - 1))).alias(f"_{name}_low")]
+
+
+def joined_sum(name: str, places: int = 4) -> Column:
+    """The sum of ``split_sum`` as a decimal with ``places`` places."""
+    high, low = (F.col(f"_{name}_{part}").cast("decimal(20,0)") for part in ("high", "low"))
+    unit = F.lit("0." + "0" * (places - 1) + "1").cast(f"decimal({places},{places})")
+    return (high * F.lit(1 << 30).cast("decimal(10,0)") + low).cast("decimal(30,0)") * unit
+
+
 def quarter_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide panel: issuer, q_start, q_end, fiscal_quarter and a column for each concept (DECIMAL(28,4)), one row a quarter.
 
@@ -24,18 +47,17 @@ def quarter_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("issuer"),
         F.trunc("l_shipdate", "quarter").alias("q_start"),
-        F.col("l_extendedprice").cast("decimal(12,2)").alias("price"),
-        F.col("l_discount").cast("decimal(4,2)").alias("discount"),
-        F.col("l_tax").cast("decimal(4,2)").alias("tax"),
-        F.col("l_quantity").cast("decimal(12,2)").alias("quantity"),
-    )
-    one, margin, ten = (F.lit(x).cast(t) for x, t in (("1.00", "decimal(4,2)"), ("0.06", "decimal(4,2)"), ("10", "decimal(4,0)")))
-    wide = line.groupBy("issuer", "q_start").agg(
-        F.sum(F.col("price") * (one - F.col("discount"))).cast("decimal(28,4)").alias("revenue"),
-        F.sum(F.col("price") * (margin - F.col("discount"))).cast("decimal(28,4)").alias("operating_income"),
-        F.sum(F.col("price") * F.col("tax")).cast("decimal(28,4)").alias("cash_from_operations"),
-        F.sum(F.col("quantity") * ten).cast("decimal(28,4)").alias("capital_expenditures"),
+        hundredths("l_extendedprice", 12).alias("price"),
+        hundredths("l_discount", 4).alias("discount"),
+        hundredths("l_tax", 4).alias("tax"),
+        hundredths("l_quantity", 12).alias("quantity"),
     )
+    amounts = {
+        "revenue": F.col("price") * (100 - F.col("discount")), "operating_income": F.col("price") * (6 - F.col("discount")),
+        "cash_from_operations": F.col("price") * F.col("tax"), "capital_expenditures": F.col("quantity") * 1000,
+    }
+    wide = line.groupBy("issuer", "q_start").agg(*[part for name, amount in amounts.items() for part in split_sum(amount, name)])
+    wide = wide.select("issuer", "q_start", *[joined_sum(name).cast("decimal(28,4)").alias(name) for name in amounts])
     return wide.select("issuer", "q_start", F.last_day(F.add_months("q_start", 2)).alias("q_end"), F.quarter("q_start").alias("fiscal_quarter"), *REPORTED)
 
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vintara.functions import scalars as S
-from vintara.operators import scoring
+from vintara.operators import peers, scoring
 from vintara.plans import bridge, policy, stages
 from vintara.plans.bridge import table
 from vintara.plans.settle import once
@@ -30,8 +30,9 @@ def big(column, name: str | None = None):
     return dec(column, name, "long")
 
 
-#: Days since a supplier's evidence of a quarter.
-AGE = (80 + (F.col("issuer") * 13 + F.month("q_end") * 7) % 120).cast("int")
+def evidence_age() -> Column:
+    """Days since a supplier's evidence of a quarter."""
+    return (80 + (F.col("issuer") * 13 + F.month("q_end") * 7) % 120).cast("int")
 
 
 class Method:
@@ -55,28 +56,37 @@ class Method:
     @property
     def inputs(self) -> DataFrame:
         """Factor inputs; a supplier's filing lag stands for the age of its evidence."""
-        return stages.factor_inputs(self.signals).withColumn("age_days", AGE)
+        return stages.factor_inputs(self.signals).withColumn("age_days", evidence_age())
+
+    @property
+    def usable(self) -> DataFrame:
+        """Those of ``inputs`` that have their required transformation."""
+        return stages.usable_inputs(self.signals).withColumn("age_days", evidence_age())
+
+    def small(self) -> bool | None:
+        """True where no date has more companies than one task sorts, so that no group of peers has; else it is not known."""
+        return peers.fits(self.signals, ("q_end",)) or None
 
     @property
     def classes(self) -> DataFrame:
         return stages.family_classes(self.signals)
 
     def gates(self) -> DataFrame:
-        return stages.company_gates(self.classes, AGE)
+        return stages.company_gates(self.classes, evidence_age())
 
     def approved(self) -> DataFrame:
-        return stages.approved(self.gates())
+        return stages.approved(self.classes, evidence_age())
 
     def normalized(self, scenarios: str = "true", keep: bool = False) -> DataFrame:
         """``stages.normalize``; settled with ``keep``, for what reads it more than once."""
         chosen = policy.normalization_scenarios(self.spark).where(scenarios)
-        build = lambda: stages.normalize(self.inputs, chosen, policy.metric_transformations(self.spark), self.approved())
+        build = lambda: stages.normalize(self.usable, chosen, self.approved(), self.small())
         return self._once(f"normalized where {scenarios}", build) if keep else build()
 
     def percentiles(self) -> DataFrame:
         """The baseline of ``normalized`` for what needs no robust scores."""
         chosen = policy.normalization_scenarios(self.spark).where("scenario = 'BASELINE'")
-        return stages.baseline_percentiles(self.inputs, chosen, policy.metric_transformations(self.spark), self.approved())
+        return stages.baseline_percentiles(self.usable, chosen, self.approved(), self.small())
 
     def factors(self, scenarios: str = "true") -> DataFrame:
         chosen = policy.score_scenarios(self.spark).where(scenarios)
@@ -96,7 +106,7 @@ class Method:
     def _pilot(self) -> DataFrame:
         one = self.composites().where("scenario = 'EQUAL_FAMILIES_40_60'")
         vintage = F.when(F.col("issuer") % 17 == 0, "FUTURE_FILING").otherwise("PASS_KNOWABLE_AT_MODEL_DATE")
-        evidence = self.classes.select(*stages.KEYS, AGE.alias("age_days"), vintage.alias("vintage"), ((F.month("q_end") == 12) & (F.col("issuer") % 3 == 0)).alias("derived_q4"), (AGE > policy.STALE_DAYS).alias("stale"))
+        evidence = self.classes.select(*stages.KEYS, evidence_age().alias("age_days"), vintage.alias("vintage"), ((F.month("q_end") == 12) & (F.col("issuer") % 3 == 0)).alias("derived_q4"), (evidence_age() > policy.STALE_DAYS).alias("stale"))
         evidence = evidence.join(one.select(*stages.KEYS, F.col("total_coverage").alias("coverage")), list(stages.KEYS), "left")
         excluded = table(self.spark, self.sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("issuer"), F.lit("NEGATIVE_BALANCE").alias("reason"))
         line = table(self.spark, self.sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity >= 50")
