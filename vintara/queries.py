@@ -421,14 +421,18 @@ def score_bands(spark, sf_dir):
 
 def scored(spark, sf_dir) -> DataFrame:
     """(q_end, issuer, input_id, score): percentiles of each quarter for the inputs that the panel has."""
-    rows = stage_queries.Method(spark, sf_dir).inputs.join(F.broadcast(policy.metric_transformations(spark)), "input_id").where("transformation = required")
-    return once(spark, ("scored", sf_dir), lambda: peers.midrank_percentiles(rows, ("q_end", "input_id"), "value").select("q_end", "issuer", "input_id", F.col("percentile").alias("score")))
+    m = stage_queries.Method(spark, sf_dir)
+    place = F.col("before") + (F.col("ties") + 1) / 2.0
+    return peers.rank_rows(m.usable, ("q_end", "input_id"), "value", m.small()).select("q_end", "issuer", "input_id", (100.0 * (place - 0.5) / F.col("peers")).alias("score"))
 
 
 @query
 def weighted_factor_scores(spark, sf_dir):
     """Factor scores of each supplier and quarter with their coverage, before any floor or hold."""
-    out = scoring.weighted_scores(scored(spark, sf_dir), policy.factor_components(spark), stages.KEYS)
+    names = [n for n, _ in policy.TRANSFORMATIONS]
+    wide = scored(spark, sf_dir).repartition(*stages.KEYS).groupBy(*stages.KEYS).agg(*[F.max(F.when(F.col("input_id") == n, F.col("score"))).alias(n) for n in names])
+    each = [F.struct(F.lit(factor).alias("factor"), *[told[c].alias(c) for c in ("factor_score", "original_coverage", "applied_coverage", "families")]) for factor, told in scoring.scores_of_row({n: F.col(n) for n in names}).items()]
+    out = wide.select(*stages.KEYS, F.inline(F.array(*each)))
     return out.select("q_end", "issuer", "factor", dec("factor_score"), dec("original_coverage"), dec("applied_coverage"), F.array_join("families", "|").alias("families"))
 
 
