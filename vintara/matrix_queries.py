@@ -18,12 +18,12 @@ from vintara.stage_queries import Method, big, dec
 LEVELS = (("NATION", "nation", 4), ("REGION", "region", 10), ("ALL", "everyone", 20))
 
 
-def _by_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _by_level(spark: SparkSession, sf_dir: str, keep: bool = False) -> DataFrame:
     m = Method(spark, sf_dir)
     nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").alias("region"))
     home = table(spark, sf_dir, "supplier").join(nations, "s_nationkey").select(F.col("s_suppkey").alias("issuer"), F.col("s_nationkey").alias("nation"), "region", F.lit("all").alias("everyone"))
-    usable = m.inputs.join(F.broadcast(policy.metric_transformations(spark)), "input_id").where("transformation = required").select(*stages.KEYS, "input_id", "value")
-    return m._once("levels", lambda: peers.ranks_by_level(usable.join(home, "issuer"), "value", LEVELS, stages.KEYS, ("q_end", "input_id")))
+    build = lambda: peers.ranks_by_level(m.usable.drop("age_days").join(home, "issuer"), "value", LEVELS, stages.KEYS, ("q_end", "input_id"), m.small())
+    return m._once("levels", build) if keep else build()
 
 
 _PLACED = """lv AS (SELECT f.q_end, f.issuer, f.input_id, f.value, place, level, key, least FROM fit f JOIN supplier ON s_suppkey = f.issuer JOIN nation ON n_nationkey = s_nationkey,
@@ -59,7 +59,7 @@ def sensitivity_all(spark, sf_dir):
     """Eleven dimensions of the sensitivity matrix, a row for each alternative and quarter: who passes, enters and drops out against the primary rule."""
     m = Method(spark, sf_dir)
     shown = m.normalized("scenario = 'BASELINE'", keep=True).where("normalization_status = 'PASS'").select("q_end", "input_id", "percentile", F.round("robust", 6).alias("robust"))
-    usable = m.inputs.join(F.broadcast(policy.metric_transformations(spark)), "input_id").where("transformation = required")
+    usable = m.usable
     weight = F.create_map(*[F.lit(x) for pair in policy.FACTOR_WEIGHTS.items() for x in pair])[F.col("factor")]
     total = m.gates().groupBy(*stages.KEYS).agg(F.round(F.sum(weight * F.col("coverage")), 9).alias("value"))
     both = usable.where("age_days <= 180 and input_id in ('revenue_q_yoy', 'operating_income_q_yoy')").groupBy(*stages.KEYS).agg(F.count(F.lit(1)).alias("n")).where("n = 2")
@@ -67,7 +67,7 @@ def sensitivity_all(spark, sf_dir):
     count = lambda name: F.size(F.filter(four, lambda c: c == name))
     broad = m.classes.select("q_end", (4 - count("INELIGIBLE")).alias("n"), (count("SUPPORTIVE") + 0.5 * count("NEUTRAL")).alias("s"), count("CONFLICTED").alias("c")).where("n >= 3")
     needed = F.when(F.col("c") > 0, (0.5 * F.col("n") - F.col("s")) / F.col("c")).when(F.col("s") >= 0.5 * F.col("n"), -1.0).otherwise(99.0)
-    levels = _by_level(spark, sf_dir)
+    levels = _by_level(spark, sf_dir, keep=True)
     room = levels.groupBy(*stages.KEYS, "input_id").agg(F.max(F.col("level_peers") / F.col("least")).alias("value"))
     off = F.abs(F.col("percentile") - 50)
     parts = {

@@ -158,15 +158,19 @@ def narrowest_peer_group(rows: DataFrame, value: str, levels: tuple[tuple[str, s
     return counted.withColumn("_g", F.coalesce(*enough)).select(*rows.columns, F.col("_g.level").alias("level"), F.col("_g.key").alias("level_key"), F.col("_g.peers").alias("level_peers"))
 
 
-def ranks_by_level(rows: DataFrame, value: str, levels: tuple[tuple[str, str, int], ...], keys: tuple[str, ...], metric: tuple[str, ...] = ("input_id",)) -> DataFrame:
+def ranks_by_level(rows: DataFrame, value: str, levels: tuple[tuple[str, str, int], ...], keys: tuple[str, ...], metric: tuple[str, ...] = ("input_id",), small: bool | None = None) -> DataFrame:
     """Every row with its percentile in each level's group, as rows: ``rows``' columns, place, level, level_key, least, level_peers and percentile.
 
     ``levels`` is as in ``narrowest_peer_group``. All levels are ranked by one ``distribution``, whose groups are
     (metric, level, key); the widest level may be one group of everything and is still not ranked in one task when it is large.
+    With ``small`` it is known that every group ``fits`` and no value is null: one exchange then ranks all, and nothing is written.
     """
     each = F.array(*[F.struct(F.lit(k).alias("place"), F.lit(level).alias("level"), F.col(key).cast("string").alias("level_key"), F.lit(least).alias("least")) for k, (level, key, least) in enumerate(levels)])
-    long = settle(rows.select("*", F.inline(each)).where(F.col("level_key").isNotNull()))
-    group = (*metric, "level", "level_key")
+    long, group = rows.select("*", F.inline(each)).where(F.col("level_key").isNotNull()), (*metric, "level", "level_key")
+    if small:
+        place = F.col("before") + (F.col("ties") + 1) / 2.0
+        return rank_rows(long, group, value, True).withColumn("percentile", 100.0 * (place - 0.5) / F.col("peers")).withColumnRenamed("peers", "level_peers").drop("before", "ties")
+    long = settle(long)
     return midrank_percentiles(long, group, value).withColumnRenamed("peers", "level_peers").drop("ties", "midrank")
 
 
