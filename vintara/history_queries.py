@@ -203,22 +203,20 @@ def lineage_closure(spark, sf_dir):
 
 def _open_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is open of each supplier's lines: added on the earlier of a line's order and shipping day, taken away on the later."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("issuer"), F.to_date("l_shipdate").alias("shipped"), F.col("l_extendedprice").cast("decimal(12,2)").alias("price"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("issuer"), F.to_date("l_shipdate").alias("shipped"), bridge.hundredths("l_extendedprice", 12).alias("amount"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.to_date("o_orderdate").alias("ordered"))
-    changes = F.array(F.struct(F.least("ordered", "shipped").alias("day"), F.col("price").cast("decimal(13,2)").alias("amount")), F.struct(F.greatest("ordered", "shipped").alias("day"), (-F.col("price")).cast("decimal(13,2)").alias("amount")))
-    deltas = lines.join(orders, "l_orderkey").select("issuer", F.inline(changes))
-    return balances.averaged(balances.balances(deltas, ("issuer",)), ("issuer",))
+    spells = lines.join(orders, "l_orderkey").select("issuer", F.least("ordered", "shipped").alias("since"), F.greatest("ordered", "shipped").alias("until"), "amount")
+    return balances.averaged(balances.spell_balances(spells, ("issuer",)), ("issuer",))
 
 
-def _trailing(cells: DataFrame) -> DataFrame:
-    return timeseries.trailing(timeseries.mark_runs(cells))
+def _flows(rows: DataFrame) -> DataFrame:
+    """issuer, q_end and the trailing revenue and operating income, where both are whole."""
+    told = ("revenue", "operating_income")
+    return rows.where(" and ".join(f"ttm_{c} is not null" for c in told)).select("issuer", "q_end", *[F.col(f"ttm_{c}").alias(c) for c in told])
 
 
 def _trailing_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """issuer, q_end and the trailing revenue and operating income, where both are whole."""
-    of = lambda c: F.max(F.when(F.col("concept") == c, F.col("ttm")))
-    wide = _trailing(bridge.quarter_cells(spark, sf_dir).where("concept in ('revenue', 'operating_income')")).groupBy("issuer", "q_end").agg(of("revenue").alias("revenue"), of("operating_income").alias("operating_income"))
-    return wide.where("revenue is not null and operating_income is not null")
+    return _flows(timeseries.trailing_of_rows(bridge.quarter_rows(spark, sf_dir), ("revenue", "operating_income")))
 
 
 _OPEN = """l AS (SELECT l_suppkey AS issuer, CAST(o_orderdate AS DATE) AS o, CAST(l_shipdate AS DATE) AS s, CAST(l_extendedprice AS DECIMAL(12,2)) AS p FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
@@ -249,19 +247,19 @@ _HEADS = f"""{_FLOWS}, told AS (SELECT l_suppkey AS issuer, CAST(l_shipdate AS D
         a.heads::DOUBLE / b.heads - 1 AS heads_yoy, CASE WHEN b.r > 0 THEN a.r / b.r - 1 END - (a.heads::DOUBLE / b.heads - 1) AS growth_spread FROM headed a LEFT JOIN (SELECT issuer, lead(q_end, 4) OVER (PARTITION BY issuer ORDER BY q_end) AS q_next, q_end AS q_was, r, o, heads FROM headed) b ON a.issuer = b.issuer AND a.q_end = b.q_next AND a.q_end = last_day(b.q_was + INTERVAL 12 MONTH))"""
 
 
-def _per_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _per_head(spark: SparkSession, sf_dir: str, flows: DataFrame) -> DataFrame:
     """Suppliers' figures per head; a line with the highest discount and tax discloses a head count, which is approximate where it is a multiple of fifty."""
     lines = table(spark, sf_dir, "lineitem").where((F.round("l_discount", 2) == 0.1) & (F.round("l_tax", 2) == 0.08))
     heads = (F.col("l_quantity") * 10).cast("int")
     told = lines.select(F.col("l_suppkey").alias("issuer"), F.to_date("l_shipdate").alias("counted_on"), heads.alias("heads"), (heads % 50 == 0).alias("approximate"))
-    return productivity.per_head(productivity.carried_counts(_trailing_wide(spark, sf_dir), told))
+    return productivity.per_head(productivity.carried_counts(flows, told))
 
 
 @query(f"""{_PANEL}, {_HEADS} SELECT issuer, q_end, heads, head_age, CASE WHEN head_weight = 0 THEN 'NO_EMPLOYEE_SIGNAL' WHEN head_age <= 120 THEN 'OBSERVED_EMPLOYEE' ELSE 'CARRIED_EMPLOYEE' END AS employee_class, CAST(head_weight AS DECIMAL(9,4)) AS head_weight,
     {_d('revenue_per_head')}, {_d('operating_income_per_head')}, {_d('r_yoy', 'revenue_per_head_yoy')}, {_d('o_yoy', 'operating_income_per_head_yoy')}, {_d('heads_yoy')}, {_d('growth_spread')} FROM perhead""")
 def per_head_productivity(spark, sf_dir):
     """Trailing figures per head with irregular head counts carried to quarter ends; the count's weight falls with its age and its precision."""
-    out = _per_head(spark, sf_dir)
+    out = _per_head(spark, sf_dir, _trailing_wide(spark, sf_dir))
     return out.select("issuer", "q_end", "heads", "head_age", "employee_class", dec("head_weight", kind="decimal(9,4)"), dec("revenue_per_head"), dec("operating_income_per_head"), dec("revenue_per_head_yoy"), dec("operating_income_per_head_yoy"), dec("heads_yoy"), dec("growth_spread"))
 
 
@@ -274,29 +272,32 @@ _SIX = "[" + ", ".join(_WORTH.format(c=c) for c in ("growth", "profit", "cash",
     SELECT q_end, issuer, productivity, capital, len(list_filter({_SIX}, lambda x: x IS NOT NULL)) AS families, CASE WHEN len(list_filter({_SIX}, lambda x: x IS NOT NULL)) >= 3 THEN CAST(100.0 * list_sum({_SIX}) / len(list_filter({_SIX}, lambda x: x IS NOT NULL)) AS DECIMAL(18,9)) END AS breadth_score FROM six""")
 def six_family_breadth(spark, sf_dir):
     """Breadth over all six families: productivity from figures per head and capital from the change of turnover beside the other four."""
-    heads = _per_head(spark, sf_dir).select("q_end", "issuer", *[F.round(f"{f}_per_head_yoy", 6).alias(f"{f}_per_head_yoy") for f in ("revenue", "operating_income")])
-    turnover = balances.returns_on(_open_lines(spark, sf_dir), _trailing_wide(spark, sf_dir).withColumnRenamed("operating_income", "profit"), ("issuer",)).select("q_end", "issuer", F.round("turnover_change", 6).alias("turnover_change"))
-    classes = stages.six_families(Method(spark, sf_dir).classes, heads, turnover)
-    long = classes.unpivot(list(stages.KEYS), list(stages.FAMILIES), "family", "class")
-    score = scoring.breadth(long, 0.25, stages.KEYS)
-    return classes.select(*stages.KEYS, "productivity", "capital").join(score, list(stages.KEYS)).select(*stages.KEYS, "productivity", "capital", "families", dec("breadth_score"))
-
-
-def _module_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long values of every concept: trailing flows, and the average and beginning of what is open."""
-    line = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("issuer"), F.trunc("l_shipdate", "quarter").alias("q_start"), F.col("l_extendedprice").cast("decimal(12,2)").alias("price"), F.col("l_discount").cast("decimal(4,2)").alias("discount"), "l_returnflag")
-    more = line.groupBy("issuer", "q_start").agg(F.sum(F.when(F.col("l_returnflag") == "R", F.col("price")).otherwise(0)).cast("decimal(28,4)").alias("returned"), F.sum(F.col("price") * F.col("discount")).cast("decimal(28,4)").alias("rebates"))
+    method = Method(spark, sf_dir)
+    flows = _flows(method.signals)  # of the settled quarters, so that the lines are summed once
+    heads = _per_head(spark, sf_dir, flows).select("q_end", "issuer", *[F.round(f"{f}_per_head_yoy", 6).alias(f"{f}_per_head_yoy") for f in ("revenue", "operating_income")])
+    turnover = balances.returns_on(_open_lines(spark, sf_dir), flows.withColumnRenamed("operating_income", "profit"), ("issuer",)).select("q_end", "issuer", F.round("turnover_change", 6).alias("turnover_change"))
+    classes = stages.six_families(method.classes, heads, turnover)
+    score = scoring.breadth_of_row([F.col(f) for f in stages.FAMILIES])
+    return classes.select(*stages.KEYS, "productivity", "capital", score["families"].alias("families"), dec(score["breadth_score"], "breadth_score"))
+
+
+def _module_values(spark: SparkSession, sf_dir: str, members: DataFrame) -> DataFrame:
+    """Long values of every concept, with the module of ``members``: trailing flows, and the average and beginning of what is open."""
+    price = F.col("price") * 100
+    more = {"returned": F.when(F.col("flag") == "R", price).otherwise(0), "rebates": F.col("price") * F.col("discount")}
+    rows = bridge.quarter_rows(spark, sf_dir, more)
+    names = tuple(c for c in rows.columns if c not in ("issuer", "q_start", "q_end", "fiscal_quarter"))
     held = _open_lines(spark, sf_dir)
-    moved = held.select("issuer", F.trunc("q_end", "quarter").alias("q_start"), F.col("opened").cast("decimal(28,4)").alias("opened"), F.col("closed").cast("decimal(28,4)").alias("closed"))
+    moved = held.select("*", F.trunc("q_end", "quarter").alias("q_start"), F.quarter("q_end").alias("fiscal_quarter"))
 
-    def cells(wide: DataFrame, *names: str) -> DataFrame:
-        long = wide.unpivot(["issuer", "q_start"], list(names), "concept", "value")
-        return long.select("issuer", "concept", "q_start", F.last_day(F.add_months("q_start", 2)).alias("q_end"), F.quarter("q_start").alias("fiscal_quarter"), "value")
+    def values(wide: DataFrame, told: list[tuple[str, str, str]]) -> DataFrame:
+        """A row for each of ``told`` (concept, basis, column) that has a value; rows meet their module before they are opened."""
+        each = F.array(*[F.struct(F.lit(c).alias("concept"), F.lit(b).alias("basis"), F.col(x).cast("double").alias("value")) for c, b, x in told])
+        return wide.join(members, "issuer").select("issuer", "q_end", "module", F.inline(each)).where("value is not null")
 
-    flows = bridge.quarter_cells(spark, sf_dir).unionByName(cells(more, "returned", "rebates")).unionByName(cells(moved, "opened", "closed"))
-    trailing = _trailing(flows).select("issuer", "q_end", "concept", F.lit("ttm").alias("basis"), F.col("ttm").cast("double").alias("value"))
-    instants = held.select("issuer", "q_end", F.lit("open_lines").alias("concept"), F.inline(F.array(*[F.struct(F.lit(b).alias("basis"), F.col(b).cast("double").alias("value")) for b in ("average", "beginning")])))
-    return trailing.unionByName(instants)
+    flows = values(timeseries.trailing_of_rows(rows, names), [(c, "ttm", f"ttm_{c}") for c in names])
+    instants = [("open_lines", b, b) for b in ("average", "beginning")]
+    return flows.unionByName(values(timeseries.trailing_of_rows(moved, ("opened", "closed")), [*[(c, "ttm", f"ttm_{c}") for c in ("opened", "closed")], *instants]))
 
 
 _MODULE = "CASE r_regionkey WHEN 0 THEN 'OPERATING' WHEN 1 THEN 'BANK' WHEN 2 THEN 'INSURER' WHEN 3 THEN 'ASSET_MANAGER' WHEN 4 THEN 'REIT' END"
@@ -323,5 +324,5 @@ def metric_modules(spark, sf_dir):
     names = F.array(*[F.lit(m) for m in ("OPERATING", "BANK", "INSURER", "ASSET_MANAGER", "REIT")])
     places = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey")
     members = table(spark, sf_dir, "supplier").join(places, "s_nationkey").select(F.col("s_suppkey").alias("issuer"), F.try_element_at(names, F.col("n_regionkey") + 1).alias("module"))
-    out = modules.evaluate(_module_values(spark, sf_dir), members, modules.formulas(spark))
+    out = modules.evaluate(_module_values(spark, sf_dir, members), members, modules.formulas(spark))
     return out.select("issuer", "q_end", "module", "metric", "unit", dec(F.round("value", 6), "value"), dec(F.round("aligned", 6), "aligned"))

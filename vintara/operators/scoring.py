@@ -116,6 +116,14 @@ def breadth(classes: DataFrame, conflict: str | float = 0.25, keys: tuple[str, .
     return rows.select(*keys, "families", F.when(F.col("families") >= least, 100.0 * F.col("_s") / F.col("families")).alias("breadth_score"))
 
 
+def breadth_of_row(classes: list[Column], conflict: float = 0.25, least: int = 3) -> dict[str, Column]:
+    """families and breadth_score as in ``breadth``, of family classes that lie in one row."""
+    worth = lambda c: F.when(c == SUPPORTIVE, 1.0).when(c == NEUTRAL, 0.5).when(c == ADVERSE, 0.0).when(c == CONFLICTED, F.lit(conflict))
+    n = sum((worth(c).isNotNull().cast("long") for c in classes), F.lit(0).cast("long"))
+    points = sum((F.coalesce(worth(c), F.lit(0.0)) for c in classes), F.lit(0.0))
+    return {"families": n, "breadth_score": F.when(n >= least, F.try_divide(100.0 * points, n))}
+
+
 def persistence_candidates(scores: DataFrame, scenarios: DataFrame, keys: tuple[str, ...] = ("issuer",), keep: tuple[str, ...] = ()) -> DataFrame:
     """Each entity under each scenario: score and coverage of the persistence sleeve.
 

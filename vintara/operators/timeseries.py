@@ -36,6 +36,19 @@ def trailing(cells: DataFrame, keys: tuple[str, ...] = SERIES) -> DataFrame:
     return cells.withColumn("ttm", F.when(whole(4, keys), F.sum("value").over(w.rowsBetween(-3, 0)))).withColumn("prior_ttm", F.when(whole(8, keys), F.sum("value").over(w.rowsBetween(-7, -4))))
 
 
+def trailing_of_rows(rows: DataFrame, names: tuple[str, ...], keys: tuple[str, ...] = ("issuer",)) -> DataFrame:
+    """``rows`` (a row a quarter, a column a concept) with ttm_{name} for each of ``names``, as ``trailing`` gives it: one ordering for all concepts.
+
+    A missing value of a concept is a hole in that concept alone.
+    """
+    w = _w(keys)
+    follows = (F.col("q_start") == F.date_add(F.lag("q_end").over(w), 1)) & (F.col("fiscal_quarter") == F.lag("fiscal_quarter").over(w) % 4 + 1)
+    marked = rows.withColumn("_break", F.when(F.coalesce(follows, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("_break").over(w))
+    four = w.rowsBetween(-3, 0)
+    whole_year = whole(4, keys)
+    return marked.withColumns({f"ttm_{c}": F.when(whole_year & (F.count(c).over(four) == 4), F.sum(c).over(four)) for c in names}).drop("_break", "run")
+
+
 def year_over_year(cells: DataFrame, keys: tuple[str, ...] = SERIES) -> DataFrame:
     """Add q_yoy and ttm_yoy, each with its absolute change and its method (see ``safe_change``)."""
     w = _w(keys)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vintara.functions.scalars import joined_sum, split_sum
+
 #: Knowledge cutoff used where a query needs one model date.
 MODEL_DATE = "2001-06-30"
 #: Concepts that every quarter of ``quarter_rows`` reports.
@@ -26,21 +28,11 @@ def hundredths(column: str, digits: int) -> Column:
     return F.when(exact, near.cast("long")).otherwise((c.cast(f"decimal({digits},2)") * 100).cast("long"))
 
 
-def split_sum(amount: Column, name: str) -> list[Column]:
-    """The sum of a long column in two parts, which no number of rows makes overflow; ``joined_sum`` puts them together."""
-    return [F.sum(F.shiftright(amount, 30)).alias(f"_{name}_high"), F.sum(amount.bitwiseAND(F.lit((1 << 30) - 1))).alias(f"_{name}_low")]
-
-
-def joined_sum(name: str, places: int = 4) -> Column:
-    """The sum of ``split_sum`` as a decimal with ``places`` places."""
-    high, low = (F.col(f"_{name}_{part}").cast("decimal(20,0)") for part in ("high", "low"))
-    unit = F.lit("0." + "0" * (places - 1) + "1").cast(f"decimal({places},{places})")
-    return (high * F.lit(1 << 30).cast("decimal(10,0)") + low).cast("decimal(30,0)") * unit
-
-
-def quarter_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def quarter_rows(spark: SparkSession, sf_dir: str, more: dict[str, Column] | None = None) -> DataFrame:
     """Wide panel: issuer, q_start, q_end, fiscal_quarter and a column for each concept (DECIMAL(28,4)), one row a quarter.
 
+    ``more`` are further amounts, in ten thousandths, of the scan's columns price, discount, tax and quantity (longs, in hundredths) and flag.
+
     Amounts are cast to exact decimals at the scan. Operating income is what is left of six per cent
     of the price after the discount, so it is negative now and then.
     """
@@ -51,14 +43,15 @@ def quarter_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         hundredths("l_discount", 4).alias("discount"),
         hundredths("l_tax", 4).alias("tax"),
         hundredths("l_quantity", 12).alias("quantity"),
+        *([F.col("l_returnflag").alias("flag")] if more else []),
     )
     amounts = {
         "revenue": F.col("price") * (100 - F.col("discount")), "operating_income": F.col("price") * (6 - F.col("discount")),
         "cash_from_operations": F.col("price") * F.col("tax"), "capital_expenditures": F.col("quantity") * 1000,
-    }
+    } | (more or {})
     wide = line.groupBy("issuer", "q_start").agg(*[part for name, amount in amounts.items() for part in split_sum(amount, name)])
     wide = wide.select("issuer", "q_start", *[joined_sum(name).cast("decimal(28,4)").alias(name) for name in amounts])
-    return wide.select("issuer", "q_start", F.last_day(F.add_months("q_start", 2)).alias("q_end"), F.quarter("q_start").alias("fiscal_quarter"), *REPORTED)
+    return wide.select("issuer", "q_start", F.last_day(F.add_months("q_start", 2)).alias("q_end"), F.quarter("q_start").alias("fiscal_quarter"), *amounts)
 
 
 def quarter_cells(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,15 +55,17 @@ def formulas(spark: SparkSession) -> DataFrame:
 def evaluate(values: DataFrame, members: DataFrame, table: DataFrame, keys: tuple[str, ...] = ("issuer", "q_end"), entity: str = "issuer") -> DataFrame:
     """(keys, module, metric, unit, value, aligned) for every metric of the module that an entity belongs to.
 
-    ``values`` is long: keys, concept, basis, value, one row each. ``members`` gives each entity's module and
+    ``values`` is long: keys, concept, basis, value, one row each. ``members`` gives each entity's module, where ``values`` does not have it already, and
     ``table`` is like ``formulas``, a relation of fixed size, which is broadcast. One join and one
     aggregation work out all metrics. A metric with a missing term, or over a zero, has no row. aligned is the value with higher always
     better, null where that is conditional.
     """
-    placed = values.where("value is not null").join(members.select(entity, "module"), entity)
-    terms = placed.join(F.broadcast(table), ["module", "concept", "basis"])
+    placed = values.where("value is not null")
+    if "module" not in values.columns:
+        placed = placed.join(members.select(entity, "module"), entity)
+    terms = placed.join(F.broadcast(table.select("module", "metric", "side", "concept", "basis", "sign")), ["module", "concept", "basis"])
     side = lambda name: F.sum(F.when(F.col("side") == name, F.col("sign") * F.col("value").cast("double")))
-    one = lambda name: F.first(name).alias(name)
-    summed = terms.groupBy(*keys, "module", "metric").agg(side("upper").alias("_upper"), side("lower").alias("_lower"), F.count(F.lit(1)).alias("_found"), one("terms"), one("unit"), one("scale"), one("direction"))
+    summed = terms.groupBy(*keys, "module", "metric").agg(side("upper").alias("_upper"), side("lower").alias("_lower"), F.count(F.lit(1)).alias("_found"))
+    summed = summed.join(F.broadcast(table.select("module", "metric", "terms", "unit", "scale", "direction").distinct()), ["module", "metric"])
     whole = summed.where(F.col("_found") == F.col("terms")).withColumn("value", F.try_divide(F.col("_upper"), F.col("_lower")) * F.col("scale")).where("value is not null")
     return whole.select(*keys, "module", "metric", "unit", "value", F.when(F.col("direction") != 0, F.col("value") * F.col("direction")).alias("aligned"))
