@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vintara import history_queries
 from vintara.operators import balances, timeseries
-from vintara.plans import bridge, settle
+from vintara.plans import bridge, modules, settle
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,3 +45,9 @@ def test_trailing_sums_of_rows_are_those_of_cells(spark):
     want = timeseries.trailing(timeseries.mark_runs(cells)).where("ttm is not null").select("issuer", "q_end", "concept", "ttm").collect()
     got = timeseries.trailing_of_rows(rows, ("a", "b")).unpivot(["issuer", "q_end"], ["ttm_a", "ttm_b"], "concept", "ttm").where("ttm is not null").selectExpr("issuer", "q_end", "substr(concept, 5)", "ttm").collect()
     assert len(got) > 20 and plain(got) == plain(want)
+
+
+def test_metrics_of_values_that_know_their_module(spark):
+    values = spark.createDataFrame([(1, "2000-03-31", "OPERATING", "operating_income", "ttm", 5.0), (1, "2000-03-31", "OPERATING", "revenue", "ttm", 50.0)], "issuer long, q_end string, module string, concept string, basis string, value double")
+    got = modules.evaluate(values, None, modules.formulas(spark)).collect()
+    assert [(r["metric"], r["value"], r["unit"], r["aligned"]) for r in got] == [("OPERATING_MARGIN", 10.0, "pp", 10.0)]
