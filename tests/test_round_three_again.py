@@ -5,9 +5,10 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from vintara import history_queries
-from vintara.operators import balances, timeseries
+from vintara import history_queries, record_queries
+from vintara.operators import balances, closure, contexts, pit, timeseries
 from vintara.plans import bridge, modules, settle
+from vintara.sources import variant_facts
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,3 +52,20 @@ def test_metrics_of_values_that_know_their_module(spark):
     values = spark.createDataFrame([(1, "2000-03-31", "OPERATING", "operating_income", "ttm", 5.0), (1, "2000-03-31", "OPERATING", "revenue", "ttm", 50.0)], "issuer long, q_end string, module string, concept string, basis string, value double")
     got = modules.evaluate(values, None, modules.formulas(spark)).collect()
     assert [(r["metric"], r["value"], r["unit"], r["aligned"]) for r in got] == [("OPERATING_MARGIN", 10.0, "pp", 10.0)]
+
+
+def test_resolving_keeps_no_links_to_nodes_without_parents(spark, monkeypatch):
+    edges = [(f"q{q}", f"f{k}") for q in range(3) for k in range(q, 300)] * 2 + [("o", "q0"), ("o", "q1"), ("s", "o"), ("s", "q2"), ("s", "f0"), ("x", "y"), ("y", "x"), ("y", "f1"), ("z", "x"), ("l", "gone"), ("l", "q0")]
+    settled, settle_one = [], closure.settle
+
+    def counted(frame):
+        out = settle_one(frame)
+        settled.append(out.count())
+        return out
+
+    monkeypatch.setattr(closure, "settle", counted)
+    known = spark.createDataFrame([(f"f{k}", 1000 - k) for k in range(300)] + [("q2", 5000)], "node string, available int")
+    told = {r["node"]: (r["available"], r["status"], r["height"]) for r in closure.resolve(spark.createDataFrame(edges, "child string, parent string"), known).collect()}
+    want = {"q0": (1000, "RESOLVED", 1), "q1": (999, "RESOLVED", 1), "q2": (5000, "RESOLVED", 1), "o": (1000, "RESOLVED", 2), "s": (5000, "RESOLVED", 3), "x": (None, "CYCLE", None), "y": (None, "CYCLE", None), "z": (None, "CYCLE", None), "l": (None, "MISSING_PARENT", 2), "gone": (None, "MISSING_PARENT", 0)}
+    assert {n: told[n] for n in want} == want and len(told) == len(want) + 300 and told["f7"] == (993, "RESOLVED", 0)
+    assert max(settled) < 30

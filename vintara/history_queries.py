@@ -158,10 +158,9 @@ def stream_intake(spark, sf_dir):
 
 def _lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges (child, parent): a yearly signal rests on two observations, an observation on four quarters, a quarter on the filings that its lines cite."""
-    cited = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("issuer"), F.trunc("l_shipdate", "quarter").alias("q"), F.col("l_orderkey")).distinct()
-    cited = settle(cited)
+    cited = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("issuer"), F.trunc("l_shipdate", "quarter").alias("q"), F.col("l_orderkey"))
     name = lambda kind, day: F.concat_ws("|", F.lit(kind), F.col("issuer"), day)
-    quarters = cited.select("issuer", "q").distinct()
+    quarters = settle(cited.select("issuer", "q").distinct())
     observed = quarters.select("issuer", "q", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).select("issuer", "q", F.add_months("q", 3 * F.col("k")).alias("t"))
     signals = observed.select("issuer", "t").distinct().select("issuer", "t", F.explode(F.array(F.lit(0), F.lit(12))).alias("k")).select("issuer", "t", F.add_months("t", F.col("k")).alias("g"))
     return (

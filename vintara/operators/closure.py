@@ -55,14 +55,22 @@ def resolve(edges: DataFrame, known: DataFrame, *, child: str = "child", parent:
     settled parents are followed, so work is in proportion to edges whatever the number of results
     above them. What is never settled rests on a cycle (status CYCLE, no date). A node over a missing one is missing
     too. Nodes with parents and a date of their own take the later of the two. Repeated edges count once, null ends are left out.
+    Nodes without parents, mostly the greatest part, are met once and summed by child at once; no round moves their edges.
     """
-    links = settle(edges.select(F.col(child).alias("_c"), F.col(parent).alias("_p")).where("_c is not null and _p is not null").distinct())
+    pairs = edges.select(F.col(child).alias("_c"), F.col(parent).alias("_p")).where("_c is not null and _p is not null")
     own = known.where(F.col(node).isNotNull()).groupBy(F.col(node).alias("_n")).agg(F.max(at).alias("_own"))
-    need = links.groupBy(F.col("_c").alias("_n")).agg(F.count(F.lit(1)).alias("_need"))
-    ends = links.select(F.col("_p").alias("_n")).distinct().join(need, "_n", "left_anti").join(own, "_n", "left")
-    new = settle(ends.select("_n", F.col("_own").alias("_at"), F.col("_own").isNull().alias("_lacks"), F.lit(0).alias("_height")))
-    done, waiting = [new], settle(need.join(own, "_n", "left").select("_n", "_need", F.col("_own").alias("_at"), F.lit(False).alias("_lacks"), F.lit(0).alias("_height")))
-    while not new.isEmpty():
+    inner = pairs.select(F.col("_c").alias("_p")).distinct().withColumn("_more", F.lit(True))
+    met = pairs.join(inner, "_p", "left").join(own.withColumnRenamed("_n", "_p"), "_p", "left")
+    end = F.col("_more").isNull()
+    # a row for each link to a node with parents, and one for all other parents of a child, which are settled here
+    links = settle(met.groupBy("_c", F.when(~end, F.col("_p")).alias("_p")).agg(F.max(F.when(end, F.col("_own"))).alias("_at"), F.bool_or(end & F.col("_own").isNull()).alias("_lacks")))
+    nodes = links.groupBy(F.col("_c").alias("_n")).agg(F.count("_p").alias("_need"), F.max("_at").alias("_at"), F.bool_or("_lacks").alias("_lacks"), F.max(F.col("_p").isNull().cast("int")).alias("_height"))
+    nodes = settle(nodes.join(own, "_n", "left").select("_n", "_need", F.greatest("_own", "_at").alias("_at"), "_lacks", "_height"))
+    ends = pairs.select(F.col("_p").alias("_n")).distinct().join(inner.select(F.col("_p").alias("_n")), "_n", "left_anti").join(own, "_n", "left")
+    new, waiting = nodes.where("_need = 0").drop("_need"), nodes.where("_need > 0")
+    done = [ends.select("_n", F.col("_own").alias("_at"), F.col("_own").isNull().alias("_lacks"), F.lit(0).alias("_height")), new]
+    links = links.where("_p is not null").select("_c", "_p")
+    while not waiting.isEmpty() and not new.isEmpty():
         told = links.join(new.withColumnRenamed("_n", "_p"), "_p").groupBy(F.col("_c").alias("_n")).agg(F.count(F.lit(1)).alias("_got"), F.max("_at").alias("_new_at"), F.bool_or("_lacks").alias("_new_lacks"), F.max("_height").alias("_new_height"))
         moved = waiting.join(told, "_n", "left").select(
             "_n", (F.col("_need") - F.coalesce("_got", F.lit(0))).alias("_need"), F.greatest("_at", "_new_at").alias("_at"), (F.col("_lacks") | F.coalesce("_new_lacks", F.lit(False))).alias("_lacks"), F.greatest("_height", F.col("_new_height") + 1).alias("_height")
