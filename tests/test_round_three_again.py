@@ -69,3 +69,18 @@ def test_resolving_keeps_no_links_to_nodes_without_parents(spark, monkeypatch):
     want = {"q0": (1000, "RESOLVED", 1), "q1": (999, "RESOLVED", 1), "q2": (5000, "RESOLVED", 1), "o": (1000, "RESOLVED", 2), "s": (5000, "RESOLVED", 3), "x": (None, "CYCLE", None), "y": (None, "CYCLE", None), "z": (None, "CYCLE", None), "l": (None, "MISSING_PARENT", 2), "gone": (None, "MISSING_PARENT", 0)}
     assert {n: told[n] for n in want} == want and len(told) == len(want) + 300 and told["f7"] == (993, "RESOLVED", 0)
     assert max(settled) < 30
+
+
+def test_facts_are_decided_where_their_filing_lies(spark):
+    """Lines move by filing once for the candidates and once for their contexts; nothing is joined on all the keys."""
+    plan = record_queries.canonical_facts(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("local_concept") and "hashpartitioning(accession" in plan
+    assert not any("hashpartitioning" in row and "local_concept" in row for row in plan.split("\n"))
+
+
+def test_null_keys_prove_nothing(spark):
+    names = "accession int, local_concept string, start int, end int, value int"
+    own = spark.createDataFrame([(1, "a", 1, 1, None), (1, "a", 1, 1, 5), (1, "b", 1, 1, 5), (1, "b", 1, 1, 5)], names)
+    proofs = spark.createDataFrame([(1, "a", 1, 1, None, "x", 0), (1, "a", 1, 1, 5, "y", 0), (1, "a", 1, 1, 5, "y", 0), (1, "b", 1, 1, 5, "y", 0), (1, "b", 1, 1, 5, "z", 1), (1, "c", 1, 1, 5, "z", 1)], names + ", context_id string, dimensions int")
+    got = contexts.match_contexts(own, proofs).select("local_concept", "value", "contexts", "match", "context_id").collect()
+    assert plain(got) == plain([("a", None, 0, "NO_MATCH", None), ("a", 5, 1, "EXACT", "y"), ("b", 5, 2, "EXACT", "y"), ("b", 5, 2, "EXACT", "y")])

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MATCH = ("accession", "local_concept", "start", "end", "value")
@@ -15,14 +18,17 @@ def match_contexts(candidates: DataFrame, inline: DataFrame) -> DataFrame:
     decimals of one type. Adds context_id (one context, no dimensions), contexts and match: EXACT,
     NO_MATCH, ONLY_DIMENSIONED or MULTIPLE_DEFAULT_CONTEXTS. Repeated facts of one context count once.
     """
-    plain = inline.groupBy(*MATCH).agg(
-        F.array_sort(F.collect_set(F.when(F.col("dimensions") == 0, F.col("context_id")))).alias("_plain"),
-        F.count_distinct("context_id").alias("contexts"),
-    )
-    rows = candidates.join(plain, list(MATCH), "left")
-    n = F.coalesce(F.size("_plain"), F.lit(0))
-    match = F.when(F.col("contexts").isNull(), "NO_MATCH").when(n == 0, "ONLY_DIMENSIONED").when(n > 1, "MULTIPLE_DEFAULT_CONTEXTS").otherwise("EXACT")
-    return rows.withColumn("match", match).withColumn("context_id", F.when(F.col("match") == "EXACT", F.element_at("_plain", 1))).withColumn("contexts", F.coalesce("contexts", F.lit(0))).drop("_plain")
+    told = F.col("context_id")
+    proofs = inline.select(*MATCH, told.alias("_any"), F.when(F.col("dimensions") == 0, told).alias("_plain"), F.lit(True).alias("_seen"))
+    # both sides lie in one ordering, so that no pair is formed and rows that lie together by accession need not move
+    rows = candidates.withColumn("_own", F.lit(True)).unionByName(proofs, allowMissingColumns=True)
+    group = Window.partitionBy(*MATCH)
+    least, most = F.min("_plain").over(group), F.max("_plain").over(group)
+    rows = rows.select("*", least.alias("_least"), most.alias("_most"), F.max("_seen").over(group).alias("_met"), F.size(F.collect_set("_any").over(group)).cast("long").alias("_contexts")).where("_own")
+    met = reduce(and_, [F.col(c).isNotNull() for c in MATCH], F.coalesce("_met", F.lit(False)))  # nulls match nothing
+    match = F.when(~met, "NO_MATCH").when(F.col("_least").isNull(), "ONLY_DIMENSIONED").when(F.col("_least") != F.col("_most"), "MULTIPLE_DEFAULT_CONTEXTS").otherwise("EXACT")
+    kept = [F.col(f.name).cast(f.dataType).alias(f.name) for f in candidates.schema if f.name not in ("match", "context_id", "contexts")]
+    return rows.select(*kept, F.when(met, F.col("_contexts")).otherwise(0).alias("contexts"), match.alias("match"), F.when(match == "EXACT", F.col("_least")).alias("context_id"))
 
 
 def map_concepts(facts: DataFrame, mapping: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
@@ -55,8 +61,6 @@ def batch_slices(members: DataFrame, group: str, order: str, size: int) -> DataF
     Rows are dealt into ranges of (group, order) and settled there; positions are counted inside a range and shifted
     by the rows of the group's ranges before it, so a group of any size is numbered by many tasks.
     """
-    from pyspark.sql import Window
-
     from vintara.plans.settle import settle
 
     ranged = settle(members.repartitionByRange(group, order).withColumn("_range", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()))

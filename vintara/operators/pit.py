@@ -40,12 +40,26 @@ def history_audit(periods: DataFrame, quarters: int = 8, years: int = 2, span: i
     return rows.withColumn("history", F.when(ok, "PASS_TARGET_HISTORY").otherwise("REVIEW_HISTORY_GAP"))
 
 
+def latest_values(facts: DataFrame, keys: tuple[str, ...], value: str = "value") -> DataFrame:
+    """One row per key: values, how many different ones its latest available date has, and fact, what was accepted last on that date.
+
+    Values lie in order within a date and are counted as they pass, so one ordering by key is all that a task holds; only ``fact`` takes another, where it is used.
+    """
+    rest = [c for c in facts.columns if c not in keys]
+    order = Window.partitionBy(*keys).orderBy(F.desc_nulls_last("available"), F.asc_nulls_first(value))
+    past = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    latest = F.col("available").eqNullSafe(F.first("available").over(past))
+    ends = F.lead(F.lit(True)).over(order).isNull() | ~F.lead("available").over(order).eqNullSafe(F.col("available"))
+    values = F.dense_rank().over(order) - F.first(value).over(past).isNull().cast("int")  # nulls stand first and are no value
+    fact = F.max_by(F.struct(*rest), F.struct("accepted", "accession")).over(Window.partitionBy(*keys, "available"))
+    return facts.withColumn("fact", fact).select(*keys, "fact", values.cast("long").alias("values"), (latest & ends).alias("_last")).where("_last").drop("_last")
+
+
 def select_parent(facts: DataFrame, keys: tuple[str, ...], value: str = "value") -> tuple[DataFrame, DataFrame]:
     """(selected, conflicts): the latest available fact per key; keys with several values on that date are conflicts and select nothing."""
-    latest = facts.withColumn("_r", F.rank().over(Window.partitionBy(*keys).orderBy(F.desc("available")))).where("_r = 1").drop("_r")
-    kinds = latest.groupBy(*keys).agg(F.count_distinct(value).alias("values"), F.max_by(F.struct(*[c for c in facts.columns if c not in keys]), F.struct("accepted", "accession")).alias("_f"))
+    kinds = latest_values(facts, keys, value)
     rest = [c for c in facts.columns if c not in keys]
-    chosen = kinds.where("values = 1").select(*keys, *[F.col(f"_f.{c}").alias(c) for c in rest])
+    chosen = kinds.where("values = 1").select(*keys, *[F.col(f"fact.{c}").alias(c) for c in rest])
     return chosen, kinds.where("values > 1").select(*keys, "values")
 
 
@@ -75,8 +89,9 @@ def restatements(facts: DataFrame, keys: tuple[str, ...], value: str = "value")
 
 def choose_by_priority(facts: DataFrame, keys: tuple[str, ...], priority: str = "priority", value: str = "value") -> DataFrame:
     """Add choice: SELECTED for the least priority number of a key, CONFLICT where that has several values, else SUPERSEDED."""
-    best = F.min(priority).over(Window.partitionBy(*keys))
-    same = Window.partitionBy(*keys, priority)
+    order = Window.partitionBy(*keys).orderBy(F.asc_nulls_last(priority))
+    best = F.first(priority).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    same = order.rangeBetween(Window.currentRow, Window.currentRow)  # the rows of one priority
     several = F.min(value).over(same) != F.max(value).over(same)
     return facts.withColumn("choice", F.when(F.col(priority) > best, "SUPERSEDED").when(several, "CONFLICT").otherwise("SELECTED"))
 

@@ -24,13 +24,15 @@ def canonical_facts(candidates: DataFrame, inline: DataFrame, targets: DataFrame
     rows = contexts.match_contexts(candidates, inline).join(want, "accession", "left")
     agrees = F.col("_t_issuer").isNotNull() & F.col("issuer").eqNullSafe(F.col("_t_issuer")) & F.col("form").eqNullSafe(F.col("_t_form")) & F.col("report_period").eqNullSafe(F.col("_t_report_period"))
     own = mapping.select(F.col("taxonomy_concept").alias("local_concept"), "canonical_concept", "priority")
-    rows = rows.join(own, "local_concept", "left")
+    rows = rows.join(F.broadcast(own), "local_concept", "left")  # the list of concepts
     early = S.first_reason((F.col("_t_issuer").isNull(), "NO_TARGET"), (~agrees, "TARGET_MISMATCH"), (F.col("url") != F.format_string(url, "accession"), "URL_MISMATCH"), (F.col("match") != "EXACT", "CONTEXT"), (F.col("canonical_concept").isNull(), "UNMAPPED_CONCEPT"))
     rows = rows.withColumn("_early", F.when(early == "CONTEXT", F.col("match")).otherwise(early)).drop("_t_issuer", "_t_form", "_t_report_period")
     keys = ("issuer", "canonical_concept", "start", "end", "accession")
-    chosen = pit.choose_by_priority(rows.where("_early is null"), keys).withColumn("decision", F.when(F.col("choice") == "SELECTED", "CANONICAL").otherwise(F.col("choice"))).drop("choice")
-    kept_out = rows.where("_early is not null").withColumn("decision", F.col("_early"))
-    return chosen.unionByName(kept_out).withColumn("duration", S.duration_class(F.col("start"), F.col("end"))).drop("_early")
+    # what is kept out early has no say, and stays in its place
+    rows = rows.withColumns({f"_{c}": F.when(F.col("_early").isNull(), F.col(c)) for c in ("priority", "value")})
+    decision = F.coalesce("_early", F.when(F.col("choice") == "SELECTED", "CANONICAL").otherwise(F.col("choice")))
+    chosen = pit.choose_by_priority(rows, keys, "_priority", "_value").withColumn("decision", decision)
+    return chosen.withColumn("duration", S.duration_class(F.col("start"), F.col("end"))).drop("_early", "_priority", "_value", "choice")
 
 
 def signals(facts: DataFrame) -> DataFrame:
