@@ -84,3 +84,13 @@ def test_null_keys_prove_nothing(spark):
     proofs = spark.createDataFrame([(1, "a", 1, 1, None, "x", 0), (1, "a", 1, 1, 5, "y", 0), (1, "a", 1, 1, 5, "y", 0), (1, "b", 1, 1, 5, "y", 0), (1, "b", 1, 1, 5, "z", 1), (1, "c", 1, 1, 5, "z", 1)], names + ", context_id string, dimensions int")
     got = contexts.match_contexts(own, proofs).select("local_concept", "value", "contexts", "match", "context_id").collect()
     assert plain(got) == plain([("a", None, 0, "NO_MATCH", None), ("a", 5, 1, "EXACT", "y"), ("b", 5, 2, "EXACT", "y"), ("b", 5, 2, "EXACT", "y")])
+
+
+def test_latest_values_are_counted_behind_one_exchange(spark):
+    """The latest date's values, nulls aside; a repeated value counts once, and older dates do not count."""
+    data = [(1, 1, 5.0), (1, 2, 7.0), (1, 2, 7.0), (2, 2, 1.0), (2, 2, 3.0), (2, 1, 9.0), (3, 4, None), (3, 3, 2.0), (4, 4, None), (4, 4, 6.0), (None, 1, 1.0)]
+    frame = spark.createDataFrame([(k, a, n, n, v) for n, (k, a, v) in enumerate(data)], "k int, available int, accepted int, accession int, value double")
+    kinds = pit.latest_values(frame, ("k",))
+    assert plain(kinds.select("k", "values", "fact.accession").collect()) == plain([(1, 1, 2), (2, 2, 4), (3, 0, 6), (4, 1, 9), (None, 1, 10)])
+    plan = kinds.select("k", "values")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Aggregate" not in plan

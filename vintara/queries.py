@@ -145,8 +145,8 @@ def vintage_latest(spark, sf_dir):
 def vintage_conflict(spark, sf_dir):
     """Customer and month keys whose latest filing date carries several values."""
     rows = bridge.filings(spark, sf_dir).withColumn("available", F.last_day("available"))
-    chosen, conflicts = pit.select_parent(rows, ("issuer", "report_period"))
-    return chosen.select("issuer", "report_period", F.lit("SELECTED").alias("outcome"), F.lit(1).cast("long").alias("values")).unionByName(conflicts.select("issuer", "report_period", F.lit("CONFLICT").alias("outcome"), big("values")))
+    kinds = pit.latest_values(rows, ("issuer", "report_period")).where("values > 0")
+    return kinds.select("issuer", "report_period", F.when(F.col("values") == 1, "SELECTED").otherwise("CONFLICT").alias("outcome"), "values")
 
 
 @query
