@@ -86,6 +86,16 @@ def test_null_keys_prove_nothing(spark):
     assert plain(got) == plain([("a", None, 0, "NO_MATCH", None), ("a", 5, 1, "EXACT", "y"), ("b", 5, 2, "EXACT", "y"), ("b", 5, 2, "EXACT", "y")])
 
 
+def test_kinds_of_variants_need_no_schema_of_what_lies_in_them(spark):
+    odd = ['{"facts":{"a":{"c":{"units":{"u":[]}}}}}', '{"facts":{"a":{"c":{"units":{"u":{}, "w":"[]", "n":null}}}}}', '{"facts":{"a":{"c":{"units":[]}, "d":[], "e":7}}}', '{"facts":[]}', '{"facts":null}', '{"facts":{}}', "[]", '{"facts":{"a":{"c":{"units":{"u":[null, 1, [], {}, {"accn":"x","end":"2000-01-31","val":1.50,"b":{"q":[1]},"a":null}]}}}}}']
+    frame = spark.createDataFrame(list(enumerate(odd)), "k int, json string")
+    facts, rejects = variant_facts.variant_facts(frame, "k")
+    assert [(r["k"], r["place"], str(r["value"]), list(r["extra"])) for r in facts.collect()] == [(7, 4, "1.5000", ["a", "b"])]
+    want = [(1, "NOT_A_LIST")] * 3 + [(2, "NOT_AN_OBJECT")] * 3 + [(3, "NOT_AN_OBJECT"), (4, "NOT_AN_OBJECT"), (6, "NO_FACTS")] + [(7, "NOT_AN_OBSERVATION")] * 3 + [(7, "NO_ACCESSION")]
+    assert plain(rejects.select("k", "problem").collect()) == plain(want)
+    assert "schema_of_variant" not in facts._jdf.queryExecution().analyzed().toString()
+
+
 def test_latest_values_are_counted_behind_one_exchange(spark):
     """The latest date's values, nulls aside; a repeated value counts once, and older dates do not count."""
     data = [(1, 1, 5.0), (1, 2, 7.0), (1, 2, 7.0), (2, 2, 1.0), (2, 2, 3.0), (2, 1, 9.0), (3, 4, None), (3, 3, 2.0), (4, 4, None), (4, 4, 6.0), (None, 1, 1.0)]

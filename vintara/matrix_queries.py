@@ -155,7 +155,8 @@ def _unlisted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     tax, off = F.round("l_tax", 2), F.round("l_discount", 2)
     value = F.when(tax == 0.08, F.lit("n/a")).otherwise(F.concat(F.lit(" "), F.col("l_quantity").cast("decimal(12,2)").cast("string")))
     observation = F.struct(F.when(off != 0.0, F.concat_ws("-", "l_orderkey", "l_linenumber")).alias("accn"), F.when(tax == 0.07, F.lit("2001-02-30")).otherwise(F.to_date("l_shipdate").cast("string")).alias("end"), value.alias("val"), F.when(F.col("l_linenumber") == 1, F.col("l_linenumber")).alias("frame"))
-    by_unit = line.groupBy(F.col("l_suppkey").alias("supplier"), "concept", unit.alias("unit")).agg(F.collect_list(observation).alias("o"))
+    moved = line.select(F.col("l_suppkey").alias("supplier"), "concept", unit.alias("unit"), observation.alias("o")).repartition("supplier")  # once for all three levels
+    by_unit = moved.groupBy("supplier", "concept", "unit").agg(F.collect_list("o").alias("o"))
     by_concept = by_unit.groupBy("supplier", "concept").agg(F.map_from_entries(F.collect_list(F.struct("unit", "o"))).alias("units"))
     facts = F.map_from_entries(F.collect_list(F.struct("concept", F.struct("units").alias("f"))))
     docs = by_concept.groupBy("supplier").agg(F.to_json(F.struct(F.create_map(F.lit("own"), facts).alias("facts"))).alias("json"))
