@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vintara.history_queries import _HEADS, _per_head, query
+from vintara.history_queries import _HEADS, _flows, _per_head, query
 from vintara.history_queries import QUERIES as REGISTER
 from vintara.operators import contexts, peers, scoring, sensitivity
 from vintara.oracle import _FILINGS, _YTD, _accelerated, _d, _digits, _obs
@@ -73,7 +73,7 @@ def sensitivity_all(spark, sf_dir):
     parts = {
         "STALENESS": usable.select("q_end", F.col("age_days").cast("double").alias("value")), "OUTLIER": shown.select("q_end", off.alias("value")), "REWEIGHT_CAP": both.select("q_end", F.lit(0.5 / 0.45).alias("value")), "TOTAL_COVERAGE_FLOOR": total.select("q_end", "value"),
         "NEUTRAL_BAND": shown.select("q_end", off.alias("value")), "ACCELERATION_CUTOFF": shown.where("input_id like '%acceleration%'").select("q_end", F.col("percentile").alias("value")), "CONFLICT_VALUE": broad.select("q_end", needed.alias("value")),
-        "EMPLOYEE_AGE": _per_head(spark, sf_dir).where("head_age is not null").select("q_end", F.col("head_age").cast("double").alias("value")), "MINIMUM_PEERS": room.select("q_end", "value"),
+        "EMPLOYEE_AGE": _per_head(spark, sf_dir, _flows(m.signals)).where("head_age is not null").select("q_end", F.col("head_age").cast("double").alias("value")), "MINIMUM_PEERS": room.select("q_end", "value"),
     }
     values = None
     for name, part in parts.items():
