@@ -1,7 +1,12 @@
 """Regressions of round four: each test failed before its change."""
 
+import random
+
+from pyspark.sql import functions as F
+
 from vintara import history_queries, matrix_queries
 from vintara.plans import bridge, settle
+from vintara.sources import landing
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,3 +21,16 @@ def test_all_dimensions_rest_on_the_settled_quarters(spark, monkeypatch):
     rows = matrix_queries.sensitivity_all(spark, SF)
     assert calls.count("lineitem") == 2
     assert rows.where("dimension = 'EMPLOYEE_AGE'").count() > 0
+
+
+def test_contexts_keep_their_dates_in_documents_of_any_order(spark):
+    """A document put together from rows may have its parts in another order each time it is read, as after a shuffle from several machines."""
+    deal = F.udf(lambda parts: "<html><body>" + "".join(random.SystemRandom().sample(parts, len(parts))) + "</body></html>").asNondeterministic()
+    context = '<xbrli:context id="c{y}"><xbrli:identifier>9</xbrli:identifier><xbrli:startDate>{y}-01-01</xbrli:startDate><xbrli:endDate>{y}-12-31</xbrli:endDate></xbrli:context>'
+    parts = [context.format(y=y) for y in range(1990, 1998)] + [f'<ix:nonFraction name="a:b" contextRef="c{y}">{y}</ix:nonFraction>' for y in range(1990, 1999)]
+    documents = spark.createDataFrame([(k, parts) for k in range(20)], "k int, parts array<string>").select("k", deal("parts").alias("html"))
+    found = landing.tagged_facts(landing.html_elements(documents, "k", "html"), "k").collect()
+    assert len(found) == 20 * 9
+    for r in found:
+        told = (r["match"], str(r["start"]), str(r["end"]))
+        assert told == (("CONTEXT_NOT_FOUND", "None", "None") if r["text"] == "1998" else ("FOUND", f"{r['text']}-01-01", f"{r['text']}-12-31"))

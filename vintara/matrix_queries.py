@@ -193,7 +193,7 @@ def verified_signals(spark, sf_dir):
     lost = (F.month("start") == 4) & (F.month("end") == 6) & (F.year("start") % 3 == 0)
     context = F.concat(F.lit('<xbrli:context id="'), name, F.lit('"><xbrli:identifier>'), F.col("issuer").cast("string"), F.lit("</xbrli:identifier><xbrli:startDate>"), F.col("start").cast("string"), F.lit("</xbrli:startDate><xbrli:endDate>"), F.col("end").cast("string"), F.lit("</xbrli:endDate></xbrli:context>"))
     tag = F.concat(F.lit('<ix:nonFraction name="own:Revenues" contextRef="'), F.when(lost, "lost").otherwise(name), F.lit('" unitRef="USD" decimals="4">'), F.format_number("value", 4), F.lit("</ix:nonFraction>"))
-    documents = facts.groupBy("accession").agg(F.concat_ws("\n", F.lit("<html><body>"), F.concat_ws("\n", F.collect_list(context)), F.concat_ws("\n", F.collect_list(tag)), F.lit("</body></html>")).alias("html"))
+    documents = facts.groupBy("accession").agg(F.concat_ws("\n", F.lit("<html><body>"), F.concat_ws("\n", F.sort_array(F.collect_list(context))), F.concat_ws("\n", F.sort_array(F.collect_list(tag))), F.lit("</body></html>")).alias("html"))
     targets = facts.select("accession", "issuer", "form", "report_period").distinct()
     mapping = spark.createDataFrame([("Revenues", "revenue", 1)], "taxonomy_concept string, canonical_concept string, priority int")
     _, out = governance.verified_signals(documents, facts, targets, mapping, "filings/%d.htm")

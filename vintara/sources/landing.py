@@ -163,17 +163,20 @@ def html_elements(documents: DataFrame, key: str, html: str) -> DataFrame:
 
 
 def tagged_facts(elements: DataFrame, key: str) -> DataFrame:
-    """Facts of tagged HTML joined with their contexts: (key, name, text, unit, context_id, entity, start, end, dimensions, match)."""
+    """Facts of tagged HTML joined with their contexts: (key, name, text, unit, context_id, entity, start, end, dimensions, match).
+
+    ``elements`` is read for the facts and again for the contexts. Positions count inside one reading only, since a document that was put together
+    from rows may have its parts in another order the next time; a context's id therefore comes with its parts, and the two readings meet by id.
+    """
     attribute = lambda n: F.col("attributes")[n]
     facts = elements.where(F.col("tag").isin("ix:nonfraction", "ix:nonnumeric")).select(key, "position", attribute("name").alias("name"), "text", attribute("unitref").alias("unit"), attribute("contextref").alias("context_id"), attribute("decimals").alias("decimals"))
-    opens = elements.where("tag = 'xbrli:context'").select(key, F.col("position").alias("_at"), attribute("id").alias("context_id"))
     from pyspark.sql import Window
 
     parts = elements.where(F.col("tag").isin("xbrli:context", "xbrli:identifier", "xbrli:startdate", "xbrli:enddate", "xbrli:instant", "xbrldi:explicitmember"))
     owner = F.last(F.when(F.col("tag") == "xbrli:context", F.col("position")), ignorenulls=True).over(Window.partitionBy(key).orderBy("position"))
-    pick = lambda t: F.max(F.when(F.col("tag") == t, F.col("text")))
-    contexts = parts.withColumn("_at", owner).groupBy(key, "_at").agg(pick("xbrli:identifier").alias("entity"), F.coalesce(pick("xbrli:startdate"), pick("xbrli:instant")).alias("start"), F.coalesce(pick("xbrli:enddate"), pick("xbrli:instant")).alias("end"), F.count_if(F.col("tag") == "xbrldi:explicitmember").alias("dimensions"))
-    contexts = contexts.join(opens, [key, "_at"]).drop("_at")
+    pick = lambda t, c=F.col("text"): F.max(F.when(F.col("tag") == t, c))
+    contexts = parts.withColumn("_at", owner).where("_at is not null").groupBy(key, "_at").agg(pick("xbrli:context", attribute("id")).alias("context_id"), pick("xbrli:identifier").alias("entity"), F.coalesce(pick("xbrli:startdate"), pick("xbrli:instant")).alias("start"), F.coalesce(pick("xbrli:enddate"), pick("xbrli:instant")).alias("end"), F.count_if(F.col("tag") == "xbrldi:explicitmember").alias("dimensions"))
+    contexts = contexts.drop("_at")
     rows = facts.join(contexts, [key, "context_id"], "left")
     return rows.withColumn("start", F.col("start").try_cast("date")).withColumn("end", F.col("end").try_cast("date")).withColumn("match", F.when(F.col("entity").isNull(), "CONTEXT_NOT_FOUND").otherwise("FOUND"))
 
