@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from vintara import history_queries, matrix_queries
+from vintara.llm import hard_negatives
 from vintara.plans import bridge, settle
 from vintara.sources import landing
 
@@ -34,3 +36,29 @@ def test_contexts_keep_their_dates_in_documents_of_any_order(spark):
     for r in found:
         told = (r["match"], str(r["start"]), str(r["end"]))
         assert told == (("CONTEXT_NOT_FOUND", "None", "None") if r["text"] == "1998" else ("FOUND", f"{r['text']}-01-01", f"{r['text']}-12-31"))
+
+
+def test_boxes_that_rule_nothing_out_are_read_once_for_many_anchors(monkeypatch):
+    """Without clusters every box is needed; what must not happen is a product for each anchor and box."""
+    r = np.random.default_rng(4)
+    n, labels = 5000, np.repeat([0, 1, *range(2, 42)], [2000, 2000, *[25] * 40])
+    points = np.floor(60 * r.normal(size=(n, 32))).astype(np.float32)
+    points[3000:3020] = points[2999]  # ties go to smaller ids
+    ids = r.permutation(n)
+    at = r.choice(n, 200, replace=False)
+    at[0] = 3001
+    trees = [hard_negatives.Tree(ids[a], points[a], labels[a]) for a in (np.flatnonzero(labels == 0), np.flatnonzero(labels == 1), np.flatnonzero(labels > 1))]
+    scores = (points @ points[at].T).astype(np.int64)
+    calls, score = [], hard_negatives.Search.score
+    monkeypatch.setattr(hard_negatives.Search, "score", lambda self, *a: calls.append(1) or score(self, *a))
+    for alike, low, high in ((True, [-np.inf], [np.inf]), (False, [800.0, 30_000.0, 5.0], [1000.0, 90_000.0, 4.0])):
+        search = hard_negatives.Search(points[at], ids[at], labels[at], np.tile(np.float32(low), (200, 1)), np.tile(np.float32(high), (200, 1)), 5, alike)
+        search.run(trees)
+        got = sorted(zip(*(x.tolist() for x in search.found()), strict=True))
+        want = []
+        for k, a in enumerate(at):
+            for w in range(len(low)):
+                inside = np.flatnonzero(((labels == labels[a]) == alike) & (ids != ids[a]) & (scores[:, k] >= low[w]) & (scores[:, k] <= high[w]))
+                want += [(k, w, int(scores[i, k]), int(ids[i])) for i in inside[np.lexsort((ids[inside], -scores[inside, k]))[:5]]]
+        assert got == sorted(want)
+    assert len(calls) <= 2 * 2 * 5  # the boxes of 1,024 rows, twice each at most, in either search

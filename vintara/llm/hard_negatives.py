@@ -1,4 +1,4 @@
-"""Hard negatives by inner product: STR-packed R-trees over ranges of rows, searched best box first within score windows."""
+"""Hard negatives by inner product: STR-packed R-trees over ranges of rows, searched best box first within score windows, for many anchors at once."""
 
 from __future__ import annotations
 
@@ -20,7 +20,9 @@ LEAF = FAN = 32
 AXES = 4
 #: Rows from which the slabs of the ranges are fitted; every row is indexed.
 SAMPLE = 20_000
-_EXACT = 1 << 53
+#: Anchors that are searched for together.
+TOGETHER = 256
+_SMALL, _EXACT = 1 << 24, 1 << 53
 
 
 def tile_order(points: np.ndarray, size: int, axes: list[int]) -> np.ndarray:
@@ -36,67 +38,151 @@ def tile_order(points: np.ndarray, size: int, axes: list[int]) -> np.ndarray:
 
 
 class Tree:
-    """A packed R-tree: rows in tile order, and for each level the corners of the boxes around FAN of the level below."""
+    """A packed R-tree: rows in tile order, and for each level the corners of the boxes around FAN of the level below.
 
-    def __init__(self, ids: np.ndarray, points: np.ndarray):
+    ``labels`` are numbers of the rows' labels; ``label`` is the one that all rows have, or -1.
+    """
+
+    def __init__(self, ids: np.ndarray, points: np.ndarray, labels: np.ndarray | None = None):
         spread = points.astype(np.float64).var(axis=0)
         order = tile_order(points, LEAF, np.argsort(-spread, kind="stable")[:AXES].tolist())
         self.ids, self.points = ids[order], points[order]
+        self.labels = np.zeros(len(ids), np.int64) if labels is None else labels[order]
+        self.label = int(self.labels[0]) if (self.labels == self.labels[0]).all() else -1
         low = high = self.points
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        self.levels: list[np.ndarray] = []
         step = LEAF
         while True:
             starts = np.arange(0, len(low), step)
             low, high = np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)
-            # for an anchor split into its positive and negative parts, one product with each gives the bounds of its scores
-            self.levels.append((np.hstack((high, low)), np.hstack((low, high))))
+            # for anchors split into their positive and negative parts, one product gives the upper ends of their scores and the lower ends
+            self.levels.append(np.stack((np.hstack((high, low)), np.hstack((low, high)))))
             if len(low) == 1:
                 break
             step = FAN
 
 
-def best_first(trees: list[Tree], anchor: np.ndarray, low: np.ndarray, high: np.ndarray, k: int, own: int) -> tuple[list[list[tuple[int, int]]], int]:
-    """For each window [low, high] the first ``k`` (score, id), higher scores and then smaller ids first; and the leaves read.
+class Search:
+    """Best-first search for anchors together: of each anchor and window [low, high] the first ``k`` rows, higher scores and then smaller ids first.
 
-    The box that may hold the highest score is opened first. A box waits only while some window
-    overlaps its interval of scores and its upper end is not strictly below that window's k-th score
-    so far; the search ends when the best waiting box is below all of them.
+    ``low`` and ``high`` have a row an anchor; a window that begins beyond its end holds nothing. With ``alike`` rows of an anchor's own label count, without it
+    those of other labels. The box that may hold the highest score of any anchor is opened first. It waits only while for some
+    anchor a window overlaps its interval of scores and its upper end is not strictly below that window's k-th score so far.
+    Only anchors that still need a box take part in its product, so what no box rules out costs one product a box and not one an anchor.
     """
-    parts = np.concatenate((np.maximum(anchor, 0), np.minimum(anchor, 0)))
-    floor = low.copy()
+
+    def __init__(self, anchors: np.ndarray, own: np.ndarray, labels: np.ndarray, low: np.ndarray, high: np.ndarray, k: int, alike: bool):
+        self.anchors, self.own, self.labels, self.high, self.k, self.alike = anchors, own, labels, high, k, alike
+        self.parts = np.hstack((np.maximum(anchors, 0), np.minimum(anchors, 0)))
+        self.floor = np.where(low > high, np.inf, low).astype(low.dtype)
+        shape = (low.size, k)
+        self.count, self.scores, self.ids = np.zeros(low.size, np.int64), np.zeros(shape, np.int64), np.zeros(shape, np.int64)
+        self.leaves = 0
+
+    def needed(self, upper: np.ndarray, lower: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which anchors ``at`` need a box with these ends; the ends may have a further, leading axis of boxes."""
+        out = np.zeros(upper.shape, bool)
+        for w in range(self.floor.shape[1]):
+            out |= (upper >= self.floor[at, w]) & (lower <= self.high[at, w])
+        return out
+
+    def run(self, trees: list[Tree]) -> None:
+        waiting: list[tuple] = []
+        tick = 0
+
+        def wait(t: int, level: int, first: int, last: int, at: np.ndarray) -> None:
+            nonlocal tick
+            upper, lower = trees[t].levels[level][:, first:last] @ self.parts[at].T
+            useful = self.needed(upper, lower, at)
+            for j in np.flatnonzero(useful.any(axis=1)).tolist():
+                mine = useful[j]
+                tick += 1
+                heapq.heappush(waiting, (-upper[j][mine].max(), tick, t, level, first + j, at[mine], upper[j][mine], lower[j][mine]))
+
+        for t, tree in enumerate(trees):
+            at = np.arange(len(self.anchors)) if tree.label < 0 else np.flatnonzero((self.labels == tree.label) == self.alike)
+            if len(at):
+                wait(t, len(tree.levels) - 1, 0, 1, at)
+        while waiting:
+            _, _, t, level, node, at, upper, lower = heapq.heappop(waiting)
+            at = at[self.needed(upper, lower, at)]
+            if not len(at):
+                continue
+            tree = trees[t]
+            if level > 1:
+                wait(t, level - 1, node * FAN, min((node + 1) * FAN, len(tree.levels[level - 1][0])), at)
+            else:
+                self.read(tree, *((node * FAN, min((node + 1) * FAN, len(tree.levels[0][0]))) if level else (node, node + 1)), at)
+
+    def read(self, tree: Tree, first: int, last: int, at: np.ndarray) -> None:
+        """Leaves of one box: the best of each anchor first, then those that are needed after them."""
+        upper, lower = tree.levels[0][:, first:last] @ self.parts[at].T
+        best = np.unique(np.where(self.needed(upper, lower, at), upper, -np.inf).argmax(axis=0))
+        for leaves in (best, np.setdiff1d(np.arange(last - first), best)):
+            useful = self.needed(upper[leaves], lower[leaves], at)
+            leaves, mine = leaves[useful.any(axis=1)], useful.any(axis=0)
+            if len(leaves):
+                self.leaves += len(leaves)
+                rows = ((first + leaves)[:, None] * LEAF + np.arange(LEAF)).ravel()
+                self.score(tree, rows[rows < len(tree.ids)], at[mine])
+
+    def score(self, tree: Tree, rows: np.ndarray, at: np.ndarray) -> None:
+        scores = tree.points[rows] @ self.anchors[at].T
+        windows = self.floor.shape[1]
+        if windows == 1 and len(rows) > 4 * self.k + 1 and tree.label >= 0:
+            # where all scores count, no more than the first few of these rows can: one place more, as an anchor may be among them
+            least = np.partition(scores, len(rows) - self.k - 1, axis=0)[len(rows) - self.k - 1] if scores.dtype != object else self.floor[at, 0]
+            least = np.where(np.isposinf(self.high[at, 0].astype(np.float64)), np.maximum(self.floor[at, 0], least), self.floor[at, 0])
+        else:
+            least = self.floor[at].min(axis=1)
+        met = (scores >= least) & (scores <= self.high[at].max(axis=1))
+        if tree.label < 0:
+            met &= (tree.labels[rows][:, None] == self.labels[at]) == self.alike
+        r, a = np.nonzero(met)
+        score, ids, a = scores[r, a], tree.ids[rows[r]], at[a]
+        other = ids != self.own[a]
+        score, ids, a = score[other], ids[other], a[other]
+        if windows > 1:
+            c, w = np.nonzero((score[:, None] >= self.floor[a]) & (score[:, None] <= self.high[a]))
+            score, ids, group = score[c], ids[c], a[c] * windows + w
+        else:
+            group = a
+        score = score.astype(np.int64)
+        last = self.k - 1
+        enters = (self.count[group] < self.k) | (score > self.scores[group, last]) | ((score == self.scores[group, last]) & (ids < self.ids[group, last]))
+        score, ids, group = score[enters], ids[enters], group[enters]
+        if not len(group):
+            return
+        touched = np.unique(group)
+        held = np.arange(self.k) < self.count[touched][:, None]
+        group = np.concatenate((group, np.repeat(touched, self.count[touched])))
+        score, ids = np.concatenate((score, self.scores[touched][held])), np.concatenate((ids, self.ids[touched][held]))
+        order = np.lexsort((ids, -score, group))
+        group, score, ids = group[order], score[order], ids[order]
+        starts = np.flatnonzero(np.diff(group, prepend=-1))
+        place = np.arange(len(group)) - np.repeat(starts, np.diff(starts, append=len(group)))
+        kept = place < self.k
+        self.scores[group[kept], place[kept]], self.ids[group[kept], place[kept]] = score[kept], ids[kept]
+        self.count[touched] = np.bincount(np.searchsorted(touched, group[kept]), minlength=len(touched))
+        full = touched[self.count[touched] == self.k]
+        self.floor[full // windows, full % windows] = self.scores[full, last]
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(anchor, window, score, id) of what was found, in order of anchor, window and rank."""
+        held = np.arange(self.k) < self.count[:, None]
+        group = np.repeat(np.arange(len(self.count)), self.count)
+        return group // self.floor.shape[1], group % self.floor.shape[1], self.scores[held], self.ids[held]
+
+
+def best_first(trees: list[Tree], anchor: np.ndarray, low: np.ndarray, high: np.ndarray, k: int, own: int) -> tuple[list[list[tuple[int, int]]], int]:
+    """``Search`` for one anchor over rows of any label: for each window the first ``k`` (score, id); and the leaves read."""
+    none = np.array([-2])  # no row's label
+    search = Search(anchor[None], np.array([own]), none, low[None], high[None], k, False)
+    search.run(trees)
     found: list[list[tuple[int, int]]] = [[] for _ in low]
-    waiting: list[tuple] = []
-    leaves = 0
-
-    def wait(tree: int, level: int, first: int, last: int) -> None:
-        upper, lower = (corner[first:last] @ parts for corner in trees[tree].levels[level])
-        useful = ((upper[:, None] >= floor) & (lower[:, None] <= high)).any(axis=1)
-        for j in np.flatnonzero(useful).tolist():
-            heapq.heappush(waiting, (-upper[j], tree, level, first + j, lower[j]))
-
-    for t, tree in enumerate(trees):
-        wait(t, len(tree.levels) - 1, 0, 1)
-    while waiting:
-        upper, t, level, node, lower = heapq.heappop(waiting)
-        if -upper < floor.min():
-            break
-        if not ((-upper >= floor) & (lower <= high)).any():
-            continue
-        tree = trees[t]
-        if level:
-            wait(t, level - 1, node * FAN, min((node + 1) * FAN, len(tree.levels[level - 1][0])))
-            continue
-        leaves += 1
-        scores = tree.points[node * LEAF : (node + 1) * LEAF] @ anchor
-        ids = tree.ids[node * LEAF : (node + 1) * LEAF]
-        for w in np.flatnonzero((-upper >= floor) & (lower <= high)).tolist():
-            inside = np.flatnonzero((scores >= floor[w]) & (scores <= high[w]) & (ids != own))
-            if len(inside):
-                best = sorted(found[w] + [(-s, i) for s, i in zip(scores[inside].tolist(), ids[inside].tolist(), strict=True)])[:k]
-                found[w] = best
-                if len(best) == k:
-                    floor[w] = max(floor[w], -best[-1][0])
-    return [[(int(-s), i) for s, i in f] for f in found], leaves
+    for _, w, score, i in zip(*(x.tolist() for x in search.found()), strict=True):
+        found[w].append((score, i))
+    return found, search.leaves
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -104,42 +190,63 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0), np.int64)
 
 
+def _padded(column: pa.Array, name: str, fill: int) -> np.ndarray:
+    """A field of a list column of structs as a matrix, filled up to the longest list."""
+    sizes = np.diff(column.offsets.to_numpy())
+    out = np.full((len(column), int(sizes.max(initial=0))), fill, np.int64)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = column.flatten().field(name).to_numpy()
+    return out
+
+
 def _search(positives: bool, k: int, low: int, high: int):
     """Rows of cells in order, anchors (role 0) before rows (role 1), to the local first ``k`` of each anchor and window."""
 
-    def solve(rows: pa.Table) -> pa.RecordBatch:
-        role, ids = rows.column("role").to_numpy(), rows.column("id").to_numpy()
-        labels, dims = rows.column("label").to_pylist(), rows.column("dims").to_numpy()
-        codes = rows.column("codes").combine_chunks()
-        targets = rows.column("positives").to_pylist()
-        out: list[tuple] = []
+    def solve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        role, ids, dims = (rows.column(c).to_numpy() for c in ("role", "id", "dims"))
+        labels = rows.column("label").combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+        codes, targets = rows.column("codes").combine_chunks(), rows.column("positives").combine_chunks()
         for d in np.unique(dims[role == 0]):
             mine = np.flatnonzero((dims == d) & (role == 1))
-            anchors = np.flatnonzero((dims == d) & (role == 0))
+            asked = np.flatnonzero((dims == d) & (role == 0))
             if not len(mine):
                 continue
-            points, queries = (_matrix(codes.take(pa.array(at))) for at in (mine, anchors))
-            top = [int(np.abs(x.astype(np.float64)).max(initial=0)) for x in (points, queries)]
-            kind = np.float64 if top[0] * top[1] * max(int(d), 1) < _EXACT else object  # whole numbers are exact in both
-            points, queries = points.astype(kind), queries.astype(kind)
-            of_label: dict = {}
-            for k_row, at in enumerate(mine.tolist()):
-                of_label.setdefault(labels[at], []).append(k_row)
-            trees = {name: Tree(ids[mine[at]], points[at]) for name, at in ((n, np.array(a)) for n, a in of_label.items())}
-            for q, at in zip(queries, anchors.tolist(), strict=True):
-                own, name = int(ids[at]), labels[at]
+            points, anchors = (_matrix(codes.take(pa.array(at))) for at in (mine, asked))
+            top = [int(np.abs(x.astype(np.float64)).max(initial=0)) for x in (points, anchors)]
+            most = top[0] * top[1] * max(int(d), 1)
+            # whole numbers are exact in all three, and so is every sum on the way
+            kind = np.float32 if most < _SMALL else np.float64 if most < _EXACT else object
+            points, anchors = points.astype(kind), anchors.astype(kind)
+            # labels of enough rows have a tree of their own, the others share one
+            number = np.bincount(labels[mine])
+            of_label = np.where(number[labels[mine]] >= LEAF * FAN, labels[mine], -1)
+            trees = []
+            for name in np.unique(of_label).tolist():
+                at = np.flatnonzero(of_label == name)
+                trees.append(Tree(ids[mine[at]], points[at], labels[mine[at]]))
+            # anchors that lie together and have one label are asked together
+            near = tile_order(anchors, TOGETHER, np.argsort(-anchors.astype(np.float64).var(axis=0), kind="stable")[:AXES].tolist())
+            near = near[np.argsort(labels[asked[near]], kind="stable")]
+            for group in (near[j : j + TOGETHER] for j in range(0, len(near), TOGETHER)):
+                at = asked[group]
                 if positives:
-                    near = [trees[name]] if name in trees else []
-                    found, _ = best_first(near, q, np.array([-np.inf]), np.array([np.inf]), k, own)
-                    out += [(own, None, None, i, s) for s, i in found[0]]
+                    starts, ends = np.full((len(at), 1), -np.inf), np.full((len(at), 1), np.inf)
+                else:
+                    of = targets.take(pa.array(at))
+                    there, to, whole = np.diff(of.offsets.to_numpy()), _padded(of, "id", 0), _padded(of, "score", 0)
+                    ends = whole.astype(object)
+                    starts = -(-low * ends // high)  # the least whole n with high * n >= low * s
+                    if kind is not object:
+                        limit = int(_SMALL if kind is np.float32 else _EXACT)  # beyond every score
+                        starts, ends = np.clip(starts, -limit, limit), np.clip(ends, -limit, limit)
+                    starts = np.where(np.arange(ends.shape[1]) < there[:, None], starts, np.inf)
+                if not starts.shape[1]:
                     continue
-                scores = [t["score"] for t in targets[at]]
-                ends = np.array(scores, kind)
-                starts = np.array([-(-low * s // high) for s in scores], kind)  # the least whole n with high * n >= low * s
-                found, _ = best_first([t for n, t in trees.items() if n != name], q, starts, ends, k, own)
-                out += [(own, t["id"], t["score"], i, s) for t, rows_found in zip(targets[at], found, strict=True) for s, i in rows_found]
-        columns = list(zip(*out, strict=True)) if out else [[]] * 5
-        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["anchor", "positive", "positive_score", "other", "score"])
+                search = Search(anchors[group], ids[at], labels[at], starts.astype(kind), ends.astype(kind), k, positives)
+                search.run(trees)
+                a, w, score, other = search.found()
+                none = pa.nulls(len(a), pa.int64())
+                told = [none, none] if positives else [pa.array(to[a, w]), pa.array(whole[a, w])]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at[a]]), *told, pa.array(other), pa.array(score)], names=["anchor", "positive", "positive_score", "other", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -149,11 +256,11 @@ def _search(positives: bool, k: int, low: int, high: int):
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 if b > a:
                     if held and held[-1].column(0)[0].as_py() != cells[a]:
-                        yield solve(pa.Table.from_batches(held))
+                        yield from solve(pa.Table.from_batches(held))
                         held = []
                     held.append(batch.slice(a, b - a))
         if held:
-            yield solve(pa.Table.from_batches(held))
+            yield from solve(pa.Table.from_batches(held))
 
     return run
 
