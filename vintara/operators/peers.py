@@ -37,9 +37,9 @@ def distribution(rows: DataFrame, group: tuple[str, ...], value: str, buckets: i
     return placed.join(shift, [*group, "_range"]).select(*group, value, "ties", (F.col("_before") + F.col("_inside")).alias("before"), "peers")
 
 
-def fits(rows: DataFrame, group: tuple[str, ...]) -> bool:
-    """Whether no group has more than ONE_SORT rows."""
-    return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > ONE_SORT).isEmpty()
+def fits(rows: DataFrame, group: tuple[str, ...], most: int | None = None) -> bool:
+    """Whether no group has more than ``most`` rows, ONE_SORT by default."""
+    return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > (ONE_SORT if most is None else most)).isEmpty()
 
 
 def rank_rows(rows: DataFrame, group: tuple[str, ...], value: str, small: bool | None = None) -> DataFrame:
