@@ -74,6 +74,17 @@ def statistics(usable: DataFrame, scenarios: DataFrame) -> DataFrame:
     return usable.select(*GROUP, "value", "age_days").groupBy(*GROUP).applyInArrow(one, schema)
 
 
+def distributions(usable: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """scenario, GROUP, peers, distinct_values, tied, stale_peers and least of every distribution with peers."""
+    rows = scenarios.collect()
+    cases = _cases(rows)
+    each = []
+    for k, r in enumerate(rows):
+        own = F.col("cases")[cases.index((r["excluded_days"], r["winsor"]))]
+        each.append(F.struct(F.lit(r["scenario"]).alias("scenario"), *[own[c].alias(c) for c in ("peers", "distinct_values", "tied")], F.col("stale")[k].alias("stale_peers"), F.lit(r["min_peers"]).alias("least")))
+    return statistics(usable, scenarios).select(*GROUP, F.inline(F.array(*each))).where("peers > 0")
+
+
 def _ranked(usable: DataFrame, scenarios: DataFrame, rows: list[Row]) -> DataFrame:
     """``usable`` with the cases of its distribution and, for every age limit, the smaller and the equal values within it. One exchange by distribution."""
     order = Window.partitionBy(*GROUP).orderBy("value")

@@ -152,7 +152,11 @@ def metric_normalization(spark, sf_dir):
 @query
 def normalization_distributions(spark, sf_dir):
     """Peers, distinct values, ties, stale peers and sufficiency of each distribution."""
-    rows = Method(spark, sf_dir).normalized().groupBy("scenario", "q_end", "input_id")
+    m = Method(spark, sf_dir)
+    if m.whole():
+        out = normalization.distributions(m.judged, policy.normalization_scenarios(spark))
+        return out.select("scenario", "q_end", "input_id", *[big(c) for c in ("peers", "distinct_values", "tied", "stale_peers")], F.when(F.col("peers") >= F.col("least"), "PASS").otherwise("PEER_GROUP_INSUFFICIENT").alias("coverage"))
+    rows = m.normalized().groupBy("scenario", "q_end", "input_id")
     out = rows.agg(big(F.count(F.lit(1)), "peers"), big(F.count_distinct("sensitivity_value"), "distinct_values"), big(F.count_if(F.col("ties") > 1), "tied"), big(F.count_if(F.col("age_class") == "STALE"), "stale_peers"), F.min("min_peers").alias("least"))
     return out.withColumn("coverage", F.when(F.col("peers") >= F.col("least"), "PASS").otherwise("PEER_GROUP_INSUFFICIENT")).drop("least")
 
