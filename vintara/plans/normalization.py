@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ GROUP = ("q_end", "input_id")
 ONE_TASK = 1_000_000
 
 _OF_CASE = "peers long, p025 double, p975 double, low double, high double, n_low long, n_high long, center double, mad double, distinct_values long, tied long"
+_OF_SCENARIO = "n long, rho double, mean_change double, max_change double, over_10 long"
 
 
 def _cases(scenarios: list[Row]) -> list[tuple[int, float | None]]:
@@ -142,3 +144,65 @@ def normalize(usable: DataFrame, scenarios: DataFrame) -> DataFrame:
     every = every.withColumn("normalization_status", status)
     masked = [F.when(F.col("normalization_status") == "PASS", F.col(c)).alias(c) for c in ("midrank", "percentile", "robust")]
     return every.select("q_end", "input_id", "scenario", "issuer", "value", "sensitivity_value", "peer_extreme", "ties", *masked, F.when(F.col("age_days") > F.col("stale_days"), "STALE").otherwise("CURRENT").alias("age_class"), "peer_count", "min_peers", "normalization_status")
+
+
+def _midranks(values: np.ndarray) -> np.ndarray:
+    _, at, sizes = np.unique(values, return_inverse=True, return_counts=True)
+    return (np.cumsum(sizes) - (sizes - 1) / 2.0)[at]
+
+
+def _compared(reference: np.ndarray, score: np.ndarray) -> tuple:
+    """The fields of a scenario and method; the mean of midranks is (n + 1) / 2, so that a constant side has no spread at all."""
+    n = len(score)
+    if not n:
+        return 0, None, None, None, 0
+    a, b = (_midranks(x) - (n + 1) / 2 for x in (reference, score))
+    spread, move = np.sqrt((a * a).mean()) * np.sqrt((b * b).mean()), np.abs(reference - score)
+    return n, float((a * b).mean() / spread) if spread else None, float(move.mean()), float(move.max()), int((move > 10).sum())
+
+
+def sensitivity(usable: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """See ``stages.sensitivity``: q_end, scenario, input_id, method, n, rho, mean_change, max_change, over_10, without a table of all scenarios.
+
+    A company's baseline lies beside its other cases, and a distribution's rows follow one another in the task that ranked them, so nothing moves again.
+    """
+    rows = scenarios.collect()
+    cases = _cases(rows)
+    at = {r["scenario"]: cases.index((r["excluded_days"], r["winsor"])) for r in rows}
+    least, width = {r["scenario"]: r["min_peers"] for r in rows}, len(cases)
+    schema = pa.schema([("q_end", pa.date32()), ("scenario", pa.string()), ("input_id", pa.string()), ("method", pa.string()), *[(n, pa.int64() if kind == "long" else pa.float64()) for n, kind in (part.split() for part in _OF_SCENARIO.split(", "))]])
+
+    def of_group(table: pa.Table) -> pa.RecordBatch:
+        wide = lambda c: table.column(c).to_numpy(zero_copy_only=False).reshape(-1, width)
+        inside, peers, passed = wide("inside").astype(bool), wide("peer_count"), wide("approved").astype(bool)
+        scores = {m: wide(m).astype(np.float64) for m in ("percentile", "robust")}
+        date, name = table.column("q_end")[0].as_py(), table.column("input_id")[0].as_py()
+        shown = lambda s: inside[:, at[s]] & passed[:, at[s]] & (peers[:, at[s]] >= least[s])
+        reference, known, out = scores["percentile"][:, at["BASELINE"]], shown("BASELINE"), []
+        for s in at:
+            if inside[:, at[s]].any():
+                for m in scores:
+                    score = scores[m][:, at[s]]
+                    both = known & shown(s) & ~np.isnan(score)
+                    out.append((date, s, name, m, *_compared(reference[both], score[both])))
+        columns = list(zip(*out, strict=True)) if out else [[]] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            new = batch.column("distribution").to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(new[1:] != new[:-1]) + 1), len(new)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if b > a:
+                    if held and held[-1].column("distribution")[0].as_py() != new[a]:
+                        yield of_group(pa.Table.from_batches(held))
+                        held = []
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield of_group(pa.Table.from_batches(held))
+
+    # scores that two engines round apart must not break ties
+    told = [F.round(m, 6).alias(m) for m in ("percentile", "robust")]
+    distribution = F.concat_ws(" ", *GROUP).alias("distribution")
+    return scored(usable, scenarios).select(distribution, *GROUP, "inside", "approved", "peer_count", *told).mapInArrow(run, f"q_end date, scenario string, input_id string, method string, {_OF_SCENARIO}")

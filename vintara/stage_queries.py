@@ -164,7 +164,8 @@ def normalization_distributions(spark, sf_dir):
 @query
 def normalization_sensitivity(spark, sf_dir):
     """How each scenario and method ranks companies against the baseline's percentiles."""
-    out = stages.sensitivity(Method(spark, sf_dir).normalized(keep=True))
+    m = Method(spark, sf_dir)
+    out = normalization.sensitivity(m.judged, policy.normalization_scenarios(spark)) if m.whole() else stages.sensitivity(m.normalized(keep=True))
     return out.select("q_end", "scenario", "input_id", "method", big("n"), dec("rho", None, "decimal(18,6)"), dec(F.col("mean_change") + 1e-9, "mean_change", "decimal(18,4)"), dec("max_change", None, "decimal(18,6)"), big("over_10"))
 
 
