@@ -7,14 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from vintara.functions import scalars as S
 
 #: A distribution; its rows are the companies.
 GROUP = ("q_end", "input_id")
-#: Companies of a date up to which a distribution lies in one task: it needs some 100 bytes a row, and Spark's sort may spill.
+#: Companies of a date up to which a distribution lies in one task; at 60,000 a task had 369 MB at its peak, several distributions together, and Spark's sort may spill.
 ONE_TASK = 1_000_000
 
 _OF_CASE = "peers long, p025 double, p975 double, low double, high double, n_low long, n_high long, center double, mad double, distinct_values long, tied long"
